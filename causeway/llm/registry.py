@@ -6,12 +6,19 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from causeway.llm import line_quality
+from causeway.llm import line_quality, mixing, sharding
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op9_line_quality": line_quality.op9_line_quality}
+    return {
+        "op5_sharding": sharding.op5_sharding,
+        "op8_mixing": mixing.op8_mixing,
+        "op9_line_quality": line_quality.op9_line_quality,
+    }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op9_line_quality": line_quality.ORACLE}
+    return {
+        "op8_mixing": mixing.ORACLE,
+        "op9_line_quality": line_quality.ORACLE,
+    }
