@@ -6,12 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from causeway.llm import line_quality, mixing, sharding
+from causeway.llm import language_id, line_quality, mixing, quartile_digest, sharding
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op3_language_id": language_id.op3_language_id,
         "op5_sharding": sharding.op5_sharding,
+        "op6_fingerprints": quartile_digest.op6_fingerprints,
         "op8_mixing": mixing.op8_mixing,
         "op9_line_quality": line_quality.op9_line_quality,
     }
