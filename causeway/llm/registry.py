@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from causeway.llm import language_id, line_quality, mixing, quartile_digest, sharding
+from causeway.llm import language_id, line_quality, mixing, piece_sampling, quartile_digest, sharding
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -16,6 +16,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op6_fingerprints": quartile_digest.op6_fingerprints,
         "op8_mixing": mixing.op8_mixing,
         "op9_line_quality": line_quality.op9_line_quality,
+        "op10_pieces": piece_sampling.op10_pieces,
     }
 
 
