@@ -72,8 +72,9 @@ class Pieces:
 
     def unigram(self, alpha: float) -> np.ndarray:
         """Log weights from the vocabulary's own scores, flattened by alpha and normalised."""
-        x = np.where(self.normal, alpha * self.score, -np.inf)
-        x[self.byte_id] = alpha * self.score.min(where=self.normal & (self.score > -1e8), initial=0)
+        score = np.maximum(self.score, self.score.min(where=self.normal & (self.score > -1e8), initial=0))
+        x = np.where(self.normal, alpha * score, -np.inf)
+        x[self.byte_id] = alpha * score[self.normal].min()
         return x - np.log(np.exp(x).sum())
 
     def edge_weights(self, piece: np.ndarray, logp: np.ndarray) -> np.ndarray:
