@@ -6,12 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from causeway.llm import language_id, lattice_lm, line_quality, mixing, piece_sampling, quartile_digest, sharding
+from causeway.llm import language_id, lattice_lm, line_quality, mixing, piece_sampling, quartile_digest, sharding, token_frames
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_lattice_lm": lattice_lm.op1_lattice_lm,
+        "op2_token_frames": token_frames.op2_token_frames,
         "op3_language_id": language_id.op3_language_id,
         "op5_sharding": sharding.op5_sharding,
         "op6_fingerprints": quartile_digest.op6_fingerprints,
