@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from causeway.llm import language_id, lattice_lm, line_quality, mixing, piece_sampling, quartile_digest, sharding, token_frames
+from causeway.llm import bag_minhash, language_id, lattice_lm, line_quality, mixing, piece_sampling, quartile_digest, sharding, token_frames
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -16,6 +16,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op3_language_id": language_id.op3_language_id,
         "op5_sharding": sharding.op5_sharding,
         "op6_fingerprints": quartile_digest.op6_fingerprints,
+        "op7_bag_minhash": bag_minhash.op7_bag_minhash,
         "op8_mixing": mixing.op8_mixing,
         "op9_line_quality": line_quality.op9_line_quality,
         "op10_pieces": piece_sampling.op10_pieces,
@@ -24,6 +25,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 def oracle_sql() -> dict[str, str]:
     return {
+        "op7_bag_minhash": bag_minhash.ORACLE,
         "op8_mixing": mixing.ORACLE,
         "op9_line_quality": line_quality.ORACLE,
     }
