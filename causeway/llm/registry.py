@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from causeway.llm import bag_minhash, language_id, lattice_lm, line_quality, mixing, piece_sampling, quartile_digest, sharding, token_frames
+from causeway.llm import bag_minhash, language_id, lattice_lm, line_quality, mixing, piece_sampling, quartile_digest, repeats, sharding, token_frames
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -14,6 +14,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_lattice_lm": lattice_lm.op1_lattice_lm,
         "op2_token_frames": token_frames.op2_token_frames,
         "op3_language_id": language_id.op3_language_id,
+        "op4_repeats": repeats.op4_repeats,
         "op5_sharding": sharding.op5_sharding,
         "op6_fingerprints": quartile_digest.op6_fingerprints,
         "op7_bag_minhash": bag_minhash.op7_bag_minhash,
@@ -25,6 +26,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 def oracle_sql() -> dict[str, str]:
     return {
+        "op4_repeats": repeats.ORACLE,
         "op7_bag_minhash": bag_minhash.ORACLE,
         "op8_mixing": mixing.ORACLE,
         "op9_line_quality": line_quality.ORACLE,
