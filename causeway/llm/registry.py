@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+import corpus_pipeline
 from causeway.llm import bag_minhash, language_id, lattice_lm, line_quality, mixing, piece_sampling, quartile_digest, repeats, sharding, token_frames
 
 
@@ -21,6 +22,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_mixing": mixing.op8_mixing,
         "op9_line_quality": line_quality.op9_line_quality,
         "op10_pieces": piece_sampling.op10_pieces,
+        "pipeline": corpus_pipeline.run,
     }
 
 

@@ -183,7 +183,7 @@ def later_windows(docs: DataFrame, buckets: int) -> DataFrame:
 
 
 def without_repeats(docs: DataFrame, text: str = "text", row_id: str = "doc_id") -> DataFrame:
-    """(row_id, n_words, n_removed, kept_text): one row a document.
+    """docs with n_words, n_removed and kept_text; columns of docs with these names are replaced.
 
     A word goes if a window of 20 words covers it that also starts earlier, in a document of a smaller
     id or before in its own; kept words are joined by one space. Windows are judged on the input. A
@@ -191,34 +191,34 @@ def without_repeats(docs: DataFrame, text: str = "text", row_id: str = "doc_id")
     document: repeated rows don't remove each other's words. Rows with null ids come before all
     others, in the order of their places. An empty table gives an empty result.
     """
-    given = docs.select(F.coalesce(F.col(row_id).cast("long"), F.monotonically_increasing_id() - (1 << 62)).alias("id"), F.col(text).alias("text"))
-    size = given.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
+    others = [c for c in docs.columns if c not in {"n_words", "n_removed", "kept_text"}]
+    own = F.coalesce(F.col(row_id).cast("long"), F.monotonically_increasing_id() - (1 << 62)).alias("_id")
+    given = docs.select(own, *others)
+    plain = given.select(F.col("_id").alias("id"), F.col(text).alias("text"))
+    size = plain.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
     buckets = max(LEAST_BUCKETS, math.ceil(size / BUCKET_BYTES))
-    hits = anchor_hits(given, buckets)
-    later = later_windows(given.join(hits, "id").select("id", "text", "places"), buckets)
-
-    def remove(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            rows = []
-            for i, t, places in zip(b["id"], b["text"], b["places"], strict=True):
-                words = _raw(t).split()
-                if places is not None and len(places):
-                    edge = np.zeros(len(words) + 1, np.int32)
-                    np.add.at(edge, np.asarray(places, np.int64), 1)
-                    np.add.at(edge, np.asarray(places, np.int64) + WINDOW, -1)
-                    kept = [words[k] for k in np.flatnonzero(np.cumsum(edge[:-1]) == 0)]
-                else:
-                    kept = words
-                rows.append((i, len(words), len(words) - len(kept), b" ".join(kept).decode()))
-            yield pd.DataFrame(rows, columns=["id", "n_words", "n_removed", "kept_text"])
-
-    joined = given.join(later, "id", "left").select("id", "text", "places")
-    out = joined.mapInPandas(remove, "id long, n_words long, n_removed long, kept_text string")
-    return out.withColumnRenamed("id", row_id)
+    hits = anchor_hits(plain, buckets)
+    later = later_windows(plain.join(hits, "id").select("id", "text", "places"), buckets)
+
+    @F.pandas_udf("n_words long, n_removed long, kept_text string")
+    def remove(texts: pd.Series, windows: pd.Series) -> pd.DataFrame:
+        rows = []
+        for t, places in zip(texts, windows, strict=True):
+            words = kept = _raw(t).split()
+            if places is not None and len(places):
+                edge = np.zeros(len(words) + 1, np.int32)
+                np.add.at(edge, np.asarray(places, np.int64), 1)
+                np.add.at(edge, np.asarray(places, np.int64) + WINDOW, -1)
+                kept = [words[k] for k in np.flatnonzero(np.cumsum(edge[:-1]) == 0)]
+            rows.append((len(words), len(words) - len(kept), b" ".join(kept).decode()))
+        return pd.DataFrame(rows, columns=["n_words", "n_removed", "kept_text"])
+
+    joined = given.join(later.select(F.col("id").alias("_id"), F.col("places").alias("_places")), "_id", "left")
+    return joined.select(*others, remove(F.col(text), F.col("_places")).alias("_r")).select(*others, "_r.*")
 
 
 def op4_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    kept = without_repeats(documents(spark, sf_dir))
+    kept = without_repeats(documents(spark, sf_dir).select("doc_id", "text"))
     return kept.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
 
 
