@@ -97,15 +97,15 @@ def compare_with_next(docs: DataFrame, partitions: int | None = None) -> DataFra
     """Digests of each text, of its edited text, and how like they and the next document's are.
 
     docs has doc_id and text; other columns are dropped. The next document is the one before in
-    ascending (doc_id, text), null ids first; after the first comes the last. A null text is empty;
+    ascending doc_id, null ids first, equal ids by a hash of the text; after the first comes the last. A null text is empty;
     a lone document is its own next; an empty table gives an empty result; repeated rows follow each
     other. The texts are dealt once by ranges of doc_id; each range is read as a stream, and its
     first document is compared in a second step, with the last one of the range before.
     """
     spark = docs.sparkSession
     n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    dealt = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).repartitionByRange(n, "doc_id", "text")
-    dealt = dealt.sortWithinPartitions("doc_id", "text").select(F.spark_partition_id().alias("part"), "doc_id", "text")
+    dealt = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).repartitionByRange(n, "doc_id", F.xxhash64("text"))
+    dealt = dealt.sortWithinPartitions("doc_id", F.xxhash64("text")).select(F.spark_partition_id().alias("part"), "doc_id", "text")
 
     def walk(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         first = last = after = None

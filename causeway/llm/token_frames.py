@@ -40,12 +40,16 @@ END_ID = 0
 #: Frames of one file add up to about this many bytes; a larger document has a file of its own.
 FILE_BYTES = 8 << 20
 #: Distinct parts of texts whose ids a worker keeps.
-KEPT_PARTS = 250_000
+KEPT_PARTS = 400_000
 
 _INDEX_MAGIC, _SEEK_MAGIC, _END_MAGIC = 0x184D2A50, 0x184D2A5E, 0x8F92EAB1
 _CHECKSUMS = 0x80
 
 
+#: Marks that often follow a word.
+_MARKS = ".,;:!?"
+
+
 class _AtSpace(Exception):
     """A part begins or ends with white space, so its ids depend on its neighbours."""
 
@@ -83,34 +87,35 @@ class Encoder:
             def __missing__(self, part: str) -> bytes:
                 if self.lead and (not part or part[0].isspace() or part[-1].isspace()):
                     raise _AtSpace
-                ids = outer._of(self.lead + part)
+                ids = outer._of(self.lead, part)
                 if len(self) < KEPT_PARTS:
                     self[part] = ids
                 return ids
 
-        self._after_space, self._alone, self._pieces = Kept(" "), Kept(""), {}
+        self._after_space, self._alone = Kept(" "), Kept("")
+        self._mark = {m: self._piece("", m) for m in _MARKS}
 
     def _whole(self, text: str) -> bytes:
         return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
 
-    def _of(self, part: str) -> bytes:
+    def _of(self, lead: str, part: str) -> bytes:
+        """The ids of a part; letters alone, or with one mark after them, need no splitting."""
+        if not part.isascii() and self._ODD.search(part):
+            return self._whole(lead + part)
+        if part.isalpha():
+            return self._piece(lead, part)
+        if part[-1:] in _MARKS and part[:-1].isalpha():
+            known = (self._after_space if lead else self._alone).get(part[:-1])
+            return (known or self._piece(lead, part[:-1])) + self._mark[part[-1]]
         if self._ODD.search(part):
-            return self._whole(part)
-        split = self._split(part)
-        if len(split) == 1:
-            return self._piece(part)
-        kept, out = self._pieces, []
-        for p in split:
-            ids = kept.get(p)
-            if ids is None:
-                ids = self._piece(p)
-                if len(kept) < KEPT_PARTS:
-                    kept[p] = ids
-            out.append(ids)
-        return b"".join(out)
-
-    def _piece(self, p: str) -> bytes:
-        spelled = p.encode().decode("latin-1").translate(self._letters)
+            return self._whole(lead + part)
+        return b"".join([self._piece("", p) for p in self._split(lead + part)])
+
+    def _piece(self, lead: str, p: str) -> bytes:
+        if p.isascii() and p.isalpha():
+            spelled = "Ġ" + p if lead else p
+        else:
+            spelled = (lead + p).encode().decode("latin-1").translate(self._letters)
         return array("I", [t.id for t in self._model.tokenize(spelled)]).tobytes()
 
     def encode(self, text: str) -> bytes:
@@ -180,16 +185,16 @@ class File:
 def write_tokens(docs: DataFrame, folder: str, vocabulary: str, text: str = "text", row_id: str = "doc_id", partitions: int | None = None) -> None:
     """Writes the ids of docs, each document's ids and END_ID, in ascending order of row_id.
 
-    A null text is empty and has END_ID alone; null ids come first; rows with equal ids are ordered by
-    text. Other columns are not written. An empty table gives an empty folder. The texts are dealt
+    A null text is empty and has END_ID alone; null ids come first; rows with equal ids are ordered by a
+    hash of the text. Other columns are not written. An empty table gives an empty folder. The texts are dealt
     once, by ranges of the id.
     """
     n = partitions or int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    dealt = docs.select(F.col(row_id).cast("long").alias("i"), F.coalesce(text, F.lit("")).alias("t")).repartitionByRange(n, "i", "t")
+    dealt = docs.select(F.col(row_id).cast("long").alias("i"), F.coalesce(text, F.lit("")).alias("t")).repartitionByRange(n, "i", F.xxhash64("t"))
 
     def files(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         encode, part, number = encoder(vocabulary).encode, TaskContext.get().partitionId(), 0
-        squeeze = zstandard.ZstdCompressor(level=3, write_checksum=True, write_content_size=True).compress
+        squeeze = zstandard.ZstdCompressor(level=1, write_checksum=True, write_content_size=True).compress
         end = np.array([END_ID], "<u4").tobytes()
         ids, frames, sizes, sums, held = [], [], [], [], 0
         for b in batches:
@@ -206,7 +211,7 @@ def write_tokens(docs: DataFrame, folder: str, vocabulary: str, text: str = "tex
         if ids:
             yield pd.DataFrame({"f": [pack(ids, frames, sizes, sums, (part, number))[:-4]]})
 
-    made = dealt.sortWithinPartitions("i", "t").mapInPandas(files, "f binary").select(F.col("f").cast("string").alias("value"))
+    made = dealt.sortWithinPartitions("i", F.xxhash64("t")).mapInPandas(files, "f binary").select(F.col("f").cast("string").alias("value"))
     tail = struct.pack("<I", _END_MAGIC).decode("latin-1")
     made.write.option("encoding", "ISO-8859-1").option("lineSep", tail).option("maxRecordsPerFile", 1).option("compression", "none").text(folder)
 
