@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from causeway.llm.common import documents
-from causeway.llm.word_hashes import run_hashes, word_hashes
+from causeway.llm.word_hashes import mix, run_hashes, word_hashes
 
 WINDOW = 20
 BLOCK = WINDOW // 2
@@ -99,16 +99,24 @@ def _groups(h: np.ndarray, *then: np.ndarray) -> tuple[np.ndarray, np.ndarray, n
     return by, first, np.diff(np.append(first, len(s)))
 
 
-def _met(dealt: DataFrame, judge) -> DataFrame:
-    """(id, places) that judge(ids, places, hashes) picks in each bucket, and those that were done before."""
+def _met(dealt: DataFrame, judge, buckets: int) -> DataFrame:
+    """(id, places) that judge(rows) picks in each bucket, and those that were done before; one row a document.
+
+    What buckets find is packed once more, dealt by document, so that rows don't multiply with buckets.
+    """
 
     def work(rows: pd.DataFrame) -> pd.DataFrame:
         done = rows["done"].to_numpy(bool)
         ids, places, _ = _unpack(rows[done], "<u4")
         found = judge(rows[~done])
-        return _by_id(np.concatenate([ids, found[0]]), np.concatenate([places, found[1]]))
+        ids, places = np.concatenate([ids, found[0]]), np.concatenate([places, found[1]])
+        by = np.lexsort((places, ids))
+        return _pack((mix(ids[by].astype(np.uint64)) % np.uint64(buckets)).astype(np.int64), ids[by], places[by], None)
+
+    def gather(rows: pd.DataFrame) -> pd.DataFrame:
+        return _by_id(*_unpack(rows, "<u4")[:2])
 
-    return dealt.groupBy("bucket").applyInPandas(work, "id long, places array<int>").groupBy("id").agg(F.flatten(F.collect_list("places")).alias("places"))
+    return dealt.groupBy("bucket").applyInPandas(work, _PACKED).groupBy("bucket").applyInPandas(gather, "id long, places array<int>")
 
 
 def anchor_hits(docs: DataFrame, buckets: int) -> DataFrame:
@@ -139,7 +147,7 @@ def anchor_hits(docs: DataFrame, buckets: int) -> DataFrame:
         hit = by[np.repeat((size > 1) & block, size)]
         return ids[hit], places[hit]
 
-    return _met(docs.mapInPandas(probe, _PACKED), judge)
+    return _met(docs.mapInPandas(probe, _PACKED), judge, buckets)
 
 
 def later_windows(docs: DataFrame, buckets: int) -> DataFrame:
@@ -179,7 +187,7 @@ def later_windows(docs: DataFrame, buckets: int) -> DataFrame:
         later = (i != i[lead]) | (p != p[lead])
         return i[later], p[later]
 
-    return _met(docs.mapInPandas(extend, _PACKED), judge)
+    return _met(docs.mapInPandas(extend, _PACKED), judge, buckets)
 
 
 def without_repeats(docs: DataFrame, text: str = "text", row_id: str = "doc_id") -> DataFrame:
