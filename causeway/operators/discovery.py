@@ -8,7 +8,7 @@ import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from causeway.functions.moments import Moments, complete, moments, poisson_weight, replicate_moments
+from causeway.functions.moments import Moments, complete, moments, number, poisson_weight, replicate_moments
 from causeway.functions.stats import chi2_sf, two_sided_p
 from causeway.operators.ranks import average_ranks
 
@@ -89,8 +89,9 @@ def audit_edges(df: DataFrame, edges: list[tuple[str, str]]) -> DataFrame:
 
 
 def spearman(df: DataFrame, a: str, b: str) -> tuple[float, float, int]:
-    """(rank correlation, p, n); ranks are global, ties share their average."""
-    d = complete(df, [a, b])
+    """(rank correlation, p, n); ranks are global, ties share their average; strings rank by their order."""
+    kinds = dict(df.dtypes)
+    d = df.select(*[F.col(c) if kinds[c] == "string" else number(c).alias(c) for c in (a, b)]).na.drop()
     ranked = average_ranks(average_ranks(d, a, "_ra"), b, "_rb")
     r, n = ranked.agg(F.corr("_ra", "_rb"), F.count("*")).first()
     r = 0.0 if r is None or math.isnan(r) else float(np.clip(r, -1 + 1e-15, 1 - 1e-15))

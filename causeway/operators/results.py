@@ -17,10 +17,10 @@ def row(estimator: str, treatment: str, outcome: str, point: float, se: float |
         segment: str | None = None, level: float = 0.95, hypothesis: str = "h0", notes: list[str] | None = None,
         interval: tuple[float, float] | None = None, **diagnostics: float) -> tuple:
     ok = se is not None and se > 0
-    low, high = interval or ((point - z(level) * se, point + z(level) * se) if ok else (None, None))
+    low, high = map(float, interval or (point - z(level) * se, point + z(level) * se)) if ok or interval else (None, None)
     return (
         hypothesis, segment, estimator, estimand, treatment, outcome, [], float(point), float(se) if se is not None else None,
-        low, high, two_sided_p(point / se) if ok else None, int(n),
+        low, high, float(two_sided_p(point / se)) if ok else None, int(n),
         {k: float(v) for k, v in diagnostics.items() if v is not None}, notes or [], hypothesis, None,
     )
 

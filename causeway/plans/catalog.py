@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from causeway.plans import profile_queries
+from causeway.plans import effect_queries, profile_queries
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -15,7 +15,7 @@ def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     return items.groupBy("l_returnflag").agg(F.count("*").alias("n"))
 
 
-MODULES = [profile_queries]
+MODULES = [profile_queries, effect_queries]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
