@@ -5,17 +5,18 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
-from causeway.plans import effect_queries, profile_queries
+from causeway.operators import effects
+from causeway.plans import effect_queries, profile_queries, result_queries
+from causeway.plans.tables import items
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    items = spark.read.parquet(f"{sf_dir}/lineitem.parquet")
-    return items.groupBy("l_returnflag").agg(F.count("*").alias("n"))
+    """The effect of a discount on the price of line items, given quantity and tax."""
+    return effects.ols(items(spark, sf_dir), "t", "y", ["w1", "w2"])
 
 
-MODULES = [profile_queries, effect_queries]
+MODULES = [profile_queries, effect_queries, result_queries]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
