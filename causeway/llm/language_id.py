@@ -26,7 +26,7 @@ SAMPLE_PER_LANGUAGE = 1000
 #: A text is rejected below this part of the cosine that all but one in a thousand sampled texts reach.
 REJECT_PART = 0.5
 UNKNOWN = "und"
-ROWS = 256
+ROWS = 128
 
 
 @lru_cache(maxsize=1)

@@ -29,7 +29,7 @@ from causeway.llm.word_hashes import mix, run_hashes, word_hashes
 WINDOW = 20
 BLOCK = WINDOW // 2
 #: Bytes of text a task handles at once, and bytes of text whose runs make one bucket.
-CHUNK_BYTES = 8 << 20
+CHUNK_BYTES = 4 << 20
 BUCKET_BYTES = 16 << 20
 LEAST_BUCKETS = 8
 _PACKED = "bucket int, done boolean, ids binary, highs binary, counts binary, places binary, hashes binary"
@@ -41,11 +41,12 @@ def _raw(t: str | None) -> bytes:
 
 def _chunks(batches: Iterator[pd.DataFrame]) -> Iterator[tuple[pd.DataFrame, list[bytes]]]:
     for b in batches:
-        raws, at, held = [_raw(t) for t in b["text"]], 0, 0
-        for k, r in enumerate(raws):
-            held += len(r)
-            if held >= CHUNK_BYTES or k == len(raws) - 1:
-                yield b.iloc[at : k + 1], raws[at : k + 1]
+        sizes, at, held = b["text"].str.len().fillna(0).to_numpy(), 0, 0
+        for k, n in enumerate(sizes):
+            held += n
+            if held >= CHUNK_BYTES or k == len(sizes) - 1:
+                some = b.iloc[at : k + 1]
+                yield some, [_raw(t) for t in some["text"]]
                 at, held = k + 1, 0
 
 
@@ -201,12 +202,15 @@ def without_repeats(docs: DataFrame, text: str = "text", row_id: str = "doc_id")
     """
     others = [c for c in docs.columns if c not in {"n_words", "n_removed", "kept_text"}]
     own = F.coalesce(F.col(row_id).cast("long"), F.monotonically_increasing_id() - (1 << 62)).alias("_id")
-    given = docs.select(own, *others)
-    plain = given.select(F.col("_id").alias("id"), F.col(text).alias("text"))
-    size = plain.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
+    # with no other columns the id is made from _id again, so that both joins below deal the same columns once
+    alone = set(others) == {row_id, text}
+    given = docs.select(own, *([text] if alone else others))
+    plain = given.select(F.col("_id"), F.col(text))
+    size = docs.agg(F.coalesce(F.sum(F.octet_length(text)), F.lit(0))).first()[0]
     buckets = max(LEAST_BUCKETS, math.ceil(size / BUCKET_BYTES))
-    hits = anchor_hits(plain, buckets)
-    later = later_windows(plain.join(hits, "id").select("id", "text", "places"), buckets)
+    hits = anchor_hits(plain.toDF("id", "text"), buckets)
+    found = plain.join(hits.withColumnRenamed("id", "_id"), "_id")
+    later = later_windows(found.select(F.col("_id").alias("id"), F.col(text).alias("text"), "places"), buckets)
 
     @F.pandas_udf("n_words long, n_removed long, kept_text string")
     def remove(texts: pd.Series, windows: pd.Series) -> pd.DataFrame:
@@ -222,6 +226,9 @@ def without_repeats(docs: DataFrame, text: str = "text", row_id: str = "doc_id")
         return pd.DataFrame(rows, columns=["n_words", "n_removed", "kept_text"])
 
     joined = given.join(later.select(F.col("id").alias("_id"), F.col("places").alias("_places")), "_id", "left")
+    if alone:
+        back = F.when(F.col("_id") >= -(1 << 61), F.col("_id")).cast(docs.schema[row_id].dataType).alias(row_id)
+        joined = joined.select("_places", *[back if c == row_id else F.col(c) for c in others])
     return joined.select(*others, remove(F.col(text), F.col("_places")).alias("_r")).select(*others, "_r.*")
 
 

@@ -31,9 +31,13 @@ def no_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 def no_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without passages of 20 words or more that occur earlier; other texts stay as they are."""
-    kept = repeats.without_repeats(docs)
+    keyed = docs.withColumn("_key", F.coalesce(F.col("doc_id").cast("long"), F.monotonically_increasing_id() - (1 << 60)))
+    kept = repeats.without_repeats(keyed.select("_key", "text"), row_id="_key")
     text = F.when(F.col("n_removed") > 0, F.col("kept_text")).otherwise(F.col("text"))
-    return kept.withColumn("text", text).withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
+    changed = kept.select("_key", text.alias("text"), F.length(text).cast("long").alias("n_chars"))
+    # the texts don't move again: only the other columns are joined, one row a document
+    others = keyed.drop("text", "n_chars").dropDuplicates(["_key"])
+    return changed.join(others, "_key").select(*docs.columns)
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
