@@ -183,7 +183,7 @@ def t11(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def t12(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(tasks.adstock(by_nation(spark, sf_dir), ["unit"], "time", "y"), 1)
+    return rounded(tasks.adstock(by_nation(spark, sf_dir), ["unit"], "time", "y"), 3)
 
 
 def t13(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -345,7 +345,7 @@ ORACLES = {
     "t5_root_cause": f"""WITH {ITEMS}, p AS (SELECT *, ship >= '1998-01-01' AS p FROM items), a AS (SELECT regr_slope(y, w1) * (avg(w1) FILTER (p) - avg(w1) FILTER (NOT p)) AS v, avg(y) FILTER (p) - avg(y) FILTER (NOT p) AS total FROM p),
       r AS (SELECT 'w1' AS driver, v AS value FROM a UNION ALL SELECT '(residual)', total - v FROM a) SELECT driver, round(value, 4) AS value, row_number() OVER (ORDER BY abs(value) DESC)::INT AS rank FROM r""",
     "t12_adstock": f"""WITH {SALES}, m AS (SELECT nation AS unit, date_diff('month', (SELECT min(month) FROM sales), month)::INT AS time, sum(y) AS y FROM sales GROUP BY ALL), k AS (SELECT *, row_number() OVER (PARTITION BY unit ORDER BY time) AS k FROM m),
-      d AS (SELECT unnest([0.0, 0.2, 0.4, 0.6, 0.7, 0.8])::DOUBLE AS decay) SELECT a.unit, a.time, decay, round(sum(b.y * CASE WHEN a.k = b.k THEN 1 ELSE decay ** (a.k - b.k) END), 1) AS adstock FROM k a JOIN k b ON a.unit = b.unit AND b.k <= a.k, d GROUP BY a.unit, a.time, decay""",
+      d AS (SELECT unnest([0.0, 0.2, 0.4, 0.6, 0.7, 0.8])::DOUBLE AS decay) SELECT a.unit, a.time, decay, round(sum(b.y * CASE WHEN a.k = b.k THEN 1 ELSE decay ** (a.k - b.k) END), 3) AS adstock FROM k a JOIN k b ON a.unit = b.unit AND b.k <= a.k, d GROUP BY a.unit, a.time, decay""",
     "r1_similar_vectors": """WITH p AS (SELECT q.vec_id AS q, r.vec_id AS r, list_cosine_similarity(q.embedding::DOUBLE[], r.embedding::DOUBLE[]) AS c FROM embeddings q, embeddings r WHERE q.vec_id % 50 = 0)
       SELECT q, r, round(cosine, 4) AS cosine, place::INT AS place FROM (SELECT q, r, c AS cosine, row_number() OVER (PARTITION BY q ORDER BY c DESC, r) AS place FROM p) WHERE place <= 5""",
     "s1_always_valid": _BET,

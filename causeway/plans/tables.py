@@ -13,13 +13,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def items(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Line items: id, t (discount over 5%), y (price), w1 (quantity), w2 (tax), flag, ship."""
     return table(spark, sf_dir, "lineitem").select(
-        ((F.col("l_orderkey") * 1000000 + F.col("l_partkey")) * 10 + F.col("l_linenumber")).alias("id"), (F.col("l_discount") > 0.05).cast("int").alias("t"), F.col("l_extendedprice").alias("y"),
+        (((F.col("l_orderkey") * 1000000 + F.col("l_partkey")) * 10 + F.col("l_linenumber")) * 10000 + F.col("l_suppkey")).alias("id"), (F.col("l_discount") > 0.05).cast("int").alias("t"), F.col("l_extendedprice").alias("y"),
         F.col("l_quantity").alias("w1"), F.col("l_tax").alias("w2"), F.col("l_returnflag").alias("flag"), F.col("l_shipdate").alias("ship"),
     )
 
 
 ITEMS = (
-    "items AS (SELECT (l_orderkey * 1000000 + l_partkey) * 10 + l_linenumber AS id, CASE WHEN l_discount > 0.05 THEN 1 ELSE 0 END AS t, l_extendedprice AS y,"
+    "items AS (SELECT ((l_orderkey * 1000000 + l_partkey) * 10 + l_linenumber) * 10000 + l_suppkey AS id, CASE WHEN l_discount > 0.05 THEN 1 ELSE 0 END AS t, l_extendedprice AS y,"
     " l_quantity AS w1, l_tax AS w2, l_returnflag AS flag, l_shipdate AS ship FROM lineitem)"
 )
 
