@@ -183,7 +183,7 @@ def t11(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def t12(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(tasks.adstock(by_nation(spark, sf_dir), ["unit"], "time", "y"), 6)
+    return rounded(tasks.adstock(by_nation(spark, sf_dir), ["unit"], "time", "y", (0.0, 0.2, 0.4, 0.6, 0.8)), 3)
 
 
 def t13(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -261,7 +261,7 @@ QUERIES = {
     "q2_deduplicated": lambda s, d: hypotheses.deduplicated(queue(s, d)).select("treatment", "outcome", "estimand", "impact", "seq"),
     "q3_ranked": lambda s, d: hypotheses.ranked(queue(s, d), 50).select("seq", "impact", "pinned"),
     "t1_uplift": t1,
-    "t1_uplift_curve": lambda s, d: tasks.uplift_curve(scored(s, d), "cate", "y", "t", "id").select("id", "k", F.round("fraction", 6).alias("fraction"), F.round("gain", 1).alias("gain")),
+    "t1_uplift_curve": lambda s, d: tasks.uplift_curve(scored(s, d), "cate", "y", "t", "id").select("id", "k", F.round("fraction", 6).alias("fraction"), F.round("gain", 3).alias("gain")),
     "t2_policy_value": lambda s, d: rounded(tasks.policy_value(scored(s, d), "cate", "y", "t", 0.45), 3),
     "t3_deciles": lambda s, d: rounded(tasks.decile_effects(scored(s, d), "cate", "y", "t", "id"), 3),
     "t4_policy_tree": lambda s, d: tasks.policy_tree(scored(s, d), "cate", ["w1", "w2"])[0].groupBy("treat").agg(F.count("*").alias("n")),
@@ -336,7 +336,7 @@ ORACLES = {
       row_number() OVER (PARTITION BY o_custkey % 50, o_orderpriority, o_orderstatus ORDER BY round(o_totalprice / 500000, 2) DESC, o_orderkey) AS n FROM orders) WHERE n = 1""",
     "q3_ranked": "SELECT o_orderkey AS seq, round(o_totalprice / 500000, 2) AS impact, o_orderkey % 1000 = 0 AS pinned FROM orders ORDER BY pinned DESC, impact DESC, seq LIMIT 50",
     "t1_uplift": f"WITH {_UPLIFT}, a AS (SELECT sum(gain) AS s, max(k) AS n, max_by(gain, k) AS last FROM curve) SELECT round((s - last / 2) / n, 1) AS auuc, round((s - last / 2) / n - last / 2, 1) AS qini, round(last, 1) AS total_gain FROM a",
-    "t1_uplift_curve": f"WITH {_UPLIFT} SELECT id, k, round(fraction, 6) AS fraction, round(gain, 1) AS gain FROM curve",
+    "t1_uplift_curve": f"WITH {_UPLIFT} SELECT id, k, round(fraction, 6) AS fraction, round(gain, 3) AS gain FROM curve",
     "t2_policy_value": f"""WITH {ITEMS}, p AS (SELECT t, y / CASE WHEN t = 1 THEN 0.45::DOUBLE ELSE 1 - 0.45::DOUBLE END AS v, CASE WHEN w2 * 100 - w1 > 0 THEN 1 ELSE 0 END AS pi FROM items),
       a AS (SELECT avg(CASE WHEN t = pi THEN v ELSE 0 END) AS value, avg(CASE WHEN t = 1 THEN v ELSE 0 END) AS value_all, avg(CASE WHEN t = 0 THEN v ELSE 0 END) AS value_none FROM p)
       SELECT round(value, 3) AS value, round(value_all, 3) AS value_all, round(value_none, 3) AS value_none, round(value - 0.5 * (value_all + value_none), 3) AS lift FROM a""",
@@ -345,7 +345,7 @@ ORACLES = {
     "t5_root_cause": f"""WITH {ITEMS}, p AS (SELECT *, ship >= '1998-01-01' AS p FROM items), a AS (SELECT regr_slope(y, w1) * (avg(w1) FILTER (p) - avg(w1) FILTER (NOT p)) AS v, avg(y) FILTER (p) - avg(y) FILTER (NOT p) AS total FROM p),
       r AS (SELECT 'w1' AS driver, v AS value FROM a UNION ALL SELECT '(residual)', total - v FROM a) SELECT driver, round(value, 4) AS value, row_number() OVER (ORDER BY abs(value) DESC)::INT AS rank FROM r""",
     "t12_adstock": f"""WITH {SALES}, m AS (SELECT nation AS unit, date_diff('month', (SELECT min(month) FROM sales), month)::INT AS time, sum(y) AS y FROM sales GROUP BY ALL), k AS (SELECT *, row_number() OVER (PARTITION BY unit ORDER BY time) AS k FROM m),
-      d AS (SELECT unnest([0.0, 0.2, 0.4, 0.6, 0.7, 0.8])::DOUBLE AS decay) SELECT a.unit, a.time, decay, round(sum(b.y * CASE WHEN a.k = b.k THEN 1 ELSE decay ** (a.k - b.k) END), 6) AS adstock FROM k a JOIN k b ON a.unit = b.unit AND b.k <= a.k, d GROUP BY a.unit, a.time, decay""",
+      d AS (SELECT unnest([0.0, 0.2, 0.4, 0.6, 0.8])::DOUBLE AS decay) SELECT a.unit, a.time, decay, round(sum(b.y * CASE WHEN a.k = b.k THEN 1 ELSE decay ** (a.k - b.k) END), 3) AS adstock FROM k a JOIN k b ON a.unit = b.unit AND b.k <= a.k, d GROUP BY a.unit, a.time, decay""",
     "r1_similar_vectors": """WITH p AS (SELECT q.vec_id AS q, r.vec_id AS r, list_cosine_similarity(q.embedding::DOUBLE[], r.embedding::DOUBLE[]) AS c FROM embeddings q, embeddings r WHERE q.vec_id % 50 = 0)
       SELECT q, r, round(cosine, 4) AS cosine, place::INT AS place FROM (SELECT q, r, c AS cosine, row_number() OVER (PARTITION BY q ORDER BY c DESC, r) AS place FROM p) WHERE place <= 5""",
     "s1_always_valid": _BET,
