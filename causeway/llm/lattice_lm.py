@@ -168,7 +168,15 @@ def score(docs: DataFrame, train: Column, label: str | None = None, text: str =
 
     ss = [f"s{j}" for j in range(k)]
     rated = stored(words.mapInPandas(rate, "word binary, n long, known boolean, b double, " + ", ".join(f"{s} double" for s in ss)))
-    top = rated.where(F.length("word") <= HOT_BYTES).orderBy(F.desc("n"), "word").limit(HOT).select("word", "known", "b", *ss).toPandas()
+    # the counts from which at most HOT words are left, by sixteenths of a power of two; no task sends more than its share of them
+    short, step = rated.where(F.length("word") <= HOT_BYTES), F.floor(F.log2("n") * 16)
+    kept_steps, left = [], HOT
+    for r in short.groupBy(step.alias("k")).agg(F.count("*").alias("n")).orderBy(F.desc("k")).collect():
+        left -= r["n"]
+        if left < 0:
+            break
+        kept_steps.append(r["k"])
+    top = short.where(step >= min(kept_steps, default=1 << 20)).select("word", "known", "b", *ss).toPandas()
     hot = spark.sparkContext.broadcast(({w: i for i, w in enumerate(top["word"])}, top[["known", "b", *ss]].to_numpy(float).reshape(-1, k + 2)))
 
     others = [x for x in kept.columns if x != text]
