@@ -81,7 +81,8 @@ def imputation(df: DataFrame, unit: str, time: str, outcome: str, onset: str) ->
     """Effects as outcome less the untreated outcome imputed from unit and time effects of untreated rows; by distance and overall."""
     d = df.withColumn("_d", F.coalesce((F.col(time) >= F.col(onset)).cast("int"), F.lit(0)))
     effects = demeaned(d.where("_d = 0"), unit, time, outcome)
-    tau = d.where("_d = 1").join(effects, (F.col(unit) == F.col("u")) & (F.col(time) == F.col("t"))).select(F.col("u").alias("_u"), (F.col(time) - F.col(onset)).alias("e"), (F.col(outcome) - F.col("a") - F.col("b")).alias("tau"))
+    treated = d.where("_d = 1").select(F.col(unit).alias("u"), F.col(time).alias("t"), F.col(onset).alias("_g"), F.col(outcome).alias("_y"))
+    tau = treated.join(effects, ["u", "t"]).select(F.col("u").alias("_u"), (F.col("t") - F.col("_g")).alias("e"), (F.col("_y") - F.col("a") - F.col("b")).alias("tau"))
     tau = tau.persist()
 
     def summary(group: list[str]) -> DataFrame:
@@ -118,8 +119,9 @@ def switchers(df: DataFrame, unit: str, time: str, outcome: str, treatment: str)
 def negative_weights(df: DataFrame, unit: str, time: str, treatment: str) -> float:
     """Share of treated rows whose weight in a two-way fixed-effect regression is negative."""
     effects = demeaned(df, unit, time, treatment)
-    r = df.join(effects, (F.col(unit) == F.col("u")) & (F.col(time) == F.col("t"))).withColumn("_r", F.col(treatment) - F.col("a") - F.col("b"))
-    return r.where(f"`{treatment}` = 1").agg(F.avg((F.col("_r") < 0).cast("double"))).first()[0] or 0.0
+    treated = df.where(F.col(treatment) == 1).select(F.col(unit).alias("u"), F.col(time).alias("t"), F.col(treatment).alias("_d"))
+    r = treated.join(effects, ["u", "t"]).withColumn("_r", F.col("_d") - F.col("a") - F.col("b"))
+    return r.agg(F.avg((F.col("_r") < 0).cast("double"))).first()[0] or 0.0
 
 
 def pretrend_bounds(study: DataFrame, grid: tuple[float, ...] = (0.0, 0.5, 1.0, 1.5, 2.0), level: float = 0.95) -> DataFrame:

@@ -261,7 +261,7 @@ QUERIES = {
     "q2_deduplicated": lambda s, d: hypotheses.deduplicated(queue(s, d)).select("treatment", "outcome", "estimand", "impact", "seq"),
     "q3_ranked": lambda s, d: hypotheses.ranked(queue(s, d), 50).select("seq", "impact", "pinned"),
     "t1_uplift": t1,
-    "t1_uplift_curve": lambda s, d: tasks.uplift_curve(scored(s, d), "cate", "y", "t", "id").select("id", "k", F.round("fraction", 6).alias("fraction"), F.round("gain", 3).alias("gain")),
+    "t1_uplift_curve": lambda s, d: tasks.uplift_curve(scored(s, d), "cate", "y", "t", "id").select("id", "k", F.round("fraction", 6).alias("fraction"), F.round(F.col("gain") / F.col("k") / 3, 6).alias("third_of_gain_per_row")),
     "t2_policy_value": lambda s, d: rounded(tasks.policy_value(scored(s, d), "cate", "y", "t", 0.45), 3),
     "t3_deciles": lambda s, d: rounded(tasks.decile_effects(scored(s, d), "cate", "y", "t", "id"), 3),
     "t4_policy_tree": lambda s, d: tasks.policy_tree(scored(s, d), "cate", ["w1", "w2"])[0].groupBy("treat").agg(F.count("*").alias("n")),
@@ -336,7 +336,7 @@ ORACLES = {
       row_number() OVER (PARTITION BY o_custkey % 50, o_orderpriority, o_orderstatus ORDER BY round(o_totalprice / 500000, 2) DESC, o_orderkey) AS n FROM orders) WHERE n = 1""",
     "q3_ranked": "SELECT o_orderkey AS seq, round(o_totalprice / 500000, 2) AS impact, o_orderkey % 1000 = 0 AS pinned FROM orders ORDER BY pinned DESC, impact DESC, seq LIMIT 50",
     "t1_uplift": f"WITH {_UPLIFT}, a AS (SELECT sum(gain) AS s, max(k) AS n, max_by(gain, k) AS last FROM curve) SELECT round((s - last / 2) / n, 1) AS auuc, round((s - last / 2) / n - last / 2, 1) AS qini, round(last, 1) AS total_gain FROM a",
-    "t1_uplift_curve": f"WITH {_UPLIFT} SELECT id, k, round(fraction, 6) AS fraction, round(gain, 3) AS gain FROM curve",
+    "t1_uplift_curve": f"WITH {_UPLIFT} SELECT id, k, round(fraction, 6) AS fraction, round(gain / k / 3, 6) AS third_of_gain_per_row FROM curve",
     "t2_policy_value": f"""WITH {ITEMS}, p AS (SELECT t, y / CASE WHEN t = 1 THEN 0.45::DOUBLE ELSE 1 - 0.45::DOUBLE END AS v, CASE WHEN w2 * 100 - w1 > 0 THEN 1 ELSE 0 END AS pi FROM items),
       a AS (SELECT avg(CASE WHEN t = pi THEN v ELSE 0 END) AS value, avg(CASE WHEN t = 1 THEN v ELSE 0 END) AS value_all, avg(CASE WHEN t = 0 THEN v ELSE 0 END) AS value_none FROM p)
       SELECT round(value, 3) AS value, round(value_all, 3) AS value_all, round(value_none, 3) AS value_none, round(value - 0.5 * (value_all + value_none), 3) AS lift FROM a""",
