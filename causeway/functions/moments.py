@@ -106,11 +106,16 @@ def _wide(df: DataFrame, names: list[str]) -> Moments:
 
 
 def replicate_moments(df: DataFrame, names: list[str], weights: list[Column]) -> list[Moments]:
-    """Moments under each of several row weights (bootstrap replicates, subsamples) in one pass."""
-    triangle = len(sums([F.col(f"`{c}`") for c in names]))
-    aggregates = [s.alias(f"r{r}_{k}") for r, w in enumerate(weights) for k, s in enumerate(sums([F.col(f"`{c}`") for c in names], w))]
-    row = list(df.agg(*aggregates).first())
-    return [unpack(names, row[r * triangle : (r + 1) * triangle]) for r in range(len(weights))]
+    """Moments under each of several row weights (bootstrap replicates, subsamples) in one pass.
+
+    A row is taken once for each weight that isn't zero and summed by the weight's number, so the
+    generated code stays as small as for one matrix, and tasks send one row a weight.
+    """
+    each = df.select(*[F.col(f"`{c}`") for c in names], F.posexplode(F.array(*weights)).alias("_r", "_w")).where("_w != 0")
+    rows = each.groupBy("_r").agg(*sums([F.col(f"`{c}`") for c in names], F.col("_w"))).collect()
+    found = {r["_r"]: unpack(names, list(r)[1:]) for r in rows}
+    empty = np.zeros((len(names) + 1, len(names) + 1))
+    return [found.get(k, Moments(list(names), empty)) for k in range(len(weights))]
 
 
 def hash_uniform(key: Column, seed: int) -> Column:
