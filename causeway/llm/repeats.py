@@ -197,15 +197,14 @@ def without_repeats(docs: DataFrame, text: str = "text", row_id: str = "doc_id")
     A word goes if a window of 20 words covers it that also starts earlier, in a document of a smaller
     id or before in its own; kept words are joined by one space. Windows are judged on the input. A
     null text has no words. Texts of any length are read whole. Rows with equal ids count as one
-    document: repeated rows don't remove each other's words. Rows with null ids come before all
+    document: repeated rows don't remove each other's words, and other columns come from one of them.
+    Rows with null ids come before all
     others, in the order of their places. An empty table gives an empty result.
     """
     others = [c for c in docs.columns if c not in {"n_words", "n_removed", "kept_text"}]
     own = F.coalesce(F.col(row_id).cast("long"), F.monotonically_increasing_id() - (1 << 62)).alias("_id")
-    # with no other columns the id is made from _id again, so that both joins below deal the same columns once
-    alone = set(others) == {row_id, text}
-    given = docs.select(own, *([text] if alone else others))
-    plain = given.select(F.col("_id"), F.col(text))
+    # both joins below deal the same two columns by the same key, so the texts move once
+    plain = docs.select(own, F.col(text))
     size = docs.agg(F.coalesce(F.sum(F.octet_length(text)), F.lit(0))).first()[0]
     buckets = max(LEAST_BUCKETS, math.ceil(size / BUCKET_BYTES))
     hits = anchor_hits(plain.toDF("id", "text"), buckets)
@@ -225,10 +224,12 @@ def without_repeats(docs: DataFrame, text: str = "text", row_id: str = "doc_id")
             rows.append((len(words), len(words) - len(kept), b" ".join(kept).decode()))
         return pd.DataFrame(rows, columns=["n_words", "n_removed", "kept_text"])
 
-    joined = given.join(later.select(F.col("id").alias("_id"), F.col("places").alias("_places")), "_id", "left")
-    if alone:
-        back = F.when(F.col("_id") >= -(1 << 61), F.col("_id")).cast(docs.schema[row_id].dataType).alias(row_id)
-        joined = joined.select("_places", *[back if c == row_id else F.col(c) for c in others])
+    joined = plain.join(later.select(F.col("id").alias("_id"), F.col("places").alias("_places")), "_id", "left")
+    rest = [c for c in others if c not in {row_id, text}]
+    if rest:
+        joined = joined.join(docs.select(own, *rest).dropDuplicates(["_id"]), "_id")
+    back = F.when(F.col("_id") >= -(1 << 61), F.col("_id")).cast(docs.schema[row_id].dataType).alias(row_id)
+    joined = joined.select("_places", *[back if c == row_id else F.col(c) for c in others])
     return joined.select(*others, remove(F.col(text), F.col("_places")).alias("_r")).select(*others, "_r.*")
 
 
