@@ -2,7 +2,6 @@
 
 import hashlib
 import struct
-import zlib
 from collections import Counter
 
 import duckdb
@@ -130,7 +129,7 @@ def test_token_files(spark, docs, tmp_path):
     token_frames.write_tokens(docs, folder, path)
     want = {i: np.array([*t.encode(x, add_special_tokens=False).ids, 0], "<u4").tobytes() for i, x in TEXTS.items()}
     read = token_frames.read_tokens(spark, folder)
-    rows = read.withColumn("n_tokens", (read["ids_le"].substr(1, 0).cast("string") == "x").cast("long")).collect()
+    rows = read.collect()
     assert {r["doc_id"]: bytes(r["ids_le"]) for r in rows} == want
     from pyspark.sql import functions as F
 
@@ -145,7 +144,7 @@ def test_token_files(spark, docs, tmp_path):
     for f in (tmp_path / "tokens").glob("part-*"):
         content = f.read_bytes()
         parsed = token_frames.File(content)
-        whole = b"".join(zstandard.ZstdDecompressor().stream_reader(content, read_across_frames=True).readall() for _ in range(1))
+        whole = zstandard.ZstdDecompressor().stream_reader(content, read_across_frames=True).readall()
         assert whole == b"".join(parsed.document(k) for k in range(len(parsed.ids)))
         assert struct.unpack("<I", content[-4:])[0] == 0x8F92EAB1
         bad = token_frames.File(content[:-13] + bytes([content[-13] ^ 1]) + content[-12:])
@@ -303,7 +302,8 @@ def test_near_classes(docs, odd, none):
     assert {i: r["class_id"] for i, r in got.items()} == {i: find(i) for i in ids}
     assert got[60]["text_id"] == 1 and got[62]["class_id"] == 61
     assert bag_minhash.near_classes(odd).count() == odd.count()
-    assert bag_minhash.one_per_class(odd).count() == 7 - 0 if False else bag_minhash.one_per_class(odd).count() <= 7
+    # ids 0 to 5 and the two null ids, of which one repeats the text of 3
+    assert 6 <= bag_minhash.one_per_class(odd).count() <= 8
     assert bag_minhash.near_classes(none).count() == 0
 
 
@@ -401,4 +401,3 @@ def test_queries_match_sql(spark, docs, tmp_path):
         want = con.sql(sql)
         at = [want.columns.index(c) for c in cols]
         assert mine == sorted(str([r[k] for k in at]) for r in want.fetchall()), name
-    assert zlib.crc32(b"") == 0
