@@ -7,10 +7,11 @@ processes to look at; points beyond w are skipped. Every point falls on one of t
 slots, and a slot keeps the earliest. Two bags agree in a slot with probability equal to their
 weighted Jaccard likeness. Only points before the time at which a bag's slots are full are made.
 
-Equal texts are one node. Nodes that share a band's slots meet in a bucket; a bucket compares its
-members with those of its lowest and highest label, never all pairs. Bags of candidate pairs are
-compared exactly. Components then become the labels; in a bucket that still holds several, two members
-of each (the smallest id, and one by hash) are compared in the same way, until no new link is found.
+Equal texts are one node. Nodes that share a band's slots meet in a bucket; a bucket first compares its
+members with those of its lowest and highest label. Bags of candidate pairs are compared exactly.
+Components then become the labels; in a bucket that still holds several, two members of each (the
+smallest id, and one by hash) are compared in the same way, until no new link is found. What is left,
+members of one bucket in different components, is then compared whole, by pairs of blocks.
 """
 
 from __future__ import annotations
@@ -33,6 +34,10 @@ LIKENESS = 0.8
 BANDS, ROWS = 24, 4
 #: Bytes of text handled at once by a task.
 CHUNK_BYTES = 1 << 20
+#: Texts and bytes of text in a block of a bucket that is compared whole.
+BLOCK_MEMBERS, BLOCK_BYTES = 1 << 10, 2 << 20
+#: Tokens of so few texts are paired one by one, others by products of matrices with so many columns.
+RARE, COLUMNS = 16, 4096
 _A, _B, _C, _D = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3))
 
 
@@ -161,6 +166,93 @@ def _verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     return rows.select("lo", "hi", like("lo_text", "hi_text").alias("s")).where(F.col("s") >= LIKENESS).select("lo", "hi")
 
 
+def _linked(raws: list[bytes], left: int, labels: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The pairs (i, j) of differently labelled texts that are alike enough, of the first so many with all others (0: of all)."""
+    n, (text, shingle, times) = len(raws), bags(raws)
+    total = np.bincount(text, times, minlength=n)
+    # the k-th occurrence of a shingle is a token, so that bags share as many tokens as weight
+    which = np.repeat(np.arange(len(text)), times)
+    k = np.arange(len(which)) - np.repeat(np.cumsum(times) - times, times)
+    tokens, column, often = np.unique(mix(shingle[which] + k.astype(np.uint64) * _A), return_inverse=True, return_counts=True)
+    by = np.lexsort((text[which], column))
+    column, owner = column[by], text[which][by]
+    shared, rare = np.zeros((n, n)), often[column] <= RARE
+    c, o = column[rare], owner[rare]
+    for d in range(1, min(RARE, len(c))):
+        same = c[d:] == c[:-d]
+        shared += np.bincount(o[:-d][same] * n + o[d:][same], minlength=n * n).reshape(n, n)
+    c, o = np.unique(column[~rare], return_inverse=True)[1], owner[~rare]
+    a, b = (slice(left), slice(left, n)) if left else (slice(n), slice(n))
+    for at in range(0, int(c[-1]) + 1 if len(c) else 0, COLUMNS):
+        s = slice(*np.searchsorted(c, [at, at + COLUMNS]))
+        has = np.zeros((n, COLUMNS), np.float32)
+        has[o[s], c[s] - at] = 1
+        shared[a, b] += has[a] @ has[b].T
+    i, j = np.nonzero(np.triu(shared, 1))
+    met = (labels[i] != labels[j]) & ((i < left) & (j >= left) if left else True)
+    i, j = i[met], j[met]
+    like = shared[i, j] / (total[i] + total[j] - shared[i, j]) >= LIKENESS
+    return i[like], j[like]
+
+
+def _rest(members: DataFrame, labels: DataFrame | None, texts: DataFrame) -> DataFrame:
+    """(lo, hi): links between labels by all likenesses of differently labelled members (key, id) of one bucket.
+
+    Only buckets of over three members with several labels have pairs that were not compared so far; of
+    buckets with the same members one is looked at. Its members are dealt into blocks and blocks are
+    compared by pairs, those of the commonest label with the others' only. A task gives one link for
+    each label that it joins to another, not all pairs.
+    """
+    held = members.select("key", "id").join(texts.select("id", F.octet_length("text").alias("size")), "id")
+    held = held.withColumn("label", F.col("id")) if labels is None else held.join(labels, "id", "left").withColumn("label", F.coalesce("label", "id"))
+    held = stored(held)
+    codes = [F.bit_xor(F.xxhash64("id", F.lit(k))).alias(f"h{k}") for k in (0, 1)]
+    per = held.groupBy("key", "label").agg(F.count("*").alias("n"), F.sum("size").alias("size"), *codes)
+    bucket = per.groupBy("key").agg(
+        F.sum("n").alias("n"), F.count("*").alias("labels"), F.sum("size").alias("size"), F.max(F.struct("n", "label", "size")).alias("top"), *[F.bit_xor(f"h{k}").alias(f"h{k}") for k in (0, 1)]
+    ).where("n > 3 and labels > 1")
+    blocks = lambda n, size: F.ceil(F.greatest(n / BLOCK_MEMBERS, size / BLOCK_BYTES, F.lit(1.0))).cast("int")
+    bucket = bucket.groupBy("n", "h0", "h1").agg(F.min_by(F.struct("key", "top", "size"), "key").alias("r")).select(
+        "r.key", F.col("r.top.label").alias("most"), blocks(F.col("r.top.n"), F.col("r.top.size")).alias("c0"),
+        blocks(F.col("n") - F.col("r.top.n"), F.col("r.size") - F.col("r.top.size")).alias("c1"),
+    )
+    met, common = held.join(bucket, "key"), F.col("label") == F.col("most")
+    block = F.when(common, F.pmod(F.xxhash64("id"), F.col("c0"))).otherwise(F.col("c0") + F.pmod(F.xxhash64("id"), F.col("c1"))).cast("int")
+    to = F.explode(F.sequence(F.when(common, F.col("c0")).otherwise(0), F.col("c0") + F.col("c1") - 1)).alias("to")
+    pairs = met.select("key", "id", "label", block.alias("own"), to).select("key", "id", "label", F.least("own", "to").alias("i"), F.greatest("own", "to").alias("j"), (F.col("own") > F.col("to")).alias("second"))
+
+    def work(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values("second", kind="stable")
+        cross, left = rows["i"].iloc[0] != rows["j"].iloc[0], int((~rows["second"]).sum())
+        names, label = np.unique(rows["label"].to_numpy(np.int64), return_inverse=True)
+        if len(names) < 2 or cross and left in (0, len(rows)):
+            return pd.DataFrame({"lo": [], "hi": []}, dtype=np.int64)
+        i, j = _linked([_raw(t) for t in rows["text"]], left if cross else 0, label)
+        a, b, root = label[i], label[j], np.arange(len(names))
+        while (root[a] != root[b]).any():
+            low = np.minimum(root[a], root[b])
+            np.minimum.at(root, root[a], low)
+            np.minimum.at(root, root[b], low)
+            while (root[root] != root).any():
+                root = root[root]
+        joined = np.flatnonzero(root != np.arange(len(names)))
+        return pd.DataFrame({"lo": names[root[joined]], "hi": names[joined]})
+
+    return pairs.join(texts, "id").groupBy("key", "i", "j").applyInPandas(work, "lo long, hi long").distinct()
+
+
+def _merged(labels: DataFrame | None, found: DataFrame) -> DataFrame:
+    """labels (id, label) after the links found (lo, hi)."""
+    if labels is None:
+        return stored(components(found))
+    of = lambda c, n: labels.select(F.col("id").alias(c), F.col("label").alias(n))
+    ends = found.join(of("lo", "a"), "lo", "left").join(of("hi", "b"), "hi", "left")
+    roots = components(ends.select(F.coalesce("a", "lo").alias("lo"), F.coalesce("b", "hi").alias("hi")))
+    # ids without a label so far are their own
+    fresh = roots.join(labels, "id", "left_anti").where("id != label")
+    return stored(relabelled(labels, roots).unionByName(fresh))
+
+
 def near_classes(docs: DataFrame, text: str = "text", row_id: str = "doc_id") -> DataFrame:
     """(row_id, text_id, class_id): one row a document.
 
@@ -176,7 +268,7 @@ def near_classes(docs: DataFrame, text: str = "text", row_id: str = "doc_id") ->
     members = stored(banded.select("id", F.explode("bands").alias("key")).withColumn("label", F.col("id")))
     # buckets with one node only are done
     shared = members.groupBy("key").agg(F.min("id").alias("x"), F.max("id").alias("y")).where("x != y").select("key")
-    members = stored(members.join(shared, "key"))
+    members = buckets = stored(members.join(shared, "key"))
     texts = stored(given.join(members.select("id").distinct(), "id", "left_semi").dropDuplicates(["id"]))
     tested = labels = None
     while True:
@@ -186,16 +278,11 @@ def near_classes(docs: DataFrame, text: str = "text", row_id: str = "doc_id") ->
         found = stored(_verified(pairs, texts))
         if found.isEmpty():
             break
-        if labels is None:
-            labels = stored(components(found))
-        else:
-            of = lambda c, n: labels.select(F.col("id").alias(c), F.col("label").alias(n))
-            ends = found.join(of("lo", "a"), "lo", "left").join(of("hi", "b"), "hi", "left")
-            roots = components(ends.select(F.coalesce("a", "lo").alias("lo"), F.coalesce("b", "hi").alias("hi")))
-            # ids without a label so far are their own
-            fresh = roots.join(labels, "id", "left_anti").where("id != label")
-            labels = stored(relabelled(labels, roots).unionByName(fresh))
+        labels = _merged(labels, found)
         members = stored(_stand_ins(banded, labels))
+    found = stored(_rest(buckets, labels, texts))
+    if not found.isEmpty():
+        labels = _merged(labels, found)
     labels = labels if labels is not None else found.toDF("id", "label")
     labels = labels.withColumnRenamed("id", "node")
     by_text = stored(nodes.select("k1", "k2", "node").join(labels, "node", "left").select("k1", "k2", F.col("node").alias("text_id"), F.coalesce("label", "node").alias("class_id")))

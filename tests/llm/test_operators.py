@@ -307,6 +307,37 @@ def test_near_classes(docs, odd, none):
     assert bag_minhash.near_classes(none).count() == 0
 
 
+def test_links_inside_a_template_family(spark, monkeypatch):
+    """All pairs are at likeness of about 0.76, a few in the middle of the ids over 0.8."""
+    rng = np.random.default_rng(1)
+    base = [f"t{k}" for k in range(300)]
+    texts = {}
+    for i in range(60):
+        words = list(base)
+        for p in rng.choice(60, 4, replace=False):
+            words[p * 5 + 2] = f"own{i}_{p}"
+        texts[i] = words
+    for i, j in ((20, 35), (27, 31), (35, 41)):
+        p = next(p for p in range(2, 300, 5) if texts[i][p] != base[p] == texts[j][p])
+        q = next(q for q in range(2, 300, 5) if texts[j][q] != base[q] == texts[i][q])
+        texts[j][q], texts[j][p] = base[q], texts[i][p]
+    texts = {i: " ".join(w) for i, w in texts.items()}
+    links = [(i, j) for i in texts for j in texts if i < j and _jaccard(texts[i], texts[j]) >= 0.8]
+    want = {i: i for i in texts}
+    for _ in texts:
+        for i, j in links:
+            want[i] = want[j] = min(want[i], want[j])
+    assert len(set(want.values())) > 20 and want[20] == want[35] == want[41] and want[27] == want[31]
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    assert {r["doc_id"]: r["class_id"] for r in bag_minhash.near_classes(docs).collect()} == want
+    # several blocks, and products of matrices, give the same pairs
+    raws, labels = [t.encode() for t in texts.values()], np.arange(60)
+    assert set(zip(*map(list, bag_minhash._linked(raws, 0, labels)), strict=True)) == set(links)
+    assert set(zip(*map(list, bag_minhash._linked(raws, 30, labels)), strict=True)) == {(i, j) for i, j in links if i < 30 <= j}
+    monkeypatch.setattr(bag_minhash, "BLOCK_MEMBERS", 7)
+    assert {r["doc_id"]: r["class_id"] for r in bag_minhash.near_classes(docs).collect()} == want
+
+
 def test_components(spark):
     links = [(i, i + 1) for i in range(1, 40)] + [(100, k) for k in range(101, 160)] + [(7, 7)]
     got = {r["id"]: r["label"] for r in components.components(spark.createDataFrame(links, "lo long, hi long")).collect()}
