@@ -171,12 +171,15 @@ def later_windows(docs: DataFrame, buckets: int) -> DataFrame:
             other = run_hashes(word_hashes(raws, seed=1)[0], WINDOW)[inside]
             ids = b["id"].to_numpy(np.int64)[owner]
             by, first, _ = _groups(h, other, ids, place)
-            later = np.ones(len(by), bool)
-            later[first] = False
+            new = np.zeros(len(by), bool)
+            new[first] = True
             # windows of equal h and another second hash are not equal
             s = other[by]
-            later[1:] &= s[1:] == s[:-1]
-            send, local = np.sort(by[~later]), np.sort(by[later])
+            new[1:] |= s[1:] != s[:-1]
+            lead = by[np.maximum.accumulate(np.where(new, np.arange(len(by)), 0))]
+            # a repeated row has the places of its first
+            later = (ids[by] != ids[lead]) | (place[by] != place[lead])
+            send, local = np.sort(by[new]), np.sort(by[later])
             yield _pack((other[send] % np.uint64(buckets)).astype(np.int64), ids[send], place[send], h[send].astype("<u8"))
             yield _pack(owner[local] % buckets, ids[local], place[local], None)
 

@@ -208,6 +208,15 @@ def test_repeats(docs, odd, none):
     assert repeats.without_repeats(none).count() == 0
 
 
+def test_repeated_rows_keep_their_text(spark):
+    long = {i: " ".join(f"w{i}_{k}" for k in range(30 + i)) for i in range(4)}
+    rows = [*long.items(), (2, long[2]), (2, long[2]), (5, f"{long[1]} {long[2]} end")]
+    for parts in (1, 4):
+        got = repeats.without_repeats(spark.createDataFrame(rows, "doc_id long, text string").repartition(parts)).collect()
+        assert len(got) == len(rows)
+        assert {(r["doc_id"], r["n_removed"], r["kept_text"]) for r in got} == {(i, 0, t) for i, t in long.items()} | {(5, 63, "end")}
+
+
 # ---- 5 -------------------------------------------------------------------------------------------
 
 
