@@ -2,19 +2,21 @@
 
 from __future__ import annotations
 
-from pyspark.ml.feature import BucketedRandomProjectionLSH, CountVectorizer, IDF, NGram, Normalizer, RegexTokenizer
-from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.feature import BucketedRandomProjectionLSH, NGram, Normalizer, RegexTokenizer
+from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def tfidf(df: DataFrame, row_id: str, text: str, vocabulary: int = 1 << 15) -> DataFrame:
-    """(row_id, term, w): unit TF-IDF weights of one- and two-word terms."""
+def tfidf(df: DataFrame, row_id: str, text: str) -> DataFrame:
+    """(row_id, term, w): unit TF-IDF weights of all one- and two-word terms."""
     words = RegexTokenizer(inputCol="_t", outputCol="_w", pattern=r"\W+").transform(df.select(row_id, F.coalesce(text, F.lit("")).alias("_t")))
-    both = NGram(n=2, inputCol="_w", outputCol="_b").transform(words).withColumn("_terms", F.concat("_w", "_b"))
-    counts = CountVectorizer(inputCol="_terms", outputCol="_c", vocabSize=vocabulary).fit(both).transform(both)
-    weighted = Normalizer(inputCol="_v", outputCol="_n").transform(IDF(inputCol="_c", outputCol="_v").fit(counts).transform(counts))
-    return weighted.select(row_id, F.posexplode(vector_to_array("_n")).alias("term", "w")).where("w != 0")
+    both = NGram(n=2, inputCol="_w", outputCol="_b").transform(words)
+    counts = both.select(row_id, F.explode(F.concat("_w", "_b")).alias("term")).groupBy(row_id, "term").agg(F.count("*").alias("_n"))
+    idf = counts.groupBy("term").agg(F.log((df.count() + 1.0) / (F.count("*") + 1.0)).alias("_i"))
+    weights = counts.join(idf, "term").select(row_id, "term", (F.col("_n") * F.col("_i")).alias("w")).where("w != 0")
+    norms = weights.groupBy(row_id).agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("_l"))
+    return weights.join(norms, row_id).select(row_id, "term", (F.col("w") / F.col("_l")).alias("w"))
 
 
 def similar_texts(queries: DataFrame, corpus: DataFrame, text: str = "text", k: int = 5, query_id: str = "item_id", row_id: str = "doc_id") -> DataFrame:

@@ -1,6 +1,7 @@
 """Known-truth tables, invariants, and the registered queries against SQL."""
 
 import os
+from collections import Counter
 
 import duckdb
 import numpy as np
@@ -10,7 +11,7 @@ from pyspark.sql import functions as F
 from causeway.functions.moments import complete, moments, replicate_moments
 from causeway.functions.stats import chi2_sf
 from causeway.operators import (
-    diagnostics, discovery, distribution, effects, features, interference, panel, profile, ranks, sensitivity, tasks, weighting,
+    diagnostics, discovery, distribution, effects, features, interference, panel, profile, ranks, retrieval, sensitivity, tasks, weighting,
 )
 from causeway.plans import catalog
 from causeway.sources import readers
@@ -202,3 +203,18 @@ def test_query_matches_sql(spark, name):
     mine = [r.asDict() for r in df.collect()]
     theirs = [dict(zip(want.columns, r, strict=True)) for r in want.fetchall()]
     assert _rows(sorted(df.columns), mine) == _rows(sorted(df.columns), theirs)
+
+
+def test_similar_texts_use_all_terms(spark):
+    """The terms that decide come after more than 32,768 more frequent ones."""
+    filler = [" ".join(f"f{k}" for k in range(j * 1000, j * 1000 + 1000)) for j in range(20)]
+    texts = [*filler, *filler, "rare1 rare2 f0", "rare3 rare4 f1"]
+    corpus = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    queries = spark.createDataFrame([(0, "rare2 f1"), (1, "rare4 unseen")], "item_id long, text string")
+    got = {(r["item_id"], r["doc_id"]): r["cosine"] for r in retrieval.similar_texts(queries, corpus).collect()}
+    terms = {k: (lambda w: Counter([*w, *map(" ".join, zip(w, w[1:], strict=False))]))(t.split()) for k, t in [*enumerate(texts), ("q0", "rare2 f1"), ("q1", "rare4 unseen")]}
+    df = Counter(t for c in terms.values() for t in c)
+    w = {k: {t: n * np.log((len(terms) + 1) / (df[t] + 1)) for t, n in c.items()} for k, c in terms.items()}
+    norm = {k: sum(x * x for x in v.values()) ** 0.5 for k, v in w.items()}
+    want = {(q, d): sum(x * w[d].get(t, 0) for t, x in w[f"q{q}"].items()) / norm[d] / norm[f"q{q}"] for q in (0, 1) for d in range(len(texts))}
+    assert got == pytest.approx({k: x for k, x in want.items() if x})
