@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from causeway.functions.moments import Moments, complete, hash_uniform, moments, replicate_moments, sums, unpack
 from causeway.functions.stats import two_sided_p
+from causeway.functions.storage import checkpointed
 from causeway.operators.ranks import average_ranks, running_sums
 
 # fixed values: colour thresholds
@@ -304,11 +305,22 @@ def reinforcements(df: DataFrame) -> DataFrame:
 
 
 def chains(df: DataFrame) -> DataFrame:
-    """(id, root, depth) by breadth from rows without parent, by a recursive query over (id, parent_id)."""
-    df.select("id", "parent_id").createOrReplaceTempView("_chain_rows")
-    return df.sparkSession.sql("""WITH RECURSIVE walk AS (
-      SELECT id, id AS root, 0 AS depth FROM _chain_rows WHERE parent_id IS NULL
-      UNION ALL SELECT r.id, w.root, w.depth + 1 FROM _chain_rows r JOIN walk w ON r.parent_id = w.id) SELECT id, root, depth FROM walk""")
+    """(id, root, depth) of rows (id, parent_id) below a row without parent, by pointer doubling: each round doubles the steps known.
+
+    Rows whose ancestors end in a missing row or in a circle are left out.
+    """
+    top = F.col("parent_id").isNull()
+    known = checkpointed(df.select("id", F.coalesce("parent_id", "id").alias("root"), F.when(top, 0).otherwise(1).alias("depth"), top.alias("done")))
+    left = known.where("not done").count()
+    while left:
+        up = known.select(F.col("id").alias("root"), F.col("root").alias("_root"), F.col("depth").alias("_depth"), F.col("done").alias("_done"))
+        step = known.where("not done").join(up, "root").select("id", F.col("_root").alias("root"), (F.col("depth") + F.col("_depth")).alias("depth"), F.col("_done").alias("done"))
+        known = checkpointed(known.where("done").unionByName(step))
+        before, left = left, known.where("not done").count()
+        # a round that settles no row and loses none has only circles left
+        if left == before:
+            break
+    return known.where("done").select("id", "root", "depth")
 
 
 #: Failure modes and the words that tell them, first match wins.

@@ -218,3 +218,10 @@ def test_similar_texts_use_all_terms(spark):
     norm = {k: sum(x * x for x in v.values()) ** 0.5 for k, v in w.items()}
     want = {(q, d): sum(x * w[d].get(t, 0) for t, x in w[f"q{q}"].items()) / norm[d] / norm[f"q{q}"] for q in (0, 1) for d in range(len(texts))}
     assert got == pytest.approx({k: x for k, x in want.items() if x})
+
+
+def test_chains_of_any_length(spark):
+    long = [(k, k - 1 if k else None) for k in range(301)]
+    rows = [*long, (1000, 150), (1001, 1000), (2000, None), (3000, 3001), (3001, 3000), (3002, 3001), (4000, 9999), (4001, 4000)]
+    got = {r["id"]: (r["root"], r["depth"]) for r in sensitivity.chains(spark.createDataFrame(rows, "id long, parent_id long")).collect()}
+    assert got == {k: (0, k) for k in range(301)} | {1000: (0, 151), 1001: (0, 152), 2000: (2000, 0)}
