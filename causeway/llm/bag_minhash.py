@@ -7,7 +7,7 @@ processes to look at; points beyond w are skipped. Every point falls on one of t
 slots, and a slot keeps the earliest. Two bags agree in a slot with probability equal to their
 weighted Jaccard likeness. Only points before the time at which a bag's slots are full are made.
 
-Equal texts are one node. Nodes that share a band's slots meet in a bucket; a bucket first compares its
+Equal texts are one node, known by their smallest id. Nodes that share a band's slots meet in a bucket; a bucket first compares its
 members with those of its lowest and highest label. Bags of candidate pairs are compared exactly.
 Components then become the labels; in a bucket that still holds several, two members of each (the
 smallest id, and one by hash) are compared in the same way, until no new link is found. What is left,
@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from causeway.llm.common import documents, stored
+from causeway.llm.common import FEW, HOT_PART, documents, fresh, looked_up, stored, with_long_ids
 from causeway.llm.components import components, relabelled
 from causeway.llm.word_hashes import mix, run_hashes, word_hashes
 
@@ -38,6 +38,8 @@ CHUNK_BYTES = 1 << 20
 BLOCK_MEMBERS, BLOCK_BYTES = 1 << 10, 2 << 20
 #: Tokens of so few texts are paired one by one, others by products of matrices with so many columns.
 RARE, COLUMNS = 16, 4096
+#: Copies of a text that a large part of all pairs needs.
+SALTS = 32
 _A, _B, _C, _D = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3))
 
 
@@ -142,8 +144,8 @@ def sign(docs: DataFrame) -> DataFrame:
 def _candidates(members: DataFrame) -> DataFrame:
     """(lo, hi) of members (key, id, label): each with those of its bucket's lowest and highest label, where labels differ."""
     me = F.struct("label", "id")
-    chosen = members.groupBy("key").agg(F.min(me).alias("a"), F.max(me).alias("b")).where("a.label != b.label").select("key", F.explode(F.array("a", "b")).alias("r"))
-    met = members.join(chosen, "key").where("label != r.label")
+    chosen = members.groupBy("key").agg(F.min(me).alias("a"), F.max(me).alias("b")).where("a.label != b.label")
+    met = looked_up(members, stored(chosen), ["key"]).select("id", "label", F.explode(F.array("a", "b")).alias("r")).where("label != r.label")
     return met.select(F.least("id", "r.id").alias("lo"), F.greatest("id", "r.id").alias("hi")).distinct()
 
 
@@ -154,10 +156,22 @@ def _stand_ins(nodes: DataFrame, labels: DataFrame) -> DataFrame:
     return two.select("key", "label", F.explode(F.array_distinct(F.array("a", "b"))).alias("id"))
 
 
+def _with_text(pairs: DataFrame, side: str, other: str, counted: DataFrame, n: int, texts: DataFrame) -> DataFrame:
+    """pairs with the text of one side; a text that many pairs need is copied SALTS times, so that no task gets all of its pairs."""
+    named = texts.select(F.col("id").alias(side), F.col("text").alias(f"{side}_text"))
+    if n <= FEW:
+        return pairs.join(named, side)
+    hot = stored(counted.groupBy(side).agg(F.count("*").alias("n")).where(F.col("n") > n * HOT_PART).select(side, F.lit(SALTS).alias("salts")))
+    salt = F.pmod(F.xxhash64(other), F.coalesce("salts", F.lit(1)))
+    salted = pairs.join(F.broadcast(hot), side, "left").withColumn("salt", salt).drop("salts")
+    copies = named.join(F.broadcast(hot), side, "left").withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.coalesce("salts", F.lit(1)).cast("long") - 1))).drop("salts")
+    return salted.join(copies, [side, "salt"]).drop("salt")
+
+
 def _verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     """The pairs (lo, hi) of which the texts (id, text) are alike enough."""
-    lows = pairs.join(texts.select(F.col("id").alias("lo"), F.col("text").alias("lo_text")), "lo")
-    rows = lows.join(texts.select(F.col("id").alias("hi"), F.col("text").alias("hi_text")), "hi")
+    n = pairs.count()
+    rows = _with_text(_with_text(pairs, "lo", "hi", pairs, n, texts), "hi", "lo", pairs, n, texts)
 
     @F.pandas_udf("double")
     def like(a: pd.Series, b: pd.Series) -> pd.Series:
@@ -244,9 +258,9 @@ def _rest(members: DataFrame, labels: DataFrame | None, texts: DataFrame) -> Dat
 def _merged(labels: DataFrame | None, found: DataFrame) -> DataFrame:
     """labels (id, label) after the links found (lo, hi)."""
     if labels is None:
-        return stored(components(found))
+        return components(found)
     of = lambda c, n: labels.select(F.col("id").alias(c), F.col("label").alias(n))
-    ends = found.join(of("lo", "a"), "lo", "left").join(of("hi", "b"), "hi", "left")
+    ends = looked_up(stored(looked_up(found, of("lo", "a"), ["lo"], "left")), of("hi", "b"), ["hi"], "left")
     roots = components(ends.select(F.coalesce("a", "lo").alias("lo"), F.coalesce("b", "hi").alias("hi")))
     # ids without a label so far are their own
     fresh = roots.join(labels, "id", "left_anti").where("id != label")
@@ -258,10 +272,12 @@ def near_classes(docs: DataFrame, text: str = "text", row_id: str = "doc_id") ->
 
     text_id is the smallest id among documents with the same text, class_id the smallest among those
     linked to it by a chain of likenesses of 0.8 or more. A null text is empty. Texts without words
-    are like none but equal ones. Rows that share an id are one document as far as classes go. A row
-    with a null id gets a negative id of its own in its place. An empty table gives an empty result.
+    are like none but equal ones. Rows that share an id are one document as far as classes go; if
+    their texts differ, the one with the smallest hash is compared exactly. A row with a null id gets
+    a negative id of its own in its place. Other columns of docs are left out. An empty table gives
+    an empty result.
     """
-    given = docs.select(F.coalesce(F.col(row_id).cast("long"), -1 - F.monotonically_increasing_id()).alias("id"), F.coalesce(text, F.lit("")).alias("text"))
+    given = with_long_ids(docs.select(F.col(row_id).alias("given"), F.coalesce(text, F.lit("")).alias("text")), "given", "id").select("id", "text")
     signed = stored(sign(given))
     nodes = stored(signed.groupBy("k1", "k2").agg(F.min("id").alias("node"), F.first("bands").alias("bands")))
     banded = nodes.select(F.col("node").alias("id"), "bands")
@@ -269,7 +285,7 @@ def near_classes(docs: DataFrame, text: str = "text", row_id: str = "doc_id") ->
     # buckets with one node only are done
     shared = members.groupBy("key").agg(F.min("id").alias("x"), F.max("id").alias("y")).where("x != y").select("key")
     members = buckets = stored(members.join(shared, "key"))
-    texts = stored(given.join(members.select("id").distinct(), "id", "left_semi").dropDuplicates(["id"]))
+    texts = stored(given.join(members.select("id").distinct(), "id", "left_semi").groupBy("id").agg(F.min_by("text", F.xxhash64("text")).alias("text")))
     tested = labels = None
     while True:
         pairs = _candidates(members)
@@ -286,17 +302,27 @@ def near_classes(docs: DataFrame, text: str = "text", row_id: str = "doc_id") ->
     labels = labels if labels is not None else found.toDF("id", "label")
     labels = labels.withColumnRenamed("id", "node")
     by_text = stored(nodes.select("k1", "k2", "node").join(labels, "node", "left").select("k1", "k2", F.col("node").alias("text_id"), F.coalesce("label", "node").alias("class_id")))
-    return signed.select(F.col("id").alias(row_id), "k1", "k2").join(by_text, ["k1", "k2"]).drop("k1", "k2")
+    # copies of one text may be a third of all rows
+    return looked_up(signed.select("id", "k1", "k2"), by_text, ["k1", "k2"]).select(F.col("id").alias(row_id), "text_id", "class_id")
 
 
 def one_per_class(docs: DataFrame) -> DataFrame:
-    """docs without those that have a near duplicate of a smaller id; of repeated rows one stays, null ids are told apart."""
-    keyed = docs.withColumn("_id", F.coalesce(F.col("doc_id").cast("long"), -1 - F.monotonically_increasing_id()))
-    leaders = near_classes(keyed.select("_id", "text"), row_id="_id").where("_id = class_id").select("_id").distinct()
-    return keyed.join(leaders, "_id", "left_semi").dropDuplicates(["_id"]).drop("_id")
+    """docs without those that have a near duplicate of a smaller id.
+
+    Of rows that share an id the one with the smallest hash stays. Rows with null ids are told apart.
+    A null text is empty; empty texts are copies of each other. All columns stay, whatever their
+    names; an empty table stays empty.
+    """
+    (key,) = fresh(docs, "key")
+    keyed = with_long_ids(docs, "doc_id", key)
+    leaders = near_classes(keyed.select(F.col(key).alias("doc_id"), "text")).where("doc_id = class_id").select(F.col("doc_id").alias(key)).distinct()
+    whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
+    kept = keyed.join(leaders, key, "left_semi").groupBy(key).agg(F.min_by(whole, F.xxhash64(whole)).alias("row"))
+    return kept.select("row.*")
 
 
 def op7_bag_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """near_classes of all documents; see there for nulls, empty texts, repeated rows and empty tables."""
     return near_classes(documents(spark, sf_dir))
 
 

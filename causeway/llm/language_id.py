@@ -18,11 +18,13 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from causeway.llm.common import documents
+from causeway.llm.common import documents, fresh
 
 DIMENSIONS = 8192
 CENTROIDS = 4
 SAMPLE_PER_LANGUAGE = 1000
+#: Each language's centroids are held by every worker, so there may be so many at most.
+MAX_LANGUAGES = 400
 #: A text is rejected below this part of the cosine that all but one in a thousand sampled texts reach.
 REJECT_PART = 0.5
 UNKNOWN = "und"
@@ -105,7 +107,11 @@ class Model:
 
 
 def fit(train: DataFrame, text: str = "text", lang: str = "lang", row_id: str = "doc_id", sample: int = SAMPLE_PER_LANGUAGE) -> Model:
-    """The model of labelled rows; those with a null text or label, or without a letter, teach nothing."""
+    """The model of labelled rows; those with a null text or label, or without a letter, teach nothing.
+
+    Labels beyond MAX_LANGUAGES are an error: they name something else than languages. Repeated rows
+    teach as often as they come.
+    """
     train = train.select(F.col(text).alias("t"), F.col(lang).alias("l"), F.col(row_id).cast("string").alias("i"))
     train = train.where("t is not null and l is not null")
 
@@ -126,7 +132,9 @@ def fit(train: DataFrame, text: str = "text", lang: str = "lang", row_id: str =
     idf = np.log((1 + found[-1]) / (1 + found[:-1])).astype(np.float32) + np.float32(1)
 
     # learned languages are few: each has its centroids in every worker
-    sizes = {r["l"]: r["n"] for r in train.groupBy("l").agg(F.count("*").alias("n")).collect()}
+    sizes = {r["l"]: r["n"] for r in train.groupBy("l").agg(F.count("*").alias("n")).limit(MAX_LANGUAGES + 1).collect()}
+    if len(sizes) > MAX_LANGUAGES:
+        raise ValueError(f"over {MAX_LANGUAGES} languages")
     if not sizes:
         return Model(idf, [], np.zeros((0, DIMENSIONS), np.float32), np.zeros(0))
     part = F.create_map(*[F.lit(x) for name, n in sizes.items() for x in (name, min(1.0, sample / n))])
@@ -161,7 +169,8 @@ def identify(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
         return pd.DataFrame({"lang_pred": langs, "score": scores, "rejected": rejected})
 
     kept = docs.drop("lang_pred", "score", "rejected")
-    return kept.withColumn("_p", label(F.col(text))).select(*kept.columns, "_p.*")
+    (told,) = fresh(kept, "told")
+    return kept.withColumn(told, label(F.col(text))).select(*[F.col(f"`{c}`") for c in kept.columns], f"{told}.*")
 
 
 def held_out(row_id: Column, folds: int) -> Column:
@@ -169,6 +178,7 @@ def held_out(row_id: Column, folds: int) -> Column:
 
 
 def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The language of all documents, the held-out third taught nothing; see identify() for nulls, empty texts, repeated rows and empty tables."""
     docs = documents(spark, sf_dir).select("doc_id", "text", "lang")
     held = F.coalesce(held_out(F.col("doc_id"), 3), F.lit(False))
     model = fit(docs.where(~held))

@@ -4,8 +4,10 @@ A line with at least one word fails when one of these holds:
 
 * punctuation: marks of ``#*$%&|<>`` make up over a tenth of its word characters, or ``!!`` follows
   at least half of its words, or it has under five words and no mark of sentence end;
-* navigation: it has three ``|`` or more, or up to six words that begin with a menu term;
-* boilerplate: it has up to 25 words, among them a licence, copyright, cookie or script notice.
+* navigation: it has three separators ``|»›•·`` or more, or web addresses for at least half of its
+  words, or up to six words that begin with a menu term of one of four languages;
+* boilerplate: it has up to 25 words, among them ``©`` or a licence, copyright, cookie, legal or script
+  notice of one of four languages.
 
 Only Spark's own functions are used; a row is judged by itself, so nothing is shuffled.
 """
@@ -15,20 +17,34 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from causeway.llm.common import SPACE_CHARS, documents, words
+from causeway.llm.common import SPACE_CHARS, documents, fresh, words
 
 SYMBOLS = "#*$%&|<>"
 MAX_LOST_PERCENT = 50
 MIN_WORDS = 50
 MAX_REPEAT_PERCENT = 50
-NAVIGATION = r"(?i)^\W*(home|menu|skip to|back to|next|previous|log ?in|sign (in|up)|share|search|site ?map|contact us)\b"
-BOILERPLATE = (
-    r"(?i)(all rights reserved|licen[sc]ed under|released under|terms of (use|service)|privacy policy"
-    r"|use of cookies|cookie policy|enable javascript|copyright|©|lorem ipsum|powered by)"
-)
+#: Menu terms at a line's start, and notices anywhere in a short line, by language; both are parameters.
+NAVIGATION = {
+    "en": "home|menu|skip to|back to|next|previous|log ?in|sign (in|up)|share|search|site ?map|contact us",
+    "de": "startseite|zum inhalt|weiter zu|anmelden|abmelden|registrieren|suche|impressum|kontakt|teilen|nach oben",
+    "fr": "accueil|aller au|retour|se connecter|connexion|inscription|rechercher|plan du site|partager|contactez-nous",
+    "es": "inicio|ir al|volver a|iniciar sesi.n|registrarse|buscar|mapa del sitio|compartir|contacto",
+}
+BOILERPLATE = {
+    "en": "all rights reserved|licen[sc]ed under|released under|terms of (use|service)|privacy policy|use of cookies|cookie policy|enable javascript|copyright|lorem ipsum|powered by",
+    "de": "alle rechte vorbehalten|lizenziert unter|nutzungsbedingungen|datenschutzerkl.rung|verwendet cookies|allgemeine gesch.ftsbedingungen",
+    "fr": "tous droits r.serv.s|sous licence|conditions d.utilisation|politique de confidentialit.|utilise des cookies|mentions l.gales",
+    "es": "todos los derechos reservados|bajo licencia|condiciones de uso|t.rminos de uso|pol.tica de privacidad|utiliza cookies|aviso legal",
+}
+#: Marks that stand between menu entries in any language.
+SEPARATORS = "|»›•·"
+NAVIGATION_AT, BOILERPLATE_AT = r"(?i)^\W*({})\b", "(?i)(©|{})"
 SENTENCE_END = r"[.!?…:;\"'”»)]\s*$"
 
 
+RESULT = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_lines_failed", "n_words_left", "cleaned_text", "base_failed", "kept"]
+
+
 def _chars_of(text: Column, chars: str) -> Column:
     return F.length(text) - F.length(F.translate(text, chars, ""))
 
@@ -37,17 +53,21 @@ def _word_chars(text: Column) -> Column:
     return F.length(F.translate(text, SPACE_CHARS, ""))
 
 
-def line_fails(line: Column) -> Column:
-    """Whether a line with a word fails one of the rules."""
-    n = F.size(words(line))
+def _times(line: Column, what: str) -> Column:
+    return (F.length(line) - F.length(F.replace(line, F.lit(what), F.lit("")))) / len(what)
+
+
+def line_fails(line: Column, n: Column, navigation: dict[str, str] = NAVIGATION, boilerplate: dict[str, str] = BOILERPLATE) -> Column:
+    """Whether a line with n words, at least one, fails one of the rules; the tables hold alternatives of a pattern by language."""
     punctuation = (
         (_chars_of(line, SYMBOLS) * 10 > _word_chars(line))
-        | ((F.length(line) - F.length(F.replace(line, F.lit("!!"), F.lit("")))) >= n)
+        | (_times(line, "!!") * 2 >= n)
         | ((n < 5) & ~line.rlike(SENTENCE_END))
     )
-    navigation = (_chars_of(line, "|") >= 3) | ((n <= 6) & line.rlike(NAVIGATION))
-    boilerplate = (n <= 25) & line.rlike(BOILERPLATE)
-    return punctuation | navigation | boilerplate
+    links = F.greatest(_times(line, "://"), _times(line, "www.")) * 2 >= n
+    menu = (n <= 6) & line.rlike(NAVIGATION_AT.format("|".join(navigation.values())))
+    notice = (n <= 25) & line.rlike(BOILERPLATE_AT.format("|".join(boilerplate.values())))
+    return punctuation | (_chars_of(line, SEPARATORS) >= 3) | links | menu | notice
 
 
 def _window_keys(w: Column, n: Column) -> Column:
@@ -63,50 +83,57 @@ def _window_keys(w: Column, n: Column) -> Column:
     )
 
 
-def clean_lines(docs: DataFrame, text: str = "text", max_lost_percent: int = MAX_LOST_PERCENT) -> DataFrame:
+def clean_lines(
+    docs: DataFrame, text: str = "text", max_lost_percent: int = MAX_LOST_PERCENT,
+    navigation: dict[str, str] = NAVIGATION, boilerplate: dict[str, str] = BOILERPLATE,
+) -> DataFrame:
     """docs with the verdict of line-first cleaning.
 
     Adds n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_lines, n_lines_failed,
     n_words_left (long), cleaned_text, base_failed and kept. Columns of docs with these names are
-    replaced. A null or empty text has no words: all counts are 0, cleaned_text is empty, base_failed
-    is true and kept false. Lines without a word stay in cleaned_text. Equal rows get equal verdicts.
+    replaced, others stay, whatever their names. A null or empty text has no words: all counts are 0,
+    cleaned_text is empty, base_failed is true and kept false. Lines without a word stay in
+    cleaned_text. Equal rows get equal verdicts; an empty table stays empty.
     """
     t = F.coalesce(F.col(text), F.lit(""))
-    step = docs.withColumn("_w", words(t)).withColumn("_lines", F.split(t, "\n"))
-    step = step.withColumn("n_words", F.size("_w").cast("long"))
-    n = F.col("n_words")
-    step = step.withColumn("_sorted", F.sort_array(_window_keys(F.col("_w"), n)))
-    s, w = F.col("_sorted"), F.col("_w")
+    kept = docs.drop(*(x for x in RESULT if x != text))
+    lines, w, ordered, left, full = fresh(docs.select("*", *[F.lit(0).alias(x) for x in RESULT if x not in docs.columns]), "lines", "w", "ordered", "left", "full")
+    step = kept.withColumn(lines, F.transform(F.split(t, "\n"), lambda x: F.struct(x.alias("line"), words(x).alias("w"))))
+    step = step.withColumn(w, F.flatten(F.col(f"{lines}.w"))).withColumn("n_words", F.size(w).cast("long"))
+    n, all_words = F.col("n_words"), F.col(w)
+    step = step.withColumn(ordered, F.sort_array(_window_keys(all_words, n)))
+    s = F.col(ordered)
 
     def places(a: Column, b: Column) -> Column:
         same = a - F.pmod(a, n) == b - F.pmod(b, n)
         i, j = (F.pmod(x, n).cast("int") for x in (a, b))
         for k in range(3):
-            same = same & (F.get(w, i + k) == F.get(w, j + k))
+            same = same & (F.get(all_words, i + k) == F.get(all_words, j + k))
         return F.when(same, F.array(i, i + 1, i + 2, j, j + 1, j + 2))
 
     hits = F.filter(F.zip_with(s, F.slice(s, 2, F.greatest(F.size(s), F.lit(1))), places), lambda x: x.isNotNull())
     step = step.withColumn("n_repeat_words", F.size(F.array_distinct(F.flatten(hits))).cast("long"))
-    has_word = lambda x: _word_chars(x) > 0
-    step = step.withColumn("_full", F.filter("_lines", has_word)).withColumn(
-        "_left", F.filter("_lines", lambda x: ~has_word(x) | ~line_fails(x))
-    )
-    step = step.withColumn("cleaned_text", F.array_join("_left", "\n"))
-    step = step.select(
-        *[c for c in step.columns if c not in {"_w", "_lines", "_sorted"}],
-        F.size("_full").cast("long").alias("n_lines"),
-        (F.size("_lines") - F.size("_left")).cast("long").alias("n_lines_failed"),
-        F.size(words(F.col("cleaned_text"))).cast("long").alias("n_words_left"),
-        _word_chars(t).cast("long").alias("word_chars"),
-        _chars_of(t, SYMBOLS).cast("long").alias("n_symbols"),
-        (F.size("_full") - F.size(F.array_distinct("_full"))).cast("long").alias("n_dup_lines"),
-    )
+    step = step.withColumn(full, F.transform(F.filter(lines, lambda x: F.size(x["w"]) > 0), lambda x: x["line"]))
+    sized = F.transform(lines, lambda x: F.struct(x["line"].alias("line"), F.size(x["w"]).alias("n")))
+    step = step.withColumn(left, F.filter(sized, lambda x: (x["n"] == 0) | ~line_fails(x["line"], x["n"], navigation, boilerplate)))
     failed = (n < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * n)
+    step = step.withColumns({
+        "n_lines": F.size(full).cast("long"),
+        "n_lines_failed": (F.size(lines) - F.size(left)).cast("long"),
+        "n_words_left": F.aggregate(left, F.lit(0).cast("long"), lambda a, x: a + x["n"]),
+        "word_chars": _word_chars(t).cast("long"),
+        "n_symbols": _chars_of(t, SYMBOLS).cast("long"),
+        "n_dup_lines": (F.size(full) - F.size(F.array_distinct(full))).cast("long"),
+        "cleaned_text": F.array_join(F.col(f"{left}.line"), "\n"),
+        "base_failed": failed,
+    })
     lost = 100 * (n - F.col("n_words_left")) > max_lost_percent * n
-    return step.withColumn("base_failed", failed).withColumn("kept", ~failed & ~lost).drop("_full", "_left")
+    step = step.withColumn("kept", ~F.col("base_failed") & ~lost)
+    return step.select(*[F.col(f"`{c}`") for c in kept.columns if c not in RESULT], *RESULT)
 
 
 def op9_line_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """clean_lines of all documents, without texts; see there for nulls, empty texts, repeated rows and empty tables."""
     return clean_lines(documents(spark, sf_dir).select("doc_id", "text")).select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
         "base_failed", "kept", "n_lines", "n_lines_failed", "n_words_left",
@@ -134,11 +161,12 @@ judged AS (
   SELECT doc_id, l, n, chars > 0 AS has_word,
          chars > 0 AND (
            len(regexp_extract_all(l, '[#*$%&|<>]')) * 10 > chars
-           OR length(l) - length(replace(l, '!!', '')) >= n
+           OR (length(l) - length(replace(l, '!!', ''))) / 2 * 2 >= n
+           OR greatest((length(l) - length(replace(l, '://', ''))) / 3, (length(l) - length(replace(l, 'www.', ''))) / 4) * 2 >= n
            OR (n < 5 AND NOT regexp_matches(l, '[.!?…:;"''”»)]\s*$'))
-           OR len(regexp_extract_all(l, '[|]')) >= 3
-           OR (n <= 6 AND regexp_matches(l, '(?i)^\W*(home|menu|skip to|back to|next|previous|log ?in|sign (in|up)|share|search|site ?map|contact us)\b'))
-           OR (n <= 25 AND regexp_matches(l, '(?i)(all rights reserved|licen[sc]ed under|released under|terms of (use|service)|privacy policy|use of cookies|cookie policy|enable javascript|copyright|©|lorem ipsum|powered by)'))
+           OR len(regexp_extract_all(l, '[|»›•·]')) >= 3
+           OR (n <= 6 AND regexp_matches(l, '@navigation'))
+           OR (n <= 25 AND regexp_matches(l, '@boilerplate'))
          ) AS fails
   FROM lines),
 per AS (
@@ -154,4 +182,4 @@ counted AS (
 SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed,
        NOT (n_words < 50 OR 100 * n_repeat_words > 50 * n_words) AND NOT 100 * (n_words - n_words_left) > 50 * n_words AS kept
 FROM counted
-"""
+""".replace("@navigation", NAVIGATION_AT.format("|".join(NAVIGATION.values()))).replace("@boilerplate", BOILERPLATE_AT.format("|".join(BOILERPLATE.values())))

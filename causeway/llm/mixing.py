@@ -16,11 +16,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from causeway.llm.common import documents, stored, words
+from causeway.llm.common import documents, fresh, stored, words
 
 NULL_NODE = "(null)"
 #: Leaf tables up to this many rows are broadcast; larger ones are joined by shuffle.
 BROADCAST_LEAVES = 50_000
+#: Hex digits by which a range of the order is cut, and digits of the whole order; so few rows of a leaf are sorted in one task.
+CUT_DIGITS, ORDER_DIGITS, SORTED_ROWS = 2, 32, 256
 DOMAINS = {"d0": 4, "d1": 3, "d2": 2, "d3": 1}
 LANGS = {"en": 4, "de": 2, "fr": 2, "es": 1}
 
@@ -42,7 +44,7 @@ def split_budget(leaves: DataFrame, levels: list[str], budget: int, weights: dic
         nodes = leaves.groupBy(*node).agg(F.sum("_cap").alias("_cap"))
         nodes = nodes.withColumn("_w", _weight(F.concat_ws("/", *node), weights).cast("long")).where("_w > 0")
         nodes = nodes.withColumn("_b", F.lit(budget).cast("long")) if given is None else nodes.join(given, parent)
-        family = Window.partitionBy(*(parent or [F.lit(0)]))
+        family = Window.partitionBy(*(parent or [F.lit(0)]))  # nodes, not rows
         ordered = family.orderBy(F.col("_cap") / F.col("_w"), node[-1])
         nodes = (
             nodes.withColumn("_before", F.coalesce(F.sum("_cap").over(ordered.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
@@ -64,52 +66,62 @@ def mix(
 
     The budget is share of all tokens of docs. levels name the tree from the top; a null value is a
     node of its own, named ``(null)``. A document without words costs nothing and is in the prefix
-    if the tokens before it fit. Documents with equal order, id and text are taken in any order, as
-    they are alike. Where nothing is taken, or docs is empty, the result is empty. A column of docs
-    named epochs is replaced, others stay.
+    if the tokens before it fit. Rows with equal id and text are taken or left together, as long as
+    all of them fit. Where nothing is taken, or docs is empty, the result is empty. A column of docs
+    named epochs is replaced, others stay, whatever their names.
 
-    A leaf may hold most of the rows: its order is cut into 4,096 ranges of the hash, whose token
-    sums tell in which range the prefix ends, and only that range is sorted.
+    A leaf may hold most of the rows, so no leaf is sorted: its order is cut into 256 ranges of the
+    hash, whose token sums tell in which range the prefix ends; that range is cut again by the next
+    two digits, until few rows are left. What each leaf keeps is one bound of the order.
     """
-    names = [f"_l{k}" for k in range(len(levels))]
+    names = [f"l{k}" for k in range(len(levels))]
     kept = docs.drop("epochs")
-    keyed = kept.select("*", *[F.coalesce(c.cast("string"), F.lit(NULL_NODE)).alias(n) for n, c in zip(names, levels.values(), strict=True)])
+    *inner, limit = fresh(kept, *names, "limit")
+    at = dict(zip(names, inner, strict=True))
+    nodes = [F.coalesce(c.cast("string"), F.lit(NULL_NODE)) for c in levels.values()]
     tokens = F.size(words(F.col(text))).cast("long")
 
-    def order(epoch: Column) -> Column:
-        return F.md5(F.concat_ws("|", F.lit(seed), epoch.cast("string"), F.coalesce(F.col(row_id).cast("string"), F.lit(""))).cast("binary"))
+    def order(epoch: Column, row: Column) -> Column:
+        return F.md5(F.concat_ws("|", F.lit(seed), epoch.cast("string"), F.coalesce(row.cast("string"), F.lit(""))).cast("binary"))
 
-    sized = stored(keyed.select(*names, row_id, tokens.alias("_n")))
-    leaves = stored(sized.groupBy(*names).agg(F.sum("_n").alias("tokens")))
+    sized = stored(docs.select(*[c.alias(n) for n, c in zip(names, nodes, strict=True)], F.col(row_id).alias("id"), tokens.alias("n"), F.xxhash64(text).alias("check")))
+    leaves = stored(sized.groupBy(*names).agg(F.sum("n").alias("tokens")))
     n_leaves, total = leaves.agg(F.count("*"), F.coalesce(F.sum("tokens"), F.lit(0))).first()
     plan = split_budget(leaves, names, int(total * share), weights, max_epochs).where("tokens > 0")
-    plan = plan.select(*names, F.expr("budget div tokens").alias("_whole"), F.expr("budget % tokens").alias("_rest"))
-
-    def with_plan(df: DataFrame, p: DataFrame) -> DataFrame:
-        return df.join(F.broadcast(p) if n_leaves <= BROADCAST_LEAVES else p, names)
-
-    ranges = (
-        with_plan(sized, plan).withColumn("_range", F.substring(order(F.col("_whole")), 1, 3))
-        .groupBy(*names, "_whole", "_rest", "_range").agg(F.sum("_n").alias("_n"))
-        .withColumn("_upto", F.sum("_n").over(Window.partitionBy(*names).orderBy("_range").rowsBetween(Window.unboundedPreceding, 0)))
-    )
-    cut = stored(
-        ranges.groupBy(*names, "_whole", "_rest").agg(
-            F.min(F.when(F.col("_upto") > F.col("_rest"), F.col("_range"))).alias("_cut"),
-            F.coalesce(F.max(F.when(F.col("_upto") <= F.col("_rest"), F.col("_upto"))), F.lit(0)).alias("_done"),
-        )
-    )
-    ordered = with_plan(keyed, cut).withColumn("_order", order(F.col("_whole"))).withColumn("_range", F.substring("_order", 1, 3))
-    clear = ordered.where(F.col("_cut").isNull() | (F.col("_range") != F.col("_cut"))).withColumn(
-        "epochs", F.col("_whole") + F.when(F.col("_cut").isNull() | (F.col("_range") < F.col("_cut")), 1).otherwise(0)
-    )
-    by_order = Window.partitionBy(*names).orderBy("_order", row_id, F.xxhash64(text)).rowsBetween(Window.unboundedPreceding, 0)
-    edge = (
-        ordered.where(F.col("_range") == F.col("_cut"))
-        .withColumn("_sum", F.sum(tokens).over(by_order) + F.col("_done"))
-        .withColumn("epochs", F.col("_whole") + F.when(F.col("_sum") <= F.col("_rest"), 1).otherwise(0))
-    )
-    return clear.unionByName(edge.drop("_sum")).where("epochs > 0").select(*kept.columns, F.col("epochs").cast("long").alias("epochs"))
+    # cut: the range in which the prefix ends, as far as it is known; done: the tokens before it
+    plan = stored(plan.select(*names, F.expr("budget div tokens").alias("whole"), F.expr("budget % tokens").alias("rest"), F.lit("").alias("cut"), F.lit(0).cast("long").alias("done")))
+
+    def with_plan(df: DataFrame) -> DataFrame:
+        return df.join(F.broadcast(plan) if n_leaves <= BROADCAST_LEAVES else plan, names)
+
+    rows = with_plan(sized).select(*names, order(F.col("whole"), F.col("id")).alias("order"), "check", "n")
+    digits = 0
+    while digits < ORDER_DIGITS:
+        digits += CUT_DIGITS
+        ranges = rows.groupBy(*names, F.substring("order", 1, digits).alias("range")).agg(F.sum("n").alias("n"))
+        upto = F.sum("n").over(Window.partitionBy(*names).orderBy("range").rowsBetween(Window.unboundedPreceding, 0))
+        cuts = with_plan(ranges).withColumn("upto", upto + F.col("done")).groupBy(*names, "whole", "rest").agg(
+            F.min(F.when(F.col("upto") > F.col("rest"), F.col("range"))).alias("cut"),
+            F.coalesce(F.max(F.when(F.col("upto") <= F.col("rest"), F.col("upto"))), F.first("done")).alias("done"),
+        )
+        plan = stored(cuts)
+        rows = stored(with_plan(rows).where(F.substring("order", 1, digits) == F.col("cut")).select(*names, "order", "check", "n"))
+        most = rows.groupBy(*names).agg(F.count("*").alias("k")).agg(F.max("k")).first()[0]
+        if not most or most <= SORTED_ROWS:
+            break
+    # rows with equal order and text are one step
+    steps = rows.groupBy(*names, "order", "check").agg(F.sum("n").alias("n"))
+    upto = F.sum("n").over(Window.partitionBy(*names).orderBy("order", "check").rowsBetween(Window.unboundedPreceding, 0))
+    last = with_plan(steps).withColumn("upto", upto + F.col("done")).where("upto <= rest").groupBy(*names).agg(F.max(F.struct("order", "check")).alias("last"))
+    # before the first row of the cut range all is taken
+    bounds = stored(plan.join(last, names, "left").select(*[F.col(n).alias(at[n]) for n in names], "whole", F.coalesce("last.order", "cut").alias("cut"), F.col("last.check").alias("check")))
+    bounds = bounds.select(*[at[n] for n in names], F.struct("whole", "cut", "check").alias(limit))
+    keyed = kept.select("*", *[c.alias(at[n]) for n, c in zip(names, nodes, strict=True)])
+    joined = keyed.join(F.broadcast(bounds) if n_leaves <= BROADCAST_LEAVES else bounds, [at[n] for n in names])
+    mine, bound = order(F.col(f"{limit}.whole"), F.col(row_id)), F.col(f"{limit}.cut")
+    taken = (mine < bound) | ((mine == bound) & (F.xxhash64(text) <= F.col(f"{limit}.check")))
+    epochs = F.col(f"{limit}.whole") + F.when(taken, 1).otherwise(0)
+    return joined.select(*[F.col(f"`{c}`") for c in kept.columns], epochs.cast("long").alias("epochs")).where("epochs > 0")
 
 
 def by_domain() -> dict[str, Column]:
@@ -120,6 +132,7 @@ def by_domain() -> dict[str, Column]:
 
 
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A mixture of 60 % of all tokens in up to three epochs; see mix() for nulls, empty texts, repeated rows and empty tables."""
     docs = documents(spark, sf_dir).select("doc_id", "text", "lang", "source")
     mixed = mix(docs, by_domain(), DOMAINS | LANGS, share=0.6, max_epochs=3, seed=7)
     return mixed.select("doc_id", "lang", "source", "epochs")

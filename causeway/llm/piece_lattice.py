@@ -71,10 +71,14 @@ class Pieces:
         return Lattice(self, strings)
 
     def unigram(self, alpha: float) -> np.ndarray:
-        """Log weights from the vocabulary's own scores, flattened by alpha and normalised."""
-        score = np.maximum(self.score, self.score.min(where=self.normal & (self.score > -1e8), initial=0))
-        x = np.where(self.normal, alpha * score, -np.inf)
-        x[self.byte_id] = alpha * score[self.normal].min()
+        """Log weights from the vocabulary's own scores, flattened by alpha and normalised.
+
+        Pieces that its scores exclude (-1e9) have no weight, but for the lone space, which every word needs.
+        """
+        usable = self.normal & (self.score > -1e8)
+        lone = self.normal & ~usable & np.array([r == b" " for r in self.raw])
+        x = np.where(usable, alpha * self.score, -np.inf)
+        x[self.byte_id] = x[lone] = alpha * self.score[usable].min()
         return x - np.log(np.exp(x).sum())
 
     def edge_weights(self, piece: np.ndarray, logp: np.ndarray) -> np.ndarray:

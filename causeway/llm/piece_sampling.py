@@ -1,7 +1,7 @@
 """Sampled segmentations of texts into existing SentencePiece pieces, and lossless decoding.
 
-A text becomes the string " " + text with spaces as U+2581. No piece with a weight runs over a space,
-so the string is cut before each one into short parts that are drawn independently. Each part's
+A text becomes the string " " + text with spaces as U+2581. No piece with a weight runs over a space
+(those of several spaces are unused by the vocabulary's score, and have weight zero), so the string is cut before each one into short parts that are drawn independently. Each part's
 lattice is filtered forward (summed weights of all ways to each place), then walked backward from
 its end, drawing each edge with its share of the weight at its end. Draws are hashes of the seed,
 the row key, the part's number and the step, so a row gives the same ids in any partitioning.
@@ -28,6 +28,7 @@ from pyspark.sql import functions as F
 
 from causeway.llm.common import documents
 from causeway.llm.piece_lattice import SPACE_MARK, Pieces, as_bytes, pieces
+from causeway.llm.word_hashes import mix
 
 MODEL_FILE = "piece_bpe_32k.model"
 ALPHA = 1e-4
@@ -47,12 +48,6 @@ def model_path(name: str = MODEL_FILE) -> str:
     return public_tokenizers.path(name)
 
 
-def _mix(x: np.ndarray) -> np.ndarray:
-    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    return x ^ (x >> np.uint64(31))
-
-
 def _parts(text: str) -> list[str]:
     """The parts between spaces; each stands for a space and itself, unless _INSIDE leads it."""
     if SPACE_MARK in text:
@@ -85,7 +80,7 @@ class Sampler:
         self.final: dict[str, int] = {}
         #: by node: its first edge; by edge: node before it, piece, and the upper end of its range of draws at its node
         self.first, self.src, self.piece = np.zeros(1, np.int32), np.zeros(0, np.int32), np.zeros(0, np.int32)
-        self.upto = np.zeros(0, np.float32)
+        self.upto = np.zeros(0)
 
     def _with(self, new: list[str]) -> tuple[dict[str, int], np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """The tables of self and of new parts. Nodes before which nothing stands are their own source."""
@@ -93,7 +88,7 @@ class Sampler:
         lattice = self.vocabulary.lattice(strings)
         w = self.vocabulary.edge_weights(lattice.piece, self.logp)
         alpha = lattice.forward(w)
-        upto = np.exp(alpha[lattice.src] + w - alpha[lattice.dst]).astype(np.float32)
+        upto = np.exp(alpha[lattice.src] + w - alpha[lattice.dst])
         rank = np.arange(len(upto)) - lattice.first[lattice.dst]
         for r in range(1, int(rank.max(initial=0)) + 1):
             later = np.flatnonzero(rank == r)
@@ -121,12 +116,12 @@ class Sampler:
             self.final |= final
             self.first, self.src, self.piece, self.upto = first, src, piece, upto
         number = np.arange(len(node)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
-        stream = _mix(np.repeat(keys, sizes) + number.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+        stream = mix(np.repeat(keys, sizes) + number.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
         live, steps, taken = np.arange(len(node)), np.zeros(len(node), np.int64), []
         step = 0
         while len(live):
             step += 1
-            u = (_mix(stream + np.uint64(step * 0xA0761D6478BD642F % 2**64)) >> np.uint64(40)).astype(np.float32) / np.float32(2**24)
+            u = (mix(stream + np.uint64(step * 0xA0761D6478BD642F % 2**64)) >> np.uint64(11)).astype(np.float64) / 2.0**53
             edge = first[node]
             wait = np.flatnonzero(u >= upto[edge])
             while len(wait):

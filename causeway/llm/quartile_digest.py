@@ -144,4 +144,5 @@ def compare_with_next(docs: DataFrame, partitions: int | None = None) -> DataFra
 
 
 def op6_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """compare_with_next of all documents; see there for nulls, empty texts, ties, repeated rows and empty tables."""
     return compare_with_next(documents(spark, sf_dir))

@@ -29,6 +29,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 def oracle_sql() -> dict[str, str]:
     return {
         "op4_repeats": repeats.ORACLE,
+        "op5_sharding": sharding.oracle(),
         "op7_bag_minhash": bag_minhash.ORACLE,
         "op8_mixing": mixing.ORACLE,
         "op9_line_quality": line_quality.ORACLE,

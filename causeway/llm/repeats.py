@@ -23,7 +23,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from causeway.llm.common import documents
+from causeway.llm.common import documents, fresh, with_long_ids
 from causeway.llm.word_hashes import mix, run_hashes, word_hashes
 
 WINDOW = 20
@@ -161,7 +161,8 @@ def later_windows(docs: DataFrame, buckets: int) -> DataFrame:
             starts = np.cumsum(counts) - counts
             hit = np.zeros(len(words) + WINDOW + 1, np.int32)
             for k, p in enumerate(b["places"]):
-                hit[starts[k] + np.asarray(p, np.int64)] = 1
+                p = np.asarray(p, np.int64)
+                hit[starts[k] + p[p < counts[k]]] = 1
             before = np.concatenate([[0], np.cumsum(hit)])
             near = before[inside + BLOCK + 1] > before[inside]
             inside, owner, place = inside[near], owner[near], place[near]
@@ -200,19 +201,20 @@ def without_repeats(docs: DataFrame, text: str = "text", row_id: str = "doc_id")
     A word goes if a window of 20 words covers it that also starts earlier, in a document of a smaller
     id or before in its own; kept words are joined by one space. Windows are judged on the input. A
     null text has no words. Texts of any length are read whole. Rows with equal ids count as one
-    document: repeated rows don't remove each other's words, and other columns come from one of them.
-    Rows with null ids come before all
-    others, in the order of their places. An empty table gives an empty result.
+    document: repeated rows don't remove each other's words, and other columns come from the one of
+    them with the smallest hash; if their texts differ, each also loses the places at which the others
+    repeat something. Rows with null ids come before all others, in no special order.
+    Other columns stay, whatever their names. An empty table gives an empty result.
     """
     others = [c for c in docs.columns if c not in {"n_words", "n_removed", "kept_text"}]
-    own = F.coalesce(F.col(row_id).cast("long"), F.monotonically_increasing_id() - (1 << 62)).alias("_id")
+    (key,) = fresh(docs, "key")
+    keyed = with_long_ids(docs, row_id, key, -(1 << 62))
     # both joins below deal the same two columns by the same key, so the texts move once
-    plain = docs.select(own, F.col(text))
+    plain = keyed.select(F.col(key).alias("id"), F.col(text).alias("text"))
     size = docs.agg(F.coalesce(F.sum(F.octet_length(text)), F.lit(0))).first()[0]
     buckets = max(LEAST_BUCKETS, math.ceil(size / BUCKET_BYTES))
-    hits = anchor_hits(plain.toDF("id", "text"), buckets)
-    found = plain.join(hits.withColumnRenamed("id", "_id"), "_id")
-    later = later_windows(found.select(F.col("_id").alias("id"), F.col(text).alias("text"), "places"), buckets)
+    found = plain.join(anchor_hits(plain, buckets), "id")
+    later = later_windows(found.select("id", "text", "places"), buckets)
 
     @F.pandas_udf("n_words long, n_removed long, kept_text string")
     def remove(texts: pd.Series, windows: pd.Series) -> pd.DataFrame:
@@ -220,23 +222,28 @@ def without_repeats(docs: DataFrame, text: str = "text", row_id: str = "doc_id")
         for t, places in zip(texts, windows, strict=True):
             words = kept = _raw(t).split()
             if places is not None and len(places):
-                edge = np.zeros(len(words) + 1, np.int32)
-                np.add.at(edge, np.asarray(places, np.int64), 1)
-                np.add.at(edge, np.asarray(places, np.int64) + WINDOW, -1)
+                at, edge = np.asarray(places, np.int64), np.zeros(len(words) + 1, np.int32)
+                at = at[at + WINDOW <= len(words)]
+                np.add.at(edge, at, 1)
+                np.add.at(edge, at + WINDOW, -1)
                 kept = [words[k] for k in np.flatnonzero(np.cumsum(edge[:-1]) == 0)]
             rows.append((len(words), len(words) - len(kept), b" ".join(kept).decode()))
         return pd.DataFrame(rows, columns=["n_words", "n_removed", "kept_text"])
 
-    joined = plain.join(later.select(F.col("id").alias("_id"), F.col("places").alias("_places")), "_id", "left")
+    joined = plain.join(later, "id", "left")
     rest = [c for c in others if c not in {row_id, text}]
     if rest:
-        joined = joined.join(docs.select(own, *rest).dropDuplicates(["_id"]), "_id")
-    back = F.when(F.col("_id") >= -(1 << 61), F.col("_id")).cast(docs.schema[row_id].dataType).alias(row_id)
-    joined = joined.select("_places", *[back if c == row_id else F.col(c) for c in others])
-    return joined.select(*others, remove(F.col(text), F.col("_places")).alias("_r")).select(*others, "_r.*")
+        whole = F.struct(*[F.col(f"`{c}`") for c in rest])
+        one = keyed.select(F.col(key).alias("id"), whole.alias("row")).groupBy("id").agg(F.min_by("row", F.xxhash64("row")).alias("row"))
+        joined = joined.join(one, "id")
+    back = F.when(F.col("id") >= -(1 << 61), F.col("id")).cast(docs.schema[row_id].dataType).alias("id")
+    told = joined.select(back, "text", *(["row"] if rest else []), remove(F.col("text"), F.col("places")).alias("told"))
+    given = {row_id: F.col("id"), text: F.col("text")} | {c: F.col(f"row.`{c}`") for c in rest}
+    return told.select(*[given[c].alias(c) for c in others], "told.*")
 
 
 def op4_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What without_repeats leaves of all documents; see there for nulls, empty texts, repeated rows and empty tables."""
     kept = without_repeats(documents(spark, sf_dir).select("doc_id", "text"))
     return kept.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
 

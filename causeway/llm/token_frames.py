@@ -9,10 +9,11 @@ A file holds, in order:
 * a skippable frame with the seek table of the zstandard seekable format: for each frame its
   compressed size, its size, and the low 32 bits of the XXH64 of its content.
 
-Any zstandard tool decompresses a whole file; a reader that wants some documents finds them in the
-index and decompresses their frames alone. Files are committed by Spark's own writer, so a lost task
-leaves nothing behind: each file is one record of the text format, and the record separator is the
-four bytes that end a seek table.
+Any zstandard tool decompresses a whole file; a reader that wants some documents opens the files that
+the folder's index names and decompresses their frames alone. Files are committed by Spark's own
+writer, so a lost task leaves nothing behind: each file is one record of the text format in ISO-8859-1,
+whose writer passes bytes through unchecked, and the record separator is the four bytes that end a
+seek table.
 """
 
 from __future__ import annotations
@@ -30,6 +31,7 @@ import pandas as pd
 import xxhash
 import zstandard
 from pyspark import TaskContext
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -216,10 +218,32 @@ def write_tokens(docs: DataFrame, folder: str, vocabulary: str, text: str = "tex
     made.write.option("encoding", "ISO-8859-1").option("lineSep", tail).option("maxRecordsPerFile", 1).option("compression", "none").text(folder)
 
 
+def index_tokens(spark: SparkSession, folder: str) -> DataFrame:
+    """(doc_id, file, frame): the folder's index as a table in the folder itself, under a name that file readers pass over.
+
+    It is made when it is first asked for, from the files' ends, without decompressing anything.
+    """
+    path = f"{folder}/_index"
+
+    def listed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            for name, content in zip(b["path"], b["content"], strict=True):
+                ids = File(content).ids
+                yield pd.DataFrame({"doc_id": pd.array(ids, "Int64"), "file": name, "frame": np.arange(len(ids), dtype=np.int32)})
+
+    try:
+        return spark.read.schema("doc_id long, file string, frame int").parquet(path)
+    except AnalysisException:
+        files = spark.read.format("binaryFile").load(folder).select("path", "content")
+        files.mapInPandas(listed, "doc_id long, file string, frame int").sortWithinPartitions("doc_id").write.mode("overwrite").parquet(path)
+        return spark.read.parquet(path)
+
+
 def read_tokens(spark: SparkSession, folder: str, ids: list[int] | None = None) -> DataFrame:
     """(part, number, at, doc_id, ids_le) of a folder: file's place, place in it in ids, id, and the ids' bytes.
 
-    With a list of ids only their frames are decompressed.
+    With a list of ids, which the caller holds, only the files that hold them are opened, and only
+    their frames decompressed.
     """
     wanted = None if ids is None else set(ids)
 
@@ -236,8 +260,13 @@ def read_tokens(spark: SparkSession, folder: str, ids: list[int] | None = None)
                         "doc_id": pd.array([f.ids[k] for k in some], "Int64"), "ids_le": [f.document(k) for k in some],
                     })
 
-    files = spark.read.format("binaryFile").load(folder).select("content")
-    return files.mapInPandas(documents_of, "part int, number int, at long, doc_id long, ids_le binary")
+    schema = "part int, number int, at long, doc_id long, ids_le binary"
+    names: str | list[str] = folder
+    if ids is not None:
+        names = [r["file"] for r in index_tokens(spark, folder).where(F.col("doc_id").isin(ids)).select("file").distinct().collect()]
+        if not names:
+            return spark.createDataFrame([], schema)
+    return spark.read.format("binaryFile").load(names).select("content").mapInPandas(documents_of, schema)
 
 
 def with_starts(read: DataFrame) -> DataFrame:
@@ -256,6 +285,7 @@ def vocabulary_path(name: str = VOCABULARY_FILE) -> str:
 
 
 def op2_token_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the files of all documents hold, read back; see write_tokens for nulls, empty texts, repeated rows and empty tables."""
     folder = f"{shared_folder(spark)}/{uuid.uuid4().hex}"
     write_tokens(documents(spark, sf_dir), folder, vocabulary_path())
 
