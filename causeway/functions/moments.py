@@ -23,6 +23,12 @@ def complete(df: DataFrame, cols: list[str]) -> DataFrame:
     return df.select(*[number(c).alias(c) for c in cols]).na.drop()
 
 
+def inverted(g: np.ndarray) -> np.ndarray:
+    """The (pseudo-)inverse of a symmetric matrix, found with a unit diagonal."""
+    d = np.sqrt(np.maximum(np.diag(g), 1e-300))
+    return np.linalg.pinv(g / np.outer(d, d), hermitian=True) / np.outer(d, d)
+
+
 @dataclass
 class Moments:
     """Sums of products of the named columns and of one."""
@@ -43,7 +49,7 @@ class Moments:
     def ols(self, y: str, xs: list[str], ridge: float = 0.0) -> tuple[np.ndarray, float, np.ndarray]:
         """Coefficients (intercept first), residual sum of squares, inverse cross-product."""
         z = [ONE, *xs]
-        inverse = np.linalg.pinv(self.block(z, z) + ridge * np.eye(len(z)), hermitian=True)
+        inverse = inverted(self.block(z, z) + ridge * np.eye(len(z)))
         xy = self.block(z, [y])[:, 0]
         beta = inverse @ xy
         return beta, max(0.0, float(self.block([y], [y])[0, 0] - 2 * beta @ xy + beta @ self.block(z, z) @ beta)), inverse
@@ -118,20 +124,74 @@ def replicate_moments(df: DataFrame, names: list[str], weights: list[Column]) ->
     return [found.get(k, Moments(list(names), empty)) for k in range(len(weights))]
 
 
+#: Modulus of the key hash, and how many hash buckets stand for the rows in a bootstrap.
+PRIME, BUCKETS = 2147483647, 1024
+
+
+def _constants(seed: int) -> tuple[int, int, int]:
+    return 16807 * (2 * seed + 1) % 1073741789, 48271 * (3 * seed + 7) % 1073741789, 69621 * (seed + 11) % PRIME
+
+
+def hash_key(df: DataFrame, name: str) -> Column:
+    """A whole number for hash_uniform: the column itself if it is one, else its 64-bit hash."""
+    return F.col(f"`{name}`") if dict(df.dtypes)[name] in ("tinyint", "smallint", "int", "bigint") else F.xxhash64(F.col(f"`{name}`"))
+
+
 def hash_uniform(key: Column, seed: int) -> Column:
-    """A uniform number in [0, 1) that depends on the key and the seed alone."""
-    return F.pmod(F.xxhash64(key, F.lit(seed)), F.lit(1 << 30)) / float(1 << 30)
-
-
-def poisson_weight(key: Column, seed: int) -> Column:
-    """A Poisson(1) bootstrap weight from a hash of the key."""
-    u = hash_uniform(key, seed)
-    c, p, total = F.lit(0.0), float(np.exp(-1)), 0.0
-    for k in range(8):
-        total += p
-        c = c + F.when(u >= total, 1.0).otherwise(0.0)
-        p /= k + 1
-    return c
+    """A uniform number in [0, 1) that depends on a whole-number key and the seed alone, by two squarings modulo a prime.
+
+    Plain integer arithmetic, so any SQL engine gives the same numbers; UNIFORM_SQL says how.
+    """
+    a, b, c = _constants(seed)
+    p = F.lit(PRIME).cast("long")
+    k = key.cast("long")
+    x = (F.pmod(k, p) * a + F.pmod(F.call_function("div", k, p), p) * b + c) % p
+    x = (x * x + 7 * x + c) % p
+    x = (x * x + 11 * x + b) % p
+    return x / float(PRIME)
+
+
+def uniform_sql(key: str, seed: int) -> str:
+    """hash_uniform in SQL, for keys of zero or more."""
+    a, b, c = _constants(seed)
+    x = f"((({key}) % {PRIME}) * {a}::BIGINT + ((({key}) // {PRIME}) % {PRIME}) * {b}::BIGINT + {c}) % {PRIME}"
+    x = f"list_transform([{x}], lambda x: (x * x + 7 * x + {c}) % {PRIME})"
+    return f"(list_transform({x}, lambda x: (x * x + 11 * x + {b}) % {PRIME})[1] / {PRIME}::DOUBLE)"
+
+
+def uniform(keys: np.ndarray, seed: int) -> np.ndarray:
+    """hash_uniform of small whole numbers on the driver."""
+    a, b, c = _constants(seed)
+    x = (keys.astype(np.int64) * a + c) % PRIME
+    x = (x * x + 7 * x + c) % PRIME
+    return (x * x + 11 * x + b) % PRIME / float(PRIME)
+
+
+#: Shares of draws of at most 0, 1, .. 7 from a Poisson distribution of mean 1.
+POISSON = np.cumsum([np.exp(-1) / np.prod(np.arange(1, k + 1)) for k in range(8)])
+
+
+def bucket_moments(df: DataFrame, key: str, names: list[str], buckets: int = BUCKETS) -> np.ndarray:
+    """The moment matrix of each hash bucket of the key, in one aggregate; a fixed number of small matrices."""
+    cols = [F.col(f"`{c}`").cast("double") for c in names]
+    rows = df.groupBy(F.floor(hash_uniform(hash_key(df, key), 7) * buckets).alias("_b")).agg(*sums(cols)).collect()
+    out = np.zeros((buckets, len(names) + 1, len(names) + 1))
+    for r in rows:
+        out[r["_b"]] = unpack(names, list(r)[1:]).matrix
+    return out
+
+
+def bootstrapped(parts: np.ndarray, names: list[str], replicates: int) -> list[Moments]:
+    """Moments of bootstrap replicates: each bucket, a random set of rows, is drawn a Poisson number of times."""
+    keys = np.arange(len(parts))
+    times = np.stack([np.searchsorted(POISSON, uniform(keys, 1000 + r), "right") for r in range(replicates)]).astype(float)
+    return [Moments(list(names), m) for m in np.tensordot(times, parts, 1)]
+
+
+def subsampled(parts: np.ndarray, names: list[str], draws: int, share: float) -> list[Moments]:
+    """Moments of random sets of buckets that hold about so large a share of rows."""
+    keys = np.arange(len(parts))
+    return [Moments(list(names), parts[uniform(keys, 2000 + r) < share].sum(0)) for r in range(draws)]
 
 
 def linear(cols: list[str], beta: np.ndarray) -> Column:

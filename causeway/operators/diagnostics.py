@@ -6,23 +6,21 @@ import math
 from functools import reduce
 
 import numpy as np
-from pyspark.ml.classification import LogisticRegression
-from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from causeway.functions.moments import complete, moments
+from causeway.functions.moments import complete, linear, moments
 from causeway.functions.stats import NORMAL
+from causeway.operators.logit import logit_fits
+from causeway.operators.ranks import percentiles
 
 IMBALANCED = 0.10
 
 
 def propensity(df: DataFrame, treatment: str, covariates: list[str], name: str = "e", ridge: float = 1e-4) -> DataFrame:
-    """df with the logistic propensity of a 0/1 treatment."""
-    made = VectorAssembler(inputCols=covariates, outputCol="_x").transform(df)
-    model = LogisticRegression(featuresCol="_x", labelCol=treatment, probabilityCol="_p", rawPredictionCol="_raw", predictionCol="_yhat", regParam=ridge, maxIter=50).fit(made)
-    return model.transform(made).withColumn(name, vector_to_array("_p")[1]).drop("_x", "_p", "_raw", "_yhat")
+    """df with the logistic propensity of a 0/1 treatment, by Newton steps of one aggregate each."""
+    (beta,) = logit_fits(df, treatment, covariates, penalty=ridge)
+    return df.withColumn(name, 1 / (1 + F.exp(-linear(covariates, beta))))
 
 
 def propensity_trim(df: DataFrame, treatment: str, covariates: list[str], trim: float) -> DataFrame:
@@ -32,8 +30,9 @@ def propensity_trim(df: DataFrame, treatment: str, covariates: list[str], trim:
 
 def overlap(df: DataFrame, e: str, low: float = 0.05, high: float = 0.95) -> DataFrame:
     """One row: range, 1st and 99th percentile of the propensity, share outside, verdict."""
-    a = df.agg(F.count(e).alias("n"), F.min(e).alias("propensity_min"), F.max(e).alias("propensity_max"), F.percentile(e, 0.01).alias("propensity_p01"),
-               F.percentile(e, 0.99).alias("propensity_p99"), F.avg((~F.col(e).between(low, high)).cast("int")).alias("pct_extreme"))
+    p01, p99 = percentiles(df, e, [0.01, 0.99])
+    a = df.agg(F.count(e).alias("n"), F.min(e).alias("propensity_min"), F.max(e).alias("propensity_max"), F.lit(p01).cast("double").alias("propensity_p01"),
+               F.lit(p99).cast("double").alias("propensity_p99"), F.avg((~F.col(e).between(low, high)).cast("int")).alias("pct_extreme"))
     verdict = (
         F.when(F.col("n") < 50, "yellow")
         .when((F.col("propensity_min") < 0.01) | (F.col("propensity_max") > 0.99) | (F.col("pct_extreme") > 0.10), "red")
@@ -76,11 +75,11 @@ def continuous_support(df: DataFrame, treatment: str, grid: int = 512, bins: int
     A fine histogram stands for the data; the Gaussian kernel (half of Silverman's width) runs over bins.
     """
     x = F.col(treatment).cast("double")
-    row = df.agg(F.count(x), F.min(x), F.max(x), F.stddev_samp(x), F.percentile(x, 0.25), F.percentile(x, 0.75)).first()
-    n, low, high, sd, q1, q3 = row
+    n, low, high, sd = df.agg(F.count(x), F.min(x), F.max(x), F.stddev_samp(x)).first()
     schema = "n long, bandwidth double, share_unsupported double, verdict string"
     if not n or n < 30 or not sd or high == low:
         return df.sparkSession.createDataFrame([(n or 0, None, None, "yellow")], schema)
+    q1, q3 = percentiles(df, treatment, [0.25, 0.75])
     spread = min(sd, (q3 - q1) / 1.34) or sd
     h = 0.5 * 0.9 * spread * n**-0.2
     step = (high - low) / bins
@@ -138,7 +137,7 @@ def with_strata(df: DataFrame, col: str, name: str = "stratum") -> DataFrame:
     """df with the level of col, or its quarter by value where it has over six."""
     if df.select(col).where(F.col(col).isNotNull()).distinct().limit(7).count() <= 6:
         return df.withColumn(name, F.col(col).cast("string"))
-    cuts = df.agg(F.percentile(F.col(col).cast("double"), F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)))).first()[0]
+    cuts = percentiles(df, col, [0.25, 0.5, 0.75])
     x = F.col(col).cast("double")
     quarter = reduce(lambda acc, c: acc + F.when(x > c, 1).otherwise(0), cuts, F.lit(0))
     return df.withColumn(name, F.when(x.isNotNull(), F.concat(F.lit("q"), (quarter + 1).cast("string"))))

@@ -8,7 +8,7 @@ import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from causeway.functions.moments import Moments, complete, moments, number, poisson_weight, replicate_moments
+from causeway.functions.moments import Moments, bootstrapped, bucket_moments, complete, moments, number
 from causeway.functions.stats import chi2_sf, two_sided_p
 from causeway.operators.ranks import average_ranks
 
@@ -65,7 +65,7 @@ def stable_boundary(df: DataFrame, target: str, candidates: list[str], row_id: s
     cols = [target, *candidates]
     d = df.select(F.col(row_id), *[F.col(c).cast("double").alias(c) for c in cols]).na.drop()
     seen = dict.fromkeys(candidates, 0)
-    for m in replicate_moments(d, cols, [poisson_weight(F.col(row_id), s) for s in range(replicates)]):
+    for m in bootstrapped(bucket_moments(d, row_id, cols), cols, replicates):
         for c in boundary(m, target, candidates, alpha):
             seen[c] += 1
     rows = sorted(((c, n / replicates) for c, n in seen.items() if n / replicates >= threshold), key=lambda x: (-x[1], x[0]))

@@ -6,17 +6,20 @@ import math
 from collections.abc import Callable
 
 import numpy as np
-from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.functions import vector_to_array
-from pyspark.ml.regression import GBTRegressor, LinearRegression, RandomForestRegressor
+from pyspark.ml.regression import GBTRegressor, RandomForestRegressor
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from causeway.functions.moments import Moments, complete, hash_uniform, linear, moments, poisson_weight, replicate_moments, sandwich, sums, unpack
+from causeway.functions.moments import Moments, bootstrapped, bucket_moments, complete, hash_key, hash_uniform, linear, moments, sandwich, sums, unpack
+from causeway.operators.logit import by_model, logit_fits
+from causeway.operators.ranks import percentiles, running_sums, weighted_quantiles
 from causeway.operators.results import frame, row
+from causeway.operators.selection import lasso
 
 CLIP = 0.01
+SPARSE_PENALTY = 0.01
+REPLICATES = 200
 
 
 # ---- linear models -------------------------------------------------------------------------------
@@ -110,16 +113,12 @@ def average_slopes(df: DataFrame, treatment: str, outcome: str, covariates: list
 
 def folded(df: DataFrame, key: str, k: int = 3, seed: int = 0) -> DataFrame:
     """df with _fold from a hash of the key; rows of a key share their fold."""
-    return df.withColumn("_fold", F.floor(hash_uniform(F.col(key), seed) * k).cast("int"))
+    return df.withColumn("_fold", F.floor(hash_uniform(hash_key(df, key), seed) * k).cast("int"))
 
 
-def regressor(kind: str = "linear", weight: str | None = None) -> Callable[[str], object]:
+def regressor(kind: str, weight: str | None = None) -> Callable[[str], object]:
     def make(label: str):
         common = {"featuresCol": "_x", "labelCol": label, "predictionCol": "_hat"} | ({"weightCol": weight} if weight else {})
-        if kind == "linear":
-            return LinearRegression(**common, regParam=1e-6)
-        if kind == "sparse":
-            return LinearRegression(**common, regParam=0.01, elasticNetParam=1.0)
         if kind == "forest":
             return RandomForestRegressor(**common, numTrees=30, maxDepth=6, seed=1)
         return GBTRegressor(**common, maxIter=20, maxDepth=4, seed=1)
@@ -127,23 +126,57 @@ def regressor(kind: str = "linear", weight: str | None = None) -> Callable[[str]
     return make
 
 
-def _fit_predict(train: DataFrame, test: DataFrame, label: str, xs: list[str], name: str, kind: str) -> DataFrame:
-    made = VectorAssembler(inputCols=xs, outputCol="_x")
-    if kind == "logit":
-        model = LogisticRegression(featuresCol="_x", labelCol=label, probabilityCol="_p", rawPredictionCol="_raw", predictionCol="_hat", regParam=1e-4).fit(made.transform(train))
-        return model.transform(made.transform(test)).withColumn(name, F.least(F.greatest(vector_to_array("_p")[1], F.lit(CLIP)), F.lit(1 - CLIP))).drop("_x", "_p", "_raw", "_hat")
-    model = regressor(kind)(label).fit(made.transform(train))
-    return model.transform(made.transform(test)).withColumnRenamed("_hat", name).drop("_x")
+def fold_moments(df: DataFrame, names: list[str], filters: list[str], k: int) -> list[list[Moments]]:
+    """For each row filter and fold the moments of all other folds, in one aggregate."""
+    use = F.array(*[F.when(F.expr(f), F.lit(i)) for i, f in enumerate(filters)])
+    each = df.select(*[F.col(f"`{c}`").cast("double").alias(c) for c in names], "_fold", F.explode(F.array_compact(use)).alias("_r"))
+    found = {(r[0], r[1]): unpack(names, list(r)[2:]).matrix for r in each.groupBy("_r", "_fold").agg(*sums([F.col(f"`{c}`") for c in names])).collect()}
+    empty = np.zeros((len(names) + 1, len(names) + 1))
+    out = []
+    for i in range(len(filters)):
+        parts = [found.get((i, f), empty) for f in range(k)]
+        out.append([Moments(list(names), sum(parts) - parts[f]) for f in range(k)])
+    return out
+
+
+def linear_fit(m: Moments, label: str, xs: list[str], kind: str) -> np.ndarray:
+    """Least squares, or for the sparse kind a lasso of standardized columns."""
+    if kind == "linear":
+        return m.ols(label, xs)[0]
+    sd = np.sqrt(np.maximum(np.diag(m.covariance([label, *xs])), 1e-300))
+    slopes = lasso(m, label, xs, SPARSE_PENALTY / sd[0]) * sd[0] / sd[1:]
+    mean = m.block([label, *xs], ["(1)"])[:, 0] / m.n
+    return np.concatenate([[mean[0] - slopes @ mean[1:]], slopes])
 
 
 def cross_fit(df: DataFrame, plan: list[tuple[str, str, str, str | None]], xs: list[str], k: int = 3) -> DataFrame:
-    """Out-of-fold predictions: plan has (name, label, kind, row filter for training); df has _fold."""
-    out = None
+    """Out-of-fold predictions: plan has (name, label, kind, row filter for training); df has _fold.
+
+    All linear fits of all folds follow from one aggregate, logits from one a Newton step; their
+    predictions are expressions of the row. Other kinds are fitted fold by fold.
+    """
+    direct = [p for p in plan if p[2] in ("linear", "sparse")]
+    made: dict[str, Column] = {}
+    if direct:
+        filters = list(dict.fromkeys(p[3] or "true" for p in direct))
+        per = fold_moments(df, list(dict.fromkeys([*[p[1] for p in direct], *xs])), filters, k)
+        for name, label, kind, only in direct:
+            made[name] = by_model([linear_fit(m, label, xs, kind) for m in per[filters.index(only or "true")]], xs, F.col("_fold"))
+    others = F.filter(F.array(*map(F.lit, range(k))), lambda m: m != F.col("_fold"))
+    for name, label, kind, only in plan:
+        if kind == "logit":
+            betas = logit_fits(df.where(only) if only else df, label, xs, others, k)
+            made[name] = F.least(F.greatest(1 / (1 + F.exp(-by_model(betas, xs, F.col("_fold")))), F.lit(CLIP)), F.lit(1 - CLIP))
+    df = df.withColumns(made) if made else df
+    grown = [p for p in plan if p[2] not in ("linear", "sparse", "logit")]
+    if not grown:
+        return df
+    out, at = None, VectorAssembler(inputCols=xs, outputCol="_x")
     for f in range(k):
-        train, test = df.where(f"_fold != {f}"), df.where(f"_fold = {f}")
-        for name, label, kind, only in plan:
-            test = _fit_predict(train.where(only) if only else train, test, label, xs, name, kind)
-        out = test if out is None else out.unionByName(test)
+        train, test = at.transform(df.where(f"_fold != {f}")), at.transform(df.where(f"_fold = {f}"))
+        for name, label, kind, only in grown:
+            test = regressor(kind)(label).fit(train.where(only) if only else train).transform(test).withColumnRenamed("_hat", name)
+        out = test.drop("_x") if out is None else out.unionByName(test.drop("_x"))
     return out
 
 
@@ -191,13 +224,11 @@ def cate(df: DataFrame, key: str, treatment: str, outcome: str, xs: list[str], l
     if learner == "t":
         out = d.withColumn("cate", F.col("mu1") - F.col("mu0"))
     elif learner == "s":
+        # one linear model with a slope of its own for each covariate times treatment: its effect is linear in the covariates
         inter = [f"_t_{c}" for c in xs]
-        both = d.withColumns({n: t * F.col(c) for n, c in zip(inter, xs, strict=True)})
-        train_x = [treatment, *xs, *inter]
-        model = regressor(kind)(outcome).fit(VectorAssembler(inputCols=train_x, outputCol="_x").transform(both))
-        at = lambda v, name: model.transform(VectorAssembler(inputCols=train_x, outputCol="_x").transform(
-            d.withColumn(treatment, F.lit(v)).withColumns({n: F.lit(v) * F.col(c) for n, c in zip(inter, xs, strict=True)}))).select(key, F.col("_hat").alias(name))
-        out = d.join(at(1.0, "_s1"), key).join(at(0.0, "_s0"), key).withColumn("cate", F.col("_s1") - F.col("_s0"))
+        both = d.select(treatment, outcome, *xs, *[(t * F.col(c)).alias(n) for n, c in zip(inter, xs, strict=True)])
+        beta = moments(both, [outcome, treatment, *xs, *inter]).ols(outcome, [treatment, *xs, *inter])[0]
+        out = d.withColumn("cate", linear(xs, np.concatenate([beta[1:2], beta[2 + len(xs) :]])))
     elif learner == "x":
         d = d.withColumn("_imputed", F.when(t == 1, F.col(outcome) - F.col("mu0")).otherwise(F.col("mu1") - F.col(outcome)))
         out = cross_fit(d, [("_x1", "_imputed", kind, f"`{treatment}` = 1"), ("_x0", "_imputed", kind, f"`{treatment}` = 0")], xs, k)
@@ -294,57 +325,56 @@ def targeted(df: DataFrame, key: str, treatment: str, outcome: str, xs: list[str
 # ---- paths, proxies, intervals -------------------------------------------------------------------
 
 
-def _bootstrap(d: DataFrame, key: str, names: list[str], solve: Callable[[Moments], float], replicates: int) -> float:
-    got = [solve(m) for m in replicate_moments(d, names, [poisson_weight(F.col(key), s) for s in range(replicates)])]
-    return float(np.std(got, ddof=1))
+def _with_errors(df: DataFrame, key: str, names: list[str], solve: Callable[[Moments], list[float]], replicates: int) -> tuple[np.ndarray, np.ndarray, float]:
+    """(points, bootstrap errors, rows) of several figures of one moment matrix, all from one aggregate."""
+    d = df.select(key, *[F.col(c).cast("double").alias(c) for c in names]).na.drop()
+    parts = bucket_moments(d, key, names)
+    whole = Moments(list(names), parts.sum(0))
+    drawn = np.array([solve(m) for m in bootstrapped(parts, names, replicates)])
+    return np.array(solve(whole)), drawn.std(axis=0, ddof=1), whole.n
 
 
-def mediation(df: DataFrame, key: str, treatment: str, mediator: str, outcome: str, xs: list[str], replicates: int = 25) -> DataFrame:
-    """Natural direct and indirect effects of linear models; all bootstrap replicates share one pass."""
-    names = [outcome, treatment, mediator, *xs]
-    d = df.select(key, *[F.col(c).cast("double").alias(c) for c in names]).na.drop().persist()
-    direct = lambda m: m.ols(outcome, [treatment, mediator, *xs])[0][1]
-    indirect = lambda m: m.ols(mediator, [treatment, *xs])[0][1] * m.ols(outcome, [treatment, mediator, *xs])[0][2]
-    m = moments(d, names)
-    return frame(df.sparkSession, [row("mediation.linear", treatment, outcome, f(m), _bootstrap(d, key, names, f, replicates), m.n, estimand=name) for name, f in (("NDE", direct), ("NIE", indirect))])
+def mediation(df: DataFrame, key: str, treatment: str, mediator: str, outcome: str, xs: list[str], replicates: int = REPLICATES) -> DataFrame:
+    """Natural direct and indirect effects of linear models, with bootstrap errors."""
 
+    def solve(m: Moments) -> list[float]:
+        y = m.ols(outcome, [treatment, mediator, *xs])[0]
+        return [y[1], m.ols(mediator, [treatment, *xs])[0][1] * y[2]]
 
-def front_door(df: DataFrame, key: str, treatment: str, mediator: str, outcome: str, xs: list[str], replicates: int = 25) -> DataFrame:
+    point, se, n = _with_errors(df, key, [outcome, treatment, mediator, *xs], solve, replicates)
+    return frame(df.sparkSession, [row("mediation.linear", treatment, outcome, p, s, n, estimand=name) for name, p, s in zip(("NDE", "NIE"), point, se, strict=True)])
+
+
+def front_door(df: DataFrame, key: str, treatment: str, mediator: str, outcome: str, xs: list[str], replicates: int = REPLICATES) -> DataFrame:
     """Effect through the mediator alone: its response to treatment times its effect on the outcome given treatment."""
-    names = [outcome, treatment, mediator, *xs]
-    d = df.select(key, *[F.col(c).cast("double").alias(c) for c in names]).na.drop().persist()
-    f = lambda m: m.ols(mediator, [treatment, *xs])[0][1] * m.ols(outcome, [treatment, mediator, *xs])[0][2]
-    m = moments(d, names)
-    return frame(df.sparkSession, [row("front_door.linear", treatment, outcome, f(m), _bootstrap(d, key, names, f, replicates), m.n)])
+    solve = lambda m: [m.ols(mediator, [treatment, *xs])[0][1] * m.ols(outcome, [treatment, mediator, *xs])[0][2]]
+    point, se, n = _with_errors(df, key, [outcome, treatment, mediator, *xs], solve, replicates)
+    return frame(df.sparkSession, [row("front_door.linear", treatment, outcome, point[0], se[0], n)])
 
 
-def proximal(df: DataFrame, key: str, treatment: str, outcome: str, treatment_proxy: str, outcome_proxy: str, xs: list[str], ridge: float = 1e-3, replicates: int = 25) -> DataFrame:
+def proximal(df: DataFrame, key: str, treatment: str, outcome: str, treatment_proxy: str, outcome_proxy: str, xs: list[str], ridge: float = 1e-3, replicates: int = REPLICATES) -> DataFrame:
     """Two stages: the outcome proxy on treatment, covariates and treatment proxy; the outcome on treatment, covariates and the fit.
 
     The fit is linear, so both stages follow from one moment matrix. The ridge acts on the intercept too.
     """
-    names = [outcome, treatment, treatment_proxy, outcome_proxy, *xs]
-    d = df.select(key, *[F.col(c).cast("double").alias(c) for c in names]).na.drop().persist()
 
-    def solve(m: Moments) -> float:
+    def solve(m: Moments) -> list[float]:
         z = ["(1)", treatment, *xs, treatment_proxy]
         a = np.linalg.solve(m.block(z, z) + ridge * np.eye(len(z)), m.block(z, [outcome_proxy])[:, 0])
         keep = np.zeros((len(z), len(z)))  # maps [1, T, xs, Z] to [1, T, xs, fit]
         keep[: len(z) - 1, : len(z) - 1] = np.eye(len(z) - 1)
         keep[-1] = a
         s = keep @ m.block(z, z) @ keep.T + ridge * np.eye(len(z))
-        return float(np.linalg.solve(s, keep @ m.block(z, [outcome])[:, 0])[1])
+        return [float(np.linalg.solve(s, keep @ m.block(z, [outcome])[:, 0])[1])]
 
-    m = moments(d, names)
-    return frame(df.sparkSession, [row("proximal.two_stage", treatment, outcome, solve(m), _bootstrap(d, key, names, solve, replicates), m.n)])
+    point, se, n = _with_errors(df, key, [outcome, treatment, treatment_proxy, outcome_proxy, *xs], solve, replicates)
+    return frame(df.sparkSession, [row("proximal.two_stage", treatment, outcome, point[0], se[0], n)])
 
 
 def conformal_effects(df: DataFrame, key: str, treatment: str, outcome: str, xs: list[str], alpha: float = 0.1) -> DataFrame:
     """(key, cate, low, high): split conformal intervals; half of the keys fit the effect, the other half set the width."""
-    from causeway.operators.ranks import weighted_quantiles
-
     got = cate(df, key, treatment, outcome, xs, "dr", 2).persist()
-    held = got.where(hash_uniform(F.col(key), 99) < 0.5).withColumn("_r", F.abs(F.col("phi") - F.col("cate")))
+    held = got.where(hash_uniform(hash_key(df, key), 99) < 0.5).withColumn("_r", F.abs(F.col("phi") - F.col("cate")))
     n = held.count()
     width = weighted_quantiles(held, "_r", F.lit(1.0), [min(1.0, (1 - alpha) * (1 + 1 / max(n, 1)))])[0]
     return got.select(key, "cate", (F.col("cate") - width).alias("low"), (F.col("cate") + width).alias("high"))
@@ -382,21 +412,22 @@ def policy_shift(df: DataFrame, key: str, exposure: str, outcome: str, xs: list[
     natural ones; the score is the model at the policy plus the ratio times the residual.
     """
     d = prepared(df, key, exposure, outcome, xs, k)
-    scores = d.select(key, F.col(outcome).alias("natural"))
+    at = VectorAssembler(inputCols=["_to", *xs], outputCol="_x")
+    scores = d.withColumn("natural", F.col(outcome))
     for j, policy in enumerate(policies.values()):
         shifted = d.withColumn(exposure, policy)
         both = d.withColumn("_s", F.lit(0.0)).unionByName(shifted.withColumn("_s", F.lit(1.0)))
+        others = F.filter(F.array(*map(F.lit, range(k))), lambda m: m != F.col("_fold"))
+        shift = by_model(logit_fits(both, "_s", [exposure, *xs], others, k), [exposure, *xs], F.col("_fold"))
+        ratio = F.exp(F.least(F.greatest(shift, F.lit(math.log(CLIP / (1 - CLIP)))), F.lit(math.log((1 - CLIP) / CLIP))))
         parts = None
         for f in range(k):
-            held = d.where(f"_fold = {f}")
-            q = VectorAssembler(inputCols=[exposure, *xs], outputCol="_x")
-            model = GBTRegressor(featuresCol="_x", labelCol=outcome, predictionCol="_hat", maxIter=15, maxDepth=4, seed=1).fit(q.transform(d.where(f"_fold != {f}")))
-            ratio = _fit_predict(both.where(f"_fold != {f}"), held, "_s", [exposure, *xs], "_shift", "logit")
-            one = model.transform(q.transform(ratio)).withColumnRenamed("_hat", "_q0").drop("_x")
-            at = model.transform(q.transform(held.withColumn(exposure, policy))).select(key, F.col("_hat").alias("_q1"))
-            part = one.join(at, key).select(key, (F.col("_q1") + F.col("_shift") / (1 - F.col("_shift")) * (F.col(outcome) - F.col("_q0"))).alias(f"_v{j}"))
+            fit = GBTRegressor(featuresCol="_x", labelCol=outcome, predictionCol="_hat", maxIter=15, maxDepth=4, seed=1).fit(at.transform(d.where(f"_fold != {f}").withColumn("_to", F.col(exposure))))
+            one = fit.transform(at.transform(scores.where(f"_fold = {f}").withColumn("_to", F.col(exposure)))).withColumnRenamed("_hat", "_q0").drop("_x")
+            two = fit.transform(at.transform(one.withColumn("_to", policy))).withColumnRenamed("_hat", "_q1").drop("_x", "_to")
+            part = two.withColumn(f"_v{j}", F.col("_q1") + ratio * (F.col(outcome) - F.col("_q0"))).drop("_q0", "_q1")
             parts = part if parts is None else parts.unionByName(part)
-        scores = scores.join(parts, key)
+        scores = parts
     scores = scores.persist()
     names, rows = list(policies), []
     for j, name in enumerate(names):
@@ -411,31 +442,39 @@ def policy_shift(df: DataFrame, key: str, exposure: str, outcome: str, xs: list[
 def rmst(df: DataFrame, arm: str, time: str, event: str, horizon: float | None = None, weight: Column | None = None) -> DataFrame:
     """Restricted mean survival of arm 1 less arm 0 up to the horizon (the third quartile of times by default).
 
-    A life table per arm and time, at-risk counts and the product limit by windows over distinct times.
+    A life table per arm and time; at-risk counts, the product limit and areas are running sums over
+    ranges of (arm, time), from which those of the arm before are taken off.
     """
-    tau = horizon if horizon is not None else df.agg(F.percentile(F.col(time).cast("double"), 0.75)).first()[0]
+    tau = horizon if horizon is not None else percentiles(df, time, [0.75])[0]
     w = weight if weight is not None else F.lit(1.0)
     d = df.select(F.col(arm).cast("int").alias("a"), F.col(time).cast("double").alias("t"), F.col(event).cast("double").alias("d"), w.alias("w")).na.drop()
-    table = d.groupBy("a", "t").agg(F.sum(F.col("d") * F.col("w")).alias("d"), F.sum("w").alias("n"))
-    later = Window.partitionBy("a").orderBy(F.desc("t")).rowsBetween(Window.unboundedPreceding, 0)
-    upto = Window.partitionBy("a").orderBy("t").rowsBetween(Window.unboundedPreceding, 0)
-    table = table.withColumn("r", F.sum("n").over(later)).where(F.col("t") <= tau)
+    table = d.groupBy("a", "t").agg(F.sum(F.col("d") * F.col("w")).alias("d"), F.sum("w").alias("n"), F.count("*").alias("rows")).persist()
+    total = {r["a"]: r for r in table.groupBy("a").agg(F.sum("n").alias("n"), F.sum("rows").alias("rows"), F.min("t").alias("first")).collect()}
+    lower = lambda v: F.when(F.col("a") == 1, F.lit(float(v))).otherwise(0.0)
+    up = running_sums(table, [F.col("a"), F.col("t")], {"upto": F.col("n")})
+    whole = F.when(F.col("a") == 1, F.lit(float(total[1]["n"]))).otherwise(F.lit(float(total[0]["n"])))
+    risk = up.withColumn("r", whole - (F.col("upto") - lower(total[0]["n"])) + F.col("n")).where(F.col("t") <= tau)
     hazard = F.col("d") / F.col("r")
-    table = table.withColumn("s", F.exp(F.sum(F.when(hazard < 1, F.log1p(-hazard)).otherwise(-700.0)).over(upto)))
-    nxt = F.coalesce(F.lead("t").over(Window.partitionBy("a").orderBy("t")), F.lit(float(tau)))
-    table = table.withColumn("area", F.col("s") * (nxt - F.col("t")))
-    after = F.coalesce(F.sum("area").over(Window.partitionBy("a").orderBy(F.desc("t")).rowsBetween(Window.unboundedPreceding, 0)), F.lit(0.0))
-    table = table.withColumn("var", F.when(F.col("r") > F.col("d"), after**2 * F.col("d") / (F.col("r") * (F.col("r") - F.col("d")))).otherwise(0.0))
-    got = {r["a"]: r for r in table.groupBy("a").agg((F.least(F.min("t"), F.lit(float(tau))) + F.sum("area")).alias("m"), F.sum("var").alias("v")).collect()}
-    n = d.count()
-    return frame(df.sparkSession, [row("survival.rmst", arm, time, got[1]["m"] - got[0]["m"], math.sqrt(got[1]["v"] + got[0]["v"]), n, estimand="RMST", horizon=tau, rmst_1=got[1]["m"], rmst_0=got[0]["m"])])
+    risk = risk.withColumn("step", F.when(hazard < 1, F.log1p(-hazard)).otherwise(-700.0)).persist()
+    steps, = risk.where("a = 0").agg(F.coalesce(F.sum("step"), F.lit(0.0))).first()
+    s = running_sums(risk, [F.col("a"), F.col("t")], {"ls": F.col("step")}).withColumn("s", F.exp(F.col("ls") - lower(steps)))
+    # the area to the right of a time is summed from the right; a step's width is that to the time before it
+    down = running_sums(s, [-F.col("a"), -F.col("t")], {"seen": F.lit(1.0)})
+    left = down.select("a", "t", "d", "r", "s", F.col("seen").cast("long").alias("k"))
+    nxt = left.select((F.col("k") + 1).alias("k"), F.col("t").alias("t2"), F.col("a").alias("a2"))
+    area = left.join(nxt, "k", "left").withColumn("area", F.col("s") * (F.when(F.col("a2") == F.col("a"), F.col("t2")).otherwise(F.lit(float(tau))) - F.col("t"))).persist()
+    ones, = area.where("a = 1").agg(F.coalesce(F.sum("area"), F.lit(0.0))).first()
+    after = running_sums(area, [-F.col("a"), -F.col("t")], {"after": F.col("area")}).withColumn("after", F.col("after") - F.when(F.col("a") == 0, F.lit(float(ones))).otherwise(0.0))
+    var = F.when(F.col("r") > F.col("d"), F.col("after") ** 2 * F.col("d") / (F.col("r") * (F.col("r") - F.col("d")))).otherwise(0.0)
+    got = {r["a"]: r for r in after.groupBy("a").agg((F.least(F.min("t"), F.lit(float(tau))) + F.sum("area")).alias("m"), F.sum(var).alias("v")).collect()}
+    for x in (table, risk, area):
+        x.unpersist()
+    return frame(df.sparkSession, [row("survival.rmst", arm, time, got[1]["m"] - got[0]["m"], math.sqrt(got[1]["v"] + got[0]["v"]), total[0]["rows"] + total[1]["rows"], estimand="RMST", horizon=tau, rmst_1=got[1]["m"], rmst_0=got[0]["m"])])
 
 
 def adjusted_rmst(df: DataFrame, key: str, arm: str, time: str, event: str, xs: list[str], horizon: float) -> DataFrame:
     """RMST contrast adjusted for covariates: censoring-weighted pseudo-outcomes, then the doubly robust score."""
     censor = df.select(F.col(time).cast("double").alias("t"), (1 - F.col(event).cast("double")).alias("c")).na.drop().groupBy("t").agg(F.sum("c").alias("c"), F.count("*").alias("n"))
-    from causeway.operators.ranks import running_sums
-
     down = running_sums(censor, [-F.col("t")], {"r": F.col("n")})
     g = running_sums(down, [F.col("t")], {"lg": F.when(F.col("c") < F.col("r"), F.log1p(-F.col("c") / F.col("r"))).otherwise(-700.0)}).select(F.col("t").alias("_t"), F.exp("lg").alias("_g"))
     d = df.join(g, F.col(time).cast("double") == F.col("_t"))
@@ -479,11 +518,11 @@ def discontinuity(df: DataFrame, running: str, outcome: str, cutoff: float, trea
                                        bias_corrected=corrected / t, density_ratio=math.log((above + 1) / (below + 1)))])
 
 
-def target_trial(df: DataFrame, subject: str, period: str, eligible: str, treatment: str, outcome: str, xs: list[str], estimand: str = "ITT", follow_up: int = 6) -> DataFrame:
+def target_trial(df: DataFrame, subject: str, period: str, eligible: str, treatment: str, outcome: str, xs: list[str], estimand: str = "ITT", follow_up: int | None = None) -> DataFrame:
     """Sequential emulated trials: each eligible row starts one; pooled logistic model of the outcome on assigned treatment.
 
     Per-protocol rows end at the first switch and are weighted by the inverse chance of not switching.
-    Expansion is bounded by follow_up periods a trial. Errors are clustered by subject.
+    A trial runs to its subject's last period, or for follow_up periods. Errors are clustered by subject.
     """
     keep = df.select(F.col(subject).alias("s"), F.col(period).alias("p"), F.col(eligible).alias("e"), F.col(treatment).cast("double").alias("t"), F.col(outcome).cast("double").alias("y"), *[F.col(c).cast("double").alias(c) for c in xs])
     w = Window.partitionBy("s").orderBy("p")
@@ -491,11 +530,14 @@ def target_trial(df: DataFrame, subject: str, period: str, eligible: str, treatm
     weight = F.lit(1.0)
     if estimand == "PP":
         fit = keep.where("_stay is not null")
-        made = _fit_predict(fit, fit, "_stay", ["t", *xs], "_ps", "logit")
-        keep = keep.join(made.select("s", "p", "_ps"), ["s", "p"], "left")
+        (stay,) = logit_fits(fit, "_stay", ["t", *xs])
+        chance = F.least(F.greatest(1 / (1 + F.exp(-linear(["t", *xs], stay))), F.lit(CLIP)), F.lit(1 - CLIP))
+        keep = keep.withColumn("_ps", F.when(F.col("_stay").isNotNull(), chance))
     starts = keep.where("e = 1").select("s", F.col("p").alias("p0"), F.col("t").alias("a"), *[F.col(c).alias(f"b_{c}") for c in xs])
     rows = keep.select("s", "p", "t", "y", "_stay", *(["_ps"] if estimand == "PP" else []))
-    trial = starts.join(rows, "s").where((F.col("p") >= F.col("p0")) & (F.col("p") < F.col("p0") + follow_up))
+    trial = starts.join(rows, "s").where(F.col("p") >= F.col("p0"))
+    if follow_up:
+        trial = trial.where(F.col("p") < F.col("p0") + follow_up)
     per = Window.partitionBy("s", "p0").orderBy("p").rowsBetween(Window.unboundedPreceding, 0)
     before = Window.partitionBy("s", "p0").orderBy("p").rowsBetween(Window.unboundedPreceding, -1)
     trial = trial.withColumn("_done", F.coalesce(F.max("y").over(before), F.lit(0.0))).where("_done = 0")

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from causeway.functions.moments import hash_uniform
+from causeway.operators.ranks import percentiles
 
 
 def complete_cases(df: DataFrame, needed: list[str]) -> DataFrame:
@@ -27,7 +28,7 @@ def time_window(df: DataFrame, time: str, start: object = None, end: object = No
 
 def quantile_trim(df: DataFrame, col: str, trim: float) -> DataFrame:
     """Rows between the trim and 1 - trim quantiles, both included."""
-    low, high = df.agg(F.percentile(col, trim), F.percentile(col, 1 - trim)).first()
+    low, high = percentiles(df, col, [trim, 1 - trim])
     return df.where(F.col(col).between(low, high))
 
 

@@ -54,8 +54,7 @@ def column_flags(profile: DataFrame, treatment: str | None = None, outcome: str
     out += ["small_sample"] if n < SMALL else []
     out += ["high_dimensional"] if n and effective_columns(rows) ** 2 > n else []
     out += ["heavy_missingness"] if any(r["missing_rate"] > HEAVY_MISSING for r in rows) else []
-    pairs = censoring_pairs([r["name"] for r in rows if r["suspected_time_column"]], [r["name"] for r in rows if r["suspected_event_indicator"]])
-    shares = [prevalence(by_name[e]) for _, e in pairs]
+    shares = [prevalence(by_name[p["event_column"]]) for p in censoring_pairs(profile).collect()]
     out += ["heavy_censoring"] if any(s is not None and s < HEAVY_CENSORED for s in shares) else []
     p = prevalence(y) if y else None
     if p is not None:

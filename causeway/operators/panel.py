@@ -9,10 +9,13 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-
-from causeway.functions.storage import checkpointed
+from causeway.functions.moments import sums, unpack
+from causeway.operators.ranks import percentiles
 from causeway.operators.results import frame, row
 
+#: Periods of a two-way model, and values of an experiment with synthetic controls (32 MB).
+MAX_PERIODS, MAX_CELLS = 2_000, 4_000_000
+
 
 def design(df: DataFrame, time: str, onset: str) -> str:
     """two_period, staggered_with_never_treated or staggered_all_treated."""
@@ -43,6 +46,39 @@ def group_time_effects(df: DataFrame, unit: str, time: str, outcome: str, onset:
                         F.sqrt(F.col("va") / F.col("n_treated") + F.col("vb") / F.col("n_control")).alias("se"), "n_treated", "n_control")
 
 
+def adjusted_group_time_effects(df: DataFrame, unit: str, time: str, outcome: str, onset: str, covariates: list[str], anticipation: int = 0) -> DataFrame:
+    """The same cells with covariates, taken in the period before onset: never-treated units' differences are regressed
+    on them, and treated units compared with what that predicts for their mean covariates. Cells whose controls
+    don't outnumber the coefficients are left out."""
+    xs = list(covariates)
+    d = df.select(F.col(unit).alias("u"), F.col(time).alias("t"), F.col(outcome).cast("double").alias("y"), F.col(onset).alias("g"), *[F.col(c).cast("double").alias(c) for c in xs])
+    groups = d.where("g is not null").select(F.col("g").alias("cohort")).distinct()
+    rows = d.where("g is not null").withColumns({"cohort": F.col("g"), "tr": F.lit(1)}).unionByName(d.where("g is null").crossJoin(F.broadcast(groups)).withColumn("tr", F.lit(0)))
+    before = d.select("u", F.col("t").alias("bt"), F.col("y").alias("by"), *xs).na.drop()
+    diff = rows.drop(*xs).withColumn("bt", F.col("cohort") - 1 - anticipation).join(before, ["u", "bt"]).withColumn("dy", F.col("y") - F.col("by"))
+    names = ["dy", *xs]
+    grams = diff.groupBy("cohort", "t").agg(*[c.alias(f"{arm}_{k}") for arm in (0, 1) for k, c in enumerate(sums([F.col(c) for c in names], (F.col("tr") == arm).cast("double")))])
+
+    def solve(batches):
+        for b in batches:
+            out = []
+            for r in b.itertuples(index=False):
+                half = (len(r) - 2) // 2
+                c, t = unpack(names, list(r)[2 : 2 + half]), unpack(names, list(r)[2 + half :])
+                if t.n < 1 or c.n <= len(xs) + 1:
+                    continue
+                beta, rss, inverse = c.ols("dy", xs)
+                mean = np.concatenate([[1.0], t.block(["(1)"], xs)[0] / t.n])
+                z = ["(1)", *xs]
+                own = t.block(["dy"], ["dy"])[0, 0] - 2 * beta @ t.block(z, ["dy"])[:, 0] + beta @ t.block(z, z) @ beta
+                att = t.block(["(1)"], ["dy"])[0, 0] / t.n - mean @ beta
+                var = max(0.0, own / t.n - att * att) * t.n / max(t.n - 1, 1) / t.n + rss / (c.n - len(xs) - 1) * mean @ inverse @ mean
+                out.append((r[0], r[1], r[1] - r[0], float(att), math.sqrt(var), int(t.n), int(c.n)))
+            yield pd.DataFrame(out, columns=["g", "t", "e", "att", "se", "n_treated", "n_control"])
+
+    return grams.mapInPandas(solve, "g long, t long, e long, att double, se double, n_treated long, n_control long")
+
+
 def event_study(cells: DataFrame) -> DataFrame:
     """(e, att, se, n): cells of one distance from onset, weighted by their treated units."""
     w = F.col("n_treated")
@@ -60,29 +96,47 @@ def group_time(df: DataFrame, unit: str, time: str, outcome: str, onset: str, co
     return frame(df.sparkSession, [row("panel.group_time", onset, outcome, post[0], post[1], post[2], estimand="ATT", pretrend_p=chi2_sf(pre[0], pre[1]) if pre[1] else None)])
 
 
-def demeaned(df: DataFrame, unit: str, time: str, value: str, rounds: int = 100, tolerance: float = 1e-8) -> DataFrame:
-    """(unit, time, fixed effects a and b): value = a(unit) + b(time) fitted by turns, checkpointed every few rounds."""
-    d = df.select(F.col(unit).alias("u"), F.col(time).alias("t"), F.col(value).cast("double").alias("y")).na.drop().persist()
-    b = d.select("t").distinct().withColumn("b", F.lit(0.0))
-    a = None
-    for k in range(rounds):
-        a = d.join(F.broadcast(b), "t").groupBy("u").agg(F.avg(F.col("y") - F.col("b")).alias("a"))
-        new = d.join(a, "u").groupBy("t").agg(F.avg(F.col("y") - F.col("a")).alias("nb"))
-        step = checkpointed(new.join(b, "t").select("t", F.col("nb").alias("b"), F.abs(F.col("nb") - F.col("b")).alias("s")))
-        change = step.agg(F.max("s")).first()[0]
-        b = step.select("t", "b")
-        if change is None or change < tolerance:
-            break
-    a = checkpointed(d.join(F.broadcast(b), "t").groupBy("u").agg(F.avg(F.col("y") - F.col("b")).alias("a")))
-    return a.crossJoin(F.broadcast(b))
+def two_way_effects(df: DataFrame, unit: str, time: str, value: str) -> tuple[DataFrame, DataFrame]:
+    """((u, a), (t, b)): value = a(unit) + b(time) by least squares.
+
+    Unit effects are taken out of the normal equations, which leaves one equation a period: their
+    matrix is summed over units by tasks and solved at once. Periods are at most MAX_PERIODS.
+    """
+    d = df.select(F.col(unit).alias("u"), F.col(time).alias("t"), F.col(value).cast("double").alias("y")).na.drop()
+    found = [r["t"] for r in d.select("t").distinct().limit(MAX_PERIODS + 1).collect()]
+    if len(found) > MAX_PERIODS:
+        raise ValueError(f"over {MAX_PERIODS} periods")
+    periods = sorted(found)
+    place = {p: i for i, p in enumerate(periods)}
+    n = len(periods)
+    per = d.groupBy("u").agg(F.collect_list("t").alias("t"), F.collect_list("y").alias("y"))
+
+    def add(batches):
+        a, r = np.zeros((n, n)), np.zeros(n)
+        for b in batches:
+            for ts, ys in zip(b["t"], b["y"], strict=True):
+                c = np.bincount([place[x] for x in ts], minlength=n).astype(float)
+                total = np.bincount([place[x] for x in ts], weights=ys, minlength=n)
+                a += np.diag(c) - np.outer(c, c) / c.sum()
+                r += total - c * (total.sum() / c.sum())
+        k = np.flatnonzero(a.ravel())
+        yield pd.DataFrame({"k": np.concatenate([k, n * n + np.arange(n)]), "v": np.concatenate([a.ravel()[k], r])})
+
+    both = np.zeros(n * n + n)
+    for row_ in per.mapInPandas(add, "k long, v double").groupBy("k").agg(F.sum("v").alias("v")).collect():
+        both[row_["k"]] = row_["v"]
+    b = np.linalg.pinv(both[: n * n].reshape(n, n), hermitian=True) @ both[n * n :] if n else np.zeros(0)
+    times = df.sparkSession.createDataFrame([(p, float(x)) for p, x in zip(periods, b, strict=True)], d.select("t").schema.add("b", "double"))
+    units = d.join(F.broadcast(times), "t").groupBy("u").agg(F.avg(F.col("y") - F.col("b")).alias("a"))
+    return units, times
 
 
 def imputation(df: DataFrame, unit: str, time: str, outcome: str, onset: str) -> DataFrame:
     """Effects as outcome less the untreated outcome imputed from unit and time effects of untreated rows; by distance and overall."""
     d = df.withColumn("_d", F.coalesce((F.col(time) >= F.col(onset)).cast("int"), F.lit(0)))
-    effects = demeaned(d.where("_d = 0"), unit, time, outcome)
+    units, times = two_way_effects(d.where("_d = 0"), unit, time, outcome)
     treated = d.where("_d = 1").select(F.col(unit).alias("u"), F.col(time).alias("t"), F.col(onset).alias("_g"), F.col(outcome).alias("_y"))
-    tau = treated.join(effects, ["u", "t"]).select(F.col("u").alias("_u"), (F.col("t") - F.col("_g")).alias("e"), (F.col("_y") - F.col("a") - F.col("b")).alias("tau"))
+    tau = treated.join(units, "u").join(F.broadcast(times), "t").select(F.col("u").alias("_u"), (F.col("t") - F.col("_g")).alias("e"), (F.col("_y") - F.col("a") - F.col("b")).alias("tau"))
     tau = tau.persist()
 
     def summary(group: list[str]) -> DataFrame:
@@ -94,20 +148,31 @@ def imputation(df: DataFrame, unit: str, time: str, outcome: str, onset: str) ->
 
     rows = [row("panel.imputation", onset, outcome, r["point"], r["se"], r["n"], estimand="ATT") for r in summary([]).collect()]
     rows += [row("panel.imputation", onset, outcome, r["point"], r["se"], r["n"], estimand="ATT", segment=f"e{r['e']}") for r in summary(["e"]).orderBy("e").collect()]
+    tau.unpersist()
     return frame(df.sparkSession, rows)
 
 
-def switchers(df: DataFrame, unit: str, time: str, outcome: str, treatment: str) -> DataFrame:
-    """First differences of switchers against stayers with the same treatment before, weighted by switchers; the same one period before is a placebo."""
+def switchers(df: DataFrame, unit: str, time: str, outcome: str, treatment: str, horizons: int = 1) -> DataFrame:
+    """Differences of switchers against stayers with the same treatment before, weighted by switchers.
+
+    At horizon h the difference runs from the period before the switch to h periods after it, of rows
+    that keep the new treatment against rows that keep the old one. The first difference one period
+    before the switch is a placebo.
+    """
     w = Window.partitionBy(unit).orderBy(time)
-    d = df.select(unit, F.col(time).alias("_time"), F.col(treatment).alias("d"), F.lag(treatment).over(w).alias("d0"), F.lag(treatment, 2).over(w).alias("d1"),
-                  (F.col(outcome) - F.lag(outcome).over(w)).alias("dy"), (F.lag(outcome).over(w) - F.lag(outcome, 2).over(w)).alias("dp")).where("d0 is not null")
+    ahead = w.rowsBetween(0, Window.unboundedFollowing)
+    d = df.select(unit, F.col(time).alias("_time"), F.col(treatment).alias("d"), F.lag(treatment).over(w).alias("d0"), F.lag(treatment, 2).over(w).alias("d1"), (F.lag(outcome).over(w) - F.lag(outcome, 2).over(w)).alias("dp"),
+                  *[(F.lead(outcome, h).over(w) - F.lag(outcome).over(w)).alias(f"dy{h}") for h in range(horizons)],
+                  *[(F.max(treatment).over(w.rowsBetween(0, h)) == F.min(treatment).over(w.rowsBetween(0, h))).alias(f"keep{h}") for h in range(horizons)],
+                  F.count("*").over(ahead).alias("left")).where("d0 is not null")
+    wanted = [("effect" if h == 0 else f"effect{h}", f"dy{h}", f"keep{h} and left > {h}") for h in range(horizons)] + [("placebo", "dp", "d1 is not null and d1 = d0")]
     rows = []
-    for name, col, only in (("effect", "dy", None), ("placebo", "dp", "d1 is not null and d1 = d0")):
-        x = d.where(only) if only else d
+    for name, col, only in wanted:
+        x = d.where(only)
         sw, st = F.col("d") != F.col("d0"), F.col("d") == F.col("d0")
-        g = x.groupBy("_time", "d0").agg(F.count_if(sw).alias("n"), F.count_if(st).alias("m"), F.avg(F.when(sw, F.col(col) * F.signum(F.col("d") - F.col("d0")))).alias("a"),
-                                         F.avg(F.when(sw, F.signum(F.col("d") - F.col("d0")))).alias("sg"), F.avg(F.when(st, F.col(col))).alias("b"),
+        sign = F.signum(F.col("d") - F.col("d0"))
+        g = x.groupBy("_time", "d0").agg(F.count_if(sw).alias("n"), F.count_if(st).alias("m"), F.avg(F.when(sw, F.col(col) * sign)).alias("a"),
+                                         F.avg(F.when(sw, sign)).alias("sg"), F.avg(F.when(st, F.col(col))).alias("b"),
                                          F.coalesce(F.var_samp(F.when(sw, F.col(col))), F.lit(0.0)).alias("va"), F.coalesce(F.var_samp(F.when(st, F.col(col))), F.lit(0.0)).alias("vb"))
         g = g.where("n > 0 and m > 0")
         r = g.agg(F.sum(F.col("n") * (F.col("a") - F.col("sg") * F.col("b"))) / F.sum("n"), F.sqrt(F.sum(F.col("n") ** 2 * (F.col("va") / F.col("n") + F.col("vb") / F.col("m")))) / F.sum("n"), F.sum("n")).first()
@@ -116,12 +181,12 @@ def switchers(df: DataFrame, unit: str, time: str, outcome: str, treatment: str)
     return frame(df.sparkSession, rows)
 
 
-def negative_weights(df: DataFrame, unit: str, time: str, treatment: str) -> float:
-    """Share of treated rows whose weight in a two-way fixed-effect regression is negative."""
-    effects = demeaned(df, unit, time, treatment)
-    treated = df.where(F.col(treatment) == 1).select(F.col(unit).alias("u"), F.col(time).alias("t"), F.col(treatment).alias("_d"))
-    r = treated.join(effects, ["u", "t"]).withColumn("_r", F.col("_d") - F.col("a") - F.col("b"))
-    return r.agg(F.avg((F.col("_r") < 0).cast("double"))).first()[0] or 0.0
+def negative_weights(df: DataFrame, unit: str, time: str, treatment: str) -> DataFrame:
+    """(share, n): the share of treated rows whose weight in a two-way fixed-effect regression is negative."""
+    units, times = two_way_effects(df, unit, time, treatment)
+    treated = df.where(F.col(treatment) == 1).select(F.col(unit).alias("u"), F.col(time).alias("t"))
+    r = treated.join(units, "u").join(F.broadcast(times), "t").select((1 - F.col("a") - F.col("b")).alias("r"))
+    return r.agg(F.coalesce(F.avg((F.col("r") < 0).cast("double")), F.lit(0.0)).alias("share"), F.count("*").alias("n"))
 
 
 def pretrend_bounds(study: DataFrame, grid: tuple[float, ...] = (0.0, 0.5, 1.0, 1.5, 2.0), level: float = 0.95) -> DataFrame:
@@ -159,63 +224,93 @@ def simplex(a: np.ndarray, b: np.ndarray, rounds: int = 5000) -> np.ndarray:
     return w
 
 
-def _control(y: np.ndarray, x: np.ndarray, pre: np.ndarray, method: str) -> tuple[np.ndarray, np.ndarray, float]:
-    """(weights, counterfactual over all periods, ATT) of y against donors x (periods x donors)."""
-    a, b = x[pre].T @ x[pre], x[pre].T @ y[pre]
-    if method == "sdid":
-        xc, yc = x[pre] - x[pre].mean(0), y[pre] - y[pre].mean()
-        w = simplex(xc.T @ xc + 1e-6 * np.trace(a) / len(b) * np.eye(len(b)), xc.T @ yc)
-        post_mean = x[~pre].mean(0)
-        z = x[pre].T - x[pre].T.mean(0)
-        lam = simplex(z.T @ z + 1e-6 * np.trace(z.T @ z) * np.eye(int(pre.sum())), z.T @ (post_mean - post_mean.mean()))
-        gap = y - x @ w
-        att = gap[~pre].mean() - lam @ gap[pre]
-        return w, x @ w + lam @ gap[pre], float(att)
-    w = simplex(a, b)
-    fit = x @ w
-    if method == "ascm":  # ridge correction of what the simplex leaves
-        ridge = 0.1 * np.trace(a) / len(b)
-        fit = fit + x @ np.linalg.solve(a + ridge * np.eye(len(b)), x[pre].T @ (y - fit)[pre])
-    return w, fit, float((y - fit)[~pre].mean())
+class Series:
+    """The series of an experiment's units (rows) over periods, with the sums that every placebo reads parts of."""
+
+    def __init__(self, x: np.ndarray, pre: np.ndarray):
+        self.x, self.pre = x, pre
+        self.before, self.after = x[:, pre] @ x[:, pre].T, x[:, ~pre] @ x[:, ~pre].T
+        self.mean0, self.mean1 = x[:, pre].mean(1), x[:, ~pre].mean(1)
+        self.times = x[:, pre].T @ x[:, pre]
+
+    def control(self, target: int, pool: np.ndarray, method: str) -> tuple[float, float, float]:
+        """(att, pre_rmspe, post_rmspe) of a unit against its synthetic control of the units in pool."""
+        a, b = self.before[np.ix_(pool, pool)], self.before[pool, target]
+        t0, t1 = int(self.pre.sum()), int((~self.pre).sum())
+        shift = 0.0
+        if method == "sdid":
+            m = self.mean0
+            centred = a - t0 * np.outer(m[pool], m[pool])
+            w = simplex(centred + 1e-6 * np.trace(a) / len(pool) * np.eye(len(pool)), b - t0 * m[pool] * m[target])
+            x = self.x[np.ix_(pool, np.flatnonzero(self.pre))]
+            column = x.mean(0)
+            z = self.times - sum(np.outer(v, v) for v in np.delete(self.x[:, self.pre], pool, axis=0)) - len(pool) * np.outer(column, column)
+            post = self.mean1[pool]
+            lam = simplex(z + 1e-6 * np.trace(z) * np.eye(t0), x.T @ post - len(pool) * column * post.mean())
+            shift = float(lam @ (self.x[target, self.pre] - w @ x))
+        else:
+            w = simplex(a, b)
+            if method == "ascm":  # ridge correction of what the simplex leaves
+                w = w + np.linalg.solve(a + 0.1 * np.trace(a) / len(pool) * np.eye(len(pool)), b - a @ w)
+        v = np.zeros(len(self.x))
+        v[pool], v[target] = -w, 1.0
+        gap0, gap1 = v @ self.mean0, v @ self.mean1
+        rms = lambda g, gap, t: math.sqrt(max(0.0, (v @ g @ v) / t - 2 * shift * gap + shift * shift))
+        return float(gap1 - shift), rms(self.before, gap0, t0), rms(self.after, gap1, t1)
 
 
 def synthetic_control(df: DataFrame, unit: str, time: str, outcome: str, treated: object, start: object, method: str = "scm", donors: list | None = None) -> DataFrame:
     """(unit, is_treated, att, pre_rmspe, post_rmspe, ratio): the treated unit and each donor in its place.
 
-    Every placebo is a group of its own: the panel of units (those of one experiment) goes to each
-    task as one row per unit, and the simplex is solved there.
+    Units need a value in every period of the table; others are left out, and a treated unit with gaps is an error. An experiment has at most MAX_CELLS values: they are sent to
+    all workers once, where the sums of products are made once and every placebo reads its part.
     """
-    wide = df.groupBy(unit).agg(F.sort_array(F.collect_list(F.struct(F.col(time).cast("double").alias("t"), F.col(outcome).cast("double").alias("y")))).alias("s"))
-    wide = wide.where(F.col(unit).isin([treated, *donors])) if donors is not None else wide
-    # the units of one experiment, each a series
-    series = wide.select(F.col(unit).cast("string").alias("u"), "s")
-    whole = series.agg(F.collect_list(F.struct("u", "s")).alias("all"))
-    jobs = series.select(F.col("u").alias("target")).repartition("target").crossJoin(F.broadcast(whole))
-    name, at = str(treated), float(start)
+    d = df.select(F.col(unit).cast("string").alias("u"), F.col(time).cast("double").alias("t"), F.col(outcome).cast("double").alias("y")).na.drop()
+    if donors is not None:
+        d = d.where(F.col("u").isin([str(treated), *map(str, donors)]))
+    d = d.groupBy("u", "t").agg(F.avg("y").alias("y"))
+    n_cells, n_periods = d.agg(F.count("*"), F.count_distinct("t")).first()
+    if n_cells > MAX_CELLS:
+        raise ValueError(f"{n_cells} values in one experiment, over {MAX_CELLS}: name the donors, or widen the periods")
+    whole = d.groupBy("u").agg(F.sort_array(F.collect_list(F.struct("t", "y"))).alias("s")).where(F.size("s") == n_periods).collect()
+    whole.sort(key=lambda r: r["u"])
+    names = [r["u"] for r in whole]
+    if str(treated) not in names:
+        raise ValueError("the treated unit lacks values in some periods")
+    pre = np.array([p["t"] for p in whole[0]["s"]]) < float(start)
+    own = names.index(str(treated))
+    shared = df.sparkSession.sparkContext.broadcast((np.array([[p["y"] for p in r["s"]] for r in whole]), pre))
+    jobs = df.sparkSession.range(len(names)).repartition(max(1, min(len(names), 200)))
 
     def solve(batches):
+        series = None
         for b in batches:
+            series = series or Series(*shared.value)
             out = []
-            for target, units in zip(b["target"], b["all"], strict=True):
-                times = np.array([p["t"] for p in units[0]["s"]])
-                data = {u["u"]: np.array([p["y"] for p in u["s"]], float) for u in units if len(u["s"]) == len(times)}
-                pool = [u for u in sorted(data) if u not in (name, target)]
-                pre = times < at
-                if target not in data or not pool or pre.sum() < 2 or pre.all():
+            for k in b["id"]:
+                pool = np.array([j for j in range(len(names)) if j not in (own, k)], int)
+                if not len(pool) or pre.sum() < 2 or pre.all():
                     continue
-                _, fit, att = _control(data[target], np.stack([data[u] for u in pool], axis=1), pre, method)
-                gap = data[target] - fit
-                a, c = (float(np.sqrt(np.mean(gap[m] ** 2))) for m in (pre, ~pre))
-                out.append((target, target == name, att, a, c, c / max(a, 1e-12)))
+                att, a, c = series.control(int(k), pool, method)
+                out.append((names[k], k == own, att, a, c, c / max(a, 1e-12)))
             yield pd.DataFrame(out, columns=["unit", "is_treated", "att", "pre_rmspe", "post_rmspe", "ratio"])
 
     return jobs.mapInPandas(solve, "unit string, is_treated boolean, att double, pre_rmspe double, post_rmspe double, ratio double")
 
 
+def placebo_summary(all_: DataFrame) -> dict[str, float]:
+    """The treated unit's figures among its placebos': att, sd, n, rank, p, quantiles."""
+    all_ = all_.persist()
+    own = all_.where("is_treated").first()
+    others = all_.where("not is_treated")
+    n, above, sd = others.agg(F.count("*"), F.count_if(F.col("ratio") >= own["ratio"]), F.stddev_samp("att")).first()
+    low, high = percentiles(others, "att", [0.05, 0.95])
+    all_.unpersist()
+    return {"att": own["att"], "sd": sd, "n": n, "placebo_p": (above + 1) / (n + 1), "rank": above + 1, "rmspe_ratio": own["ratio"], "placebo_q05": low, "placebo_q95": high, "pre_rmspe": own["pre_rmspe"]}
+
+
 def synthetic_effect(df: DataFrame, unit: str, time: str, outcome: str, treated: object, start: object, method: str = "scm", donors: list | None = None) -> DataFrame:
     """The treated unit's effect with its placebo rank, p, and the 5 and 95 percent placebo effects (not an interval around the point)."""
-    all_ = synthetic_control(df, unit, time, outcome, treated, start, method, donors).persist()
-    own = all_.where("is_treated").first()
-    n, above, low, high, sd = all_.where("not is_treated").agg(F.count("*"), F.count_if(F.col("ratio") >= own["ratio"]), F.percentile("att", 0.05), F.percentile("att", 0.95), F.stddev_samp("att")).first()
-    return frame(df.sparkSession, [row(f"panel.{method}", str(treated), outcome, own["att"], sd, n + 1, estimand="ATT", placebo_p=(above + 1) / (n + 1), rank=above + 1, rmspe_ratio=own["ratio"],
-                                       placebo_q05=low, placebo_q95=high, pre_rmspe=own["pre_rmspe"])])
+    got = placebo_summary(synthetic_control(df, unit, time, outcome, treated, start, method, donors))
+    att, sd, n = got.pop("att"), got.pop("sd"), got.pop("n")
+    return frame(df.sparkSession, [row(f"panel.{method}", str(treated), outcome, att, sd, n + 1, estimand="ATT", **got)])

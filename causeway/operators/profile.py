@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import re
 from itertools import combinations
 
@@ -10,24 +11,34 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from causeway.functions.moments import number
+from causeway.operators.ranks import quantiles
 
-# fixed values: name patterns and value formats
+# fixed values: name patterns, value formats, thresholds
 IDENTIFIER_NAME = re.compile(r"(^id$|_id$|^uuid$|^guid$|patient|subject_no)", re.I)
 EVENT_NAME = re.compile(r"(event|status|censored|indicator)$", re.I)
 TIME_NAME = re.compile(r"(time|days|months|years|duration|tenure)$", re.I)
-TIME_SUFFIX = re.compile(r"(_days|_time|_months|_years|_duration|_tenure)$", re.I)
-EVENT_SUFFIX = re.compile(r"(_event|_status|_censored|_indicator)$", re.I)
+TIME_SUFFIXES = "days|time|months|years|duration|tenure"
+EVENT_SUFFIXES = "event|status|censored|indicator"
 FORMATS = {
     "identifier_like": r"^[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{12}$",
     "email_like": r"^[^@\s]+@[^@\s]+\.[^@\s]+$",
     "url_like": r"^https?://",
     "zip_like": r"^\d{5}(-\d{4})?$",
-    "date_like": r"^(\d{4}-\d{2}-\d{2}|\d{2}/\d{2}/\d{4}|\d{2}-\d{2}-\d{4}|\d{4}/\d{2}/\d{2})",
 }
+DATES = [r"^\d{4}-\d{2}-\d{2}", r"^\d{2}/\d{2}/\d{4}", r"^\d{2}-\d{2}-\d{4}", r"^\d{4}/\d{2}/\d{2}"]
+#: Logical types by facts of a column; the first condition that holds names it.
+TYPES = [
+    ("n = 0", "categorical"), ("class = 'time'", "datetime"), ("class = 'boolean'", "binary"), ("class in ('whole', 'number') and zero_one and distinct = 2", "binary"),
+    ("class = 'whole' and distinct <= 10", "ordinal"), ("class = 'whole' and min >= 0 and distinct <= 50", "count"),
+    ("class = 'whole' and distinct > 0.95 * n and suspected_name", "identifier"), ("class = 'whole' and distinct > 0.95 * n", "count"), ("class in ('whole', 'number')", "continuous"),
+    ("suspected_name and distinct > 0.9 * n", "identifier"), ("distinct <= 50 or distinct < 0.5 * n", "categorical"), ("date_like > 0.8", "date"), ("true", "text"),
+]
+STRING_FORMATS = [*[(f"{k} > 0.8", k) for k in (*FORMATS, "date_like")], ("length > 30", "free_text"), ("distinct > 0.95 * n", "identifier_like"), ("true", "categorical_like")]
 TOP = 20
-#: Above this many rows quantiles are approximate (relative rank error 1e-4).
-EXACT_QUANTILE_ROWS = 20_000_000
+#: Up to so many distinct values a column's are counted exactly; beyond, the cardinality is an estimate (within about 5 %).
+COUNTED_VALUES = 10_000
 _INTEGERS = (T.ByteType, T.ShortType, T.IntegerType, T.LongType)
+_POINTS = {"p5": 0.05, "p25": 0.25, "p50": 0.5, "p75": 0.75, "p95": 0.95}
 
 
 def is_missing(df: DataFrame, c: str) -> Column:
@@ -63,25 +74,27 @@ def entropy(top: DataFrame) -> DataFrame:
     return top.withColumn("p", p).groupBy("name").agg(F.min_by("value", "place").alias("mode"), (-F.sum(F.col("p") * F.log2(F.col("p") + 1e-12))).alias("entropy"))
 
 
-def continuous_stats(df: DataFrame, cols: list[str], n_rows: int | None = None) -> DataFrame:
-    """(name, n, mean, sd, min, max, p5, p25, p50, p75, p95, skew, kurtosis); the last two are bias-corrected."""
-    exact = (n_rows if n_rows is not None else df.count()) <= EXACT_QUANTILE_ROWS
-    points = [0.05, 0.25, 0.5, 0.75, 0.95]
-    aggregates: list[Column] = []
-    for i, c in enumerate(cols):
-        x = number(c)
-        quantiles = F.percentile(x, F.array(*map(F.lit, points))) if exact else F.percentile_approx(x, points, 10_000)
-        aggregates += [F.count(x).alias(f"n{i}"), F.avg(x).alias(f"m{i}"), F.stddev_samp(x).alias(f"s{i}"), F.min(x).alias(f"a{i}"),
-                       F.max(x).alias(f"b{i}"), F.skewness(x).alias(f"g{i}"), F.kurtosis(x).alias(f"k{i}"), quantiles.alias(f"q{i}")]
-    wide = df.agg(*aggregates)
-    each = [F.struct(F.lit(c).alias("name"), *[F.col(f"{a}{i}").alias(a) for a in "nmsabgkq"]) for i, c in enumerate(cols)]
-    n = F.col("n").cast("double")
-    return wide.select(F.explode(F.array(*each)).alias("r")).select("r.*").select(
-        "name", "n", F.col("m").alias("mean"), F.col("s").alias("sd"), F.col("a").alias("min"), F.col("b").alias("max"),
-        *[F.col("q")[j].alias(f"p{int(p * 100)}") for j, p in enumerate(points)],
-        F.when(n > 2, F.sqrt(n * (n - 1)) / (n - 2) * F.col("g")).otherwise(0.0).alias("skew"),
-        F.when(n > 3, (n - 1) / ((n - 2) * (n - 3)) * ((n + 1) * F.col("k") + 6)).otherwise(0.0).alias("kurtosis"),
-    )
+def _measures(c: str, i: int) -> list[Column]:
+    x = number(c)
+    return [F.count(x).alias(f"n{i}"), F.avg(x).alias(f"m{i}"), F.stddev_samp(x).alias(f"s{i}"), F.min(x).alias(f"a{i}"), F.max(x).alias(f"b{i}"), F.skewness(x).alias(f"g{i}"), F.kurtosis(x).alias(f"k{i}")]
+
+
+def _measured(row, c: str, i: int, quantiles_: dict[str, list]) -> dict:
+    """The figures of a column from a row of _measures; skew and kurtosis are bias-corrected."""
+    n, g, k = row[f"n{i}"], row[f"g{i}"], row[f"k{i}"]
+    skew = math.sqrt(n * (n - 1)) / (n - 2) * g if n > 2 and g is not None else 0.0
+    kurtosis = (n - 1) / ((n - 2) * (n - 3)) * ((n + 1) * k + 6) if n > 3 and k is not None else 0.0
+    return {"name": c, "n": n, "mean": row[f"m{i}"], "sd": row[f"s{i}"], "min": row[f"a{i}"], "max": row[f"b{i}"], **dict(zip(_POINTS, quantiles_[c], strict=True)), "skew": skew, "kurtosis": kurtosis}
+
+
+STATS = "name string, n long, mean double, sd double, min double, max double, p5 double, p25 double, p50 double, p75 double, p95 double, skew double, kurtosis double"
+
+
+def continuous_stats(df: DataFrame, cols: list[str]) -> DataFrame:
+    """(name, n, mean, sd, min, max, p5, p25, p50, p75, p95, skew, kurtosis); quantiles are exact, the last two bias-corrected."""
+    row = df.agg(*[a for i, c in enumerate(cols) for a in _measures(c, i)]).first()
+    q = quantiles(df, cols, list(_POINTS.values()))
+    return df.sparkSession.createDataFrame([tuple(_measured(row, c, i, q).values()) for i, c in enumerate(cols)], STATS)
 
 
 def tukey_outliers(df: DataFrame, cols: list[str], stats: list) -> dict[str, int]:
@@ -139,105 +152,106 @@ def duplicate_rows(df: DataFrame, identifiers: list[str] | None = None) -> DataF
     return df.groupBy(*[F.col(f"`{c}`") for c in cols]).count().agg(F.coalesce(F.sum(F.col("count") - 1), F.lit(0)).alias("n_duplicates"))
 
 
-def logical_type(kind: T.DataType, name: str, n: int, distinct: int, low: float | None, values: set[str], dates: float) -> str:
-    if n == 0:
-        return "categorical"
+def censoring_pairs(profile: DataFrame) -> DataFrame:
+    """(time_column, event_column): suspected time and event columns whose names, without their suffixes, start alike."""
+    stem = lambda name, suffixes: F.lower(F.regexp_replace(name, f"(?i)(_({suffixes}))+$", ""))
+    # rows are columns of a table, so their product is small
+    times = profile.where("suspected_time_column").select(F.col("name").alias("time_column"), stem("name", TIME_SUFFIXES).alias("a"))
+    events = profile.where("suspected_event_indicator").select(F.col("name").alias("event_column"), stem("name", EVENT_SUFFIXES).alias("b"))
+    alike = (F.col("a") != "") & (F.col("b") != "") & (F.col("a").startswith(F.col("b")) | F.col("b").startswith(F.col("a")))
+    return times.crossJoin(F.broadcast(events)).where(alike).select("time_column", "event_column")
+
+
+def _case(table: list[tuple[str, str]]) -> Column:
+    out = F.when(F.expr(table[0][0]), table[0][1])
+    for condition, name in table[1:]:
+        out = out.when(F.expr(condition), name)
+    return out
+
+
+def _class(kind: T.DataType) -> str:
     if isinstance(kind, (T.TimestampType, T.TimestampNTZType, T.DateType)):
-        return "datetime"
+        return "time"
     if isinstance(kind, T.BooleanType):
-        return "binary"
-    if isinstance(kind, T.NumericType):
-        if distinct == 2 and {float(v) for v in values} <= {0.0, 1.0}:
-            return "binary"
-        if isinstance(kind, _INTEGERS):
-            if distinct <= 10:
-                return "ordinal"
-            if low is not None and low >= 0 and distinct <= 50:
-                return "count"
-            if distinct / n > 0.95:
-                return "identifier" if IDENTIFIER_NAME.search(name) else "count"
-        return "continuous"
-    if IDENTIFIER_NAME.search(name) and distinct / n > 0.9:
-        return "identifier"
-    if distinct <= 50 or distinct / n < 0.5:
-        return "categorical"
-    return "date" if dates > 0.8 else "text"
-
-
-def string_format(rates: dict[str, float], avg_length: float, distinct: int, n: int) -> str:
-    for name in FORMATS:
-        if rates[name] > 0.8:
-            return name
-    if avg_length > 30:
-        return "free_text"
-    return "identifier_like" if distinct / max(n, 1) > 0.95 else "categorical_like"
-
-
-def censoring_pairs(times: list[str], events: list[str]) -> list[tuple[str, str]]:
-    """Time and event columns whose names agree up to their suffixes."""
-
-    def stem(name: str, suffix: re.Pattern) -> str:
-        while (cut := suffix.sub("", name)) != name:
-            name = cut
-        return name.lower()
-
-    out = []
-    for t in times:
-        for e in events:
-            a, b = stem(t, TIME_SUFFIX), stem(e, EVENT_SUFFIX)
-            if a and b and (a.startswith(b) or b.startswith(a)):
-                out.append((t, e))
+        return "boolean"
+    return "whole" if isinstance(kind, _INTEGERS) else "number" if isinstance(kind, T.NumericType) else "text"
+
+
+def _counted(df: DataFrame, cols: list[str], many: list[str]) -> dict[str, tuple[int, list]]:
+    """For each column the number of distinct values and the top ones; many are those with too many values for one task."""
+    out: dict[str, tuple[int, list]] = {}
+    if cols:
+        w = Window.partitionBy("name")
+        rows = value_counts(df, cols).withColumns({"place": F.row_number().over(w.orderBy(F.desc("n"), "value")), "d": F.count("*").over(w)}).where(f"place <= {TOP}")
+        for r in rows.orderBy("name", "place").collect():
+            out.setdefault(r["name"], (r["d"], []))[1].append((r["value"], r["n"]))
+    if many:
+        counts = value_counts(df, many).persist()
+        sizes = {r[0]: r[1] for r in counts.groupBy("name").count().collect()}
+        for r in top_values(counts).orderBy("name", "place").collect():
+            out.setdefault(r["name"], (sizes[r["name"]], []))[1].append((r["value"], r["n"]))
+        counts.unpersist()
     return out
 
 
-PROFILE = (
-    "name string, dtype string, logical_dtype string, n_total long, n_missing long, missing_rate double, cardinality long,"
-    " mean double, sd double, min double, max double, p5 double, p25 double, p50 double, p75 double, p95 double, skew double,"
-    " kurtosis double, n_tukey_outliers long, top_values array<struct<value string, n long>>, mode string, entropy double,"
-    " suspected_identifier boolean, suspected_event_indicator boolean, suspected_time_column boolean, is_binary_01 boolean,"
-    " constant boolean, string_format string"
-)
+FACTS = (
+    "name string, dtype string, class string, n_total long, n_missing long, n long, distinct long, suspected_name boolean, zero_one boolean, length double, "
+    + ", ".join(f"{k} double" for k in (*FORMATS, "date_like")) + ", " + STATS.removeprefix("name string, n long, ") + ", outliers long, top array<struct<value string, n long>>, entropy double, event_name boolean, time_name boolean"
+)
+
 
+def profile(df: DataFrame, exact: bool = False) -> DataFrame:
+    """(name, dtype, logical_dtype, n_total, n_missing, missing_rate, cardinality, mean .. kurtosis, n_tukey_outliers, top_values,
+    mode, entropy, suspected_identifier, suspected_event_indicator, suspected_time_column, is_binary_01, constant, string_format), a row a column.
 
-def profile(df: DataFrame) -> DataFrame:
-    """profile_columns: everything above, one row a column, from four passes; only summaries reach the driver."""
+    One pass gives counts, moments, formats and estimates of distinct values; quantiles need three
+    more; values are only counted for columns of few of them, and for text columns that repeat theirs.
+    With exact, all columns' values are counted. Only summaries reach the driver.
+    """
     spark: SparkSession = df.sparkSession
     cols = _profilable(df)
     kinds = {f.name: f.dataType for f in df.schema.fields}
-    strings = [c for c in cols if isinstance(kinds[c], T.StringType)]
-    missing = {r["name"]: r for r in missing_rates(df).collect()}
-    n_rows = next(iter(missing.values()))["n_total"] if missing else 0
     numeric = [c for c in _numeric(df) if c in cols]
-    stats = {r["name"]: r for r in continuous_stats(df, numeric, n_rows).collect()} if numeric else {}
+    strings = [c for c in cols if isinstance(kinds[c], T.StringType)]
+    at = {c: i for i, c in enumerate(cols)}
+    made = [F.count("*").alias("total"), *[a for i, c in enumerate(cols) for a in (F.count_if(is_missing(df, c)).alias(f"lost{i}"), F.approx_count_distinct(F.when(~is_missing(df, c), F.col(f"`{c}`"))).alias(f"d{i}"))]]
+    made += [a for c in numeric for a in _measures(c, at[c])]
+    for c in strings:
+        rate = lambda p, c=c: F.avg(F.col(f"`{c}`").rlike(p).cast("int"))
+        made += [*[rate(p).alias(f"{k}{at[c]}") for k, p in FORMATS.items()], F.greatest(*[rate(p) for p in DATES]).alias(f"date_like{at[c]}"), F.avg(F.length(F.col(f"`{c}`"))).alias(f"length{at[c]}")]
+    if not cols:
+        return spark.createDataFrame([], FACTS).withColumn("logical_dtype", _case(TYPES)).selectExpr(*_PROFILE, _FORMAT)
+    row = df.agg(*made).first()
+    n = {c: row["total"] - row[f"lost{at[c]}"] for c in cols}
+    q = quantiles(df, numeric, list(_POINTS.values()))
+    stats = {c: _measured(row, c, at[c], q) for c in numeric}
     outliers = tukey_outliers(df, numeric, list(stats.values())) if numeric else {}
-    counts = value_counts(df, cols).persist()
-    distinct = {r["name"]: r["d"] for r in counts.groupBy("name").agg(F.count("*").alias("d")).collect()}
-    tops: dict[str, list] = {}
-    for r in top_values(counts).orderBy("name", "place").collect():
-        tops.setdefault(r["name"], []).append((r["value"], r["n"]))
-    entropies = {r["name"]: r for r in entropy(top_values(counts)).collect()}
-    counts.unpersist()
-    shapes: dict[str, tuple[dict[str, float], float]] = {}
-    if strings:
-        made = [F.avg(F.col(f"`{c}`").rlike(p).cast("int")).alias(f"{k}_{c}") for c in strings for k, p in FORMATS.items()]
-        row = df.agg(*made, *[F.avg(F.length(F.col(f"`{c}`"))).alias(f"len_{c}") for c in strings]).first()
-        shapes = {c: ({k: row[f"{k}_{c}"] or 0.0 for k in FORMATS}, row[f"len_{c}"] or 0.0) for c in strings}
+    few = [c for c in cols if n[c] and row[f"d{at[c]}"] <= COUNTED_VALUES]
+    many = [c for c in cols if n[c] and c not in few and (exact or (c in strings and row[f"d{at[c]}"] < 0.6 * n[c]))]
+    counts = _counted(df, few, many)
     rows = []
     for c in cols:
-        m, d = missing[c], distinct.get(c, 0)
-        n = m["n_total"] - m["n_missing"]
+        d, top = counts.get(c, (min(row[f"d{at[c]}"], n[c]), []))
+        total = sum(m for _, m in top)
+        entropy_ = -sum(m / total * math.log2(m / total + 1e-12) for _, m in top) if top else None
         s = stats.get(c)
-        values = {v for v, _ in tops.get(c, [])}
-        kind = logical_type(kinds[c], c, n, d, s["min"] if s else None, values, shapes[c][0]["date_like"] if c in shapes else 0.0)
-        measured = s if s and kind in ("continuous", "count", "ordinal") else None
-        listed = kind in ("categorical", "binary", "ordinal")
-        flat = c in numeric and {float(v) for v in values} <= {0.0, 1.0} and d <= 2
+        zero_one = c in numeric and d <= 2 and {float(v) for v, _ in top} <= {0.0, 1.0}
+        shape = [float(row[f"{k}{at[c]}"] or 0.0) if c in strings else None for k in ("length", *FORMATS, "date_like")]
         rows.append((
-            c, kinds[c].simpleString(), kind, m["n_total"], m["n_missing"], m["missing_rate"], d,
-            *[float(measured[k]) if measured and measured[k] is not None else None for k in ("mean", "sd", "min", "max", "p5", "p25", "p50", "p75", "p95", "skew", "kurtosis")],
-            outliers.get(c) if measured else None, tops.get(c, []) if listed else None,
-            entropies[c]["mode"] if listed and c in entropies else None, entropies[c]["entropy"] if listed and c in entropies else None,
-            kind == "identifier" or bool(IDENTIFIER_NAME.search(c)), bool(EVENT_NAME.search(c)) and (flat or d == 0), bool(TIME_NAME.search(c)),
-            flat and d > 0, d <= 1, string_format(*shapes[c], d, n) if c in shapes and kind in ("text", "categorical", "identifier") and n else None,
+            c, kinds[c].simpleString(), _class(kinds[c]), row["total"], row[f"lost{at[c]}"], n[c], d, bool(IDENTIFIER_NAME.search(c)), zero_one, *shape,
+            *[float(v) if s and (v := s[k]) is not None else None for k in ("mean", "sd", "min", "max", *_POINTS, "skew", "kurtosis")],
+            outliers.get(c), top, entropy_, bool(EVENT_NAME.search(c)), bool(TIME_NAME.search(c)),
         ))
-    return spark.createDataFrame(rows, PROFILE)
+    return spark.createDataFrame(rows, FACTS).withColumn("logical_dtype", _case(TYPES)).selectExpr(*_PROFILE, _FORMAT)
+
+
+_MEASURED, _LISTED = "logical_dtype in ('continuous', 'count', 'ordinal')", "logical_dtype in ('categorical', 'binary', 'ordinal')"
+_PROFILE = [
+    "name", "dtype", "logical_dtype", "n_total", "n_missing", "round(n_missing / greatest(n_total, 1), 4) as missing_rate", "distinct as cardinality",
+    *[f"case when {_MEASURED} then {k} end as {k}" for k in ("mean", "sd", "min", "max", *_POINTS, "skew", "kurtosis")],
+    f"case when {_MEASURED} then outliers end as n_tukey_outliers", f"case when {_LISTED} then top end as top_values",
+    f"case when {_LISTED} then try_element_at(top, 1).value end as mode", f"case when {_LISTED} then entropy end as entropy",
+    "logical_dtype = 'identifier' or suspected_name as suspected_identifier", "event_name and (zero_one or distinct = 0) as suspected_event_indicator",
+    "time_name as suspected_time_column", "zero_one and distinct > 0 as is_binary_01", "distinct <= 1 as constant",
+]
+_FORMAT = "case when class = 'text' and n > 0 and logical_dtype in ('text', 'categorical', 'identifier') and length is not null then case " + " ".join(f"when {c} then '{k}'" for c, k in STRING_FORMATS) + " end end as string_format"

@@ -6,14 +6,22 @@ Rows are dealt by ranges of the key and ordered within each; what each range add
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from causeway.functions.moments import number
+
+#: Accuracy of the sketches that bracket a quantile, and how many rows of a bracket are counted by value.
+ACCURACY, COUNTED = 10_000, 20_000
+
 
-def running_sums(df: DataFrame, order: list[Column], totals: dict[str, Column], ranges: int | None = None) -> DataFrame:
+def running_sums(df: DataFrame, order: list[Column], totals: dict[str, Column], ranges: int | None = None, whole: dict[str, str] | None = None, part: str | None = None) -> DataFrame:
     """df with running sums (this row included) of the given columns in a global order.
 
-    order must not tie between rows whose order matters.
+    order must not tie between rows whose order matters. whole names columns for the grand totals of
+    some of the sums, part one for the number of the row's range; ranges follow each other in order.
     """
     spark = df.sparkSession
     n = ranges or int(spark.conf.get("spark.sql.shuffle.partitions"))
@@ -21,12 +29,26 @@ def running_sums(df: DataFrame, order: list[Column], totals: dict[str, Column],
     names = [f"_o{i}" for i in range(len(order))]
     dealt = keyed.repartitionByRange(n, *names).withColumn("_part", F.spark_partition_id()).persist()
     sums = dealt.groupBy("_part").agg(*[F.sum(f"_v{i}").alias(f"_t{i}") for i in range(len(totals))])
-    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
     # one row a range
-    offsets = sums.select("_part", *[F.coalesce(F.sum(f"_t{i}").over(before), F.lit(0.0)).alias(f"_b{i}") for i in range(len(totals))])
+    before, all_ = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1), Window.partitionBy()
+    offsets = sums.select("_part", *[F.coalesce(F.sum(f"_t{i}").over(before), F.lit(0.0)).alias(f"_b{i}") for i in range(len(totals))],
+                          *[F.sum(f"_t{list(totals).index(of)}").over(all_).alias(name) for name, of in (whole or {}).items()])
     inside = Window.partitionBy("_part").orderBy(*names).rowsBetween(Window.unboundedPreceding, 0)
     out = dealt.withColumns({f"_s{i}": F.sum(f"_v{i}").over(inside) for i in range(len(totals))}).join(F.broadcast(offsets), "_part")
-    return out.select(*df.columns, *[(F.col(f"_s{i}") + F.col(f"_b{i}")).alias(name) for i, name in enumerate(totals)])
+    return out.select(*df.columns, *[(F.col(f"_s{i}") + F.col(f"_b{i}")).alias(name) for i, name in enumerate(totals)], *(whole or {}), *([F.col("_part").alias(part)] if part else []))
+
+
+def running_least(df: DataFrame, order: list[Column], value: str, group: str) -> DataFrame:
+    """df with value replaced by the least one so far of its group, in a global order that keeps groups together."""
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    names = [f"_o{i}" for i in range(len(order))]
+    dealt = df.withColumns({f"_o{i}": o for i, o in enumerate(order)}).repartitionByRange(n, *names).withColumn("_part", F.spark_partition_id()).persist()
+    ends = dealt.groupBy(group, "_part").agg(F.min(value).alias("_m"))
+    before = Window.partitionBy(group).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = ends.select(group, "_part", F.min("_m").over(before).alias("_b"))
+    inside = Window.partitionBy("_part", group).orderBy(*names).rowsBetween(Window.unboundedPreceding, 0)
+    out = dealt.withColumn("_s", F.min(value).over(inside)).join(offsets, [group, "_part"])
+    return out.select(*[F.least("_s", "_b").alias(value) if c == value else F.col(c) for c in df.columns])
 
 
 def average_ranks(df: DataFrame, col: str, name: str) -> DataFrame:
@@ -46,3 +68,79 @@ def weighted_quantiles(df: DataFrame, value: str, weight: Column, points: list[f
         return [None] * len(points)
     row = upto.agg(*[F.min(F.when(F.col("_upto") >= p * total - 1e-12 * total, F.col("_v"))).alias(f"q{i}") for i, p in enumerate(points)]).first()
     return list(row)
+
+
+def quantiles(df: DataFrame, columns: list[str] | dict[str, Column], points: list[float]) -> dict[str, list[float | None]]:
+    """For each column its exact quantiles, interpolated between neighbouring ranks; nulls and NaN are passed over.
+
+    Nothing is shuffled but counts: a sketch brackets each quantile, one pass counts what lies below
+    and inside the brackets, and brackets with too many rows are narrowed by sketches of their own.
+    Their values are then counted, and the two ranks in question picked among them.
+    """
+    of = columns if isinstance(columns, dict) else {c: number(c) for c in columns}
+    if not of:
+        return {}
+    x = df.select(*[c.cast("double").alias(f"x{i}") for i, c in enumerate(of.values())])
+    spread = 2.0 / ACCURACY
+    ends = sorted({min(1.0, max(0.0, p + d)) for p in points for d in (-spread, spread)})
+    first = x.agg(*[a for i in range(len(of)) for a in (F.count(f"x{i}"), F.percentile_approx(f"x{i}", ends, ACCURACY), F.min(f"x{i}"), F.max(f"x{i}"))]).first()
+    n, extremes, open_ = {}, {}, {}
+    for i in range(len(of)):
+        n[i], sketch, low, high = first[4 * i : 4 * i + 4]
+        if n[i]:
+            extremes[i] = (low, high)
+            at = dict(zip(ends, sketch, strict=True))
+            for k, p in enumerate(points):
+                a, b = max(0.0, p - spread), min(1.0, p + spread)
+                open_[i, k] = (low if a == 0 else at[a], high if b == 1 else at[b])
+    found: dict[tuple[int, int], tuple] = {}
+    same: set[tuple[int, int]] = set()  # brackets between two values that most of their rows have
+    rounds = 0
+    while open_:
+        rounds += 1
+        inside = {(i, k): F.col(f"x{i}").between(a, b) for (i, k), (a, b) in open_.items()}
+        counted = x.agg(*[c for (i, k), (a, _) in open_.items() for c in (F.count_if(F.col(f"x{i}") < a), F.count_if(inside[i, k]))]).first()
+        wide = {}
+        for j, ((i, k), (a, b)) in enumerate(open_.items()):
+            below, held = counted[2 * j], counted[2 * j + 1]
+            rank = (n[i] - 1) * points[k]
+            if below > math.floor(rank) or below + held < math.ceil(rank) + 1:
+                wide[i, k] = extremes[i]
+            elif held <= COUNTED or a == b or (i, k) in same or rounds > 20:
+                found[i, k] = (a, b, below, rank)
+            else:
+                wide[i, k] = (a, b, (rank - below) / held)
+        again = {t: v for t, v in wide.items() if len(v) == 3}
+        if again:
+            share = lambda v, d: min(1.0, max(0.0, v[2] + d))
+            narrow = x.agg(*[F.percentile_approx(F.when(inside[t], F.col(f"x{t[0]}")), [share(v, -spread), share(v, spread)], ACCURACY) for t, v in again.items()]).first()
+            wide |= {t: tuple(row) for t, row in zip(again, narrow, strict=True)}
+            same |= {t for t in again if wide[t] == open_[t]}
+        open_ = wide
+    if not found:
+        return {c: [None] * len(points) for c in of}
+    near = F.array(*[F.when(F.col(f"x{i}").between(a, b), F.struct(F.lit(i).alias("i"), F.lit(k).alias("k"), F.col(f"x{i}").alias("v"))) for (i, k), (a, b, _, _) in found.items()])
+    rows = x.select(F.explode(F.array_compact(near)).alias("r")).groupBy("r.i", "r.k", "r.v").agg(F.count("*").alias("n")).collect()
+    values: dict[tuple[int, int], list] = {t: [] for t in found}
+    for r in rows:
+        values[r[0], r[1]].append((r[2], r[3]))
+    out: dict[str, list[float | None]] = {}
+    for i, c in enumerate(of):
+        out[c] = []
+        for k in range(len(points)):
+            if (i, k) not in found:
+                out[c].append(None)
+                continue
+            _, _, below, rank = found[i, k]
+            picked, seen = [], below
+            for v, m in sorted(values[i, k]):
+                picked += [v] * sum(seen <= t < seen + m for t in sorted({math.floor(rank), math.ceil(rank)}))
+                seen += m
+            part = rank - math.floor(rank)
+            out[c].append(picked[0] if len(picked) == 1 else picked[0] * (1 - part) + picked[-1] * part)
+    return out
+
+
+def percentiles(df: DataFrame, column: str | Column, points: list[float]) -> list[float | None]:
+    """quantiles of one column."""
+    return quantiles(df, {"x": number(column) if isinstance(column, str) else column}, points)["x"]

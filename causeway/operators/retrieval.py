@@ -2,57 +2,111 @@
 
 from __future__ import annotations
 
-from pyspark.ml.feature import BucketedRandomProjectionLSH, NGram, Normalizer, RegexTokenizer
-from pyspark.ml.functions import array_to_vector
+import numpy as np
+import pandas as pd
+from pyspark.ml.feature import NGram, RegexTokenizer
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+#: Vectors in a packed block, and digits in which cosines that differ less are ties.
+BLOCK, TIE_DIGITS = 4096, 9
 
-def tfidf(df: DataFrame, row_id: str, text: str) -> DataFrame:
-    """(row_id, term, w): unit TF-IDF weights of all one- and two-word terms."""
+
+def term_counts(df: DataFrame, row_id: str, text: str) -> DataFrame:
+    """(row_id, term, n): occurrences of all one- and two-word terms, by 64-bit hash, counted within each row."""
     words = RegexTokenizer(inputCol="_t", outputCol="_w", pattern=r"\W+").transform(df.select(row_id, F.coalesce(text, F.lit("")).alias("_t")))
     both = NGram(n=2, inputCol="_w", outputCol="_b").transform(words)
-    counts = both.select(row_id, F.explode(F.concat("_w", "_b")).alias("term")).groupBy(row_id, "term").agg(F.count("*").alias("_n"))
-    idf = counts.groupBy("term").agg(F.log((df.count() + 1.0) / (F.count("*") + 1.0)).alias("_i"))
-    weights = counts.join(idf, "term").select(row_id, "term", (F.col("_n") * F.col("_i")).alias("w")).where("w != 0")
-    norms = weights.groupBy(row_id).agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("_l"))
-    return weights.join(norms, row_id).select(row_id, "term", (F.col("w") / F.col("_l")).alias("w"))
+    hashed = both.select(row_id, F.transform(F.concat("_w", "_b"), lambda x: F.xxhash64(x)).alias("_h"))
+
+    def count(batches):
+        for b in batches:
+            rows, sizes = b["_h"].tolist(), np.array([len(h) for h in b["_h"]], np.int64)
+            if not sizes.sum():
+                continue
+            owner, h = np.repeat(np.arange(len(rows)), sizes), np.concatenate([np.asarray(x, np.int64) for x in rows])
+            by = np.lexsort((h, owner))
+            owner, h = owner[by], h[by]
+            new = np.flatnonzero(np.concatenate([[True], (owner[1:] != owner[:-1]) | (h[1:] != h[:-1])]))
+            yield pd.DataFrame({row_id: b[row_id].to_numpy()[owner[new]], "term": h[new], "n": np.diff(np.append(new, len(h))).astype(np.int32)})
+
+    return hashed.mapInPandas(count, f"`{row_id}` {dict(df.dtypes)[row_id]}, term long, n int")
 
 
 def similar_texts(queries: DataFrame, corpus: DataFrame, text: str = "text", k: int = 5, query_id: str = "item_id", row_id: str = "doc_id") -> DataFrame:
-    """(query_id, row_id, cosine, place): the k most alike texts of each query, through shared terms."""
+    """(query_id, row_id, cosine, place): the k most alike texts of each query by TF-IDF over all terms of both, through shared terms.
+
+    idf is log((rows + 1) / (rows with the term + 1)). Ties in TIE_DIGITS digits go by row_id.
+    """
     both = queries.select(F.concat(F.lit("q"), F.col(query_id)).alias("id"), text).union(corpus.select(F.concat(F.lit("c"), F.col(row_id)).alias("id"), text))
-    w = tfidf(both, "id", text)
-    q, c = (w.where(F.col("id").startswith(p)).select(F.substring("id", 2, 40).cast("long").alias(n), "term", F.col("w").alias(f"w{p}")) for p, n in (("q", query_id), ("c", row_id)))
-    cos = q.join(c, "term").groupBy(query_id, row_id).agg(F.sum(F.col("wq") * F.col("wc")).alias("cosine"))
-    order = Window.partitionBy(query_id).orderBy(F.desc("cosine"), row_id)
+    counts = term_counts(both, "id", text)
+    idf = counts.groupBy("term").agg(F.log((both.count() + 1.0) / (F.count("*") + 1.0)).alias("i"))
+    w = counts.join(idf, "term").select("id", "term", (F.col("n") * F.col("i")).alias("w")).where("w != 0")
+    norms = w.groupBy("id").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
+    q = w.where(F.col("id").startswith("q")).select(F.col("id").alias("q"), "term", F.col("w").alias("wq"))
+    c = w.where(F.col("id").startswith("c")).select(F.col("id").alias("c"), "term", F.col("w").alias("wc"))
+    dot = q.join(c, "term").groupBy("q", "c").agg(F.sum(F.col("wq") * F.col("wc")).alias("dot"))
+    long = lambda x: F.substring(x, 2, 40).cast("long")
+    cos = dot.join(norms.toDF("q", "nq"), "q").join(norms.toDF("c", "nc"), "c").select(long("q").alias(query_id), long("c").alias(row_id), (F.col("dot") / F.col("nq") / F.col("nc")).alias("cosine"))
+    order = Window.partitionBy(query_id).orderBy(F.desc(F.round("cosine", TIE_DIGITS)), row_id)
     return cos.withColumn("place", F.row_number().over(order)).where(f"place <= {k}")
 
 
-def similar_vectors(queries: DataFrame, corpus: DataFrame, vector: str, k: int = 5, query_id: str = "q", row_id: str = "r") -> DataFrame:
-    """(query_id, row_id, cosine, place) by exact cosine of every query with every row, queries in blocks that tasks hold."""
-    unit = lambda c: F.transform(c, lambda x: x / F.sqrt(F.aggregate(c, F.lit(0.0), lambda a, y: a + y.cast("double") * y.cast("double"))))
-    q = queries.select(query_id, unit(F.col(vector)).alias("_q"))
-    c = corpus.select(row_id, unit(F.col(vector)).alias("_c"))
-    dot = F.aggregate(F.zip_with("_q", "_c", lambda a, b: a * b), F.lit(0.0), lambda a, b: a + b)
-    met = c.crossJoin(q).select(query_id, row_id, dot.alias("cosine"))
-    order = Window.partitionBy(query_id).orderBy(F.desc("cosine"), row_id)
+def packed(df: DataFrame, row_id: str, vector: str, names: tuple[str, str], by: str | None = None) -> DataFrame:
+    """Unit vectors in blocks of up to BLOCK rows of one task (and one value of by): ids and vectors as bytes, zero vectors left out."""
+    ids, vecs = names
+    key = F.col(by).cast("string") if by else F.lit("")
+
+    def pack(batches):
+        for b in batches:
+            x = np.stack([np.asarray(v, np.float64) for v in b["v"]]) if len(b) else np.zeros((0, 0))
+            norm = np.linalg.norm(x, axis=1) if len(b) else np.zeros(0)
+            for g in dict.fromkeys(b["g"]):
+                use = np.flatnonzero((b["g"] == g).to_numpy() & (norm > 0))
+                for at in range(0, len(use), BLOCK):
+                    some = use[at : at + BLOCK]
+                    yield pd.DataFrame({"g": [g], ids: [b["id"].to_numpy(np.int64)[some].tobytes()], vecs: [(x[some] / norm[some, None]).tobytes()]})
+
+    rows = df.where(F.col(vector).isNotNull()).select(F.col(row_id).cast("long").alias("id"), F.col(vector).cast("array<double>").alias("v"), key.alias("g"))
+    return rows.mapInPandas(pack, f"g string, {ids} binary, {vecs} binary")
+
+
+def nearest(queries: DataFrame, corpus: DataFrame, vector: str, k: int, query_id: str, row_id: str, by: str | None = None, least: float = -2.0) -> DataFrame:
+    """(query_id, row_id, cosine, place): exact best k of every query among all rows (with the same value of by).
+
+    Blocks of queries meet blocks of rows; of a pair of blocks only the k best rows of each query go on.
+    """
+    q, r = packed(queries, query_id, vector, ("qi", "qv"), by), packed(corpus, row_id, vector, ("ri", "rv"), by)
+    pairs = q.join(r, "g") if by else q.drop("g").crossJoin(r.drop("g"))
+
+    def best(batches):
+        for b in batches:
+            for qi, qv, ri, rv in zip(b["qi"], b["qv"], b["ri"], b["rv"], strict=True):
+                i, j = np.frombuffer(qi, np.int64), np.frombuffer(ri, np.int64)
+                cos = np.frombuffer(qv).reshape(len(i), -1) @ np.frombuffer(rv).reshape(len(j), -1).T
+                tied = np.round(cos, TIE_DIGITS)
+                order = np.lexsort((np.broadcast_to(j, cos.shape), -tied), axis=1)[:, :k]
+                top = np.take_along_axis(cos, order, axis=1)
+                keep = top >= least
+                yield pd.DataFrame({query_id: np.repeat(i, keep.sum(1)), row_id: j[order][keep], "cosine": top[keep]})
+
+    met = pairs.mapInPandas(best, f"`{query_id}` long, `{row_id}` long, cosine double")
+    order = Window.partitionBy(query_id).orderBy(F.desc(F.round("cosine", TIE_DIGITS)), row_id)
     return met.withColumn("place", F.row_number().over(order)).where(f"place <= {k}")
 
 
-def cache_lookup(requests: DataFrame, cache: DataFrame, bound: float = 0.95, width: float = 0.3, tables: int = 8) -> DataFrame:
-    """(request, hit, kind, cosine) of requests (request, template, hash, vec) in a cache (entry, template, hash, vec).
+def similar_vectors(queries: DataFrame, corpus: DataFrame, vector: str, k: int = 5, query_id: str = "q", row_id: str = "r") -> DataFrame:
+    """(query_id, row_id, cosine, place) by exact cosine of every query with every row, in blocks."""
+    return nearest(queries, corpus, vector, k, query_id, row_id)
+
+
+def cache_lookup(requests: DataFrame, cache: DataFrame, bound: float = 0.95) -> DataFrame:
+    """(request, hit, kind, cosine) of requests (request, template, hash, vec) in a cache (entry, template, hash, vec), one row a request.
 
-    Exact (template, hash) first; the rest through buckets of random projections of unit vectors, then exact cosine.
+    Exact (template, hash) first, then the nearest entry of the template by exact cosine if it reaches
+    the bound; others miss.
     """
     exact = requests.join(cache, ["template", "hash"]).groupBy("request").agg(F.min("entry").alias("hit")).select("request", "hit", F.lit("exact").alias("kind"), F.lit(1.0).alias("cosine"))
     left = requests.join(exact, "request", "left_anti")
-    norm = Normalizer(inputCol="_v", outputCol="_u")
-    a = norm.transform(left.select("request", "template", array_to_vector(F.transform("vec", lambda x: x.cast("double"))).alias("_v")))
-    b = norm.transform(cache.select("entry", "template", array_to_vector(F.transform("vec", lambda x: x.cast("double"))).alias("_v")))
-    lsh = BucketedRandomProjectionLSH(inputCol="_u", outputCol="_h", bucketLength=width, numHashTables=tables, seed=1).fit(b)
-    near = (2 * (1 - bound)) ** 0.5
-    got = lsh.approxSimilarityJoin(a, b, near, "_d").where("datasetA.template = datasetB.template")
-    got = got.select(F.col("datasetA.request").alias("request"), F.col("datasetB.entry").alias("hit"), (1 - F.col("_d") ** 2 / 2).alias("cosine"))
-    best = got.withColumn("_n", F.row_number().over(Window.partitionBy("request").orderBy(F.desc("cosine"), "hit"))).where("_n = 1")
-    return exact.unionByName(best.select("request", "hit", F.lit("near").alias("kind"), "cosine"))
+    near = nearest(left, cache, "vec", 1, "request", "entry", "template", bound).select("request", F.col("entry").alias("hit"), F.lit("near").alias("kind"), "cosine")
+    missed = left.select("request").join(near, "request", "left_anti").select("request", F.lit(None).cast("long").alias("hit"), F.lit("miss").alias("kind"), F.lit(None).cast("double").alias("cosine"))
+    return exact.unionByName(near).unionByName(missed)

@@ -6,7 +6,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from causeway.functions.moments import Moments, complete, hash_uniform, moments, unpack
+from causeway.functions.moments import Moments, complete, hash_key, hash_uniform, moments, unpack
 from causeway.operators.profile import is_missing
 
 COLLINEAR = 0.9
@@ -70,7 +70,7 @@ def double_selection(df: DataFrame, treatment: str, outcome: str, candidates: li
     """
     cols = [treatment, outcome, *candidates]
     d = df.select(row_id, *cols).na.drop()
-    fold = F.floor(hash_uniform(F.col(row_id), 17) * k)
+    fold = F.floor(hash_uniform(hash_key(df, row_id), 17) * k)
     from causeway.functions.moments import sums
 
     rows = d.groupBy(fold.alias("_f")).agg(*sums([F.col(c).cast("double") for c in cols])).collect()

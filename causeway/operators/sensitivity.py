@@ -8,10 +8,11 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from causeway.functions.moments import Moments, complete, hash_uniform, moments, replicate_moments, sums, unpack
-from causeway.functions.stats import two_sided_p
+from causeway.functions.moments import Moments, bucket_moments, complete, hash_key, hash_uniform, moments, replicate_moments, subsampled
+from causeway.functions.stats import NORMAL, two_sided_p
 from causeway.functions.storage import checkpointed
-from causeway.operators.ranks import average_ranks, running_sums
+from causeway.operators.diagnostics import propensity
+from causeway.operators.ranks import average_ranks, percentiles, running_least, running_sums
 
 # fixed values: colour thresholds
 GREEN_E, YELLOW_E, RED_CI = 3.0, 1.75, 1.25
@@ -85,68 +86,71 @@ def tipping_point(df: DataFrame, smd: float = 0.5) -> DataFrame:
     return df.withColumn("tipping_effect", bound / smd)
 
 
-def matched_gamma(pairs: DataFrame, diff: str, top: float = 20.0, alpha: float = 0.05) -> DataFrame:
-    """(gamma, p_1, verdict) of signed-rank sensitivity: the largest bias under which the effect stays significant.
+def matched_gamma(pairs: DataFrame, diff: str, top: float = 20.0, alpha: float = 0.05, statistic: str = "wilcoxon") -> DataFrame:
+    """(gamma, p_1, verdict) of matched differences: the largest bias under which the effect stays significant.
 
-    Ranks of absolute differences are global with ties averaged; only three sums leave Spark. A
-    downward effect is tested on negated differences with the same statistic.
+    A pair counts by the rank of its absolute difference (wilcoxon, ties averaged), by the difference
+    itself (t) or as one (sign). Only three sums leave Spark, and the bias solves a quadratic equation.
+    A downward effect is tested on negated differences with the same statistic.
     """
     d = pairs.select(F.col(diff).cast("double").alias("d")).where("d is not null and d != 0")
-    r = average_ranks(d.withColumn("a", F.abs("d")), "a", "q").withColumn("s", (F.col("d") > 0).cast("double"))
+    size = {"wilcoxon": lambda x: average_ranks(x, "a", "q"), "t": lambda x: x.withColumn("q", F.col("a")), "sign": lambda x: x.withColumn("q", F.lit(1.0))}[statistic]
+    r = size(d.withColumn("a", F.abs("d"))).withColumn("s", (F.col("d") > 0).cast("double"))
     up, total, square = r.agg(F.sum(F.col("s") * F.col("q")), F.sum("q"), F.sum(F.col("q") ** 2)).first()
+    schema = "statistic string, gamma double, p_1 double, verdict string"
     if not total:
-        return pairs.sparkSession.createDataFrame([(1.0, 1.0, "red")], "gamma double, p_1 double, verdict string")
-    w = max(up, total - up)
-
-    def p(g: float) -> float:
-        k = g / (1 + g)
-        return 0.5 * math.erfc((w - k * total) / math.sqrt(k * (1 - k) * square) / math.sqrt(2))
-
-    low, high = 1.0, top
-    if p(1.0) >= alpha:
-        gamma = 1.0
-    elif p(top) < alpha:
-        gamma = top
-    else:
-        for _ in range(80):
-            mid = (low + high) / 2
-            low, high = (mid, high) if p(mid) < alpha else (low, mid)
-        gamma = low
-    return pairs.sparkSession.createDataFrame([(gamma, p(1.0), "red" if gamma < 1.5 else "yellow" if gamma < 2 else "green")], "gamma double, p_1 double, verdict string")
+        return pairs.sparkSession.createDataFrame([(statistic, 1.0, 1.0, "red")], schema)
+    w, z = max(up, total - up), NORMAL.inv_cdf(1 - alpha)
+    p_1 = 0.5 * math.erfc((w - total / 2) / math.sqrt(square) * math.sqrt(2))
+    # (w - k total)^2 = z^2 k (1 - k) square, where k = gamma / (1 + gamma); the smaller root
+    a, b = total * total + z * z * square, 2 * w * total + z * z * square
+    k = (b - math.sqrt(max(0.0, b * b - 4 * a * w * w))) / (2 * a)
+    gamma = 1.0 if p_1 >= alpha else min(top, k / (1 - k) if k < 1 else top)
+    return pairs.sparkSession.createDataFrame([(statistic, gamma, p_1, "red" if gamma < 1.5 else "yellow" if gamma < 2 else "green")], schema)
 
 
 def adjusted_p(df: DataFrame, p: str = "p_value", family: str | None = None, method: str = "bh") -> DataFrame:
-    """df with adjusted_p within each family: bh, by, bonferroni or none. Rows without p keep null."""
-    whole = Window.partitionBy(family) if family else Window.partitionBy(F.lit(0))
-    m = F.count(p).over(whole)
+    """df with adjusted_p within each family, or over all rows: bh, by, bonferroni or none. Rows without p keep null.
+
+    Distinct p-values are counted first; their running counts and the least of the later steps come
+    from ranges of (family, p).
+    """
     if method == "none":
         return df.withColumn("adjusted_p", F.col(p))
+    name = F.coalesce(F.col(family).cast("string"), F.lit("")) if family else F.lit("")
+    keyed = df.withColumn("_f", name)
+    sizes = keyed.groupBy("_f").agg(F.count(p).alias("_m"))
     if method == "bonferroni":
-        return df.withColumn("adjusted_p", F.least(F.col(p) * m, F.lit(1.0)))
-    upto = whole.orderBy(F.col(p).asc_nulls_last()).rangeBetween(Window.unboundedPreceding, 0)
-    harmonic = F.aggregate(F.sequence(F.lit(1).cast("long"), m), F.lit(0.0), lambda a, k: a + 1 / k) if method == "by" else F.lit(1.0)
-    step = df.withColumn("_s", F.col(p) * m * harmonic / F.count(p).over(upto))
-    later = whole.orderBy(F.col(p).asc_nulls_last()).rangeBetween(0, Window.unboundedFollowing)
-    return step.withColumn("adjusted_p", F.when(F.col(p).isNotNull(), F.least(F.min("_s").over(later), F.lit(1.0)))).drop("_s")
+        return keyed.join(sizes, "_f").withColumn("adjusted_p", F.least(F.col(p) * F.col("_m"), F.lit(1.0))).select(*df.columns, "adjusted_p")
+    counts = keyed.where(F.col(p).isNotNull()).groupBy("_f", F.col(p).alias("_p")).agg(F.count("*").alias("_n"))
+    first = running_sums(sizes, [F.col("_f")], {"_end": F.col("_m")}).select("_f", "_m", (F.col("_end") - F.col("_m")).alias("_start"))
+    upto = running_sums(counts, [F.col("_f"), F.col("_p")], {"_k": F.col("_n")}).join(first, "_f")
+    harmonic = F.log(F.col("_m").cast("double")) + 0.5772156649015329 + 1 / (2 * F.col("_m")) - 1 / (12 * F.col("_m") ** 2)
+    exact = F.aggregate(F.sequence(F.lit(1).cast("long"), F.least("_m", F.lit(10_000))), F.lit(0.0), lambda a, k: a + 1 / k)
+    factor = F.when(F.col("_m") <= 10_000, exact).otherwise(harmonic) if method == "by" else F.lit(1.0)
+    steps = upto.select("_f", "_p", (F.col("_p") * F.col("_m") * factor / (F.col("_k") - F.col("_start"))).alias("_s"))
+    least = running_least(steps, [F.col("_f"), -F.col("_p")], "_s", "_f").select("_f", F.col("_p").alias(p), F.least("_s", F.lit(1.0)).alias("adjusted_p"))
+    return keyed.join(least, ["_f", p], "left").select(*df.columns, "adjusted_p")
 
 
 def closed_evalues(df: DataFrame, p: str = "p_value", row_id: str = "hypothesis_id", family: str = "family") -> DataFrame:
     """df with e (calibrated from p) and adjusted_alpha of the closed test by mean e-values.
 
-    The smallest mean over sets that hold i is reached with the k smallest others, so prefix sums over
-    the ascending order give it: no sets are listed. A family's rows meet its prefixes, so families
-    should stay small (thousands).
+    The smallest mean over sets that hold i adds to i the smallest others, as long as they are under
+    the mean. The j-th smallest of a family is under it from the point j e(j) - (e(1) + .. + e(j-1))
+    on, and these points ascend, so one pass over the points and the values in their order counts and
+    sums the members of each set.
     """
     e = df.withColumn("e", calibrated(F.col(p)))
     order = Window.partitionBy(family).orderBy("e", row_id)
-    e = e.withColumns({"_k": F.row_number().over(order), "_p": F.sum("e").over(order.rowsBetween(Window.unboundedPreceding, 0))})
-    prefix = e.select(F.col(family).alias("_f"), F.col("_k").alias("_j"), F.col("_p").alias("_s"))
-    # prefixes that end before i add i; those that hold i are means as they are
-    met = e.join(prefix, F.col(family) == F.col("_f"))
-    mean = F.when(F.col("_j") < F.col("_k"), (F.col("_s") + F.col("e")) / (F.col("_j") + 1)).otherwise(F.col("_s") / F.col("_j"))
-    least = met.groupBy(F.col(family).alias("_f2"), F.col(row_id).alias("_i")).agg(F.min(F.least(mean, F.col("e"))).alias("_m"))
-    out = e.join(least, (F.col(family) == F.col("_f2")) & (F.col(row_id) == F.col("_i")))
-    return out.withColumn("adjusted_alpha", F.when(F.col("_m") > 0, 1 / F.col("_m")).otherwise(F.lit(float("inf")))).select(*df.columns, "e", "adjusted_alpha")
+    ranked = e.withColumns({"_k": F.row_number().over(order), "_b": F.coalesce(F.sum("e").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))})
+    points = ranked.select(F.col(family).alias("_f"), (F.col("_k") * F.col("e") - F.col("_b")).alias("_v"), F.lit(0).alias("_q"), "e", F.lit(None).cast(dict(df.dtypes)[row_id]).alias("_i"))
+    asked = e.select(F.col(family).alias("_f"), F.col("e").alias("_v"), F.lit(1).alias("_q"), "e", F.col(row_id).alias("_i"))
+    seen = Window.partitionBy("_f").orderBy("_v", "_q").rowsBetween(Window.unboundedPreceding, 0)
+    both = points.unionByName(asked).withColumns({"_n": F.sum(1 - F.col("_q")).over(seen), "_s": F.sum(F.when(F.col("_q") == 0, F.col("e")).otherwise(0.0)).over(seen)})
+    least = both.where("_q = 1").select(F.col("_f").alias(family), F.col("_i").alias(row_id), F.least((F.col("e") + F.col("_s")) / (F.col("_n") + 1), F.col("e")).alias("_least"))
+    out = e.join(least, [family, row_id])
+    return out.withColumn("adjusted_alpha", F.when(F.col("_least") > 0, 1 / F.col("_least")).otherwise(F.lit(float("inf")))).select(*df.columns, "e", "adjusted_alpha")
 
 
 def calibrated(p: Column) -> Column:
@@ -174,17 +178,21 @@ def panel_verdicts(panels: DataFrame) -> DataFrame:
     return panels.groupBy("hypothesis_id").agg(F.min_by("colour", rank).alias("verdict"), F.count("*").alias("panels"))
 
 
+# fixed values: least rows, widest interval in points, largest propensity, refutation in deviations, rows that disqualify
+FEW_USED, WIDE, SATURATED, DIVERGENT, DISQUALIFIED = 30, 10, 0.99, 3, 10
+
+
 def anomalies(df: DataFrame) -> DataFrame:
     """df with flags (array) and recommendation, from point, ci, p, n_used, propensity_min and _max, refutation_se, naive."""
     width, point = F.abs(F.col("ci_high") - F.col("ci_low")), F.col("point")
     clear = (F.col("ci_low") > 0) | (F.col("ci_high") < 0)
     flip = (F.col("naive") != 0) & (point != 0) & ((F.col("naive") > 0) != (point > 0))
     rules = {
-        "near_zero_n_used": F.col("n_used") < 30, "ci_too_wide": (point != 0) & (width > 10 * F.abs(point)), "p_inconsistent_with_ci": clear != (F.col("p_value") <= 0.05),
-        "saturated_propensity": (F.col("propensity_max") > 0.99) | (F.col("propensity_min") < 0.01), "refutation_divergence": F.abs("refutation_se") > 3, "sign_flip_vs_naive": flip,
+        "near_zero_n_used": F.col("n_used") < FEW_USED, "ci_too_wide": (point != 0) & (width > WIDE * F.abs(point)), "p_inconsistent_with_ci": clear != (F.col("p_value") <= 0.05),
+        "saturated_propensity": (F.col("propensity_max") > SATURATED) | (F.col("propensity_min") < 1 - SATURATED), "refutation_divergence": F.abs("refutation_se") > DIVERGENT, "sign_flip_vs_naive": flip,
     }
     out = df.withColumn("flags", F.array_compact(F.array(*[F.when(c, k) for k, c in rules.items()])))
-    advice = F.when(F.col("n_used") < 10, "disqualify").when(F.array_contains("flags", "sign_flip_vs_naive"), "rerun_with_different_estimator").when(F.size("flags") > 0, "review").otherwise("accept")
+    advice = F.when(F.col("n_used") < DISQUALIFIED, "disqualify").when(F.array_contains("flags", "sign_flip_vs_naive"), "rerun_with_different_estimator").when(F.size("flags") > 0, "review").otherwise("accept")
     return out.withColumn("recommendation", advice)
 
 
@@ -192,13 +200,14 @@ def refutations(df: DataFrame, key: str, treatment: str, outcome: str, covariate
     """(test, estimate, delta_se, passed): a placebo treatment of the same share, a random common cause, and subsamples.
 
     All refits come from one pass: the placebo and the random cause are columns of the same moment
-    matrix, the subsamples are weights.
+    matrix, the subsamples are sets of hash buckets.
     """
     names = [outcome, treatment, *covariates, "_placebo", "_cause"]
-    d = df.select(key, *[F.col(c).cast("double").alias(c) for c in (outcome, treatment, *covariates)]).na.drop()
+    d = df.select(hash_key(df, key).alias("_k"), *[F.col(c).cast("double").alias(c) for c in (outcome, treatment, *covariates)]).na.drop()
     p = d.agg(F.avg(treatment)).first()[0]
-    d = d.withColumns({"_placebo": (hash_uniform(F.col(key), 101) < p).cast("double"), "_cause": hash_uniform(F.col(key), 103)})
-    whole, *parts = replicate_moments(d, names, [F.lit(1.0), *[F.when(hash_uniform(F.col(key), s) < share, 1.0).otherwise(0.0) for s in range(draws)]])
+    d = d.withColumns({"_placebo": (hash_uniform(F.col("_k"), 101) < p).cast("double"), "_cause": hash_uniform(F.col("_k"), 103)})
+    buckets = bucket_moments(d, "_k", names)
+    whole, parts = Moments(names, buckets.sum(0)), subsampled(buckets, names, draws, share)
 
     def fit(m: Moments, t: str, xs: list[str]) -> tuple[float, float]:
         beta, rss, inverse = m.ols(outcome, [t, *xs])
@@ -212,33 +221,121 @@ def refutations(df: DataFrame, key: str, treatment: str, outcome: str, covariate
     return df.sparkSession.createDataFrame([(a, b, c, abs(c) < 2) for a, b, c in rows], "test string, estimate double, delta_se double, passed boolean")
 
 
-def specification_curve(df: DataFrame, treatment: str, outcome: str, sets: dict[str, list[str]], trims: tuple[float, ...] = (0.0, 0.05), windows: dict[str, str] | None = None) -> DataFrame:
-    """(set, trim, window, point, se, p_value, n): every specification is a submatrix of one moment matrix per trim and window.
+def specification_curve(
+    df: DataFrame, treatment: str, outcome: str, sets: dict[str, list[str]], trims: tuple[float, ...] = (0.0, 0.05), windows: dict[str, str] | None = None,
+    estimators: tuple[str, ...] = ("ols",),
+) -> DataFrame:
+    """(set, trim, window, estimator, point, se, p_value, n): every specification is a submatrix of one moment matrix per trim and window.
 
-    Trims cut the outcome's tails; windows are row filters. One pass gives all matrices.
+    Trims cut the outcome's tails; windows are row filters. The estimator ols has common slopes,
+    interacted has slopes for each arm and takes the effect at mean covariates. One pass gives all matrices.
     """
     cols = list(dict.fromkeys([outcome, treatment, *[c for s in sets.values() for c in s]]))
     windows = windows or {"all": "true"}
     d = df.na.drop(subset=cols)
-    cuts = {t: d.agg(F.percentile(outcome, t), F.percentile(outcome, 1 - t)).first() for t in trims if t > 0}
+    points = sorted({x for t in trims if t > 0 for x in (t, 1 - t)})
+    at = dict(zip(points, percentiles(d, outcome, points), strict=True)) if points else {}
     cells = [(t, w) for t in trims for w in windows]
-    use = [(F.col(outcome).between(*cuts[t]) if t in cuts else F.lit(True)) & F.expr(windows[w]) for t, w in cells]
-    made = replicate_moments(d.withColumns({c: F.col(c).cast("double") for c in cols}), cols, [F.when(u, 1.0).otherwise(0.0) for u in use])
+    use = [(F.col(outcome).between(at[t], at[1 - t]) if t > 0 else F.lit(True)) & F.expr(windows[w]) for t, w in cells]
+    inter = [c for c in cols if c not in (outcome, treatment)] if "interacted" in estimators else []
+    wide = d.withColumns({c: F.col(c).cast("double") for c in cols}).withColumns({f"_t_{c}": F.col(treatment).cast("double") * F.col(c) for c in inter} or {"_": F.lit(0)})
+    names = [*cols, *[f"_t_{c}" for c in inter]]
+    made = replicate_moments(wide, names, [F.when(u, 1.0).otherwise(0.0) for u in use])
     rows = []
     for (t, w), m in zip(cells, made, strict=True):
         for name, xs in sets.items():
-            beta, rss, inverse = m.ols(outcome, [treatment, *xs])
-            se = math.sqrt(rss / max(1.0, m.n - len(xs) - 2) * inverse[1, 1])
-            rows.append((name, t, w, float(beta[1]), se, two_sided_p(beta[1] / se) if se else None, int(m.n)))
-    return df.sparkSession.createDataFrame(rows, "set string, trim double, window string, point double, se double, p_value double, n long")
+            for how in estimators:
+                point, se = _specified(m, treatment, outcome, xs, how)
+                rows.append((name, t, w, how, point, se, two_sided_p(point / se) if se else None, int(m.n)))
+    return df.sparkSession.createDataFrame(rows, "set string, trim double, window string, estimator string, point double, se double, p_value double, n long")
+
+
+def _specified(m: Moments, treatment: str, outcome: str, xs: list[str], how: str) -> tuple[float, float]:
+    """(point, classical error) of one specification."""
+    extra = [f"_t_{c}" for c in xs] if how == "interacted" else []
+    beta, rss, inverse = m.ols(outcome, [treatment, *xs, *extra])
+    grad = np.zeros(len(beta))
+    grad[1] = 1.0
+    for k, c in enumerate(xs):
+        if extra:
+            grad[2 + len(xs) + k] = m.block(["(1)"], [c])[0, 0] / m.n
+    return float(grad @ beta), math.sqrt(max(0.0, rss / max(1.0, m.n - len(beta)) * grad @ inverse @ grad))
+
+
+def permuted_curves(df: DataFrame, key: str, treatment: str, outcome: str, sets: dict[str, list[str]], draws: int = 20) -> DataFrame:
+    """(draw, median, share_significant) of the curve over sets, under the given treatment (draw 0) and under draws of a
+    treatment by chance with the same share; the joint p-value is the share of draws with a median as far from zero.
+
+    Only for sets that are principled equivalents. All draws are columns of one moment matrix.
+    """
+    cols = list(dict.fromkeys([outcome, treatment, *[c for s in sets.values() for c in s]]))
+    d = df.select(hash_key(df, key).alias("_k"), *[F.col(c).cast("double").alias(c) for c in cols]).na.drop()
+    p = d.agg(F.avg(treatment)).first()[0]
+    fake = [f"_d{i}" for i in range(1, draws + 1)]
+    d = d.withColumns({n: (hash_uniform(F.col("_k"), 300 + i) < p).cast("double") for i, n in enumerate(fake)})
+    m = moments(d, [*cols, *fake])
+    rows = []
+    for i, t in enumerate([treatment, *fake]):
+        got = [_specified(m, t, outcome, xs, "ols") for xs in sets.values()]
+        rows.append((i, float(np.median([x for x, _ in got])), float(np.mean([abs(x) > 1.959963984540054 * s for x, s in got]))))
+    return df.sparkSession.createDataFrame(rows, "draw int, median double, share_significant double")
+
+
+def joint_p(curves: DataFrame) -> DataFrame:
+    """(median, joint_p): how often a draw by chance has a median as far from zero as the given treatment's."""
+    own = curves.where("draw = 0").select(F.abs("median").alias("_own"), "median")
+    far = curves.where("draw > 0").select(F.abs("median").alias("_m")).crossJoin(F.broadcast(own))
+    return far.agg(F.first("median").alias("median"), ((F.count_if(F.col("_m") >= F.col("_own")) + 1) / (F.count("*") + 1)).alias("joint_p"))
 
 
 def curve_summary(curve: DataFrame) -> DataFrame:
     """One row: median, share significant, share of the median's sign, smallest Bonferroni p."""
     n = F.count("*")
-    a = curve.agg(F.percentile("point", 0.5).alias("median"), n.alias("specs"), F.avg((F.col("p_value") < 0.05).cast("double")).alias("share_significant"), F.least(F.min("p_value") * n, F.lit(1.0)).alias("bonferroni_p"))
-    return a.crossJoin(curve.agg(F.avg(F.signum("point")).alias("_s"), F.avg((F.col("point") > 0).cast("double")).alias("_p"))).select(
-        "median", "specs", "share_significant", F.when(F.col("median") > 0, F.col("_p")).otherwise(1 - F.col("_p")).alias("share_sign"), "bonferroni_p")
+    (median,) = percentiles(curve, "point", [0.5])
+    a = curve.agg(F.lit(median).cast("double").alias("median"), n.alias("specs"), F.avg((F.col("p_value") < 0.05).cast("double")).alias("share_significant"), F.least(F.min("p_value") * n, F.lit(1.0)).alias("bonferroni_p"),
+                  F.avg((F.col("point") > 0).cast("double")).alias("_p"))
+    return a.select("median", "specs", "share_significant", F.when(F.col("median") > 0, F.col("_p")).otherwise(1 - F.col("_p")).alias("share_sign"), "bonferroni_p")
+
+
+def adjustment(edges: list[tuple[str, str]], treatment: str) -> list[str]:
+    """The parents of the treatment in a graph of directed edges: adjusting for them closes all back-door paths."""
+    return sorted({a for a, b in edges if b == treatment})
+
+
+def multiverse(df: DataFrame, treatment: str, outcome: str, graphs: dict[str, list[tuple[str, str]]], selections: tuple[str, ...] = ("none", "pruned"), estimators: tuple[str, ...] = ("ols", "interacted"), bound: float = 0.9) -> DataFrame:
+    """(graph, selection, estimator, covariates, point, se, p_value, n, same_sign): the effect in every world of a graph, a way to
+    choose among its adjustment columns, and an estimator, all from one moment matrix.
+
+    pruned drops a column that is collinear with one kept before it. A graph in which the outcome
+    leads to the treatment has no effect to tell and gives no rows. same_sign compares with the first row.
+    """
+
+    def reaches(edges: list[tuple[str, str]], a: str, b: str) -> bool:
+        seen, left = set(), [a]
+        while left:
+            x = left.pop()
+            if x == b:
+                return True
+            left += [v for u, v in edges if u == x and v not in seen]
+            seen.add(x)
+        return False
+
+    usable = {g: adjustment(e, treatment) for g, e in graphs.items() if not reaches(e, outcome, treatment)}
+    cols = list(dict.fromkeys([outcome, treatment, *[c for s in usable.values() for c in s]]))
+    inter = [c for c in cols if c not in (outcome, treatment)]
+    d = complete(df, cols)
+    m = moments(d.withColumns({f"_t_{c}": F.col(treatment) * F.col(c) for c in inter}) if inter else d, [*cols, *[f"_t_{c}" for c in inter]])
+    rows: list[tuple] = []
+    for g, given in usable.items():
+        for how in selections:
+            xs = []
+            for c in given:
+                if how == "none" or all(abs(m.correlation([c, k])[0, 1]) < bound for k in xs):
+                    xs.append(c)
+            for e in estimators:
+                point, se = _specified(m, treatment, outcome, xs, e)
+                rows.append((g, how, e, ",".join(xs), point, se, two_sided_p(point / se) if se else None, int(m.n), (point > 0) == (rows[0][4] > 0) if rows else True))
+    return df.sparkSession.createDataFrame(rows, "graph string, selection string, estimator string, covariates string, point double, se double, p_value double, n long, same_sign boolean")
 
 
 def average_over_graphs(df: DataFrame) -> DataFrame:
@@ -255,7 +352,7 @@ def average_over_graphs(df: DataFrame) -> DataFrame:
 def joint_table(df: DataFrame, treatment: str, outcome: str) -> DataFrame:
     """(treatment, outcome, n, share) of two discrete columns."""
     g = df.groupBy(F.col(treatment).alias("treatment"), F.col(outcome).alias("outcome")).agg(F.count("*").alias("n"))
-    return g.withColumn("share", F.col("n") / F.sum("n").over(Window.partitionBy(F.lit(0))))
+    return g.crossJoin(F.broadcast(g.agg(F.sum("n").alias("_all")))).withColumn("share", F.col("n") / F.col("_all")).drop("_all")
 
 
 def worst_case_bounds(df: DataFrame, treatment: str, outcome: str) -> DataFrame:
@@ -280,22 +377,55 @@ def energy_distance(df: DataFrame, value: str, group: str) -> float:
     """Twice the integral of the squared gap of two groups' distribution functions (1-D energy distance), by running sums."""
     d = df.where(F.col(value).isNotNull()).groupBy(F.col(value).cast("double").alias("v")).agg(F.count_if(F.col(group) == 1).alias("a"), F.count_if(F.col(group) == 0).alias("b"))
     a, b = d.agg(F.sum("a"), F.sum("b")).first()
-    upto = running_sums(d, [F.col("v")], {"fa": F.col("a"), "fb": F.col("b")}).withColumn("part", F.spark_partition_id())
+    upto = running_sums(d, [F.col("v")], {"fa": F.col("a"), "fb": F.col("b")}, part="part").persist()
     nxt = upto.select(F.col("v"), "fa", "fb", F.lead("v").over(Window.partitionBy("part").orderBy("v")).alias("n"), "part")
-    # the gap from a range's last value to the next range's first
-    edges = upto.groupBy("part").agg(F.min("v").alias("first")).select((F.dense_rank().over(Window.orderBy("part"))).alias("k"), "part", "first")
-    after = edges.select((F.col("k") - 1).alias("k"), F.col("first").alias("to")).join(edges.select("k", "part"), "k").select("part", "to")
-    gap = nxt.join(F.broadcast(after), "part", "left").select((F.coalesce("n", "to") - F.col("v")).alias("w"), (F.col("fa") / a - F.col("fb") / b).alias("g"))
-    return float(gap.agg(F.coalesce(F.sum(F.col("w") * F.col("g") ** 2), F.lit(0.0))).first()[0]) * 2
+    # the gap from a range's last value to the next range's first; one row a range
+    edges = upto.groupBy("part").agg(F.min("v").alias("first"))
+    after = edges.select("part", F.lead("first").over(Window.orderBy("part")).alias("to"))
+    gap = nxt.join(F.broadcast(after), "part").select((F.coalesce("n", "to") - F.col("v")).alias("w"), (F.col("fa") / a - F.col("fb") / b).alias("g"))
+    out = float(gap.agg(F.coalesce(F.sum(F.col("w") * F.col("g") ** 2), F.lit(0.0))).first()[0]) * 2
+    upto.unpersist()
+    return out
+
+
+def scored_estimators(df: DataFrame, treatment: str, outcome: str, covariates: list[str], cates: list[str], threshold: float = 0.0, trim: float = 0.05) -> DataFrame:
+    """(estimator, energy, erupt, chosen) of columns of effects per row.
+
+    erupt is the inverse-propensity value of treating where the effect exceeds the threshold. energy
+    adds, for both arms, the distance of an arm's outcomes moved by its effects to the other arm's
+    outcomes, on rows with common support. The choice has the lowest energy among those in the top
+    quarter by value, or among all if there are fewer than four.
+    """
+    keep = df.select(F.col(treatment).cast("double").alias("_t"), F.col(outcome).cast("double").alias("_y"), *[F.col(c).cast("double").alias(f"x{i}") for i, c in enumerate(covariates)], *[F.col(c).cast("double").alias(f"c{i}") for i, c in enumerate(cates)]).na.drop()
+    d = propensity(keep, "_t", [f"x{i}" for i in range(len(covariates))], "_e").withColumn("_e", F.least(F.greatest("_e", F.lit(trim)), F.lit(1 - trim))).persist()
+    own = F.when(F.col("_t") == 1, F.col("_e")).otherwise(1 - F.col("_e"))
+    values = d.agg(*[F.avg(F.when(F.col("_t") == (F.col(f"c{i}") > threshold).cast("double"), F.col("_y") / own).otherwise(0.0)) for i in range(len(cates))]).first()
+    rows = []
+    for i, name in enumerate(cates):
+        energy = 0.0
+        for arm in (0.0, 1.0):
+            moved = F.when(F.col("_t") == arm, F.col("_y") - (F.col(f"c{i}") if arm else -F.col(f"c{i}"))).otherwise(F.col("_y"))
+            energy += energy_distance(d.select(moved.alias("v"), (F.col("_t") == arm).cast("int").alias("g")), "v", "g")
+        rows.append((name, energy, float(values[i])))
+    d.unpersist()
+    least = float(np.quantile([r[2] for r in rows], 0.75)) if len(rows) >= 4 else -math.inf
+    best = min((r for r in rows if r[2] >= least), key=lambda r: r[1])[0]
+    return df.sparkSession.createDataFrame([(*r, r[0] == best) for r in rows], "estimator string, energy double, erupt double, chosen boolean")
 
 
 def contradictions(df: DataFrame) -> DataFrame:
-    """(id_a, id_b, treatment, outcome, kind): results of one pair with opposite signs; structural if estimand and modifiers agree."""
-    r = df.select("hypothesis_id", "treatment", "outcome", "estimand", F.size("modifiers").alias("mods"), F.signum("point").alias("s")).where("s != 0")
-    a, b = r.alias("a"), r.alias("b")
-    j = a.join(b, (F.col("a.treatment") == F.col("b.treatment")) & (F.col("a.outcome") == F.col("b.outcome")) & (F.col("a.hypothesis_id") < F.col("b.hypothesis_id")) & (F.col("a.s") != F.col("b.s")))
-    kind = F.when((F.col("a.estimand") == F.col("b.estimand")) & (F.col("a.mods") == 0) & (F.col("b.mods") == 0), "structural").otherwise("conditional")
-    return j.select(F.col("a.hypothesis_id").alias("id_a"), F.col("b.hypothesis_id").alias("id_b"), F.col("a.treatment").alias("treatment"), F.col("a.outcome").alias("outcome"), kind.alias("kind"))
+    """(hypothesis_id, treatment, outcome, sign, against, n_structural, n_conditional): each result that others of its pair contradict by sign.
+
+    against is the smallest id of the other sign. A contradiction is structural if the estimands agree
+    and neither has modifiers. All results of one sign are against all of the other, so counts per
+    group say what pairs would.
+    """
+    r = df.select("hypothesis_id", "treatment", "outcome", "estimand", (F.size("modifiers") == 0).alias("plain"), F.signum("point").alias("sign")).where("sign != 0")
+    pair = r.groupBy("treatment", "outcome", (-F.col("sign")).alias("sign")).agg(F.count("*").alias("n"), F.min("hypothesis_id").alias("against"))
+    same = r.where("plain").groupBy("treatment", "outcome", "estimand", "plain", (-F.col("sign")).alias("sign")).agg(F.count("*").alias("n_structural"))
+    met = r.join(pair, ["treatment", "outcome", "sign"]).join(same, ["treatment", "outcome", "estimand", "plain", "sign"], "left")
+    k = F.coalesce("n_structural", F.lit(0))
+    return met.select("hypothesis_id", "treatment", "outcome", "sign", "against", k.alias("n_structural"), (F.col("n") - k).alias("n_conditional"))
 
 
 def reinforcements(df: DataFrame) -> DataFrame:
@@ -323,16 +453,23 @@ def chains(df: DataFrame) -> DataFrame:
     return known.where("done").select("id", "root", "depth")
 
 
-#: Failure modes and the words that tell them, first match wins.
-FAILURES = {"positivity": "positivity|overlap|propensity", "convergence": "converg|singular|rank", "data": "missing|empty|too few|sample", "timeout": "timeout|time limit", "identification": "identif|back-door|instrument"}
+# fixed values: failure modes and the words that tell them; the first match wins, no reason is unknown, others are other
+FAILURES = [
+    ("unidentifiable", "unidentifi|no adjustment|no instrument"),
+    ("invalid_estimand", "unknown estimand|estimand class"),
+    ("fit_error", "fit|converge|singular"),
+    ("data_error", "data|column|missing"),
+    ("timeout", "timeout|killed"),
+]
 
 
 def failure_modes(df: DataFrame) -> DataFrame:
     """(estimator_id, mode, n) of rows (estimator_id, failure_reason)."""
-    mode = F.lit(None).cast("string")
-    for k, words in reversed(FAILURES.items()):
-        mode = F.when(F.lower("failure_reason").rlike(words), k).otherwise(mode)
-    return df.withColumn("mode", F.coalesce(mode, F.lit("other"))).groupBy("estimator_id", "mode").agg(F.count("*").alias("n"))
+    reason = F.lower(F.coalesce("failure_reason", F.lit("")))
+    mode = F.when(reason == "", "unknown")
+    for name, words in FAILURES:
+        mode = mode.when(reason.rlike(words), name)
+    return df.withColumn("mode", mode.otherwise("other")).groupBy("estimator_id", "mode").agg(F.count("*").alias("n"))
 
 
 def magnitudes(df: DataFrame) -> DataFrame:

@@ -14,8 +14,8 @@ from pyspark.sql import functions as F
 
 from causeway.functions.moments import Moments, sums, unpack
 from causeway.operators.effects import nnls
-from causeway.operators.panel import synthetic_control
-from causeway.operators.ranks import running_sums
+from causeway.operators.panel import placebo_summary, synthetic_control
+from causeway.operators.ranks import percentiles, running_sums
 from causeway.operators.results import frame, row
 
 
@@ -26,10 +26,9 @@ def uplift_curve(df: DataFrame, cate: str, outcome: str, treatment: str, row_id:
     """(row_id, k, fraction, gain): running gain k(mean treated - mean control) by descending effect, ties by id."""
     t, y = (F.col(treatment) > 0.5).cast("double"), F.col(outcome).cast("double")
     d = df.select(row_id, F.col(cate).cast("double").alias("_c"), y.alias("_y"), t.alias("_t"))
-    run = running_sums(d, [-F.col("_c"), F.col(row_id)], {"k": F.lit(1.0), "yt": F.col("_y") * F.col("_t"), "yc": F.col("_y") * (1 - F.col("_t")), "nt": F.col("_t"), "nc": 1 - F.col("_t")})
-    n = df.count()
+    run = running_sums(d, [-F.col("_c"), F.col(row_id)], whole={"n": "k"}, totals={"k": F.lit(1.0), "yt": F.col("_y") * F.col("_t"), "yc": F.col("_y") * (1 - F.col("_t")), "nt": F.col("_t"), "nc": 1 - F.col("_t")})
     mt, mc = F.when(F.col("nt") > 0, F.col("yt") / F.col("nt")).otherwise(0.0), F.when(F.col("nc") > 0, F.col("yc") / F.col("nc")).otherwise(0.0)
-    return run.select(row_id, F.col("k").cast("long").alias("k"), (F.col("k") / n).alias("fraction"), (F.col("k") * (mt - mc)).alias("gain"))
+    return run.select(row_id, F.col("k").cast("long").alias("k"), (F.col("k") / F.col("n")).alias("fraction"), (F.col("k") * (mt - mc)).alias("gain"))
 
 
 def uplift_scores(curve: DataFrame) -> DataFrame:
@@ -223,7 +222,8 @@ def impact_report(estimates: DataFrame) -> DataFrame:
     # methods are few
     pairs = a.join(b, F.col("a.method") < F.col("b.method")).select((F.col("a.point").between(F.col("b.ci_low"), F.col("b.ci_high")) & F.col("b.point").between(F.col("a.ci_low"), F.col("a.ci_high"))).cast("double").alias("ok"))
     share = pairs.agg(F.coalesce(F.avg("ok"), F.lit(1.0)).alias("share"))
-    base = estimates.agg(F.percentile("point", 0.5).alias("consensus"), F.count("*").alias("n_methods"))
+    (middle,) = percentiles(estimates, "point", [0.5])
+    base = estimates.agg(F.lit(middle).cast("double").alias("consensus"), F.count("*").alias("n_methods"))
     return base.crossJoin(share).withColumn("verdict", F.when(F.col("share") >= 0.99, "consistent").when(F.col("share") >= 0.5, "moderate").otherwise("divergent"))
 
 
@@ -242,13 +242,14 @@ def geo_lift(df: DataFrame, geo: str, time: str, outcome: str, treated: list, st
         together = df.where(F.col(geo).isin(use)).groupBy(F.col(time).alias("t")).agg((F.sum(outcome) / k).alias("y")).withColumn("g", F.lit("(treated)"))
         pool = df.where(~F.col(geo).isin(treated)) if donors is None else df.where(F.col(geo).isin(donors))
         both = together.select("g", "t", "y").unionByName(pool.select(F.col(geo).cast("string").alias("g"), F.col(time).alias("t"), F.col(outcome).cast("double").alias("y"))).persist()
-        got = synthetic_control(both, "g", "t", "y", "(treated)", start, method).persist()
-        own = got.where("is_treated").first()
-        n, above, low, high, sd = got.where("not is_treated").agg(F.count("*"), F.count_if(F.col("ratio") >= own["ratio"]), F.percentile("att", 0.05), F.percentile("att", 0.95), F.stddev_samp("att")).first()
+        got = placebo_summary(synthetic_control(both, "g", "t", "y", "(treated)", start, method))
+        att, sd, n, low, high = (got.pop(x) for x in ("att", "sd", "n", "placebo_q05", "placebo_q95"))
+        got.pop("pre_rmspe")
         total, periods = both.where((F.col("g") == "(treated)") & (F.col("t") >= start)).agg(F.sum("y"), F.count("*")).first()
-        base = total - own["att"] * periods
-        rows.append(row("geo.lift", ",".join(map(str, sorted(use))), outcome, own["att"] * k * periods, (sd or 0) * k * periods, k, estimand=name, percent=100 * own["att"] * periods / base if base else None,
-                        placebo_p=(above + 1) / (n + 1), rank=above + 1, rmspe_ratio=own["ratio"], placebo_q05=low * k * periods, placebo_q95=high * k * periods))
+        both.unpersist()
+        base = total - att * periods
+        rows.append(row("geo.lift", ",".join(map(str, sorted(use))), outcome, att * k * periods, (sd or 0) * k * periods, k, estimand=name, percent=100 * att * periods / base if base else None,
+                        placebo_q05=low * k * periods, placebo_q95=high * k * periods, placebos=n, **got))
     return frame(df.sparkSession, rows)
 
 
@@ -258,13 +259,28 @@ DECAYS = (0.0, 0.2, 0.4, 0.6, 0.7, 0.8)
 
 
 def adstock(df: DataFrame, group: list[str], time: str, spend: str, decays: tuple[float, ...] = DECAYS) -> DataFrame:
-    """(group, time, decay, adstock): a(t) = x(t) + decay a(t-1) per group and decay, by one ordered aggregate per group."""
-    rows = df.groupBy(*group).agg(F.sort_array(F.collect_list(F.struct(F.col(time).alias("t"), F.coalesce(F.col(spend).cast("double"), F.lit(0.0)).alias("x")))).alias("s"))
-    rows = rows.withColumn("decay", F.explode(F.array(*map(F.lit, decays))))
-    start = F.struct(F.lit(0.0).alias("last"), F.array().cast("array<double>").alias("all"))
-    step = lambda acc, p: F.struct((p["x"] + F.col("decay") * acc["last"]).alias("last"), F.concat(acc["all"], F.array(p["x"] + F.col("decay") * acc["last"])).alias("all"))
-    rows = rows.withColumn("a", F.aggregate("s", start, step, lambda acc: acc["all"]))
-    return rows.select(*group, "decay", F.explode(F.arrays_zip(F.col("s"), F.col("a"))).alias("z")).select(*group, F.col("z.s.t").alias(time), "decay", F.col("z.a").alias("adstock"))
+    """(group, time, decay, adstock): a(t) = x(t) + decay a(t-1) per group and decay, in the order of time; null spend is zero.
+
+    Groups are dealt to tasks and read as a stream in order: a task keeps the last values of one group.
+    """
+    d = df.select(*group, time, F.coalesce(F.col(spend).cast("double"), F.lit(0.0)).alias("_x"))
+    kinds = dict(d.dtypes)
+    rates = np.array(decays)
+
+    def walk(batches):
+        before, last = None, np.zeros(len(rates))
+        for b in batches:
+            out = np.empty((len(b), len(rates)))
+            keys = list(zip(*[b[g] for g in group], strict=True)) if group else [()] * len(b)
+            for i, (key, x) in enumerate(zip(keys, b["_x"].to_numpy(), strict=True)):
+                last = x + rates * last if key == before else x + 0 * rates
+                before = key
+                out[i] = last
+            yield pd.DataFrame({c: np.repeat(b[c].to_numpy(), len(rates)) for c in [*group, time]} | {"decay": np.tile(rates, len(b)), "adstock": out.ravel()})
+
+    dealt = d.repartition(*group) if group else d.coalesce(1)
+    schema = ", ".join(f"`{c}` {kinds[c]}" for c in [*group, time]) + ", decay double, adstock double"
+    return dealt.sortWithinPartitions(*group, time).mapInPandas(walk, schema)
 
 
 def hill(x: Column, half: Column, power: float) -> Column:

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from causeway.functions.moments import linear, moments, sandwich, sums, unpack
 from causeway.operators.diagnostics import balance, propensity
+from causeway.operators.ranks import percentiles
 from causeway.operators.results import frame, row
 
 
@@ -32,7 +33,7 @@ def weights(df: DataFrame, treatment: str, covariates: list[str], estimand: str
     if stabilize:
         p = out.agg(F.avg(treatment)).first()[0]
         out = out.withColumn("w", F.col("w") * F.when(F.col(treatment) == 1, p).otherwise(1 - p))
-    top = out.agg(F.percentile("w", trim)).first()[0]
+    (top,) = percentiles(out, "w", [trim])
     return out.withColumn("w", F.least("w", F.lit(top))).drop("_e")
 
 
@@ -109,7 +110,7 @@ def coarsened_match(df: DataFrame, treatment: str, outcome: str, covariates: lis
 def subclass_match(df: DataFrame, treatment: str, outcome: str, covariates: list[str], classes: int = 20) -> DataFrame:
     """Full matching by propensity classes of equal size."""
     d = propensity(df, treatment, covariates, "_e")
-    cuts = sorted(set(d.agg(F.percentile("_e", F.array(*[F.lit(k / classes) for k in range(1, classes)]))).first()[0]))
+    cuts = sorted(set(percentiles(d, "_e", [k / classes for k in range(1, classes)])))
     k = F.lit(0)
     for c in cuts:
         k = k + F.when(F.col("_e") > c, 1).otherwise(0)

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from causeway.operators import discovery, distribution, effects, interference, panel, weighting
+from causeway.plans import effect_oracles
 from causeway.plans.tables import ITEMS, PANEL, SALES, by_nation, items, rounded, sales, table
 from causeway.plans.tables import panel as events_panel
 
@@ -21,7 +22,16 @@ def mixed(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sales with numeric covariates: x1 (balance in thousands), x2 (building segment), z (nation parity), m (a mediator), time and event."""
     s = sales(spark, sf_dir)
     return s.select("id", F.col("t").cast("double").alias("t"), (F.col("y") / 1000).alias("y"), (F.col("x") / 1000).alias("x1"), (F.col("segment") == "BUILDING").cast("double").alias("x2"),
-                    (F.col("nation") % 2).cast("double").alias("z"), (F.col("y") / 5000 + F.col("t")).alias("m"), F.col("nation"), "segment", "month")
+                    (F.col("nation") % 2).cast("double").alias("z"), (F.log1p(F.col("y") / 1000) + F.col("t")).alias("m"), F.col("nation"), "segment", "month")
+
+
+def baskets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders by their lines: id, price (sum), lines, quantity (sum), discount and tax (means)."""
+    return table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("id")).agg(F.sum("l_extendedprice").alias("price"), F.count("*").cast("double").alias("lines"),
+                                                                                      F.sum("l_quantity").alias("quantity"), F.avg("l_discount").alias("discount"), F.avg("l_tax").alias("tax"))
+
+
+PARTS = ["lines", "quantity", "discount", "tax"]
 
 
 def i1(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -33,15 +43,15 @@ def i1_given(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def i2(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.createDataFrame([(c,) for c in discovery.markov_boundary(items(spark, sf_dir), "y", ["t", "w1", "w2"])], "name string")
+    return spark.createDataFrame([(c,) for c in discovery.markov_boundary(baskets(spark, sf_dir), "price", PARTS)], "name string")
 
 
 def i3(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.createDataFrame([(i, ",".join(b)) for i, b in enumerate(discovery.alternative_boundaries(items(spark, sf_dir), "y", ["t", "w1", "w2"]))], "place int, members string")
+    return spark.createDataFrame([(i, ",".join(b)) for i, b in enumerate(discovery.alternative_boundaries(baskets(spark, sf_dir), "price", PARTS))], "place int, members string")
 
 
 def i5(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(discovery.audit_edges(items(spark, sf_dir), [("w1", "y"), ("w2", "y"), ("t", "w2")]), 4)
+    return rounded(discovery.audit_edges(items(spark, sf_dir), [("w1", "y"), ("w2", "y"), ("t", "w2")]).withColumn("given", F.concat_ws(",", "given")), 4)
 
 
 def i6(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -88,6 +98,20 @@ def l5(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.createDataFrame([(panel.design(events_panel(spark, sf_dir), "time", "onset"),)], "design string")
 
 
+def l1_adjusted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = events_panel(spark, sf_dir)
+    return rounded(panel.adjusted_group_time_effects(d.withColumn("x", F.col("n").cast("double")), "unit", "time", "y", "onset", ["x"]), 4)
+
+
+def survival(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Users: event (ever three errors in a day), time (of that, or the last day), arm (odd users), x (mean events a day)."""
+    return events_panel(spark, sf_dir).groupBy("unit").agg(F.max("d").alias("event"), F.coalesce(F.min("onset"), F.max("time")).alias("time"), F.max(F.col("unit") % 2).alias("arm"), F.avg("n").alias("x"))
+
+
+def trials(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return events_panel(spark, sf_dir).select("unit", "time", F.lit(1).alias("e"), (F.col("n") > 2).cast("int").alias("t"), "d", "n")
+
+
 def l8(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(interference.history_set(by_nation(spark, sf_dir), "unit", "time", [], "n", "y", 2), 3)
 
@@ -111,8 +135,8 @@ def n2(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def n4_near(spark: SparkSession, sf_dir: str) -> DataFrame:
-    p = table(spark, sf_dir, "part").select("p_partkey", "p_size", (F.col("p_retailprice") / 100).alias("price"))
-    return interference.near_edges(p, "p_partkey", "p_size", "price", 0.35)
+    p = table(spark, sf_dir, "part").select("p_partkey", (F.col("p_size") / 10).alias("size"), (F.col("p_retailprice") / 100).alias("price"))
+    return interference.near_edges(p, "p_partkey", "size", "price", 0.35)
 
 
 QUERIES = {
@@ -120,7 +144,7 @@ QUERIES = {
     "i1_given": i1_given,
     "i2_markov_boundary": i2,
     "i3_alternative_boundaries": i3,
-    "i4_stable_boundary": lambda s, d: discovery.stable_boundary(items(s, d), "y", ["t", "w1", "w2"], "id", 8),
+    "i4_stable_boundary": lambda s, d: discovery.stable_boundary(baskets(s, d), "price", PARTS, "id"),
     "i5_edge_audit": i5,
     "i6_confounder_claims": i6,
     "i7_instrument_relevance": lambda s, d: rounded(discovery.instrument_relevance(items(s, d), "w1", "t"), 4),
@@ -142,16 +166,16 @@ QUERIES = {
     "j9_partial_f": lambda s, d: rounded(effects.partial_f(mixed(s, d), ["z"], "t", ["x1"]), 4),
     "j10_slopes": _effect(lambda s, d: effects.average_slopes(mixed(s, d), "t", "y", ["x1", "x2"], "segment")),
     "j11_targeted": _effect(lambda s, d: effects.targeted(mixed(s, d), "id", "t", "y", ["x1", "x2"], k=2)),
-    "j12_mediation": _effect(lambda s, d: effects.mediation(mixed(s, d), "id", "t", "m", "y", ["x1"], 8)),
-    "j13_front_door": _effect(lambda s, d: effects.front_door(mixed(s, d), "id", "t", "m", "y", ["x1"], 8)),
-    "j14_proximal": _effect(lambda s, d: effects.proximal(mixed(s, d), "id", "t", "y", "z", "m", ["x1"], replicates=8)),
+    "j12_mediation": _effect(lambda s, d: effects.mediation(mixed(s, d), "id", "t", "m", "y", ["x1"])),
+    "j13_front_door": _effect(lambda s, d: effects.front_door(mixed(s, d), "id", "t", "m", "y", ["x1"])),
+    "j14_proximal": _effect(lambda s, d: effects.proximal(mixed(s, d), "id", "t", "y", "z", "m", ["x1"])),
     "j15_conformal": lambda s, d: rounded(effects.conformal_effects(mixed(s, d), "id", "t", "y", ["x1", "x2"]).agg(F.count("*").alias("n"), F.avg(F.col("high") - F.col("low")).alias("width")), 1),
     "j16_clustered": _effect(lambda s, d: effects.clustered(mixed(s, d), "id", "nation", "t", "y", ["x1", "x2"], 2)),
     "j17_policies": _effect(lambda s, d: effects.policy_shift(items(s, d).select("id", "w1", "w2", (F.col("y") / 1000).alias("y")), "id", "w1", "y", ["w2"], {"plus one": F.col("w1") + 1, "scaled": F.col("w1") * 1.05})),
-    "j18_rmst": _effect(lambda s, d: effects.rmst(events_panel(s, d).groupBy("unit").agg(F.max("d").alias("event"), F.coalesce(F.min("onset"), F.max("time")).alias("time"), F.max((F.col("unit") % 2)).alias("arm")), "arm", "time", "event")),
-    "j18_rmst_adjusted": _effect(lambda s, d: effects.adjusted_rmst(events_panel(s, d).groupBy("unit").agg(F.max("d").alias("event"), F.coalesce(F.min("onset"), F.max("time")).alias("time"), F.max((F.col("unit") % 2)).alias("arm"), F.avg("n").alias("x")), "unit", "arm", "time", "event", ["x"], 20.0)),
-    "j19_trial": _effect(lambda s, d: effects.target_trial(events_panel(s, d).select("unit", "time", F.lit(1).alias("e"), (F.col("n") > 2).cast("int").alias("t"), "d", "n"), "unit", "time", "e", "t", "d", ["n"], "ITT", 4)),
-    "j19_trial_per_protocol": _effect(lambda s, d: effects.target_trial(events_panel(s, d).select("unit", "time", F.lit(1).alias("e"), (F.col("n") > 2).cast("int").alias("t"), "d", "n"), "unit", "time", "e", "t", "d", ["n"], "PP", 4)),
+    "j18_rmst": _effect(lambda s, d: effects.rmst(survival(s, d), "arm", "time", "event")),
+    "j18_rmst_adjusted": _effect(lambda s, d: effects.adjusted_rmst(survival(s, d), "unit", "arm", "time", "event", ["x"], 20.0)),
+    "j19_trial": _effect(lambda s, d: effects.target_trial(trials(s, d), "unit", "time", "e", "t", "d", ["n"], "ITT")),
+    "j19_trial_per_protocol": _effect(lambda s, d: effects.target_trial(trials(s, d), "unit", "time", "e", "t", "d", ["n"], "PP")),
     "j20_discontinuity": _effect(lambda s, d: effects.discontinuity(items(s, d), "w1", "y", 25.0, bandwidth=10.0)),
     "k1_weighting": _effect(lambda s, d: weighting.weighted_effect(mixed(s, d), "t", "y", ["x1", "x2"])),
     "k1_overlap_weights": _effect(lambda s, d: weighting.weighted_effect(mixed(s, d), "t", "y", ["x1", "x2"], "ATO", stabilize=True)),
@@ -162,9 +186,11 @@ QUERIES = {
     "k3_nearest": _effect(lambda s, d: weighting.nearest_match(mixed(s, d), "id", "t", "y", ["x1", "x2"])),
     "l1_group_time": l1_cells,
     "l1_event_study": l1_study,
+    "l1_adjusted": l1_adjusted,
     "l1_overall": _effect(lambda s, d: panel.group_time(events_panel(s, d), "unit", "time", "y", "onset")),
     "l2_imputation": _effect(lambda s, d: panel.imputation(events_panel(s, d), "unit", "time", "y", "onset")),
-    "l3_switchers": _effect(lambda s, d: panel.switchers(events_panel(s, d), "unit", "time", "y", "d")),
+    "l3_switchers": _effect(lambda s, d: panel.switchers(events_panel(s, d), "unit", "time", "y", "d", 3)),
+    "l3_negative_weights": lambda s, d: rounded(panel.negative_weights(events_panel(s, d), "unit", "time", "d")),
     "l4_pretrend_bounds": l4,
     "l5_design": l5,
     "l6_synthetic": _effect(lambda s, d: panel.synthetic_effect(by_nation(s, d), "unit", "time", "y", 3, 60)),
@@ -172,7 +198,7 @@ QUERIES = {
     "l7_synthetic_did": _effect(lambda s, d: panel.synthetic_effect(by_nation(s, d), "unit", "time", "y", 3, 60, "sdid")),
     "l8_history_set": l8,
     "m1_rif": _effect(lambda s, d: distribution.rif_quantile(mixed(s, d), "t", "y", ["x1"])),
-    "m2_counterfactual": _effect(lambda s, d: distribution.counterfactual_quantiles(mixed(s, d), "t", "y", ["x1"], grid=7)),
+    "m2_counterfactual": _effect(lambda s, d: distribution.counterfactual_quantiles(mixed(s, d), "t", "y", ["x1"])),
     "m3_reweighted": _effect(lambda s, d: distribution.reweighted_quantiles(mixed(s, d), "t", "y", ["x1", "x2"])),
     "n1_cluster_direct": lambda s, d: rounded(interference.cluster_direct(sales(s, d), "nation", "t", "y").select("point", "se", "n_used"), 4),
     "n2_exposure_corrected": n2,
@@ -195,12 +221,6 @@ _NET = """net AS (SELECT DISTINCT u, v FROM (SELECT a.l_partkey AS u, b.l_partke
 parts AS (SELECT p_partkey AS unit, CASE WHEN p_size > 25 THEN 1 ELSE 0 END AS t, p_retailprice AS y, p_brand AS brand FROM part),
 seen AS (SELECT u, count(*) AS degree, avg(t) AS exposure FROM net JOIN parts ON unit = v GROUP BY u),
 exposed AS (SELECT unit, t, y, coalesce(degree, 0) AS degree, coalesce(exposure, 0)::DOUBLE AS exposure FROM parts LEFT JOIN seen ON u = unit)"""
-_CELLS = f"""{PANEL}, base AS (SELECT unit, time, y FROM panel), cohorts AS (SELECT DISTINCT onset AS g FROM panel WHERE onset IS NOT NULL),
-r AS (SELECT unit, time, y, onset AS g, 1 AS tr FROM panel WHERE onset IS NOT NULL UNION ALL SELECT unit, time, y, c.g, 0 FROM panel, cohorts c WHERE onset IS NULL),
-x AS (SELECT r.g, r.time AS t, tr, r.y - b.y AS dy FROM r JOIN base b ON b.unit = r.unit AND b.time = r.g - 1),
-cells AS (SELECT g, t, t - g AS e, avg(dy) FILTER (tr = 1) - avg(dy) FILTER (tr = 0) AS att,
-  sqrt(coalesce(var_samp(dy) FILTER (tr = 1), 0) / count(*) FILTER (tr = 1) + coalesce(var_samp(dy) FILTER (tr = 0), 0) / count(*) FILTER (tr = 0)) AS se,
-  count(*) FILTER (tr = 1) AS n_treated, count(*) FILTER (tr = 0) AS n_control FROM x GROUP BY g, t HAVING count(*) FILTER (tr = 1) > 0 AND count(*) FILTER (tr = 0) > 0)"""
 _MIXED = f"{SALES}, mixed AS (SELECT id, t, y / 1000 AS y, x / 1000 AS x1, segment, nation FROM sales)"
 
 ORACLES = {
@@ -217,8 +237,8 @@ ORACLES = {
       coalesce(var_samp(y) FILTER (t = 1), 0) AS v1, coalesce(var_samp(y) FILTER (t = 0), 0) AS v0 FROM mixed GROUP BY ALL)
       SELECT 'matching.exact' AS estimator_id, 'ATT' AS estimand, NULL::VARCHAR AS segment, round(sum(n1 * (m1 - m0)) / sum(n1), 3) AS point, round(sqrt(sum(n1 * n1 * (v1 / n1 + v0 / n0))) / sum(n1), 3) AS se,
       sum(n1 + n0)::BIGINT AS n_used FROM g WHERE n1 > 0 AND n0 > 0""",
-    "l1_group_time": f"WITH {_CELLS} SELECT g, t, e, round(att, 4) AS att, round(se, 4) AS se, n_treated, n_control FROM cells",
-    "l1_event_study": f"WITH {_CELLS} SELECT e, round(sum(n_treated * att) / sum(n_treated), 4) AS att, round(sqrt(sum((n_treated * se) ** 2)) / sum(n_treated), 4) AS se, sum(n_treated)::BIGINT AS n FROM cells GROUP BY e",
+    "l1_group_time": f"WITH {effect_oracles.CELLS} SELECT g, t, e, round(att, 4) AS att, round(se, 4) AS se, n_treated, n_control FROM cells",
+    "l1_event_study": f"WITH {effect_oracles.CELLS} SELECT e, round(sum(n_treated * att) / sum(n_treated), 4) AS att, round(sqrt(sum((n_treated * se) ** 2)) / sum(n_treated), 4) AS se, sum(n_treated)::BIGINT AS n FROM cells GROUP BY e",
     "l5_design": f"WITH {PANEL} SELECT CASE WHEN count(DISTINCT time) = 2 AND count(DISTINCT onset) <= 1 THEN 'two_period' WHEN count(*) > count(onset) THEN 'staggered_with_never_treated' ELSE 'staggered_all_treated' END AS design FROM panel",
     "n1_cluster_direct": f"""WITH {SALES}, g AS (SELECT nation, count(*) AS n, count(*) * (avg(y) FILTER (t = 1) - avg(y) FILTER (t = 0)) AS s FROM sales GROUP BY nation HAVING count(*) FILTER (t = 1) > 0 AND count(*) FILTER (t = 0) > 0),
       a AS (SELECT sum(s) AS s, sum(n) AS n, count(*) AS k FROM g), j AS (SELECT (a.s - g.s) / (a.n - g.n) AS v FROM g, a)
@@ -229,6 +249,6 @@ ORACLES = {
     "n3_exposure": f"WITH {_NET} SELECT unit, t, degree, round(exposure, 6) AS exposure FROM exposed",
     "n3_cluster_exposure": """WITH parts AS (SELECT p_partkey AS unit, CASE WHEN p_size > 25 THEN 1 ELSE 0 END AS t, p_brand AS brand FROM part), b AS (SELECT brand, count(*) AS n, sum(t) AS s FROM parts GROUP BY brand)
       SELECT unit, n - 1 AS degree, round(CASE WHEN n > 1 THEN (s - t) / (n - 1) ELSE 0 END, 6) AS exposure FROM parts JOIN b USING (brand)""",
-    "n4_near_edges": """WITH p AS (SELECT p_partkey AS u, p_size AS x, p_retailprice / 100 AS y FROM part)
-      SELECT a.u, b.u AS v FROM p a JOIN p b ON a.x = b.x AND a.u <> b.u AND (a.y - b.y) ** 2 <= 0.35::DOUBLE * 0.35::DOUBLE""",
-}
+    "n4_near_edges": """WITH p AS (SELECT p_partkey AS u, p_size / 10 AS x, p_retailprice / 100 AS y FROM part)
+      SELECT a.u, b.u AS v FROM p a JOIN p b ON abs(a.x - b.x) <= 0.35 AND a.u <> b.u AND (a.x - b.x) ** 2 + (a.y - b.y) ** 2 <= 0.35::DOUBLE * 0.35::DOUBLE""",
+} | effect_oracles.oracles()

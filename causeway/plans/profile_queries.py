@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from causeway.operators import diagnostics, features, filters, flags, missing, profile, selection
+from causeway.plans import profile_oracles
 from causeway.plans.tables import GAPS, ITEMS, PANEL, SALES, gaps, items, panel, rounded, sales, table
 from causeway.sources import readers
 
@@ -18,10 +19,40 @@ def assignments(spark: SparkSession, sf_dir: str) -> DataFrame:
     return e.select(F.col("user_id").cast("string").alias("unit_id"), F.col("event_type").alias("arm"), F.col("event_id").alias("seq"))
 
 
+def exports(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
+    """Events as exports of the four known shapes: arms by the user's number, metrics by event type, one experiment per parity of users."""
+    e = table(spark, sf_dir, "events").select((F.col("user_id") % 2).alias("half"), F.col("user_id").cast("string").alias("u"), F.col("user_id"), "event_id", F.col("event_type").alias("m"), "value")
+    arm = F.element_at(F.array(F.lit("control"), F.lit("variant")), (F.col("user_id") % 3 % 2 + 1).cast("int"))
+    experiment = lambda **names: F.struct(*[(F.lit(v) if isinstance(v, str) else F.array(*map(F.lit, v))).alias(k) for k, v in names.items()])
+    listed = lambda *fields: F.sort_array(F.collect_list(F.struct("event_id", *fields)))
+    g = e.groupBy("half")
+    return {
+        "eppo": g.agg(listed(F.col("u").alias("subject"), arm.alias("variation")).alias("assignments"), listed(F.col("u").alias("subject_id"), F.col("m").alias("metric_name"), "value").alias("metrics"))
+        .withColumn("experiment", experiment(key="e1", variations=["control", "variant"], primary_metric="click", start_time="2024-01-01")),
+        "statsig": g.agg(listed(F.col("u").alias("userID"), arm.alias("groupName")).alias("exposures"), listed(F.col("u").alias("unitID"), F.col("m").alias("metric"), F.col("value").alias("metric_value")).alias("metric_lift"))
+        .withColumn("experiment", experiment(name="e2", groups=["control", "variant"], primaryMetric="click", startTime="2024-01-01")),
+        "growthbook": g.agg(listed(F.col("u").alias("id"), (F.col("user_id") % 3 % 2).cast("string").alias("variation")).alias("users"), listed(F.col("u").alias("user_id"), F.col("m").alias("name"), "value").alias("metrics"))
+        .withColumn("experiment", experiment(trackingKey="e3", variations=["control", "variant"], goalMetric="click", dateStarted="2024-01-01")),
+        "optimizely": e.select(F.col("u").alias("visitor_id"), arm.alias("variation_name"), F.col("m").alias("event_name"), F.col("value").cast("string").alias("event_value"), F.col("event_id").alias("seq")),
+    }
+
+
 def a9_ab_ingest(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = table(spark, sf_dir, "events")
-    export = e.groupBy(F.col("user_id")).agg(F.collect_list(F.struct(F.col("user_id").alias("userID"), F.col("event_type").alias("metricName"), "value")).alias("metrics"))
-    return rounded(readers.ab_outcomes(export).groupBy("outcome").agg(F.count("*").alias("n"), F.count_distinct("unit_id").alias("units"), F.avg("value").alias("mean_value")))
+    out = None
+    for shape, export in exports(spark, sf_dir).items():
+        o = readers.ab_outcomes(export, shape).groupBy("outcome").agg(F.count("*").alias("n"), F.count_distinct("unit_id").alias("units"), F.avg("value").alias("mean_value")).select(F.lit(shape).alias("shape"), "*")
+        out = o if out is None else out.unionByName(o)
+    return rounded(out)
+
+
+def a9_ab_arms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Units by arm, of their last assignment, in all shapes; arms are those that the manifest declares."""
+    out = None
+    for shape, export in exports(spark, sf_dir).items():
+        declared = readers.ab_manifest(export).select(F.explode("arms").alias("arm")).distinct() if "experiment" in export.columns else spark.createDataFrame([("control",), ("variant",)], "arm string")
+        o = readers.arm_counts(readers.ab_assignments(export, shape), declared).select(F.lit(shape).alias("shape"), "*")
+        out = o if out is None else out.unionByName(o)
+    return out
 
 
 def a10_last_assignment(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -57,10 +88,15 @@ def c9_missing_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def c7_censoring(spark: SparkSession, sf_dir: str) -> DataFrame:
-    t = table(spark, sf_dir, "events").groupBy("user_id").agg(F.count("*").alias("follow_up_days"), F.max((F.col("event_type") == "purchase").cast("int")).alias("follow_up_event"))
-    rows = profile.profile(t).collect()
-    pairs = profile.censoring_pairs([r["name"] for r in rows if r["suspected_time_column"]], [r["name"] for r in rows if r["suspected_event_indicator"]])
-    return spark.createDataFrame(pairs, "time_column string, event_column string")
+    t = table(spark, sf_dir, "events").groupBy("user_id").agg(F.count("*").alias("follow_up_days"), F.max((F.col("event_type") == "purchase").cast("int")).alias("follow_up_event"), F.max("value").alias("other_time"))
+    return profile.censoring_pairs(profile.profile(t))
+
+
+def c4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = table(spark, sf_dir, "orders").join(table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.sum("l_extendedprice").alias("lines_price")), "o_orderkey", "left")
+    cols = ["o_totalprice", "lines_price"]
+    found = profile.tukey_outliers(d, cols, profile.continuous_stats(d, cols).collect())
+    return spark.createDataFrame([(c, n) for c, n in found.items()], "name string, n_outliers long")
 
 
 def d1_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -69,7 +105,7 @@ def d1_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def e4_report(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(missing.report(gaps(spark, sf_dir), "t", ["t", "balance", "nation"]).drop("censored"))
+    return rounded(missing.report(gaps(spark, sf_dir), "t", ["t", "balance", "nation"]).withColumn("censored", F.concat_ws(",", "censored")))
 
 
 def f_preprocess(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -103,8 +139,10 @@ def g1_prune(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def g2_double_selection(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = items(spark, sf_dir).withColumns({"s": F.dayofmonth("ship").cast("double"), "m": F.month("ship").cast("double"), "q": F.col("w1") * F.col("w2")})
-    return spark.createDataFrame([(c,) for c in selection.double_selection(d, "t", "y", ["w1", "w2", "s", "m", "q"], "id")], "kept string")
+    """Orders by their lines: which columns a lasso of the price sum or of the mean discount keeps."""
+    d = table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("id")).agg(F.sum("l_extendedprice").alias("y"), F.max("l_discount").alias("t"), F.count("*").cast("double").alias("lines"),
+                                                                                   F.sum("l_quantity").alias("quantity"), F.avg("l_tax").alias("tax"), F.min("l_linenumber").cast("double").alias("first"))
+    return spark.createDataFrame([(c,) for c in selection.double_selection(d, "t", "y", ["lines", "quantity", "tax", "first"], "id", least=0.05)], "kept string")
 
 
 def b_time_window(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -138,7 +176,7 @@ def b6_compliant(spark: SparkSession, sf_dir: str) -> DataFrame:
 def b7_subsamples(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = items(spark, sf_dir)
     weights = filters.subsample_weights(F.col("id"), 10, 0.7)
-    return rounded(d.agg(*[F.avg(w).alias(f"share_{i}") for i, w in enumerate(weights)]), 2)
+    return rounded(d.agg(*[F.avg(w).alias(f"share_{i}") for i, w in enumerate(weights)]))
 
 
 def h1_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -148,7 +186,7 @@ def h1_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def h2_balance(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = sales(spark, sf_dir).withColumn("z", (F.col("segment") == "BUILDING").cast("double"))
-    return rounded(diagnostics.balance(s, "t", ["x", "z"]).drop("smd_weighted"))
+    return rounded(diagnostics.balance(diagnostics.propensity(s, "t", ["x", "z"]), "t", ["x", "z"], "e"))
 
 
 def h3_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -179,6 +217,8 @@ def h8_feasibility(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "a7_bounded_sample": a7_sample,
     "a9_ab_ingest": a9_ab_ingest,
+    "a9_ab_arms": a9_ab_arms,
+    "a8_describe": lambda s, d: readers.describe(table(s, d, "orders"), "orders"),
     "a10_last_assignment": a10_last_assignment,
     "a10_arm_counts": a10_arm_counts,
     "a12_fingerprint": lambda s, d: readers.fingerprint(table(s, d, "lineitem")),
@@ -192,6 +232,7 @@ QUERIES = {
     "b7_subsamples": b7_subsamples,
     "c2_missing_rates": lambda s, d: profile.missing_rates(gaps(s, d)),
     "c3_continuous_stats": lambda s, d: rounded(profile.continuous_stats(table(s, d, "lineitem"), NUMERIC_ITEM), 4),
+    "e3_censoring_columns": lambda s, d: s.createDataFrame([(c,) for c in missing.censoring_columns(profile.profile(panel(s, d).withColumn("censored", 1 - F.col("d"))))], "name string"),
     "c5_top_values": lambda s, d: profile.top_values(profile.value_counts(table(s, d, "orders"), ["o_orderpriority", "o_orderstatus", "o_custkey"])),
     "c5_entropy": lambda s, d: rounded(profile.entropy(profile.top_values(profile.value_counts(table(s, d, "orders"), ["o_orderpriority", "o_custkey"]))), 5),
     "c7_censoring_pairs": c7_censoring,
@@ -200,6 +241,9 @@ QUERIES = {
     "c10_duplicates": lambda s, d: profile.duplicate_rows(table(s, d, "documents").select("text", "lang")),
     "c11_string_formats": c11_formats,
     "c12_profile": c_profile,
+    "c12_profile_customer": lambda s, d: rounded(profile.profile(table(s, d, "customer"), exact=True).drop("top_values"), 4),
+    "c6_suspected_columns": lambda s, d: profile.profile(table(s, d, "events")).select("name", "suspected_identifier", "suspected_event_indicator", "suspected_time_column", "is_binary_01", "constant"),
+    "c4_outliers": lambda s, d: c4(s, d),
     "d1_flags": d1_flags,
     "d7_zero_inflated": lambda s, d: flags.zero_inflated(panel(s, d), "n"),
     "d9_panel_flags": lambda s, d: flags.panel_flags(panel(s, d), "unit", "time", "d"),
@@ -286,4 +330,4 @@ ORACLES = {
       SELECT covariate, round(m1, 6) AS mean_treated, round(m0, 6) AS mean_control, round((m1 - m0) / p, 6) AS smd, abs((m1 - m0) / p) > 0.1 AS imbalanced FROM a""",
     "h5_power": f"WITH {SALES}, l AS (SELECT t, 'y' AS outcome, y AS v FROM sales UNION ALL SELECT t, 'x', x FROM sales), a AS (SELECT outcome, count(*) FILTER (t = 1) AS n1, count(*) FILTER (t = 0) AS n0, stddev_samp(v) AS sd FROM l GROUP BY outcome) {_power('')}",
     "h7_power_subgroups": f"WITH {SALES}, a AS (SELECT segment AS stratum, 'y' AS outcome, count(*) FILTER (t = 1) AS n1, count(*) FILTER (t = 0) AS n0, stddev_samp(y) AS sd FROM sales GROUP BY segment HAVING count(*) >= 30) {_power('stratum,')}",
-}
+} | profile_oracles.oracles()

@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from causeway.functions.stats import P_SQL
+from causeway.functions.storage import shared_folder
 from causeway.operators import hypotheses, retrieval, sensitivity, tasks
 from causeway.operators import panel as panels
+from causeway.plans import result_oracles
+from causeway.plans.result_oracles import RESULTS as _RESULTS
 from causeway.plans.tables import ITEMS, PANEL, SALES, by_nation, items, panel, rounded, sales, table
 from causeway.streaming import sequential
 
@@ -29,12 +31,6 @@ def results(spark: SparkSession, sf_dir: str) -> DataFrame:
                           "p_value": two_sided_p_column(F.col("point") / F.col("se")), "propensity_min": F.least("n1", "n0") / F.col("n_used"), "propensity_max": F.greatest("n1", "n0") / F.col("n_used"), "refutation_se": F.col("point") / F.col("se") / 2})
 
 
-_RESULTS = f"""{SALES}, g AS (SELECT nation, avg(y / 1000) FILTER (t = 1) AS a, avg(y / 1000) FILTER (t = 0) AS b, var_samp(y / 1000) FILTER (t = 1) AS va, var_samp(y / 1000) FILTER (t = 0) AS vb,
-  count(*) FILTER (t = 1) AS n1, count(*) FILTER (t = 0) AS n0, stddev_samp(y / 1000) AS sd, corr(x, y) AS naive FROM sales GROUP BY nation),
-r0 AS (SELECT 'h' || lpad(nation::VARCHAR, 2, '0') AS hypothesis_id, 'f' || (nation % 3) AS family, a - b AS point, sqrt(va / n1 + vb / n0) AS se, n1, n0, n1 + n0 AS n_used, sd, naive FROM g),
-results AS (SELECT *, point - 1.96::DOUBLE * se AS ci_low, point + 1.96::DOUBLE * se AS ci_high, point / se AS t_value, n_used - 2 AS dof, {P_SQL.format(x='(point / se)')} AS p_value FROM r0)"""
-
-
 def standardized(spark: SparkSession, sf_dir: str) -> DataFrame:
     r = results(spark, sf_dir)
     return r.withColumns({c: F.col(c) / F.col("sd") for c in ("point", "ci_low", "ci_high")}).withColumns({"scale": F.lit("standardized"), "baseline": F.lit(None).cast("double")})
@@ -87,11 +83,31 @@ def o5(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     o = table(spark, sf_dir, "orders")
     w = Window.partitionBy("o_custkey").orderBy("o_orderdate", "o_orderkey")
-    return rounded(sensitivity.matched_gamma(o.select((F.col("o_totalprice") - F.lag("o_totalprice").over(w) + 20000).alias("d")), "d"), 3)
+    pairs = o.select((F.col("o_totalprice") - F.lag("o_totalprice").over(w) + 20000).alias("d"))
+    out = None
+    for s in ("wilcoxon", "t", "sign"):
+        one = sensitivity.matched_gamma(pairs, "d", statistic=s)
+        out = one if out is None else out.unionByName(one)
+    return rounded(out, 3)
 
 
 def o12(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return sensitivity.specification_curve(items(spark, sf_dir), "t", "y", {"none": [], "w1": ["w1"], "both": ["w1", "w2"]}, (0.0, 0.05), {"all": "true", "recent": "ship >= '1998-01-01'"})
+    return sensitivity.specification_curve(items(spark, sf_dir), "t", "y", SETS, (0.0, 0.05), {"all": "true", "recent": "ship >= '1998-01-01'"}, ("ols", "interacted"))
+
+
+SETS = {"none": [], "w1": ["w1"], "both": ["w1", "w2"]}
+GRAPHS = {
+    "chain": [("w1", "t"), ("t", "y")], "common causes": [("w1", "t"), ("w2", "t"), ("w1", "y"), ("w2", "y"), ("t", "y")],
+    "twins": [("w1", "t"), ("w1b", "t"), ("t", "y")], "alone": [("t", "y")], "reversed": [("y", "t")],
+}
+
+
+def o13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(sensitivity.multiverse(items(spark, sf_dir).withColumn("w1b", F.col("w1") * 1.01 + F.col("w2") * 100), "t", "y", GRAPHS), 4)
+
+
+def o12_joint(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(sensitivity.joint_p(sensitivity.permuted_curves(items(spark, sf_dir), "id", "t", "y", SETS)), 4)
 
 
 def o14(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -109,6 +125,13 @@ def o17(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.createDataFrame([(round(v, 6),)], "energy double")
 
 
+def o17_choice(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Four columns of effects of a discount, by plain rules, scored on the item prices in thousands."""
+    d = items(spark, sf_dir).select("t", (F.col("y") / 1000).alias("y"), "w1", "w2")
+    d = d.withColumns({"none": F.lit(-0.1), "all": F.lit(0.5), "by_quantity": (F.col("w1") - 25) / 100, "by_tax": F.col("w2") * 10 - 0.4})
+    return rounded(sensitivity.scored_estimators(d, "t", "y", ["w1", "w2"], ["none", "all", "by_quantity", "by_tax"]), 4)
+
+
 def o20(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Orders of a customer as chains: each follows the one before."""
     from pyspark.sql import Window
@@ -121,18 +144,25 @@ def o20(spark: SparkSession, sf_dir: str) -> DataFrame:
 def o21(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Error events as failures: the reason is told by the hour."""
     e = table(spark, sf_dir, "events").where("event_type = 'error'")
-    reason = F.element_at(F.array(F.lit("no overlap"), F.lit("did not converge"), F.lit("too few rows"), F.lit("timeout"), F.lit("unknown")), (F.hour("ts") % 5 + 1).cast("int"))
+    reason = F.element_at(F.array(*map(F.lit, REASONS)), (F.hour("ts") % len(REASONS) + 1).cast("int"))
     return sensitivity.failure_modes(e.select(F.concat(F.lit("e"), F.col("user_id") % 4).alias("estimator_id"), reason.alias("failure_reason")))
 
 
+REASONS = ["Unidentifiable: no adjustment set", "unknown estimand class LATE", "model did not converge", "column y is missing", "killed after timeout", "no overlap", "", "Singular matrix"]
+
+
 def o22(spark: SparkSession, sf_dir: str) -> DataFrame:
     r = results(spark, sf_dir).withColumns({"n_treated": F.col("n1"), "n_control": F.col("n0"), "binary": F.lit(False)})
     return rounded(sensitivity.magnitudes(r).select("hypothesis_id", "unit", "population", "aggregate_change"), 3)
 
 
 def _cols(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = [(c, c in ("l_discount", "l_tax", "l_quantity"), c in ("l_extendedprice", "l_quantity"), c == "l_discount") for c in table(spark, sf_dir, "lineitem").columns]
-    return spark.createDataFrame(rows, "name string, is_treatment boolean, is_outcome boolean, priority boolean")
+    """Columns of line items by their values: treatments have few, outcomes over 40, and those that are at least one on average have priority."""
+    d, names = table(spark, sf_dir, "lineitem"), ["l_quantity", "l_extendedprice", "l_discount", "l_tax", "l_linenumber"]
+    each = d.select(F.explode(F.array(*[F.struct(F.lit(c).alias("name"), F.col(c).cast("double").alias("v")) for c in names])).alias("r")).select("r.*")
+    # distinct values are first counted within tasks
+    per = each.groupBy("name", "v").agg(F.count("*").alias("n")).groupBy("name").agg(F.count("*").alias("d"), (F.sum(F.col("v") * F.col("n")) / F.sum("n")).alias("mean"))
+    return per.select("name", (F.col("d") <= 60).alias("is_treatment"), (F.col("d") > 40).alias("is_outcome"), (F.col("mean") >= 1).alias("priority"))
 
 
 def queue(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -149,6 +179,12 @@ def t1(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(tasks.uplift_scores(tasks.uplift_curve(scored(spark, sf_dir), "cate", "y", "t", "id")), 1)
 
 
+def t1_curve(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The curve of prices in another currency, in which sums of cents don't end on a half."""
+    d = scored(spark, sf_dir).withColumn("y", F.col("y") * 0.9137)
+    return rounded(tasks.uplift_curve(d, "cate", "y", "t", "id").withColumn("gain", F.round("gain", 1)))
+
+
 def t5(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = items(spark, sf_dir).withColumn("p", (F.col("ship") >= "1998-01-01").cast("int"))
     return rounded(tasks.attribute_shift(d, "p", "y", ["w1"]), 4)
@@ -165,7 +201,9 @@ def t7(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def t9(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = by_nation(spark, sf_dir).withColumns({"region": F.lit("all"), "d": ((F.col("unit") % 5 == 0) & (F.col("time") >= 60)).cast("int")})
+    """Each region an experiment of its nations, of which every third is treated from month 60 on."""
+    n = table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("unit"), F.col("n_regionkey").alias("region"))
+    d = by_nation(spark, sf_dir).join(n, "unit").withColumn("d", ((F.col("unit") % 3 == 0) & (F.col("time") >= 60)).cast("int"))
     return rounded(tasks.matrix_completion(d, "region", "unit", "time", "y", "d"), 1)
 
 
@@ -206,9 +244,16 @@ def r1_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def r2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every 50th vector as a request: by turns as it is, leaning a little to the next one, and halfway to it; all vectors are cached."""
     e = table(spark, sf_dir, "embeddings")
-    part = lambda name, odd: e.where(F.col("vec_id") % 2 == odd).select(F.col("vec_id").alias(name), F.lit("t").alias("template"), F.md5(F.concat_ws(",", F.transform("embedding", lambda x: x.cast("string"))).cast("binary")).alias("hash"), F.col("embedding").alias("vec"))
-    return rounded(retrieval.cache_lookup(part("request", 1), part("entry", 0)), 3)
+    hashed = lambda v: F.md5(F.concat_ws(",", F.transform(v, lambda x: x.cast("string"))).cast("binary"))
+    cache = e.select(F.col("vec_id").alias("entry"), F.lit("t").alias("template"), hashed("embedding").alias("hash"), F.col("embedding").alias("vec"))
+    lean = F.element_at(F.array(F.lit(0.0), F.lit(0.25), F.lit(1.0)), (F.floor(F.col("vec_id") / 50) % 3 + 1).cast("int"))
+    nxt = e.select((F.col("vec_id") - 1).alias("vec_id"), F.col("embedding").alias("other"))
+    asked = e.where("vec_id % 50 = 0").join(nxt, "vec_id").withColumn("lean", lean)
+    vec = F.when(F.col("lean") == 0, F.col("embedding").cast("array<double>")).otherwise(F.zip_with("embedding", "other", lambda a, b: a.cast("double") + F.col("lean") * b.cast("double")))
+    requests = asked.select(F.col("vec_id").alias("request"), F.lit("t").alias("template"), F.when(F.col("lean") == 0, hashed("embedding")).otherwise("-").alias("hash"), vec.alias("vec"))
+    return rounded(retrieval.cache_lookup(requests, cache), 4)
 
 
 def s1(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -225,16 +270,14 @@ def s2_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The same intervals from a file stream, in update mode: the last update of each key."""
     schema = table(spark, sf_dir, "events").schema
     stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).option("pathGlobFilter", "events*").format("parquet").load(sf_dir)
-    name = f"intervals_{uuid.uuid4().hex}"
-    folder = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp()
-    sequential.run_to_end(sequential.always_valid(stream, ["event_type"], "value"), name, f"{folder}/{name}")
-    return rounded(spark.table(name).groupBy("event_type").agg(F.max("n").alias("n"), *[F.max_by(c, "n").alias(c) for c in ("mean", "lower", "upper")]), 5)
+    updates = sequential.run_to_end(sequential.always_valid(stream, ["event_type"], "value"), f"{shared_folder(spark)}/{uuid.uuid4().hex}")
+    return rounded(updates.groupBy("event_type").agg(F.max("n").alias("n"), *[F.max_by(c, "n").alias(c) for c in ("mean", "lower", "upper")]), 5)
 
 
 QUERIES = {
     "o1_evalues": o1,
     "o1_evalues_odds": o1_odds,
-    "o2_scale_routing": lambda s, d: results(s, d).select("hypothesis_id", sensitivity.routed_scale(F.lit("linear.ols"), F.lit(False)).alias("scale"), sensitivity.routed_scale(F.lit("survival.rmst"), F.lit(False)).alias("survival_scale")),
+    "o2_scale_routing": lambda s, d: results(s, d).withColumn("estimator_id", F.element_at(F.array(*map(F.lit, ("linear.ols", "survival.rmst", "trial.pooled_logit"))), (F.col("n_used") % 3 + 1).cast("int"))).select("hypothesis_id", "estimator_id", (F.col("n1") % 2 == 0).alias("binary"), sensitivity.routed_scale(F.col("estimator_id"), F.col("n1") % 2 == 0).alias("scale")),
     "o3_robustness": lambda s, d: rounded(sensitivity.robustness(results(s, d)).select("hypothesis_id", "robustness_value", "partial_r2"), 5),
     "o3_benchmarks": lambda s, d: rounded(sensitivity.covariate_benchmarks(items(s, d), "t", "y", ["w1", "w2"]), 5),
     "o4_tipping": lambda s, d: rounded(sensitivity.tipping_point(results(s, d)).select("hypothesis_id", "tipping_effect"), 4),
@@ -247,11 +290,14 @@ QUERIES = {
     "o11_refutations": lambda s, d: rounded(sensitivity.refutations(items(s, d), "id", "t", "y", ["w1", "w2"]), 3),
     "o12_spec_curve": lambda s, d: rounded(o12(s, d), 4),
     "o12_curve_summary": lambda s, d: rounded(sensitivity.curve_summary(o12(s, d)), 4),
+    "o12_joint_p": o12_joint,
+    "o13_multiverse": o13,
     "o14_model_average": o14,
     "o15_joint_table": lambda s, d: rounded(sensitivity.joint_table(table(s, d, "labels"), "toxic", "quality")),
     "o15_bounds": lambda s, d: rounded(sensitivity.worst_case_bounds(table(s, d, "labels"), "toxic", "quality")),
     "o16_transported": o16,
     "o17_energy_distance": o17,
+    "o17_choice": o17_choice,
     "o18_contradictions": lambda s, d: sensitivity.contradictions(results(s, d)),
     "o19_reinforcements": lambda s, d: rounded(sensitivity.reinforcements(results(s, d)), 5),
     "o20_chains": o20,
@@ -261,7 +307,7 @@ QUERIES = {
     "q2_deduplicated": lambda s, d: hypotheses.deduplicated(queue(s, d)).select("treatment", "outcome", "estimand", "impact", "seq"),
     "q3_ranked": lambda s, d: hypotheses.ranked(queue(s, d), 50).select("seq", "impact", "pinned"),
     "t1_uplift": t1,
-    "t1_uplift_curve": lambda s, d: tasks.uplift_curve(scored(s, d), "cate", "y", "t", "id").select("id", "k", F.round("fraction", 6).alias("fraction"), F.round(F.col("gain") / F.col("k") / 3, 6).alias("third_of_gain_per_row")),
+    "t1_uplift_curve": lambda s, d: t1_curve(s, d),
     "t2_policy_value": lambda s, d: rounded(tasks.policy_value(scored(s, d), "cate", "y", "t", 0.45), 3),
     "t3_deciles": lambda s, d: rounded(tasks.decile_effects(scored(s, d), "cate", "y", "t", "id"), 3),
     "t4_policy_tree": lambda s, d: tasks.policy_tree(scored(s, d), "cate", ["w1", "w2"])[0].groupBy("treat").agg(F.count("*").alias("n")),
@@ -298,7 +344,6 @@ _BET = f"{_CS}, b AS (SELECT *, least(sqrt(2 * l / (n * v)), 1 / (2 * span)) AS
 
 ORACLES = {
     "o1_evalues": f"WITH {_STD}, {_EV} SELECT hypothesis_id, round(e_value, 5) AS e_value, round(e_value_ci, 5) AS e_value_ci, true AS e_known FROM v",
-    "o2_scale_routing": f"WITH {_RESULTS} SELECT hypothesis_id, 'standardized' AS scale, 'hazard_ratio' AS survival_scale FROM results",
     "o3_robustness": f"WITH {_RESULTS}, w AS (SELECT *, abs(t_value) / sqrt(dof) AS f FROM results) SELECT hypothesis_id, round({_RV}, 5) AS robustness_value, round(t_value ** 2 / (t_value ** 2 + dof), 5) AS partial_r2 FROM w",
     "o4_tipping": f"WITH {_RESULTS} SELECT hypothesis_id, round(CASE WHEN ci_low > 0 THEN ci_low WHEN ci_high < 0 THEN ci_high ELSE 0 END / 0.5, 4) AS tipping_effect FROM results",
     "o6_multiple_testing": f"""WITH {_RESULTS}, p AS (SELECT hypothesis_id, family, p_value AS p, count(*) OVER (PARTITION BY family) AS m, count(*) OVER (PARTITION BY family ORDER BY p_value) AS r FROM results),
@@ -315,6 +360,8 @@ ORACLES = {
       greatest(n1, n0) / n_used > 0.99 OR least(n1, n0) / n_used < 0.01 AS d, abs(t_value / 2) > 3 AS e, naive <> 0 AND point <> 0 AND ((naive > 0) <> (point > 0)) AS g FROM results)
       SELECT hypothesis_id, concat_ws(',', CASE WHEN a THEN 'near_zero_n_used' END, CASE WHEN b THEN 'ci_too_wide' END, CASE WHEN c THEN 'p_inconsistent_with_ci' END, CASE WHEN d THEN 'saturated_propensity' END, CASE WHEN e THEN 'refutation_divergence' END, CASE WHEN g THEN 'sign_flip_vs_naive' END) AS flags,
       CASE WHEN n_used < 10 THEN 'disqualify' WHEN g THEN 'rerun_with_different_estimator' WHEN a OR b OR c OR d OR e THEN 'review' ELSE 'accept' END AS recommendation FROM f""",
+    "o12_joint_p": o12_joint,
+    "o13_multiverse": o13,
     "o14_model_average": f"""WITH {_RESULTS}, w AS (SELECT n_used / sum(n_used) OVER () AS w, point, se FROM results), m AS (SELECT sum(w * point) AS mean FROM w)
       SELECT 'total_price' AS outcome, round(any_value(mean), 5) AS point, round(sqrt(sum(w * (se ** 2 + (point - mean) ** 2))), 5) AS se, count(*) AS n,
       CASE WHEN greatest(sum(CASE WHEN point > 0 THEN w ELSE 0 END), 1 - sum(CASE WHEN point > 0 THEN w ELSE 0 END)) >= 0.9 THEN 'consensus' ELSE 'split' END AS verdict FROM w, m""",
@@ -326,17 +373,15 @@ ORACLES = {
       SELECT round(sum(m * tau) / sum(m), 4) AS point, round(sqrt(sum(m * m * v)) / sum(m), 4) AS se, round(sum(n * tau) / sum(n), 4) AS source_point, 1.0::DOUBLE AS coverage FROM s JOIN p USING (segment)""",
     "o17_energy_distance": f"""WITH {ITEMS}, g AS (SELECT w1 AS v, count(*) FILTER (t = 1) AS a, count(*) FILTER (t = 0) AS b FROM items GROUP BY w1),
       c AS (SELECT v, lead(v) OVER o - v AS w, sum(a) OVER (ORDER BY v) / sum(a) OVER () - sum(b) OVER (ORDER BY v) / sum(b) OVER () AS g FROM g WINDOW o AS (ORDER BY v)) SELECT round(2 * sum(w * g * g), 6) AS energy FROM c""",
-    "o18_contradictions": f"WITH {_RESULTS} SELECT a.hypothesis_id AS id_a, b.hypothesis_id AS id_b, 'priority' AS treatment, 'total_price' AS outcome, 'structural' AS kind FROM results a JOIN results b ON a.hypothesis_id < b.hypothesis_id AND sign(a.point) <> sign(b.point)",
     "o19_reinforcements": f"""WITH {_RESULTS}, gg AS (SELECT 'priority' AS treatment, 'total_price' AS outcome, sign(point)::DOUBLE AS sign, count(*) AS n, min(abs(point)) / max(abs(point)) AS ratio FROM results GROUP BY ALL HAVING count(*) > 1)
       SELECT treatment, outcome, sign, n, round(ratio, 5) AS ratio, CASE WHEN ratio >= 0.8 THEN 'strong' WHEN ratio >= 0.5 THEN 'moderate' ELSE 'weak' END AS strength FROM gg""",
     "o20_chains": "SELECT o_orderkey AS id, first_value(o_orderkey) OVER w AS root, (row_number() OVER w - 1)::INT AS depth FROM orders WINDOW w AS (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey)",
-    "o21_failures": "SELECT 'e' || (user_id % 4) AS estimator_id, (['positivity', 'convergence', 'data', 'timeout', 'other'])[hour(ts) % 5 + 1] AS mode, count(*) AS n FROM events WHERE event_type = 'error' GROUP BY ALL",
     "o22_magnitudes": f"WITH {_RESULTS} SELECT hypothesis_id, 'monetary' AS unit, n_used AS population, round(point * n_used, 3) AS aggregate_change FROM results",
     "q2_deduplicated": """SELECT treatment, outcome, estimand, impact, seq FROM (SELECT o_custkey % 50 AS treatment, o_orderpriority AS outcome, o_orderstatus AS estimand, round(o_totalprice / 500000, 2) AS impact, o_orderkey AS seq,
       row_number() OVER (PARTITION BY o_custkey % 50, o_orderpriority, o_orderstatus ORDER BY round(o_totalprice / 500000, 2) DESC, o_orderkey) AS n FROM orders) WHERE n = 1""",
     "q3_ranked": "SELECT o_orderkey AS seq, round(o_totalprice / 500000, 2) AS impact, o_orderkey % 1000 = 0 AS pinned FROM orders ORDER BY pinned DESC, impact DESC, seq LIMIT 50",
     "t1_uplift": f"WITH {_UPLIFT}, a AS (SELECT sum(gain) AS s, max(k) AS n, max_by(gain, k) AS last FROM curve) SELECT round((s - last / 2) / n, 1) AS auuc, round((s - last / 2) / n - last / 2, 1) AS qini, round(last, 1) AS total_gain FROM a",
-    "t1_uplift_curve": f"WITH {_UPLIFT} SELECT id, k, round(fraction, 6) AS fraction, round(gain / k / 3, 6) AS third_of_gain_per_row FROM curve",
+    "t1_uplift_curve": f"WITH {_UPLIFT.replace('THEN y ELSE', 'THEN y * 0.9137::DOUBLE ELSE')} SELECT id, k, round(fraction, 6) AS fraction, round(gain, 1) AS gain FROM curve",
     "t2_policy_value": f"""WITH {ITEMS}, p AS (SELECT t, y / CASE WHEN t = 1 THEN 0.45::DOUBLE ELSE 1 - 0.45::DOUBLE END AS v, CASE WHEN w2 * 100 - w1 > 0 THEN 1 ELSE 0 END AS pi FROM items),
       a AS (SELECT avg(CASE WHEN t = pi THEN v ELSE 0 END) AS value, avg(CASE WHEN t = 1 THEN v ELSE 0 END) AS value_all, avg(CASE WHEN t = 0 THEN v ELSE 0 END) AS value_none FROM p)
       SELECT round(value, 3) AS value, round(value_all, 3) AS value_all, round(value_none, 3) AS value_none, round(value - 0.5 * (value_all + value_none), 3) AS lift FROM a""",
@@ -344,11 +389,9 @@ ORACLES = {
       SELECT bucket, round((bucket + 0.5) / 10, 3) AS midpoint, round(avg(y) FILTER (t = 1) - avg(y) FILTER (t = 0), 3) AS att, count(*) AS n FROM b GROUP BY bucket""",
     "t5_root_cause": f"""WITH {ITEMS}, p AS (SELECT *, ship >= '1998-01-01' AS p FROM items), a AS (SELECT regr_slope(y, w1) * (avg(w1) FILTER (p) - avg(w1) FILTER (NOT p)) AS v, avg(y) FILTER (p) - avg(y) FILTER (NOT p) AS total FROM p),
       r AS (SELECT 'w1' AS driver, v AS value FROM a UNION ALL SELECT '(residual)', total - v FROM a) SELECT driver, round(value, 4) AS value, row_number() OVER (ORDER BY abs(value) DESC)::INT AS rank FROM r""",
-    "t12_adstock": f"""WITH {SALES}, m AS (SELECT nation AS unit, date_diff('month', (SELECT min(month) FROM sales), month)::INT AS time, sum(y) AS y FROM sales GROUP BY ALL), k AS (SELECT *, row_number() OVER (PARTITION BY unit ORDER BY time) AS k FROM m),
-      d AS (SELECT unnest([0.0, 0.2, 0.4, 0.6, 0.8])::DOUBLE AS decay) SELECT a.unit, a.time, decay, round(sum(b.y * CASE WHEN a.k = b.k THEN 1 ELSE decay ** (a.k - b.k) END), 3) AS adstock FROM k a JOIN k b ON a.unit = b.unit AND b.k <= a.k, d GROUP BY a.unit, a.time, decay""",
     "r1_similar_vectors": """WITH p AS (SELECT q.vec_id AS q, r.vec_id AS r, list_cosine_similarity(q.embedding::DOUBLE[], r.embedding::DOUBLE[]) AS c FROM embeddings q, embeddings r WHERE q.vec_id % 50 = 0)
       SELECT q, r, round(cosine, 4) AS cosine, place::INT AS place FROM (SELECT q, r, c AS cosine, row_number() OVER (PARTITION BY q ORDER BY c DESC, r) AS place FROM p) WHERE place <= 5""",
     "s1_always_valid": _BET,
     "s2_stream": _BET,
     "s1_asymptotic": f"{_CS}, h AS (SELECT *, sqrt(2 * (ln(ln(exp(1.0) * n)) + l)) * sqrt(v / n) AS half FROM e) SELECT event_type, n, round(mean, 5) AS mean, round(mean - half, 5) AS lower, round(mean + half, 5) AS upper FROM h",
-}
+} | result_oracles.oracles()

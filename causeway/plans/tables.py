@@ -5,21 +5,33 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from causeway.functions.moments import PRIME
+
+
+#: Factors of the two lanes of an item's id: their sums stay below 2^63.
+LANES = ((1073741827, 536870923, 268435459, 134217757), (402653189, 805306457, 201326611, 1610612741))
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def items(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Line items: id, t (discount over 5%), y (price), w1 (quantity), w2 (tax), flag, ship."""
+    """Line items: id (62 bits of a hash of all keys), t (discount over 5%), y (price), w1 (quantity), w2 (tax), flag, ship."""
+    keys = ("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber")
+    lane = lambda factors: F.pmod(sum((F.pmod(F.col(k).cast("long"), F.lit(PRIME).cast("long")) * f for k, f in zip(keys, factors, strict=True)), F.lit(0).cast("long")), F.lit(PRIME).cast("long"))
     return table(spark, sf_dir, "lineitem").select(
-        (((F.col("l_orderkey") * 1000000 + F.col("l_partkey")) * 10 + F.col("l_linenumber")) * 10000 + F.col("l_suppkey")).alias("id"), (F.col("l_discount") > 0.05).cast("int").alias("t"), F.col("l_extendedprice").alias("y"),
+        (lane(LANES[0]) * (1 << 31) + lane(LANES[1])).alias("id"), (F.col("l_discount") > 0.05).cast("int").alias("t"), F.col("l_extendedprice").alias("y"),
         F.col("l_quantity").alias("w1"), F.col("l_tax").alias("w2"), F.col("l_returnflag").alias("flag"), F.col("l_shipdate").alias("ship"),
     )
 
 
+def _lane(factors: tuple[int, ...]) -> str:
+    return "((" + " + ".join(f"({k} % {PRIME}) * {f}" for k, f in zip(("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber::BIGINT"), factors, strict=True)) + f") % {PRIME})"
+
+
 ITEMS = (
-    "items AS (SELECT ((l_orderkey * 1000000 + l_partkey) * 10 + l_linenumber) * 10000 + l_suppkey AS id, CASE WHEN l_discount > 0.05 THEN 1 ELSE 0 END AS t, l_extendedprice AS y,"
+    f"items AS (SELECT {_lane(LANES[0])} * 2147483648 + {_lane(LANES[1])} AS id, CASE WHEN l_discount > 0.05 THEN 1 ELSE 0 END AS t, l_extendedprice AS y,"
     " l_quantity AS w1, l_tax AS w2, l_returnflag AS flag, l_shipdate AS ship FROM lineitem)"
 )
 
@@ -77,10 +89,16 @@ panel AS (SELECT *, CASE WHEN time >= onset THEN 1 ELSE 0 END AS d FROM whole)""
 
 
 def by_nation(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Nation and month: unit, time (months from the first), y (sum of order prices), n."""
+    """Nation and month, the whole grid: unit, time (months from the first), y (sum of order prices), n; zeros where there is none."""
     s = sales(spark, sf_dir)
     first = s.agg(F.min("month")).first()[0]
-    return s.groupBy(F.col("nation").alias("unit"), F.floor(F.months_between("month", F.lit(first))).cast("int").alias("time")).agg(F.sum("y").alias("y"), F.count("*").alias("n"))
+    d = s.groupBy(F.col("nation").alias("unit"), F.floor(F.months_between("month", F.lit(first))).cast("int").alias("time")).agg(F.sum("y").alias("y"), F.count("*").alias("n"))
+    grid = d.select("unit").distinct().crossJoin(F.broadcast(d.agg(F.max("time").alias("last")))).select("unit", F.explode(F.sequence(F.lit(0), F.col("last"))).alias("time"))
+    return grid.join(d, ["unit", "time"], "left").na.fill(0, ["y", "n"])
+
+
+NATIONS = f"""{SALES}, seen AS (SELECT nation AS unit, date_diff('month', (SELECT min(month) FROM sales), month)::INT AS time, sum(y) AS y, count(*) AS n FROM sales GROUP BY ALL),
+nations AS (SELECT unit, time, coalesce(y, 0)::DOUBLE AS y, coalesce(n, 0) AS n FROM (SELECT unit, unnest(range(0, (SELECT max(time) + 1 FROM seen)))::INT AS time FROM (SELECT DISTINCT unit FROM seen)) LEFT JOIN seen USING (unit, time))"""
 
 
 def rounded(df: DataFrame, digits: int = 6) -> DataFrame:

@@ -76,10 +76,14 @@ def bounded_sample(df: DataFrame, n: int, key: str, seed: int = 0) -> DataFrame:
 
 
 def fingerprint(df: DataFrame) -> DataFrame:
-    """An order-insensitive digest in one mergeable pass: n_rows, n_cols, hash_sum, hash_xor."""
-    h = F.xxhash64(*[F.coalesce(F.col(f"`{c}`").cast("string"), F.lit("\0")) for c in df.columns])
+    """An order-insensitive digest in one mergeable pass: n_rows, n_cols, and sum and exclusive or of 48 bits of each row's md5.
+
+    A row is its columns' text, nulls told apart from it, joined by a unit separator.
+    """
+    text = F.concat_ws("\x1f", *[F.coalesce(F.col(f"`{c}`").cast("string"), F.lit("\x00")) for c in df.columns])
+    h = F.conv(F.substring(F.md5(text.cast("binary")), 1, 12), 16, 10).cast("long")
     return df.agg(F.count("*").alias("n_rows"), F.lit(len(df.columns)).cast("long").alias("n_cols"),
-                  F.sum(F.pmod(h, F.lit(1 << 31))).alias("hash_sum"), F.bit_xor(h).alias("hash_xor"))
+                  F.coalesce(F.sum(h % (1 << 31)), F.lit(0)).alias("hash_sum"), F.coalesce(F.bit_xor(h), F.lit(0)).alias("hash_xor"))
 
 
 def _first_present(df: DataFrame, names: list[str], cast: str = "string") -> Column:
@@ -96,29 +100,79 @@ def _has(df: DataFrame, path: str) -> bool:
     return True
 
 
-#: Keys that vendors use for the same field, the first present wins.
-UNIT_KEYS = ["unit_id", "subject", "subjectKey", "userID", "userId", "user_id", "visitor_id", "visitorId", "stableID"]
-ARM_KEYS = ["arm", "variation", "variationId", "variation_id", "group", "groupName", "ruleID", "value"]
-OUTCOME_KEYS = ["outcome", "metric", "metricName", "metric_name", "metric_id", "name"]
-VALUE_KEYS = ["value", "metric_value", "metricValue", "total", "numerator"]
-
-
-def ab_assignments(export: DataFrame, array: str = "assignments") -> DataFrame:
-    """(unit_id, arm, seq) of an export with an array of assignments in any of the known spellings."""
-    rows = export.select(F.posexplode(array).alias("seq", "a")).select("seq", "a.*")
-    return rows.select(_first_present(rows, UNIT_KEYS).alias("unit_id"), _first_present(rows, ARM_KEYS).alias("arm"), "seq")
-
-
-def ab_outcomes(export: DataFrame, array: str = "metrics") -> DataFrame:
-    """(unit_id, outcome, value) of an export with an array of metrics."""
+# fixed values: the names that exports use for a field, by their place in the export; the first present one wins
+SHAPES = {
+    "eppo": {"assignments": "assignments", "metrics": ["metrics"], "unit": ["subject", "subject_id", "user_id"], "arm": ["variation", "variant", "arm"]},
+    "statsig": {"assignments": "exposures", "metrics": ["metric_lift", "metrics"], "unit": ["unitID", "userID", "unit_id"], "arm": ["groupID", "group", "groupName"]},
+    "growthbook": {"assignments": "users", "metrics": ["metrics"], "unit": ["user_id", "id", "unitID"], "arm": ["variation", "variant", "arm"]},
+    "optimizely": {"unit": ["visitor_id", "user_id", "unit_id", "subject"], "arm": ["variation", "variation_name", "arm"]},
+}
+METRIC, VALUE = ["metric", "metric_name", "name"], ["value", "metric_value"]
+ROW_METRIC, ROW_VALUE = ["event_name", "metric", "metric_name"], ["event_value", "value"]
+MANIFEST = {
+    "experiment_id": ["id", "key", "trackingKey", "name", "experiment_id"], "arms": ["variations", "groups", "variants", "arms"],
+    "primary_outcome": ["primary_metric", "primaryMetric", "primary_outcome", "goalMetric"],
+    "secondary_outcomes": ["secondary_metrics", "secondaryMetrics", "secondary_outcomes", "guardrailMetrics"],
+    "started_at": ["start_time", "started_at", "startTime", "dateStarted"], "ended_at": ["end_time", "ended_at", "endTime", "dateEnded"],
+}
+
+
+def ab_manifest(export: DataFrame) -> DataFrame:
+    """(experiment_id, arms, primary_outcome, secondary_outcomes, started_at, ended_at) of exports with an experiment struct.
+
+    Arms may be names or structs with a key or name.
+    """
+    e = export.select("experiment.*")
+    arms = F.lit(None).cast("array<string>")
+    for n in reversed(MANIFEST["arms"]):
+        if _has(e, n):
+            kind = e.schema[n].dataType.elementType
+            named = F.transform(n, lambda x, k=kind: F.coalesce(*[x[f] for f in ("key", "name") if f in k.names])) if isinstance(kind, T.StructType) else F.col(n).cast("array<string>")
+            arms = F.coalesce(named, arms)
+    return e.select(_first_present(e, MANIFEST["experiment_id"]).alias("experiment_id"), arms.alias("arms"), _first_present(e, MANIFEST["primary_outcome"]).alias("primary_outcome"),
+                    _first_present(e, MANIFEST["secondary_outcomes"], "array<string>").alias("secondary_outcomes"),
+                    _first_present(e, MANIFEST["started_at"], "timestamp").alias("started_at"), _first_present(e, MANIFEST["ended_at"], "timestamp").alias("ended_at"))
+
+
+def ab_assignments(export: DataFrame, shape: str) -> DataFrame:
+    """(unit_id, arm, seq) of an export in one of SHAPES; seq orders the assignments of an experiment.
+
+    In the growthbook shape a whole number names the arm by its place in the manifest. In the
+    optimizely shape export has a row a unit and event, and the first row of a unit assigns it.
+    """
+    names = SHAPES[shape]
+    if shape == "optimizely":
+        rows = export.select(_first_present(export, names["unit"]).alias("unit_id"), _first_present(export, names["arm"]).alias("arm"), *([F.col("seq")] if "seq" in export.columns else [F.monotonically_increasing_id().alias("seq")]))
+        first = rows.where("unit_id != ''").groupBy("unit_id").agg(F.min(F.struct("seq", "arm")).alias("f"))
+        return first.select("unit_id", "f.arm", F.col("f.seq").alias("seq"))
+    at = export.select(F.col("experiment"), F.posexplode(names["assignments"]).alias("seq", "a"))
+    unit_names = ["id", "user_id", "unitID"] if shape == "growthbook" else names["unit"]
+    rows = at.select("seq", "experiment", "a.*")
+    arm = _first_present(rows, names["arm"])
+    if shape == "growthbook":
+        kind = at.schema["experiment"].dataType["variations"].dataType.elementType
+        listed = F.transform("experiment.variations", lambda x: F.coalesce(*[x[f] for f in ("key", "name") if f in kind.names])) if isinstance(kind, T.StructType) else F.col("experiment.variations")
+        arm = F.coalesce(F.get(listed, arm.try_cast("int")), arm)
+    return rows.select(_first_present(rows, unit_names).alias("unit_id"), arm.alias("arm"), "seq")
+
+
+def ab_outcomes(export: DataFrame, shape: str, declared: list[str] | None = None) -> DataFrame:
+    """(unit_id, outcome, value) of an export in one of SHAPES; a missing value is zero.
+
+    In the optimizely shape rows name an event and its value, or have a column for each declared metric, or both.
+    """
+    names = SHAPES[shape]
+    if shape == "optimizely":
+        unit = _first_present(export, names["unit"]).alias("unit_id")
+        long = export.select(unit, _first_present(export, ROW_METRIC).alias("outcome"), F.coalesce(_first_present(export, ROW_VALUE, "double"), F.lit(0.0)).alias("value")).where("outcome is not null and outcome != ''")
+        wide = [m for m in declared or [] if m in export.columns and m not in names["unit"] + names["arm"]]
+        if not wide:
+            return long.where("unit_id != ''")
+        cells = export.select(unit, *[F.col(m).try_cast("double").alias(m) for m in wide]).unpivot(["unit_id"], wide, "outcome", "value").where("value is not null")
+        return long.unionByName(cells).where("unit_id != ''")
+    array = next(a for a in names["metrics"] if a in export.columns)
     rows = export.select(F.explode(array).alias("a")).select("a.*")
-    return rows.select(_first_present(rows, UNIT_KEYS).alias("unit_id"), _first_present(rows, OUTCOME_KEYS).alias("outcome"), _first_present(rows, VALUE_KEYS, "double").alias("value"))
-
-
-def ab_wide_outcomes(df: DataFrame, unit: str, metrics: list[str]) -> DataFrame:
-    """(unit_id, outcome, value) of a table with one column per metric."""
-    wide = df.select(F.col(unit).cast("string").alias("unit_id"), *[F.col(m).cast("double").alias(m) for m in metrics])
-    return wide.unpivot(["unit_id"], metrics, "outcome", "value")
+    return rows.select(_first_present(rows, names["unit"]).alias("unit_id"), _first_present(rows, METRIC).alias("outcome"), F.coalesce(_first_present(rows, VALUE, "double"), F.lit(0.0)).alias("value"))
 
 
 def last_assignment(assignments: DataFrame, order: str = "seq") -> DataFrame:

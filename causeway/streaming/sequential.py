@@ -6,7 +6,6 @@ import math
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StreamingQuery
 
 
 def summaries(value: str) -> list[Column]:
@@ -37,8 +36,13 @@ def windowed(stream: DataFrame, keys: list[str], value: str, time: str, window:
     return intervals(stream.withWatermark(time, late).groupBy(F.window(time, window), *keys).agg(*summaries(value)), alpha, method)
 
 
-def run_to_end(stream: DataFrame, name: str, checkpoint: str) -> StreamingQuery:
-    """Runs all available input into an in-memory table of updates."""
-    query = stream.writeStream.outputMode("update").format("memory").queryName(name).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+def run_to_end(stream: DataFrame, folder: str) -> DataFrame:
+    """Runs all available input; the updates of each batch (with its number, batch) are written as Parquet by the executors."""
+
+    def write(updates: DataFrame, batch: int) -> None:
+        # a batch that is run again after a failure replaces its own folder
+        updates.write.mode("overwrite").parquet(f"{folder}/updates/batch={batch}")
+
+    query = stream.writeStream.outputMode("update").foreachBatch(write).option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start()
     query.awaitTermination()
-    return query
+    return stream.sparkSession.read.schema(stream.schema.add("batch", "long")).parquet(f"{folder}/updates")
