@@ -111,6 +111,39 @@ def test_lm_counts_and_base(docs):
     assert sum(got[i]["score"] for i in held) > sum(got[i]["base_score"] for i in held)
 
 
+def test_document_scores_by_listing_segmentations(spark):
+    """Without training the score is the lattice's; with it the lexicon's share and the lattice's are added word by word."""
+    texts = {0: "The tested é", 1: "a the a", 2: None}
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    v = pieces(piece_sampling.model_path())
+    logp = v.unigram(lattice_lm.ALPHA)
+    alone = {i: sum(np.log10(_ways(v, logp, "▁" + w.decode())) for w in lattice_lm.tokens(t)) for i, t in texts.items()}
+    size = {i: len(lattice_lm.tokens(t)) for i, t in texts.items()}
+    for r in lattice_lm.score(docs, docs["doc_id"] < 0).collect():
+        i = r["doc_id"]
+        assert abs(r["score"] - (alone[i] + np.log10(0.1))) < 1e-9
+        assert abs(r["lattice_score"] - (alone[i] + size[i] * np.log10(0.9) + np.log10(0.1))) < 1e-9
+    end = 3 / (sum(size.values()) + 3)
+    for r in lattice_lm.score(docs, docs["doc_id"] >= 0).collect():
+        i = r["doc_id"]
+        assert abs(r["lattice_score"] - (alone[i] + size[i] * np.log10(1 - end) + np.log10(end))) < 1e-9
+    words, counts, n, types = [b"the", b"unseen"], np.array([[3, 0], [0, 0]]), np.array([10, 0]), np.array([4, 0])
+    got = lattice_lm.lexicon_and_lattice(v, np.stack([logp, logp]), words, counts, n, types)
+    for k, w in enumerate(words):
+        ways = _ways(v, logp, "▁" + w.decode())
+        d = lattice_lm.DISCOUNT
+        assert np.allclose(got[k], [np.log10(max(counts[k, 0] - d, 0) / 10 + d * 4 / 10 * ways), np.log10(ways), np.log10(ways)])
+
+
+def test_word_batches_are_cut_by_bytes():
+    import pandas as pd
+
+    words = pd.Series([b"x" * n for n in (5, 300_000, 1, 150_000, 60_000, 7)])
+    cuts = list(lattice_lm._batches(words))
+    assert [k for s in cuts for k in range(s.start, s.stop)] == list(range(6))
+    assert all(s.stop - s.start == 1 or words[s].str.len().sum() <= lattice_lm.BATCH_BYTES for s in cuts)
+
+
 def test_lm_edges(odd, none):
     assert lattice_lm.score(odd, odd["doc_id"] >= 0).count() == odd.count()
     assert lattice_lm.score(odd, odd["doc_id"] < 0).where("score < 0").count() == odd.count()
@@ -138,8 +171,11 @@ def test_token_files(spark, docs, tmp_path):
     for r in starts:
         assert r["start"] == at
         at += len(want[r["doc_id"]]) // 4
-    some = token_frames.read_tokens(spark, folder, [3, 68, 999]).collect()
-    assert {r["doc_id"] for r in some} == {3, 68}
+    for _ in range(2):  # the index is made once, then read
+        some = token_frames.read_tokens(spark, folder, [3, 4, 999])
+        assert {r["doc_id"]: bytes(r["ids_le"]) for r in some.collect()} == {k: want[k] for k in (3, 4)}
+        assert len(some.inputFiles()) < len(read.inputFiles())
+    assert token_frames.read_tokens(spark, folder, [999]).count() == 0
     # any zstandard reader gets the whole of a file, and a broken frame is told
     for f in (tmp_path / "tokens").glob("part-*"):
         content = f.read_bytes()
@@ -159,6 +195,19 @@ def test_encoder_equals_tokenizer():
         assert list(np.frombuffer(e.encode(t), "<u4")) == e.tokenizer.encode(t, add_special_tokens=False).ids, t
 
 
+def test_token_query_digests(spark, docs, tmp_path):
+    import zlib
+
+    docs.write.parquet(f"file://{tmp_path}/documents.parquet")
+    e = token_frames.encoder(token_frames.vocabulary_path())
+    rows = sorted(token_frames.op2_token_frames(spark, f"file://{tmp_path}").collect(), key=lambda r: r["doc_id"])
+    at = 0
+    for r in rows:
+        raw = e.encode(TEXTS[r["doc_id"]]) + struct.pack("<I", token_frames.END_ID)
+        assert (r["start"], r["n_tokens"], r["ids_crc32"]) == (at, len(raw) // 4, zlib.crc32(raw))
+        at += len(raw) // 4
+
+
 def test_token_files_edges(spark, odd, none, tmp_path):
     for k, df in enumerate((odd, none)):
         token_frames.write_tokens(df, f"file://{tmp_path}/e{k}", token_frames.vocabulary_path())
@@ -182,6 +231,59 @@ def test_language(docs, odd, none):
     assert language_id.identify(odd, language_id.fit(none)).where("lang_pred = 'und'").count() == odd.count()
 
 
+def _plain_grams(text):
+    """Hashed letter grams with plain integers."""
+    m = 2**32
+    points, gap = [0], True
+    for c in text.lower():
+        if c.isalpha():
+            points.append(ord(c))
+            gap = False
+        elif not gap:
+            points.append(0)
+            gap = True
+    if not gap:
+        points.append(0)
+    a = [p * 0x9E3779B1 % m for p in points]
+    two = [((x ^ (y >> 7)) * 0x85EBCA6B + y) % m for x, y in zip(a, a[1:])]
+    three = [((x ^ (y >> 5)) * 0xC2B2AE35 + y) % m for x, y in zip(two, a[2:])]
+    h = [(x + 1) % m for x in a if x] + two + three
+    return Counter((((x ^ (x >> 15)) * 0x2C1B3C6D % m) >> 19) for x in h)
+
+
+def test_language_by_brute_force(docs):
+    """Frequencies, vectors, centroids and the rejection floor, one number at a time."""
+    train = {i: (t, r[2]) for i, t in TEXTS.items() if i % 3 != 1 for r in [_rows()[i]] if r[1] is not None and r[2] is not None}
+    model = language_id.fit(docs.where("doc_id % 3 != 1"))
+    seen = Counter(g for t, _ in train.values() for g in _plain_grams(t))
+    idf = {d: np.log((1 + len(train)) / (1 + n)) + 1 for d, n in seen.items()}
+    assert all(abs(model.idf[d] - x) < 1e-5 for d, x in idf.items())
+
+    def vector(text):
+        v = np.zeros(language_id.DIMENSIONS)
+        for d, n in _plain_grams(text).items():
+            v[d] = np.log1p(n) * model.idf[d]
+        return v / (np.linalg.norm(v) or 1)
+
+    for lang in ("en", "de"):
+        rows = np.stack([vector(t) for t, own in train.values() if own == lang and _plain_grams(t)])
+        centres = model.centres[[k for k, name in enumerate(model.langs) if name == lang]]
+        near = np.argmax(rows @ centres.T, axis=1)
+        for k in set(near):  # a centroid is the unit mean of the texts nearest to it
+            mean = rows[near == k].sum(0)
+            assert np.allclose(centres[k], mean / np.linalg.norm(mean), atol=1e-4)
+        floor = language_id.REJECT_PART * np.quantile((rows @ centres.T).max(axis=1), 0.001)
+        assert abs(model.floors[model.langs.index(lang)] - floor) < 1e-4
+    for r in language_id.identify(docs, model).collect():
+        t = TEXTS[r["doc_id"]]
+        if not _plain_grams(t):
+            assert (r["lang_pred"], r["score"], r["rejected"]) == ("und", 0.0, True)
+            continue
+        cos = model.centres @ vector(t)
+        assert r["lang_pred"] == model.langs[int(np.argmax(cos))] and abs(r["score"] - cos.max()) < 1e-4
+        assert r["rejected"] == (r["score"] < model.floors[int(np.argmax(cos))])
+
+
 # ---- 4 -------------------------------------------------------------------------------------------
 
 
@@ -247,9 +349,51 @@ def test_sharding(docs, odd, none):
     assert sharding.place(none, "source", "doc_id", ["a"], 101).count() == 0
 
 
+def test_loads_are_even(spark):
+    """Few sources, one with a third of all rows."""
+    from pyspark.sql import functions as F
+
+    docs = spark.range(60_000).select(F.col("id").alias("doc_id"), F.when(F.col("id") % 3 == 0, "big").otherwise(F.concat(F.lit("s"), F.col("id") % 13)).alias("source"))
+    loads = [r["count"] for r in sharding.place(docs, "source", "doc_id", sharding.SHARDS).groupBy("shard").count().collect()]
+    assert len(loads) == 64 and max(loads) < 1.4 * 60_000 / 64
+    rows = sharding.place(docs.where("doc_id < 300"), "source", "doc_id", ["a", "b"], 101, parts_per_shard=2).collect()
+    number = lambda *x: int(hashlib.md5("|".join(map(str, x)).encode()).hexdigest()[:12], 16)
+    for r in rows:
+        parts = -(-100 * 4 // 300) if r["source"] == "big" else 0
+        assert r["part"] == (number(r["doc_id"]) % parts if parts else 0) and r["slot"] == number(r["source"], r["part"]) % 101
+
+
 # ---- 6 -------------------------------------------------------------------------------------------
 
 
+def _plain_digest(text):
+    raw = text.encode()
+    at = lambda k: raw[k] if k < len(raw) else 0
+    count = [0] * 1024
+    for k in range(len(raw)):
+        h = (at(k) | at(k + 4) << 8 | at(k + 8) << 16) * 0x9E3779B1 % 2**32
+        h = (h ^ (h >> 15)) * 0x85EBCA6B % 2**32
+        count[h >> 22] += 1
+    q = [sorted(count)[k] for k in (255, 511, 767)]
+    code = [sum(c > x for x in q) for c in count]
+    out = f"q1{min(255, round(8 * float(np.log2(1 + len(raw))))):02x}"
+    return out + "".join(f"{code[k] | code[k + 1] << 2 | code[k + 2] << 4 | code[k + 3] << 6:02x}" for k in range(0, 1024, 4))
+
+
+def test_digests_by_brute_force(docs):
+    got = {r["doc_id"]: r["fingerprint"] for r in quartile_digest.fingerprints(docs).collect()}
+    assert got == {i: _plain_digest(t) for i, t in TEXTS.items()}
+
+    def likeness(a, b):
+        codes = lambda d: [int(d[k : k + 2], 16) >> s & 3 for k in range(4, len(d), 2) for s in (0, 2, 4, 6)]
+        steps = [abs(x - y) for x, y in zip(codes(a), codes(b))]
+        total = sum(6 if x == 3 else x for x in steps) + 4 * max(0, abs(int(a[2:4], 16) - int(b[2:4], 16)) - 1)
+        return 1 - min(total, 1536) / 1536
+
+    for i, j in ((0, 2), (1, 60), (61, 62), (64, 5), (69, 3)):
+        assert abs(quartile_digest.likeness(quartile_digest.parse(got[i]), quartile_digest.parse(got[j])) - likeness(got[i], got[j])) < 1e-12
+
+
 def test_digests(docs, odd, none):
     got = {r["doc_id"]: r for r in quartile_digest.compare_with_next(docs, 4).collect()}
     ids = sorted(TEXTS, reverse=True)
@@ -347,6 +491,34 @@ def test_links_inside_a_template_family(spark, monkeypatch):
     assert {r["doc_id"]: r["class_id"] for r in bag_minhash.near_classes(docs).collect()} == want
 
 
+def test_recall_among_texts_of_one_template(spark):
+    """1,000 texts share 400 words and have 52 of their own; 80 pairs are at a likeness of 0.84, others below 0.8."""
+    rng = np.random.default_rng(9)
+    shared = [f"s{k}" for k in range(400)]
+    texts = {i: shared + [f"o{i}_{k}" for k in range(52)] for i in range(1000)}
+    pairs = [(2 * k, 999 - 2 * k) for k in range(80)]
+    for a, b in pairs:
+        texts[b] = shared + texts[a][400:415] + texts[b][415:]
+    assert all(0.8 <= _jaccard(" ".join(texts[a]), " ".join(texts[b])) < 0.85 for a, b in pairs)
+    assert _jaccard(" ".join(texts[1]), " ".join(texts[3])) < 0.8
+    docs = spark.createDataFrame([(int(i), " ".join(texts[i])) for i in rng.permutation(1000)], "doc_id long, text string")
+    got = {r["doc_id"]: r["class_id"] for r in bag_minhash.near_classes(docs).collect()}
+    assert sum(got[a] == got[b] for a, b in pairs) >= 0.99 * 80
+    assert len(set(got.values())) >= 920
+
+
+def test_hot_keys_are_looked_up_apart(spark):
+    from pyspark.sql import functions as F
+
+    from causeway.llm.common import hot_keys, looked_up
+
+    rows = spark.range(9000).select("id", F.when(F.col("id") % 3 == 0, 0).otherwise(F.col("id")).alias("k"))
+    table = spark.range(0, 9000, 2).select(F.col("id").alias("k"), (F.col("id") * 10).alias("v"))
+    assert [r["k"] for r in hot_keys(rows, ["k"]).collect()] == [0]
+    got = looked_up(rows, table, ["k"], "left").collect()
+    assert sorted((r["id"], r["v"]) for r in got) == sorted((i, (k := 0 if i % 3 == 0 else i) * 10 if (0 if i % 3 == 0 else i) % 2 == 0 else None) for i in range(9000))
+
+
 def test_components(spark):
     links = [(i, i + 1) for i in range(1, 40)] + [(100, k) for k in range(101, 160)] + [(7, 7)]
     got = {r["id"]: r["label"] for r in components.components(spark.createDataFrame(links, "lo long, hi long")).collect()}
@@ -378,6 +550,63 @@ def test_mixture(docs, odd, none):
     assert mixing.mix(none, mixing.by_domain(), {}, share=0.5).count() == 0
 
 
+def brute_mixture(rows, share, max_epochs, seed, weights):
+    """{doc_id: epochs} of (doc_id, text, (levels)) by plain recursion and sorting; ids are distinct."""
+    size = {i: len((t or "").split()) for i, t, _ in rows}
+    leaves = {}
+    for i, _, path in rows:
+        leaves.setdefault(path, []).append(i)
+    weight = lambda path: weights.get("/".join(path), weights.get(path[-1], 1))
+    budget = {}
+
+    def give(prefix, amount):
+        depth = len(prefix)
+        if depth == 3:
+            budget[prefix] = amount
+            return
+        below = sorted({p[: depth + 1] for p in leaves if p[:depth] == prefix})
+        cap = {b: max_epochs * sum(size[i] for p, ids in leaves.items() if p[: depth + 1] == b for i in ids) for b in below}
+        left, open_, full = amount, set(below), {}
+        while True:
+            total = sum(weight(b) for b in open_)
+            done = [b for b in open_ if cap[b] * total <= left * weight(b)]
+            if not done:
+                break
+            for b in done:
+                full[b] = cap[b]
+                open_.discard(b)
+            left = amount - sum(full.values())
+        for b in below:
+            give(b, full[b] if b in full else left * weight(b) // sum(weight(x) for x in open_))
+
+    give((), int(sum(size.values()) * share))
+    out = {}
+    for path, ids in leaves.items():
+        tokens = sum(size[i] for i in ids)
+        if not tokens:
+            continue
+        whole, rest = divmod(budget[path], tokens)
+        upto = 0
+        for i in sorted(ids, key=lambda i: hashlib.md5(f"{seed}|{whole}|{i}".encode()).hexdigest()):
+            upto += size[i]
+            out[i] = whole + (upto <= rest)
+    return {i: n for i, n in out.items() if n}
+
+
+def levels_of(row):
+    number = int(row[3][3:]) if row[3] else None
+    return (f"d{number % 4 if number is not None else 0}", row[2] or "(null)", row[3] or "(null)")
+
+
+def test_mixture_by_sorting(docs, monkeypatch):
+    rows = [(r[0], r[1], levels_of(r)) for r in _rows()]
+    for sorted_rows in (256, 1):
+        monkeypatch.setattr(mixing, "SORTED_ROWS", sorted_rows)
+        for share, epochs in ((0.4, 2), (0.8, 1), (1.7, 3)):
+            got = mixing.mix(docs, mixing.by_domain(), mixing.DOMAINS | mixing.LANGS, share=share, max_epochs=epochs, seed=5).collect()
+            assert {r["doc_id"]: r["epochs"] for r in got} == brute_mixture(rows, share, epochs, 5, mixing.DOMAINS | mixing.LANGS)
+
+
 # ---- 9 -------------------------------------------------------------------------------------------
 
 
@@ -395,6 +624,16 @@ def test_lines(docs, odd, none):
     assert line_quality.clean_lines(none).count() == 0
 
 
+def test_notices_in_other_languages(spark):
+    prose = "\n".join(" ".join(f"wort{k}{x}" for x in "abcdefgh") + f" eines Textes{k}." for k in range(12))
+    lines = ["Alle Rechte vorbehalten.", "Tous droits réservés 2020.", "Todos los derechos reservados.", "Impressum und Kontakt.", "Inicio Noticias Deportes.", "Start » Themen » Autor » Archiv", "https://a.example/x www.b.example."]
+    docs = spark.createDataFrame([(1, prose + "\n" + "\n".join(lines))], "doc_id long, text string")
+    r = line_quality.clean_lines(docs).first()
+    assert r["cleaned_text"] == prose and r["n_lines_failed"] == len(lines) and r["kept"]
+    own = line_quality.clean_lines(docs, boilerplate={"x": "eines Textes"}).first()
+    assert own["n_lines_failed"] >= 12 and not own["kept"]
+
+
 # ---- 10 ------------------------------------------------------------------------------------------
 
 
@@ -441,3 +680,36 @@ def test_queries_match_sql(spark, docs, tmp_path):
         want = con.sql(sql)
         at = [want.columns.index(c) for c in cols]
         assert mine == sorted(str([r[k] for k in at]) for r in want.fetchall()), name
+
+
+# ---- columns with any name -----------------------------------------------------------------------
+
+
+def test_clashing_names_stay(spark):
+    names = ["key", "row", "trains", "told", "hot", "parts", "limit", "l0", "l1", "order", "cut", "check", "lines", "w", "ordered", "left", "full", "id", "given", "_row", "_id", "_l0", "_n"]
+    rows = [(i, f"some words of text {i} " * (3 + i), "en", "s1", *[f"{n}{i}" for n in names]) for i in range(6)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, " + ", ".join(f"`{n}` string" for n in names))
+    made = {
+        "op1": lattice_lm.score(docs, docs["doc_id"] > 1, label="lang"), "op3": language_id.identify(docs, language_id.fit(docs)), "op4": repeats.without_repeats(docs),
+        "op5": sharding.place(docs, "source", "doc_id", ["a", "b"], 101), "op6": quartile_digest.fingerprints(docs), "op7": bag_minhash.one_per_class(docs),
+        "op8": mixing.mix(docs, mixing.by_domain(), {}, share=1.0), "op9": line_quality.clean_lines(docs), "op10": piece_sampling.encode(docs),
+    }
+    for name, df in made.items():
+        got = df.collect()
+        assert got and set(names) <= set(df.columns), name
+        for r in got:
+            assert [r[n] for n in names] == [f"{n}{r['doc_id']}" for n in names], name
+
+
+def test_rows_with_one_id_and_two_texts(spark):
+    """No crash, and the same result in any partitioning."""
+    texts = [(1, " ".join(f"a{k}" for k in range(100))), (1, "short text of one line"), (2, " ".join(f"a{k}" for k in range(100))), (2, None)]
+    seen = set()
+    for parts in (1, 3):
+        docs = spark.createDataFrame(texts, "doc_id long, text string").repartition(parts)
+        seen.add((
+            tuple(sorted((r["doc_id"], r["n_words"]) for r in repeats.without_repeats(docs).collect())),
+            tuple(sorted((r["doc_id"], r["text"] or "") for r in bag_minhash.one_per_class(docs).collect())),
+            tuple(sorted(r["epochs"] for r in mixing.mix(docs, {"d": docs["doc_id"]}, {}, share=1.0).collect())),
+        ))
+    assert len(seen) == 1
