@@ -33,9 +33,9 @@ from causeway.llm.word_hashes import mix
 MODEL_FILE = "piece_bpe_32k.model"
 ALPHA = 1e-4
 #: Characters handled at once; a longer text is handled alone.
-CHUNK_CHARS = 400_000
+CHUNK_CHARS = 120_000
 #: Parts whose lattices a worker keeps.
-KEPT_PARTS = 80_000
+KEPT_PARTS = 60_000
 #: Parts over this length are also cut before line ends.
 LONG_PART = 100
 #: Within parts, for a literal U+2581 and for a part that follows no space; no text has these characters.
