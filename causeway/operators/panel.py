@@ -125,7 +125,8 @@ def two_way_effects(df: DataFrame, unit: str, time: str, value: str) -> tuple[Da
     both = np.zeros(n * n + n)
     for row_ in per.mapInPandas(add, "k long, v double").groupBy("k").agg(F.sum("v").alias("v")).collect():
         both[row_["k"]] = row_["v"]
-    b = np.linalg.pinv(both[: n * n].reshape(n, n), hermitian=True) @ both[n * n :] if n else np.zeros(0)
+    # a constant can move from units to periods: that direction is left out
+    b = np.linalg.pinv(both[: n * n].reshape(n, n), rcond=1e-9, hermitian=True) @ both[n * n :] if n else np.zeros(0)
     times = df.sparkSession.createDataFrame([(p, float(x)) for p, x in zip(periods, b, strict=True)], d.select("t").schema.add("b", "double"))
     units = d.join(F.broadcast(times), "t").groupBy("u").agg(F.avg(F.col("y") - F.col("b")).alias("a"))
     return units, times

@@ -236,8 +236,8 @@ def _clustered() -> str:
 
 _WITHIN = """un AS MATERIALIZED (SELECT unit AS u, time AS t, y FROM panel WHERE d = 0),
 fe AS (SELECT 0 AS it, t, 0.0::DOUBLE AS b FROM (SELECT DISTINCT t FROM un) UNION ALL
-  SELECT it + 1, t, nb FROM (SELECT any_value(it) AS it, t, avg(y - a) AS nb FROM (SELECT un.t, un.y, it, avg(un.y - b) OVER (PARTITION BY un.u) AS a FROM un JOIN fe USING (t)) GROUP BY t) WHERE it < 400),
-fb AS MATERIALIZED (SELECT t, b FROM fe WHERE it = 400), fa AS MATERIALIZED (SELECT u, avg(y - b) AS a FROM un JOIN fb USING (t) GROUP BY u)"""
+  SELECT it + 1, t, nb FROM (SELECT any_value(it) AS it, t, avg(y - a) AS nb FROM (SELECT un.t, un.y, it, avg(un.y - b) OVER (PARTITION BY un.u) AS a FROM un JOIN fe USING (t)) GROUP BY t) WHERE it < 800),
+fb AS MATERIALIZED (SELECT t, b FROM fe WHERE it = 800), fa AS MATERIALIZED (SELECT u, avg(y - b) AS a FROM un JOIN fb USING (t) GROUP BY u)"""
 
 
 def _imputation() -> str:
