@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from causeway.llm.common import FEW, HOT_PART, documents, fresh, looked_up, stored, with_long_ids
+from causeway.llm.common import HOT_PART, documents, fresh, hot_keys, looked_up, stored, with_long_ids
 from causeway.llm.components import components, relabelled
 from causeway.llm.word_hashes import mix, run_hashes, word_hashes
 
@@ -144,8 +144,11 @@ def sign(docs: DataFrame) -> DataFrame:
 def _candidates(members: DataFrame) -> DataFrame:
     """(lo, hi) of members (key, id, label): each with those of its bucket's lowest and highest label, where labels differ."""
     me = F.struct("label", "id")
-    chosen = members.groupBy("key").agg(F.min(me).alias("a"), F.max(me).alias("b")).where("a.label != b.label")
-    met = looked_up(members, stored(chosen), ["key"]).select("id", "label", F.explode(F.array("a", "b")).alias("r")).where("label != r.label")
+    chosen = stored(members.groupBy("key").agg(F.min(me).alias("a"), F.max(me).alias("b"), F.count("*").alias("n")).where("a.label != b.label"))
+    total = chosen.agg(F.sum("n")).first()[0] or 0
+    # fewer than the inverse of HOT_PART
+    hot = stored(chosen.where(F.col("n") > total * HOT_PART).select("key"))
+    met = looked_up(members, chosen.drop("n"), ["key"], hot=hot).select("id", "label", F.explode(F.array("a", "b")).alias("r")).where("label != r.label")
     return met.select(F.least("id", "r.id").alias("lo"), F.greatest("id", "r.id").alias("hi")).distinct()
 
 
@@ -156,22 +159,28 @@ def _stand_ins(nodes: DataFrame, labels: DataFrame) -> DataFrame:
     return two.select("key", "label", F.explode(F.array_distinct(F.array("a", "b"))).alias("id"))
 
 
-def _with_text(pairs: DataFrame, side: str, other: str, counted: DataFrame, n: int, texts: DataFrame) -> DataFrame:
-    """pairs with the text of one side; a text that many pairs need is copied SALTS times, so that no task gets all of its pairs."""
-    named = texts.select(F.col("id").alias(side), F.col("text").alias(f"{side}_text"))
-    if n <= FEW:
-        return pairs.join(named, side)
-    hot = stored(counted.groupBy(side).agg(F.count("*").alias("n")).where(F.col("n") > n * HOT_PART).select(side, F.lit(SALTS).alias("salts")))
-    salt = F.pmod(F.xxhash64(other), F.coalesce("salts", F.lit(1)))
-    salted = pairs.join(F.broadcast(hot), side, "left").withColumn("salt", salt).drop("salts")
-    copies = named.join(F.broadcast(hot), side, "left").withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.coalesce("salts", F.lit(1)).cast("long") - 1))).drop("salts")
-    return salted.join(copies, [side, "salt"]).drop("salt")
-
-
 def _verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    """The pairs (lo, hi) of which the texts (id, text) are alike enough."""
-    n = pairs.count()
-    rows = _with_text(_with_text(pairs, "lo", "hi", pairs, n, texts), "hi", "lo", pairs, n, texts)
+    """The pairs (lo, hi) of which the texts (id, text) are alike enough.
+
+    A text that many pairs need is copied SALTS times, so that no task gets all of its pairs.
+    """
+    ends = [hot_keys(pairs, [c]) for c in ("lo", "hi")]
+    ends = [h.toDF("id") for h in ends if h is not None]
+    hot = ends[0].union(ends[-1]).distinct() if ends else None
+    if hot is None:
+        lows = pairs.join(texts.select(F.col("id").alias("lo"), F.col("text").alias("lo_text")), "lo")
+        rows = lows.join(texts.select(F.col("id").alias("hi"), F.col("text").alias("hi_text")), "hi")
+    else:
+        # both joins read the same copies, dealt once
+        copied = F.explode(F.when(F.col("hot"), F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0))))
+        marked = texts.join(F.broadcast(hot.withColumn("hot", F.lit(True))), "id", "left").select("id", "text", copied.alias("salt"))
+
+        def with_text(rows: DataFrame, side: str, other: str) -> DataFrame:
+            salt = F.when(F.col("hot"), F.pmod(F.xxhash64(other), F.lit(SALTS))).otherwise(0).cast("int")
+            salted = rows.join(F.broadcast(hot.select(F.col("id").alias(side), F.lit(True).alias("hot"))), side, "left").withColumn("salt", salt).drop("hot")
+            return salted.join(marked.select(F.col("id").alias(side), F.col("text").alias(f"{side}_text"), "salt"), [side, "salt"]).drop("salt")
+
+        rows = with_text(with_text(pairs, "lo", "hi"), "hi", "lo")
 
     @F.pandas_udf("double")
     def like(a: pd.Series, b: pd.Series) -> pd.Series:

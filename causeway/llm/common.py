@@ -66,18 +66,23 @@ def with_long_ids(docs: DataFrame, row_id: str, name: str, below: int = 0) -> Da
     return known.unionByName(stored(lost.withColumn(name, F.lit(below - 1) - F.monotonically_increasing_id())))
 
 
-def looked_up(rows: DataFrame, table: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
+def hot_keys(rows: DataFrame, keys: list[str]) -> DataFrame | None:
+    """The keys with over HOT_PART of all rows, fewer than its inverse by construction; None where there is none, or where any task holds all rows."""
+    n = rows.count()
+    if n <= FEW:
+        return None
+    hot = stored(rows.groupBy(*keys).agg(F.count("*").alias("_n")).where(F.col("_n") > n * HOT_PART).select(*keys))
+    return None if hot.isEmpty() else hot
+
+
+def looked_up(rows: DataFrame, table: DataFrame, keys: list[str], how: str = "inner", hot: DataFrame | None = None) -> DataFrame:
     """rows joined with table, which has one row a key.
 
-    Keys with over HOT_PART of all rows are few by construction: their part of table is broadcast, so
-    that no task gets all rows of a key. Both frames are read several times and should be stored.
+    Hot keys (found here unless given) have their part of table broadcast, so that no task gets all
+    rows of a key. Both frames are read several times and should be stored.
     """
-    n = rows.count()
-    if n <= FEW:
-        return rows.join(table, keys, how)
-    hot = rows.groupBy(*keys).agg(F.count("*").alias("_n")).where(F.col("_n") > n * HOT_PART).select(*keys)
-    hot = stored(hot)
-    if hot.isEmpty():
+    hot = hot if hot is not None else hot_keys(rows, keys)
+    if hot is None:
         return rows.join(table, keys, how)
     usual = rows.join(F.broadcast(hot), keys, "left_anti").join(table, keys, how)
     return usual.unionByName(rows.join(F.broadcast(hot), keys, "left_semi").join(F.broadcast(table.join(F.broadcast(hot), keys, "left_semi")), keys, how))
