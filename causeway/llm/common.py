@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 #: ASCII white space; all else belongs to words.
 SPACE = r"[\x20\x09-\x0D]+"
 SPACE_CHARS = " \t\n\x0b\x0c\r"
+UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: A key with over this part of all rows is hot; there are fewer hot keys than its inverse. Fewer rows than FEW fit any task.
 HOT_PART, FEW = 1 / 512, 4096
 
