@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 import corpus_pipeline
-from causeway.llm import bag_minhash, language_id, lattice_lm, line_quality, line_runs, merkle, mixing, piece_sampling, quartile_digest, repeats, sharding, token_frames
+from causeway.llm import bag_minhash, itemset_phrases, language_id, lattice_lm, line_quality, line_runs, merkle, mixing, piece_sampling, quartile_digest, repeats, sharding, token_frames
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -22,6 +22,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_mixing": mixing.op8_mixing,
         "op9_line_quality": line_quality.op9_line_quality,
         "op10_pieces": piece_sampling.op10_pieces,
+        "op11_itemset_phrases": itemset_phrases.op11_itemset_phrases,
         "op12_merkle_manifest": merkle.op12_merkle_manifest,
         "op13_line_runs": line_runs.op13_line_runs,
         "pipeline": corpus_pipeline.run,
@@ -35,6 +36,7 @@ def oracle_sql() -> dict[str, str]:
         "op7_bag_minhash": bag_minhash.ORACLE,
         "op8_mixing": mixing.ORACLE,
         "op9_line_quality": line_quality.ORACLE,
+        "op11_itemset_phrases": itemset_phrases.ORACLE,
         "op12_merkle_manifest": merkle.oracle(),
         "op13_line_runs": line_runs.ORACLE,
     }

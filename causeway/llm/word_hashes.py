@@ -25,13 +25,19 @@ def _power(base: int, n: int) -> np.ndarray:
     return _powers[base][:n]
 
 
+def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """The first n powers of the base and of its inverse."""
+    return _power(_BASE, n), _power(_INVERSE, n)
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
     x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
     return x ^ (x >> np.uint64(31))
 
 
-def _stretches(values: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+def stretches(values: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """The hash of the values from each start to each end."""
     sums = np.zeros(len(values) + 1, np.uint64)
     np.cumsum(values * _power(_BASE, len(values)), out=sums[1:])
     return (sums[ends] - sums[starts]) * _power(_INVERSE, len(values) + 1)[starts]
@@ -50,7 +56,7 @@ def word_hashes(texts: list[bytes], seed: int = 0) -> tuple[np.ndarray, np.ndarr
         if not space[0]:
             edge = np.concatenate([[0], edge])
         starts, ends = edge[0::2], edge[1::2]
-        raw = _stretches(b.astype(np.uint64) + np.uint64(1), starts, ends)
+        raw = stretches(b.astype(np.uint64) + np.uint64(1), starts, ends)
         hashes.append(mix(raw + np.uint64((seed * 2 + 1) * 0x9E3779B97F4A7C15 % 2**64) * (ends - starts).astype(np.uint64)))
         bounds = np.cumsum([len(x) + 1 for x in block])
         np.add.at(counts, owners, np.diff(np.searchsorted(starts, bounds), prepend=0))
@@ -81,5 +87,5 @@ def run_hashes(words: np.ndarray, length: int) -> np.ndarray:
     for at in range(0, n, _BLOCK):
         to = min(n, at + _BLOCK)
         starts = np.arange(to - at)
-        out[at:to] = _stretches(words[at : to + length - 1], starts, starts + length)
+        out[at:to] = stretches(words[at : to + length - 1], starts, starts + length)
     return mix(out)
