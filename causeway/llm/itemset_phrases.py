@@ -170,16 +170,16 @@ def scan(shard: DataFrame, step: int, shards: int, max_words: int, now, before,
             for k in range(1, max_words + 1):
                 at = frequent_runs(words, k, found, admits)
                 h, found[k] = places_in(words, at, k, admits)
-                take = np.ones(len(at), bool) if k > 1 or step < shards else np.zeros(len(at), bool)
+                take = np.full(len(at), k > 1 or step < shards)
                 if done is not None:
+                    counted = gone[k - 1][at] & gone[k - 1][at + 1] if k > 1 else np.ones(len(at), bool)
+                    take &= ~counted
                     gone[k] = np.zeros(len(words.first) + 1, bool)
-                    gone[k][at[done.has(h)]] = True
-                    if k > 1:
-                        take = ~(gone[k - 1][at] & gone[k - 1][at + 1])
+                    gone[k][at[counted & done.has(h)]] = True
                 if take.any():
-                    counted = _added(h[take], np.ones(int(take.sum()), np.int64))
-                    held.append([*counted, np.full(len(counted[0]), k, np.uint8)])
-                    size += len(counted[0])
+                    own = _added(h[take], np.ones(int(take.sum()), np.int64))
+                    held.append([*own, np.full(len(own[0]), k, np.uint8)])
+                    size += len(own[0])
             if step < shards and len(words.first):
                 langs, n = np.unique(words.lang, return_counts=True)
                 held.append([of_language(langs), n.astype(np.int64), np.zeros(len(n), np.uint8)])
