@@ -271,10 +271,10 @@ def named(shards: list[DataFrame], bits, max_words: int) -> DataFrame:
                     at = frequent_runs(words, k, found, f)
                     h, found[k] = places_in(words, at, k, f)
                     is_in = found[k][at]
-                    for x, i in zip(*(a.tolist() for a in np.unique(h[is_in], return_index=True)), strict=True):
+                    known, one = np.unique(h[is_in], return_index=True)
+                    for x, p in zip(known.tolist(), at[is_in][one].tolist(), strict=True):
                         if x not in seen:
                             seen.add(x)
-                            p = at[is_in][i]
                             out.append((x, k, names[int(rows[words.text[p]])].as_py(), words.phrase(p, k)))
                 for x, i in zip(*(a.tolist() for a in np.unique(of_language(words.lang.view(np.int64)), return_index=True)), strict=True):
                     if x not in seen:
