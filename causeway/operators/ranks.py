@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from causeway.functions.moments import number
+from causeway.functions.storage import checkpointed
 
 #: Accuracy of the sketches that bracket a quantile, and how many rows of a bracket are counted by value.
 ACCURACY, COUNTED = 10_000, 20_000
@@ -144,3 +145,19 @@ def quantiles(df: DataFrame, columns: list[str] | dict[str, Column], points: lis
 def percentiles(df: DataFrame, column: str | Column, points: list[float]) -> list[float | None]:
     """quantiles of one column."""
     return quantiles(df, {"x": number(column) if isinstance(column, str) else column}, points)["x"]
+
+
+def numbered(df: DataFrame, group: list[str], order: list[str], ranges: int | None = None) -> DataFrame:
+    """df with at, a row's place in its group from 0; order must tell the rows of a group apart.
+
+    Rows are dealt by ranges of group and order, so that a group of any size is dealt out; a row's place is
+    its number in the range, and the rows of its group in the ranges before.
+    """
+    n = ranges or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    at = F.monotonically_increasing_id()
+    placed = df.repartitionByRange(n, *group, *order).sortWithinPartitions(*group, *order)
+    dealt = checkpointed(placed.withColumns({"_part": F.shiftright(at, 33), "_row": at.bitwiseAND(F.lit((1 << 33) - 1))}))
+    held = dealt.groupBy("_part", *group).agg(F.min("_row").alias("_first"), F.count("*").alias("_held"))
+    before = Window.partitionBy(*group).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = held.select("_part", *group, (F.coalesce(F.sum("_held").over(before), F.lit(0)) - F.col("_first")).alias("_offset"))
+    return dealt.join(offsets, ["_part", *group]).select(*df.columns, (F.col("_row") + F.col("_offset")).alias("at"))

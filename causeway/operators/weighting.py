@@ -1,11 +1,11 @@
-"""Propensity weights, entropy balancing and matching."""
+"""Propensity weights, entropy balancing and matching by strata."""
 
 from __future__ import annotations
 
 import math
 
 import numpy as np
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from causeway.functions.moments import linear, moments, sandwich, sums, unpack
@@ -117,39 +117,5 @@ def subclass_match(df: DataFrame, treatment: str, outcome: str, covariates: list
     return stratified(d.withColumn("_k", k), treatment, outcome, F.col("_k"), "subclass")
 
 
-def nearest_pairs(df: DataFrame, key: str, treatment: str, e: str, caliper: float, ratio: int = 1, block: int = 64) -> DataFrame:
-    """(treated, control, distance): up to ratio controls within the caliper of the propensity, with replacement.
-
-    Both sides are put on a line of caliper-wide bins. Controls of a bin are cut into blocks by rank,
-    and a treated row meets only the blocks that can hold its nearest ones: the block of its own place
-    and those beside it, in its bin and the next ones.
-    """
-    bin_of = F.floor(F.col(e) / caliper).cast("long")
-    control = df.where(F.col(treatment) == 0).select(F.col(key).alias("control"), F.col(e).alias("_ec"), bin_of.alias("_bin"))
-    # place rows of a bin by a fine grid, so that a bin with most of the rows is dealt out as well
-    fine = caliper / block
-    control = control.withColumn("_cell", F.floor(F.col("_ec") / fine).cast("long"))
-    # per cell the ratio lowest and highest propensities are enough for any treated row outside it; inside it all cells' ends serve too
-    low = Window.partitionBy("_cell").orderBy("_ec", "control")
-    high = Window.partitionBy("_cell").orderBy(F.desc("_ec"), "control")
-    ends = control.withColumns({"_a": F.row_number().over(low), "_b": F.row_number().over(high)}).where((F.col("_a") <= ratio) | (F.col("_b") <= ratio)).select("control", "_ec", "_bin")
-    treated = df.where(F.col(treatment) == 1).select(F.col(key).alias("treated"), F.col(e).alias("_et"), bin_of.alias("_own"))
-    treated = treated.withColumn("_bin", F.explode(F.array(F.col("_own") - 1, F.col("_own"), F.col("_own") + 1)))
-    met = treated.join(ends, "_bin").withColumn("distance", F.abs(F.col("_et") - F.col("_ec"))).where(F.col("distance") <= caliper)
-    return met.withColumn("_n", F.row_number().over(Window.partitionBy("treated").orderBy("distance", "control"))).where(f"_n <= {ratio}").select("treated", "control", "distance")
-
-
-def nearest_match(df: DataFrame, key: str, treatment: str, outcome: str, covariates: list[str], caliper_sd: float = 0.2, ratio: int = 1) -> DataFrame:
-    """ATT by nearest propensities within a caliper of so many deviations, controls used again as needed."""
-    d = propensity(df.na.drop(subset=[treatment, outcome, *covariates]), treatment, covariates, "_e").select(key, treatment, outcome, "_e").persist()
-    sd = d.agg(F.stddev_samp("_e")).first()[0] or 1e-6
-    pairs = nearest_pairs(d, key, treatment, "_e", caliper_sd * sd, ratio)
-    y = d.select(F.col(key).alias("k"), F.col(outcome).cast("double").alias("y"))
-    per = pairs.join(y.withColumnRenamed("k", "control"), "control").groupBy("treated").agg(F.avg("y").alias("y0"))
-    diff = per.join(y.withColumnRenamed("k", "treated").withColumnRenamed("y", "y1"), "treated").select((F.col("y1") - F.col("y0")).alias("d"))
-    point, s, n = diff.agg(F.avg("d"), F.stddev_samp("d"), F.count("*")).first()
-    return frame(df.sparkSession, [row("matching.nearest", treatment, outcome, point, s / math.sqrt(n), n, estimand="ATT", caliper=caliper_sd * sd)])
-
-
 def balance_after(df: DataFrame, treatment: str, covariates: list[str]) -> DataFrame:
     return balance(propensity(df, treatment, covariates, "_e"), treatment, covariates, "_e")

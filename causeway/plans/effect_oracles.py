@@ -312,6 +312,18 @@ def _subclass() -> str:
     return sql.query(MIXED, [*sql.logit("pe", "mixed", "t", XS), f"e AS MATERIALIZED (SELECT t, y, {sql.chance(XS)} AS e FROM mixed, pe)", f"s AS MATERIALIZED (SELECT *, {cuts} AS k FROM e)"], "").rstrip() + ", " + _stratified("subclass", "s", "k")
 
 
+def _nearest(rows: str, caliper: str, ratio: int) -> str:
+    """Pairs p of rows (id, t, e) by distance, the control's e and its id."""
+    return f"""p AS MATERIALIZED (SELECT * FROM (SELECT a.id AS treated, b.id AS control, abs(a.e - b.e) AS distance, row_number() OVER (PARTITION BY a.id ORDER BY abs(a.e - b.e), b.e, b.id) AS place
+      FROM {rows} a JOIN {rows} b ON a.t = 1 AND b.t = 0 AND b.e >= a.e - {caliper} * 1.001 AND b.e <= a.e + {caliper} * 1.001) WHERE distance <= {caliper} AND place <= {ratio})"""
+
+
+def _nearest_effect() -> str:
+    pre = [*sql.logit("pe", "mixed", "t", XS), f"e AS MATERIALIZED (SELECT id, t, y, round({sql.chance(XS)}, 9) AS e FROM mixed, pe)", "cal AS (SELECT 0.2::DOUBLE * stddev_samp(e) AS w FROM e)", _nearest("e", "(SELECT w FROM cal)", 1),
+           "d AS (SELECT a.y - b.y AS d FROM p JOIN e a ON a.id = treated JOIN e b ON b.id = control)"]
+    return sql.query(MIXED, pre, sql.result("matching.nearest", "ATT", "avg(d)", "stddev_samp(d) / sqrt(count(*))", "count(*)", "d"))
+
+
 _AUDIT = f"""WITH {ITEMS}, c AS (SELECT corr(w1, y) AS a, corr(w2, y) AS b, corr(w1, w2) AS ab, count(*) AS n FROM items),
   k AS (SELECT {_rank('t')} AS rt, {_rank('w2')} AS rw FROM items), sp AS (SELECT corr(rt, rw) AS r, count(*) AS n FROM k),
   e AS (SELECT 'w1' AS src, 'y' AS dst, 'w2' AS given, (a - b * ab) / sqrt((1 - b * b) * (1 - ab * ab)) AS r, n, 4 AS q FROM c UNION ALL SELECT 'w2', 'y', 'w1', (b - a * ab) / sqrt((1 - a * a) * (1 - ab * ab)), n, 4 FROM c
@@ -381,6 +393,8 @@ def oracles() -> dict[str, str]:
         "k2_entropy": _entropy(),
         "k3_coarsened": f"WITH {MIXED}, " + _stratified("coarsened", "mixed", f"{_BIN('x1')} || '|' || {_BIN('x2')}"),
         "k3_subclass": _subclass(),
+        "k3_nearest": _nearest_effect(),
+        "k3_nearest_pairs": f"WITH {MIXED}, s AS MATERIALIZED (SELECT id, t, x1 AS e FROM mixed), {_nearest('s', '0.05::DOUBLE', 3)} SELECT treated, control, round(distance, 6) AS distance FROM p",
         "l1_adjusted": _l1_adjusted(),
         "l1_overall": _overall(),
         "l2_imputation": _imputation(),

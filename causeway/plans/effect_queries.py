@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from causeway.operators import discovery, distribution, effects, interference, panel, weighting
+from causeway.operators import discovery, distribution, effects, interference, matching, panel, weighting
 from causeway.plans import effect_oracles
 from causeway.plans.tables import ITEMS, PANEL, SALES, by_nation, items, rounded, sales, table
 from causeway.plans.tables import panel as events_panel
@@ -183,7 +183,9 @@ QUERIES = {
     "k3_exact": _effect(lambda s, d: weighting.exact_match(mixed(s, d), "t", "y", ["segment", "nation"])),
     "k3_coarsened": _effect(lambda s, d: weighting.coarsened_match(mixed(s, d), "t", "y", ["x1", "x2"])),
     "k3_subclass": _effect(lambda s, d: weighting.subclass_match(mixed(s, d), "t", "y", ["x1", "x2"])),
-    "k3_nearest": _effect(lambda s, d: weighting.nearest_match(mixed(s, d), "id", "t", "y", ["x1", "x2"])),
+    "k3_nearest": _effect(lambda s, d: matching.nearest_match(mixed(s, d), "id", "t", "y", ["x1", "x2"])),
+    "k3_nearest_pairs": lambda s, d: rounded(matching.nearest_pairs(mixed(s, d), "id", "t", "x1", 0.05, 3), 6),
+    "k3_nearest_once": lambda s, d: rounded(matching.nearest_pairs(mixed(s, d), "id", "t", "x1", 0.05, 2, replace=False), 6),
     "l1_group_time": l1_cells,
     "l1_event_study": l1_study,
     "l1_adjusted": l1_adjusted,

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from causeway.functions.moments import complete, moments, replicate_moments
 from causeway.functions.stats import chi2_sf
 from causeway.operators import (
-    diagnostics, discovery, distribution, effects, features, interference, panel, profile, ranks, retrieval, sensitivity, tasks, weighting,
+    diagnostics, discovery, distribution, effects, features, interference, matching, panel, profile, ranks, retrieval, sensitivity, tasks, weighting,
 )
 from causeway.plans import catalog
 from causeway.sources import readers
@@ -46,7 +46,7 @@ def test_average_effects(trial):
     _near(effects.targeted(trial, "id", "t", "y", xs, k=2), 2, 0.25)
     _near(weighting.weighted_effect(trial, "t", "y", xs), 2, 0.3)
     _near(weighting.weighted_effect(trial, "t", "y", xs, method="entropy"), 2, 0.3)
-    _near(weighting.nearest_match(trial, "id", "t", "y", ["x"]), 2, 0.3)
+    _near(matching.nearest_match(trial, "id", "t", "y", ["x"]), 2, 0.3)
     _near(effects.clustered(trial, "id", "c", "t", "y", xs, 2), 2, 0.2)
     naive = effects.ols(trial, "t", "y", []).first()["point"]
     assert naive > 2.8
