@@ -12,6 +12,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from causeway.functions.moments import Moments, bootstrapped, bucket_moments, complete, hash_key, hash_uniform, linear, moments, sandwich, sums, unpack
+from causeway.functions.storage import checkpointed
+from causeway.operators import forest
 from causeway.operators.logit import by_model, logit_fits
 from causeway.operators.ranks import percentiles, running_sums, weighted_quantiles
 from causeway.operators.results import frame, row
@@ -234,11 +236,8 @@ def cate(df: DataFrame, key: str, treatment: str, outcome: str, xs: list[str], l
         out = cross_fit(d, [("_x1", "_imputed", kind, f"`{treatment}` = 1"), ("_x0", "_imputed", kind, f"`{treatment}` = 0")], xs, k)
         out = out.withColumn("cate", F.col("e") * F.col("_x0") + (1 - F.col("e")) * F.col("_x1"))
     elif learner == "r":
-        d = d.withColumn("_m", F.col("e") * F.col("mu1") + (1 - F.col("e")) * F.col("mu0"))
-        gap = t - F.col("e")
-        d = d.withColumns({"_ratio": (F.col(outcome) - F.col("_m")) / gap, "_weight": gap * gap})
-        made = VectorAssembler(inputCols=xs, outputCol="_x").transform(d)
-        out = regressor("forest", "_weight")("_ratio").fit(made).transform(made).withColumnRenamed("_hat", "cate").drop("_x")
+        d = checkpointed(d)
+        out = d.select(key, "phi").join(_forest_of(d, key, treatment, outcome, xs).select(key, "cate"), key)
     else:
         out = cross_fit(d, [("cate", "phi", kind, None)], xs, k)
     return out.select(key, "cate", "phi")
@@ -252,6 +251,28 @@ def learner_ate(df: DataFrame, key: str, treatment: str, outcome: str, xs: list[
     return frame(df.sparkSession, [row(f"learner.{learner}", treatment, outcome, dr if learner in ("dr", "r") else point, se, n, aipw=dr, cate_sd=spread)])
 
 
+def _forest_of(d: DataFrame, key: str, treatment: str, outcome: str, xs: list[str], **shape: int) -> DataFrame:
+    mean = F.col("e") * F.col("mu1") + (1 - F.col("e")) * F.col("mu0")
+    return forest.honest_effects(d.withColumn("_m", mean), key, xs, treatment, outcome, "_m", "e", **shape)
+
+
+def forest_effects(df: DataFrame, key: str, treatment: str, outcome: str, xs: list[str], by: str | None = None, k: int = 3, **shape: int) -> DataFrame:
+    """The honest forest's average effect, of all rows and for each level of by: doubly robust around its row effects.
+
+    Diagnostics hold the mean and spread of the row effects and their mean error.
+    """
+    d = checkpointed(aipw_scores(df, key, treatment, outcome, xs, k, extra=[by] if by else None))
+    got = _forest_of(d, key, treatment, outcome, xs, **shape)
+    got = got.join(d.select(key, F.col(by).cast("string").alias("_by")), key) if by else got.withColumn("_by", F.lit(None).cast("string"))
+    sums = [F.avg("score").alias("point"), F.stddev_samp("score").alias("sd"), F.count("*").alias("n"), F.avg("cate").alias("mean"), F.stddev_samp("cate").alias("spread"), F.sqrt(F.avg(F.col("se") ** 2)).alias("error")]
+    # the levels of by, each a row of results, and all rows
+    groups = got.rollup("_by").agg(F.grouping("_by").alias("all"), *sums).where("all = 1 or _by is not null").orderBy("all", "_by").collect() if by else got.agg(*sums).withColumn("_by", F.lit(None)).collect()
+    return frame(df.sparkSession, [
+        row("forest.honest", treatment, outcome, g["point"], (g["sd"] or 0.0) / math.sqrt(g["n"]), g["n"], segment=g["_by"], estimand="ATE" if g["_by"] is None else "GATE", cate_mean=g["mean"], cate_sd=g["spread"], row_error=g["error"])
+        for g in groups
+    ])
+
+
 def stacked(df: DataFrame, key: str, outcome: str, xs: list[str], kinds: tuple[str, ...] = ("linear", "forest", "boosted"), k: int = 3) -> DataFrame:
     """Out-of-fold predictions of several models and their non-negative linear stack; weights come from one moment matrix."""
     d = folded(df.select(key, *[F.col(c).cast("double").alias(c) for c in (outcome, *xs)]).na.drop(), key, k).persist()

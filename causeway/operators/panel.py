@@ -10,11 +10,10 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from causeway.functions.moments import sums, unpack
-from causeway.operators.ranks import percentiles
 from causeway.operators.results import frame, row
 
-#: Periods of a two-way model, and values of an experiment with synthetic controls (32 MB).
-MAX_PERIODS, MAX_CELLS = 2_000, 4_000_000
+#: Periods of a two-way model.
+MAX_PERIODS = 2_000
 
 
 def design(df: DataFrame, time: str, onset: str) -> str:
@@ -199,119 +198,3 @@ def pretrend_bounds(study: DataFrame, grid: tuple[float, ...] = (0.0, 0.5, 1.0,
     post = study.where("e >= 0").crossJoin(steps).withColumn("m", F.explode(F.array(*map(F.lit, grid))))
     slack = F.col("m") * F.col("step") * (F.col("e") + 1) + z(level) * F.col("se")
     return post.select("e", "m", (F.col("att") - slack).alias("low"), (F.col("att") + slack).alias("high"), (F.abs("att") > slack).alias("robust"))
-
-
-# ---- synthetic control ---------------------------------------------------------------------------
-
-
-def simplex(a: np.ndarray, b: np.ndarray, rounds: int = 5000) -> np.ndarray:
-    """Weights on the simplex minimising w'aw - 2b'w, by accelerated projected gradient."""
-    n = len(b)
-    w = v = np.full(n, 1 / n)
-    step = 1 / max(np.linalg.eigvalsh(a)[-1], 1e-12)
-    t = 1.0
-    for _ in range(rounds):
-        g = v - step * (a @ v - b)
-        u = np.sort(g)[::-1]
-        c = np.cumsum(u) - 1
-        k = np.flatnonzero(u - c / np.arange(1, n + 1) > 0)[-1]
-        new = np.maximum(g - c[k] / (k + 1), 0)
-        t2 = (1 + math.sqrt(1 + 4 * t * t)) / 2
-        v = new + (t - 1) / t2 * (new - w)
-        done = np.abs(new - w).max() < 1e-12
-        w, t = new, t2
-        if done:
-            break
-    return w
-
-
-class Series:
-    """The series of an experiment's units (rows) over periods, with the sums that every placebo reads parts of."""
-
-    def __init__(self, x: np.ndarray, pre: np.ndarray):
-        self.x, self.pre = x, pre
-        self.before, self.after = x[:, pre] @ x[:, pre].T, x[:, ~pre] @ x[:, ~pre].T
-        self.mean0, self.mean1 = x[:, pre].mean(1), x[:, ~pre].mean(1)
-        self.times = x[:, pre].T @ x[:, pre]
-
-    def control(self, target: int, pool: np.ndarray, method: str) -> tuple[float, float, float]:
-        """(att, pre_rmspe, post_rmspe) of a unit against its synthetic control of the units in pool."""
-        a, b = self.before[np.ix_(pool, pool)], self.before[pool, target]
-        t0, t1 = int(self.pre.sum()), int((~self.pre).sum())
-        shift = 0.0
-        if method == "sdid":
-            m = self.mean0
-            centred = a - t0 * np.outer(m[pool], m[pool])
-            w = simplex(centred + 1e-6 * np.trace(a) / len(pool) * np.eye(len(pool)), b - t0 * m[pool] * m[target])
-            x = self.x[np.ix_(pool, np.flatnonzero(self.pre))]
-            column = x.mean(0)
-            z = self.times - sum(np.outer(v, v) for v in np.delete(self.x[:, self.pre], pool, axis=0)) - len(pool) * np.outer(column, column)
-            post = self.mean1[pool]
-            lam = simplex(z + 1e-6 * np.trace(z) * np.eye(t0), x.T @ post - len(pool) * column * post.mean())
-            shift = float(lam @ (self.x[target, self.pre] - w @ x))
-        else:
-            w = simplex(a, b)
-            if method == "ascm":  # ridge correction of what the simplex leaves
-                w = w + np.linalg.solve(a + 0.1 * np.trace(a) / len(pool) * np.eye(len(pool)), b - a @ w)
-        v = np.zeros(len(self.x))
-        v[pool], v[target] = -w, 1.0
-        gap0, gap1 = v @ self.mean0, v @ self.mean1
-        rms = lambda g, gap, t: math.sqrt(max(0.0, (v @ g @ v) / t - 2 * shift * gap + shift * shift))
-        return float(gap1 - shift), rms(self.before, gap0, t0), rms(self.after, gap1, t1)
-
-
-def synthetic_control(df: DataFrame, unit: str, time: str, outcome: str, treated: object, start: object, method: str = "scm", donors: list | None = None) -> DataFrame:
-    """(unit, is_treated, att, pre_rmspe, post_rmspe, ratio): the treated unit and each donor in its place.
-
-    Units need a value in every period of the table; others are left out, and a treated unit with gaps is an error. An experiment has at most MAX_CELLS values: they are sent to
-    all workers once, where the sums of products are made once and every placebo reads its part.
-    """
-    d = df.select(F.col(unit).cast("string").alias("u"), F.col(time).cast("double").alias("t"), F.col(outcome).cast("double").alias("y")).na.drop()
-    if donors is not None:
-        d = d.where(F.col("u").isin([str(treated), *map(str, donors)]))
-    d = d.groupBy("u", "t").agg(F.avg("y").alias("y"))
-    n_cells, n_periods = d.agg(F.count("*"), F.count_distinct("t")).first()
-    if n_cells > MAX_CELLS:
-        raise ValueError(f"{n_cells} values in one experiment, over {MAX_CELLS}: name the donors, or widen the periods")
-    whole = d.groupBy("u").agg(F.sort_array(F.collect_list(F.struct("t", "y"))).alias("s")).where(F.size("s") == n_periods).collect()
-    whole.sort(key=lambda r: r["u"])
-    names = [r["u"] for r in whole]
-    if str(treated) not in names:
-        raise ValueError("the treated unit lacks values in some periods")
-    pre = np.array([p["t"] for p in whole[0]["s"]]) < float(start)
-    own = names.index(str(treated))
-    shared = df.sparkSession.sparkContext.broadcast((np.array([[p["y"] for p in r["s"]] for r in whole]), pre))
-    jobs = df.sparkSession.range(len(names)).repartition(max(1, min(len(names), 200)))
-
-    def solve(batches):
-        series = None
-        for b in batches:
-            series = series or Series(*shared.value)
-            out = []
-            for k in b["id"]:
-                pool = np.array([j for j in range(len(names)) if j not in (own, k)], int)
-                if not len(pool) or pre.sum() < 2 or pre.all():
-                    continue
-                att, a, c = series.control(int(k), pool, method)
-                out.append((names[k], k == own, att, a, c, c / max(a, 1e-12)))
-            yield pd.DataFrame(out, columns=["unit", "is_treated", "att", "pre_rmspe", "post_rmspe", "ratio"])
-
-    return jobs.mapInPandas(solve, "unit string, is_treated boolean, att double, pre_rmspe double, post_rmspe double, ratio double")
-
-
-def placebo_summary(all_: DataFrame) -> dict[str, float]:
-    """The treated unit's figures among its placebos': att, sd, n, rank, p, quantiles."""
-    all_ = all_.persist()
-    own = all_.where("is_treated").first()
-    others = all_.where("not is_treated")
-    n, above, sd = others.agg(F.count("*"), F.count_if(F.col("ratio") >= own["ratio"]), F.stddev_samp("att")).first()
-    low, high = percentiles(others, "att", [0.05, 0.95])
-    all_.unpersist()
-    return {"att": own["att"], "sd": sd, "n": n, "placebo_p": (above + 1) / (n + 1), "rank": above + 1, "rmspe_ratio": own["ratio"], "placebo_q05": low, "placebo_q95": high, "pre_rmspe": own["pre_rmspe"]}
-
-
-def synthetic_effect(df: DataFrame, unit: str, time: str, outcome: str, treated: object, start: object, method: str = "scm", donors: list | None = None) -> DataFrame:
-    """The treated unit's effect with its placebo rank, p, and the 5 and 95 percent placebo effects (not an interval around the point)."""
-    got = placebo_summary(synthetic_control(df, unit, time, outcome, treated, start, method, donors))
-    att, sd, n = got.pop("att"), got.pop("sd"), got.pop("n")
-    return frame(df.sparkSession, [row(f"panel.{method}", str(treated), outcome, att, sd, n + 1, estimand="ATT", **got)])

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from causeway.functions.moments import number
-from causeway.operators.ranks import quantiles
+from causeway.operators.ranks import described, sketched
 
 # fixed values: name patterns, value formats, thresholds
 IDENTIFIER_NAME = re.compile(r"(^id$|_id$|^uuid$|^guid$|patient|subject_no)", re.I)
@@ -35,8 +35,6 @@ TYPES = [
 ]
 STRING_FORMATS = [*[(f"{k} > 0.8", k) for k in (*FORMATS, "date_like")], ("length > 30", "free_text"), ("distinct > 0.95 * n", "identifier_like"), ("true", "categorical_like")]
 TOP = 20
-#: Up to so many distinct values a column's are counted exactly; beyond, the cardinality is an estimate (within about 5 %).
-COUNTED_VALUES = 10_000
 _INTEGERS = (T.ByteType, T.ShortType, T.IntegerType, T.LongType)
 _POINTS = {"p5": 0.05, "p25": 0.25, "p50": 0.5, "p75": 0.75, "p95": 0.95}
 
@@ -74,17 +72,13 @@ def entropy(top: DataFrame) -> DataFrame:
     return top.withColumn("p", p).groupBy("name").agg(F.min_by("value", "place").alias("mode"), (-F.sum(F.col("p") * F.log2(F.col("p") + 1e-12))).alias("entropy"))
 
 
-def _measures(c: str, i: int) -> list[Column]:
-    x = number(c)
-    return [F.count(x).alias(f"n{i}"), F.avg(x).alias(f"m{i}"), F.stddev_samp(x).alias(f"s{i}"), F.min(x).alias(f"a{i}"), F.max(x).alias(f"b{i}"), F.skewness(x).alias(f"g{i}"), F.kurtosis(x).alias(f"k{i}")]
-
-
-def _measured(row, c: str, i: int, quantiles_: dict[str, list]) -> dict:
-    """The figures of a column from a row of _measures; skew and kurtosis are bias-corrected."""
-    n, g, k = row[f"n{i}"], row[f"g{i}"], row[f"k{i}"]
+def _measured(c: str, quantiles_: list, moments: dict | None) -> dict:
+    """The figures of a column; skew and kurtosis are bias-corrected."""
+    m = moments or {"n": 0} | dict.fromkeys(("mean", "sd", "min", "max", "skew", "kurtosis"))
+    n, g, k = m["n"], m["skew"], m["kurtosis"]
     skew = math.sqrt(n * (n - 1)) / (n - 2) * g if n > 2 and g is not None else 0.0
     kurtosis = (n - 1) / ((n - 2) * (n - 3)) * ((n + 1) * k + 6) if n > 3 and k is not None else 0.0
-    return {"name": c, "n": n, "mean": row[f"m{i}"], "sd": row[f"s{i}"], "min": row[f"a{i}"], "max": row[f"b{i}"], **dict(zip(_POINTS, quantiles_[c], strict=True)), "skew": skew, "kurtosis": kurtosis}
+    return {"name": c, **{x: m[x] for x in ("n", "mean", "sd", "min", "max")}, **dict(zip(_POINTS, quantiles_, strict=True)), "skew": skew, "kurtosis": kurtosis}
 
 
 STATS = "name string, n long, mean double, sd double, min double, max double, p5 double, p25 double, p50 double, p75 double, p95 double, skew double, kurtosis double"
@@ -92,9 +86,8 @@ STATS = "name string, n long, mean double, sd double, min double, max double, p5
 
 def continuous_stats(df: DataFrame, cols: list[str]) -> DataFrame:
     """(name, n, mean, sd, min, max, p5, p25, p50, p75, p95, skew, kurtosis); quantiles are exact, the last two bias-corrected."""
-    row = df.agg(*[a for i, c in enumerate(cols) for a in _measures(c, i)]).first()
-    q = quantiles(df, cols, list(_POINTS.values()))
-    return df.sparkSession.createDataFrame([tuple(_measured(row, c, i, q).values()) for i, c in enumerate(cols)], STATS)
+    rows = [tuple(_measured(c, *found).values()) for c, found in described(df, cols, list(_POINTS.values())).items()]
+    return df.sparkSession.createDataFrame(rows, STATS)
 
 
 def tukey_outliers(df: DataFrame, cols: list[str], stats: list) -> dict[str, int]:
@@ -177,72 +170,89 @@ def _class(kind: T.DataType) -> str:
     return "whole" if isinstance(kind, _INTEGERS) else "number" if isinstance(kind, T.NumericType) else "text"
 
 
-def _counted(df: DataFrame, cols: list[str], many: list[str]) -> dict[str, tuple[int, list]]:
-    """For each column the number of distinct values and the top ones; many are those with too many values for one task."""
-    out: dict[str, tuple[int, list]] = {}
+def distinct_counts(df: DataFrame, cols: list[str]) -> dict[str, int]:
+    """The number of distinct non-missing values of each column, in one job.
+
+    Values become 64-bit hashes, which tell apart all numbers, dates and times, and strings but for n^2 / 2^65
+    of n. Tasks drop what repeats in them, and what is left is dealt by column and hash.
+    """
+    if not cols:
+        return {}
+    hashed = df.select(*[F.when(~is_missing(df, c), F.xxhash64(F.col(f"`{c}`"))).alias(str(i)) for i, c in enumerate(cols)])
+    one = hashed.unpivot([], list(hashed.columns), "c", "h").where("h is not null").distinct()
+    found = {int(r["c"]): r["d"] for r in one.groupBy("c").agg(F.count("*").alias("d")).collect()}
+    return {c: found.get(i, 0) for i, c in enumerate(cols)}
+
+
+def listed_values(df: DataFrame, cols: list[str]) -> dict[str, list]:
+    """The TOP values of each column and how often they occur."""
+    out: dict[str, list] = {}
     if cols:
-        w = Window.partitionBy("name")
-        rows = value_counts(df, cols).withColumns({"place": F.row_number().over(w.orderBy(F.desc("n"), "value")), "d": F.count("*").over(w)}).where(f"place <= {TOP}")
-        for r in rows.orderBy("name", "place").collect():
-            out.setdefault(r["name"], (r["d"], []))[1].append((r["value"], r["n"]))
-    if many:
-        counts = value_counts(df, many).persist()
-        sizes = {r[0]: r[1] for r in counts.groupBy("name").count().collect()}
-        for r in top_values(counts).orderBy("name", "place").collect():
-            out.setdefault(r["name"], (sizes[r["name"]], []))[1].append((r["value"], r["n"]))
-        counts.unpersist()
+        for r in top_values(value_counts(df, cols)).orderBy("name", "place").collect():
+            out.setdefault(r["name"], []).append((r["value"], r["n"]))
     return out
 
 
 FACTS = (
     "name string, dtype string, class string, n_total long, n_missing long, n long, distinct long, suspected_name boolean, zero_one boolean, length double, "
-    + ", ".join(f"{k} double" for k in (*FORMATS, "date_like")) + ", " + STATS.removeprefix("name string, n long, ") + ", outliers long, top array<struct<value string, n long>>, entropy double, event_name boolean, time_name boolean"
+    + ", ".join(f"{k} double" for k in (*FORMATS, "date_like")) + ", " + STATS.removeprefix("name string, n long, ") + ", outliers long, event_name boolean, time_name boolean"
 )
 
 
-def profile(df: DataFrame, exact: bool = False) -> DataFrame:
+def profile(df: DataFrame) -> DataFrame:
     """(name, dtype, logical_dtype, n_total, n_missing, missing_rate, cardinality, mean .. kurtosis, n_tukey_outliers, top_values,
     mode, entropy, suspected_identifier, suspected_event_indicator, suspected_time_column, is_binary_01, constant, string_format), a row a column.
 
-    One pass gives counts, moments, formats and estimates of distinct values; quantiles need three
-    more; values are only counted for columns of few of them, and for text columns that repeat theirs.
-    With exact, all columns' values are counted. Only summaries reach the driver.
+    One pass gives counts, formats and sketches, one the distinct values of all columns, one quantiles and
+    moments, one the outliers, and one counts the values of the columns that are listed. All figures are
+    exact, and only summaries reach the driver. A table in fewer parts than there are cores is dealt over them first.
     """
+    spark: SparkSession = df.sparkSession
+    cores = spark.sparkContext.defaultParallelism
+    if df.rdd.getNumPartitions() < cores:
+        spread = df.repartition(cores).persist()
+        try:
+            return _profiled(spread)
+        finally:
+            spread.unpersist()
+    return _profiled(df)
+
+
+def _profiled(df: DataFrame) -> DataFrame:
     spark: SparkSession = df.sparkSession
     cols = _profilable(df)
+    if not cols:
+        return spark.createDataFrame([], FACTS).withColumn("logical_dtype", _case(TYPES)).selectExpr(*_PROFILE, _FORMAT)
     kinds = {f.name: f.dataType for f in df.schema.fields}
     numeric = [c for c in _numeric(df) if c in cols]
     strings = [c for c in cols if isinstance(kinds[c], T.StringType)]
     at = {c: i for i, c in enumerate(cols)}
-    made = [F.count("*").alias("total"), *[a for i, c in enumerate(cols) for a in (F.count_if(is_missing(df, c)).alias(f"lost{i}"), F.approx_count_distinct(F.when(~is_missing(df, c), F.col(f"`{c}`"))).alias(f"d{i}"))]]
-    made += [a for c in numeric for a in _measures(c, at[c])]
+    points = list(_POINTS.values())
+    made = [F.count("*").alias("total"), *[F.count_if(is_missing(df, c)).alias(f"lost{i}") for i, c in enumerate(cols)]]
     for c in strings:
         rate = lambda p, c=c: F.avg(F.col(f"`{c}`").rlike(p).cast("int"))
         made += [*[rate(p).alias(f"{k}{at[c]}") for k, p in FORMATS.items()], F.greatest(*[rate(p) for p in DATES]).alias(f"date_like{at[c]}"), F.avg(F.length(F.col(f"`{c}`"))).alias(f"length{at[c]}")]
-    if not cols:
-        return spark.createDataFrame([], FACTS).withColumn("logical_dtype", _case(TYPES)).selectExpr(*_PROFILE, _FORMAT)
-    row = df.agg(*made).first()
+    sketches = sketched([number(c) for c in numeric], points)
+    row = df.agg(*made, *sketches).first()
     n = {c: row["total"] - row[f"lost{at[c]}"] for c in cols}
-    q = quantiles(df, numeric, list(_POINTS.values()))
-    stats = {c: _measured(row, c, at[c], q) for c in numeric}
+    distinct = distinct_counts(df, cols)
+    stats = {c: _measured(c, *found) for c, found in described(df, numeric, points, list(row)[len(made) :]).items()}
     outliers = tukey_outliers(df, numeric, list(stats.values())) if numeric else {}
-    few = [c for c in cols if n[c] and row[f"d{at[c]}"] <= COUNTED_VALUES]
-    many = [c for c in cols if n[c] and c not in few and (exact or (c in strings and row[f"d{at[c]}"] < 0.6 * n[c]))]
-    counts = _counted(df, few, many)
-    rows = []
+    facts = []
     for c in cols:
-        d, top = counts.get(c, (min(row[f"d{at[c]}"], n[c]), []))
-        total = sum(m for _, m in top)
-        entropy_ = -sum(m / total * math.log2(m / total + 1e-12) for _, m in top) if top else None
         s = stats.get(c)
-        zero_one = c in numeric and d <= 2 and {float(v) for v, _ in top} <= {0.0, 1.0}
+        ends = {s["min"], s["max"]} if s and s["n"] else set()
         shape = [float(row[f"{k}{at[c]}"] or 0.0) if c in strings else None for k in ("length", *FORMATS, "date_like")]
-        rows.append((
-            c, kinds[c].simpleString(), _class(kinds[c]), row["total"], row[f"lost{at[c]}"], n[c], d, bool(IDENTIFIER_NAME.search(c)), zero_one, *shape,
+        facts.append((
+            c, kinds[c].simpleString(), _class(kinds[c]), row["total"], row[f"lost{at[c]}"], n[c], distinct[c], bool(IDENTIFIER_NAME.search(c)), c in numeric and distinct[c] <= 2 and ends <= {0.0, 1.0}, *shape,
             *[float(v) if s and (v := s[k]) is not None else None for k in ("mean", "sd", "min", "max", *_POINTS, "skew", "kurtosis")],
-            outliers.get(c), top, entropy_, bool(EVENT_NAME.search(c)), bool(TIME_NAME.search(c)),
+            outliers.get(c), bool(EVENT_NAME.search(c)), bool(TIME_NAME.search(c)),
         ))
-    return spark.createDataFrame(rows, FACTS).withColumn("logical_dtype", _case(TYPES)).selectExpr(*_PROFILE, _FORMAT)
+    typed = spark.createDataFrame(facts, FACTS).withColumn("logical_dtype", _case(TYPES))
+    top = listed_values(df, [r["name"] for r in typed.where(_LISTED).where("n > 0").select("name").collect()])
+    share = lambda m, v: m / sum(k for _, k in v)
+    listed = spark.createDataFrame([(c, v, -sum(share(m, v) * math.log2(share(m, v) + 1e-12) for _, m in v)) for c, v in top.items()], "name string, top array<struct<value string, n long>>, entropy double")
+    return typed.join(F.broadcast(listed), "name", "left").selectExpr(*_PROFILE, _FORMAT)
 
 
 _MEASURED, _LISTED = "logical_dtype in ('continuous', 'count', 'ordinal')", "logical_dtype in ('categorical', 'binary', 'ordinal')"

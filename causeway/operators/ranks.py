@@ -7,7 +7,10 @@ Rows are dealt by ranges of the key and ordered within each; what each range add
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -16,6 +19,7 @@ from causeway.functions.storage import checkpointed
 
 #: Accuracy of the sketches that bracket a quantile, and how many rows of a bracket are counted by value.
 ACCURACY, COUNTED = 10_000, 20_000
+SPREAD = 2.0 / ACCURACY
 
 
 def running_sums(df: DataFrame, order: list[Column], totals: dict[str, Column], ranges: int | None = None, whole: dict[str, str] | None = None, part: str | None = None) -> DataFrame:
@@ -71,75 +75,135 @@ def weighted_quantiles(df: DataFrame, value: str, weight: Column, points: list[f
     return list(row)
 
 
-def quantiles(df: DataFrame, columns: list[str] | dict[str, Column], points: list[float]) -> dict[str, list[float | None]]:
-    """For each column its exact quantiles, interpolated between neighbouring ranks; nulls and NaN are passed over.
+def _ends(points: list[float]) -> list[float]:
+    return sorted({min(1.0, max(0.0, p + d)) for p in points for d in (-SPREAD, SPREAD)})
+
+
+def sketched(columns: list[Column], points: list[float]) -> list[Column]:
+    """Aggregates that quantiles starts from; they can share a pass with others."""
+    xs = [c.cast("double") for c in columns]
+    return [a for x in xs for a in (F.count(x), F.percentile_approx(x, _ends(points), ACCURACY), F.min(x), F.max(x))]
+
+
+def _tallied(x: DataFrame, brackets: dict[tuple[int, int], tuple], with_values: set[tuple[int, int]], pivots: dict[int, float]) -> tuple[dict, dict, dict, dict]:
+    """Of each bracket (a, b) of a column: values below a, values inside, and the inside values with their counts where asked for;
+    and sums of the first four powers of a column's distances from its pivot."""
+    names = sorted({i for i, _ in brackets})
+
+    def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        below, held = dict.fromkeys(brackets, 0), dict.fromkeys(brackets, 0)
+        inside: dict[tuple[int, int], list] = {t: [] for t in with_values}
+        powers = {i: np.zeros(4) for i in pivots}
+        for batch in batches:
+            for i in names:
+                v = batch[f"x{i}"].to_numpy(float)
+                v = np.sort(v[~np.isnan(v)])
+                if i in pivots:
+                    d = v - pivots[i]
+                    square = d * d
+                    powers[i] += [d.sum(), square.sum(), (square * d).sum(), (square * square).sum()]
+                for t, (a, b) in brackets.items():
+                    if t[0] == i:
+                        low, high = np.searchsorted(v, a, "left"), np.searchsorted(v, b, "right")
+                        below[t] += int(low)
+                        held[t] += int(high - low)
+                        if t in with_values:
+                            inside[t].append(v[low:high])
+        yield pd.DataFrame([(*t, kind, 0.0, n) for kind, of in ((0, below), (1, held)) for t, n in of.items()], columns=["i", "k", "kind", "v", "n"])
+        yield pd.DataFrame([(i, p, 3, 0.0, 0, s[p]) for i, s in powers.items() for p in range(4)], columns=["i", "k", "kind", "v", "n", "s"])
+        for t, vs in inside.items():
+            values, n = np.unique(np.concatenate(vs or [np.zeros(0)]) + 0.0, return_counts=True)
+            yield pd.DataFrame({"i": t[0], "k": t[1], "kind": 2, "v": values, "n": n})
+
+    columns = ["i", "k", "kind", "v", "n", "s"]
+    counted = x.select(*[f"x{i}" for i in names]).mapInPandas(lambda bs: (b.reindex(columns=columns) for b in work(bs)), "i int, k int, kind int, v double, n long, s double")
+    out: tuple[dict, dict, dict, dict] = (dict.fromkeys(brackets, 0), dict.fromkeys(brackets, 0), {t: [] for t in with_values}, {i: np.zeros(4) for i in pivots})
+    for r in counted.groupBy("i", "k", "kind", "v").agg(F.sum("n").alias("n"), F.sum("s").alias("s")).collect():
+        if r["kind"] == 3:
+            out[3][r["i"]][r["k"]] = r["s"]
+        elif r["kind"] < 2:
+            out[r["kind"]][r["i"], r["k"]] = r["n"]
+        else:
+            out[2][r["i"], r["k"]].append((r["v"], r["n"]))
+    return out
+
+
+def quantiles(df: DataFrame, columns: list[str] | dict[str, Column], points: list[float], sketch: list | None = None) -> dict[str, list[float | None]]:
+    """For each column its exact quantiles, interpolated between neighbouring ranks; nulls and NaN are passed over."""
+    return {c: q for c, (q, _) in described(df, columns, points, sketch).items()}
+
+
+def described(df: DataFrame, columns: list[str] | dict[str, Column], points: list[float], sketch: list | None = None) -> dict[str, tuple[list[float | None], dict | None]]:
+    """For each column its quantiles and (n, mean, sd, min, max, skew, kurtosis; None for no values), the last two of the values as they are.
 
-    Nothing is shuffled but counts: a sketch brackets each quantile, one pass counts what lies below
-    and inside the brackets, and brackets with too many rows are narrowed by sketches of their own.
-    Their values are then counted, and the two ranks in question picked among them.
+    Nothing is shuffled but counts: a sketch (given, or made here) brackets each quantile, one pass counts
+    what lies below and inside the brackets, and brackets with too many rows are narrowed by sketches of
+    their own. Brackets of few rows, or of one value, give their values in the same pass, and the two ranks
+    in question are picked among them. Moments come from that pass too, as sums about a value in the middle.
     """
     of = columns if isinstance(columns, dict) else {c: number(c) for c in columns}
     if not of:
         return {}
     x = df.select(*[c.cast("double").alias(f"x{i}") for i, c in enumerate(of.values())])
-    spread = 2.0 / ACCURACY
-    ends = sorted({min(1.0, max(0.0, p + d)) for p in points for d in (-spread, spread)})
-    first = x.agg(*[a for i in range(len(of)) for a in (F.count(f"x{i}"), F.percentile_approx(f"x{i}", ends, ACCURACY), F.min(f"x{i}"), F.max(f"x{i}"))]).first()
-    n, extremes, open_ = {}, {}, {}
+    first = sketch or list(x.agg(*sketched([F.col(f"x{i}") for i in range(len(of))], points)).first())
+    n, extremes, open_, expected = {}, {}, {}, {}
     for i in range(len(of)):
-        n[i], sketch, low, high = first[4 * i : 4 * i + 4]
+        n[i], quantile, low, high = first[4 * i : 4 * i + 4]
         if n[i]:
             extremes[i] = (low, high)
-            at = dict(zip(ends, sketch, strict=True))
+            at = dict(zip(_ends(points), quantile, strict=True))
             for k, p in enumerate(points):
-                a, b = max(0.0, p - spread), min(1.0, p + spread)
+                a, b = max(0.0, p - SPREAD), min(1.0, p + SPREAD)
                 open_[i, k] = (low if a == 0 else at[a], high if b == 1 else at[b])
-    found: dict[tuple[int, int], tuple] = {}
-    same: set[tuple[int, int]] = set()  # brackets between two values that most of their rows have
-    rounds = 0
+                expected[i, k] = 3 * SPREAD * n[i]  # twice the spread, and the sketch's own error at both ends
+    ranks = {(i, k): (n[i] - 1) * points[k] for i, k in open_}
+    pivots = {i: float(first[4 * i + 1][len(_ends(points)) // 2]) for i in range(len(of)) if n[i]}
+    moments: dict[int, dict] = {}
+    picked: dict[tuple[int, int], float] = {}
+    narrowed: dict[tuple[int, int], int] = {}
     while open_:
-        rounds += 1
-        inside = {(i, k): F.col(f"x{i}").between(a, b) for (i, k), (a, b) in open_.items()}
-        counted = x.agg(*[c for (i, k), (a, _) in open_.items() for c in (F.count_if(F.col(f"x{i}") < a), F.count_if(inside[i, k]))]).first()
+        ask = {t for t, (a, b) in open_.items() if a == b or expected[t] <= COUNTED}
+        below, held, values, powers = _tallied(x, open_, ask, {} if moments else pivots)
+        moments = moments or {i: _moments(n[i], pivots[i], s, *extremes[i]) for i, s in powers.items()}
         wide = {}
-        for j, ((i, k), (a, b)) in enumerate(open_.items()):
-            below, held = counted[2 * j], counted[2 * j + 1]
-            rank = (n[i] - 1) * points[k]
-            if below > math.floor(rank) or below + held < math.ceil(rank) + 1:
-                wide[i, k] = extremes[i]
-            elif held <= COUNTED or a == b or (i, k) in same or rounds > 20:
-                found[i, k] = (a, b, below, rank)
+        for t, (a, b) in open_.items():
+            lowest, highest = math.floor(ranks[t]), math.ceil(ranks[t])
+            if below[t] > lowest or below[t] + held[t] < highest + 1:
+                wide[t], expected[t] = extremes[t[0]], n[t[0]]
+            elif t in ask:
+                picked[t] = _at_rank(sorted(values[t]), below[t], ranks[t])
             else:
-                wide[i, k] = (a, b, (rank - below) / held)
-        again = {t: v for t, v in wide.items() if len(v) == 3}
+                wide[t], expected[t] = (a, b), held[t]
+        again = {t: ab for t, ab in wide.items() if expected[t] > COUNTED and ab[0] < ab[1]}
         if again:
-            share = lambda v, d: min(1.0, max(0.0, v[2] + d))
-            narrow = x.agg(*[F.percentile_approx(F.when(inside[t], F.col(f"x{t[0]}")), [share(v, -spread), share(v, spread)], ACCURACY) for t, v in again.items()]).first()
-            wide |= {t: tuple(row) for t, row in zip(again, narrow, strict=True)}
-            same |= {t for t in again if wide[t] == open_[t]}
+            inside = {t: F.when(F.col(f"x{t[0]}").between(*ab), F.col(f"x{t[0]}")) for t, ab in again.items()}
+            share = {t: ((ranks[t] - below[t]) / held[t] if ab == open_[t] and held[t] else points[t[1]]) for t, ab in again.items()}
+            ends = [[min(1.0, max(0.0, share[t] + d)) for d in (-SPREAD, SPREAD)] for t in again]
+            for t, e, row in zip(again, ends, x.agg(*[F.percentile_approx(inside[t], e, ACCURACY) for t, e in zip(again, ends, strict=True)]).first(), strict=True):
+                narrowed[t] = narrowed.get(t, 0) + 1
+                # a bracket that many rounds don't narrow lies between two neighbouring values that most of its rows have
+                expected[t] = 0 if narrowed[t] > 8 or tuple(row) == wide[t] else 3 * SPREAD * expected[t]
+                wide[t] = tuple(row)
         open_ = wide
-    if not found:
-        return {c: [None] * len(points) for c in of}
-    near = F.array(*[F.when(F.col(f"x{i}").between(a, b), F.struct(F.lit(i).alias("i"), F.lit(k).alias("k"), F.col(f"x{i}").alias("v"))) for (i, k), (a, b, _, _) in found.items()])
-    rows = x.select(F.explode(F.array_compact(near)).alias("r")).groupBy("r.i", "r.k", "r.v").agg(F.count("*").alias("n")).collect()
-    values: dict[tuple[int, int], list] = {t: [] for t in found}
-    for r in rows:
-        values[r[0], r[1]].append((r[2], r[3]))
-    out: dict[str, list[float | None]] = {}
-    for i, c in enumerate(of):
-        out[c] = []
-        for k in range(len(points)):
-            if (i, k) not in found:
-                out[c].append(None)
-                continue
-            _, _, below, rank = found[i, k]
-            picked, seen = [], below
-            for v, m in sorted(values[i, k]):
-                picked += [v] * sum(seen <= t < seen + m for t in sorted({math.floor(rank), math.ceil(rank)}))
-                seen += m
-            part = rank - math.floor(rank)
-            out[c].append(picked[0] if len(picked) == 1 else picked[0] * (1 - part) + picked[-1] * part)
-    return out
+    return {c: ([picked.get((i, k)) for k in range(len(points))], moments.get(i)) for i, c in enumerate(of)}
+
+
+def _moments(n: int, pivot: float, sums: np.ndarray, low: float, high: float) -> dict:
+    a, b, c, d = (float(s) / n for s in sums)
+    m2 = b - a * a if low < high else 0.0
+    skew = (c - 3 * a * b + 2 * a**3) / m2**1.5 if m2 > 0 else None
+    kurtosis = (d - 4 * a * c + 6 * a * a * b - 3 * a**4) / m2**2 - 3 if m2 > 0 else None
+    return {"n": n, "mean": pivot + a, "sd": math.sqrt(m2 * n / (n - 1)) if n > 1 else None, "min": low, "max": high, "skew": skew, "kurtosis": kurtosis}
+
+
+def _at_rank(values: list[tuple[float, int]], seen: int, rank: float) -> float:
+    """The value at a rank between two whole ones, of values with counts after so many others."""
+    low, high, found = math.floor(rank), math.ceil(rank), []
+    for v, m in values:
+        found += [v] * sum(seen <= r < seen + m for r in sorted({low, high}))
+        seen += m
+    part = rank - low
+    return found[0] if len(found) == 1 else found[0] * (1 - part) + found[-1] * part
 
 
 def percentiles(df: DataFrame, column: str | Column, points: list[float]) -> list[float | None]:

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from causeway.functions.moments import Moments, sums, unpack
 from causeway.operators.effects import nnls
-from causeway.operators.panel import placebo_summary, synthetic_control
+from causeway.operators.synthetic import placebo_summary, synthetic_control
 from causeway.operators.ranks import percentiles, running_sums
 from causeway.operators.results import frame, row
 

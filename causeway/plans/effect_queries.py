@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from causeway.operators import discovery, distribution, effects, interference, matching, panel, weighting
+from causeway.operators import discovery, distribution, effects, interference, matching, panel, synthetic, weighting
 from causeway.plans import effect_oracles
 from causeway.plans.tables import ITEMS, PANEL, SALES, by_nation, items, rounded, sales, table
 from causeway.plans.tables import panel as events_panel
@@ -195,9 +195,9 @@ QUERIES = {
     "l3_negative_weights": lambda s, d: rounded(panel.negative_weights(events_panel(s, d), "unit", "time", "d")),
     "l4_pretrend_bounds": l4,
     "l5_design": l5,
-    "l6_synthetic": _effect(lambda s, d: panel.synthetic_effect(by_nation(s, d), "unit", "time", "y", 3, 60)),
-    "l6_augmented": _effect(lambda s, d: panel.synthetic_effect(by_nation(s, d), "unit", "time", "y", 3, 60, "ascm")),
-    "l7_synthetic_did": _effect(lambda s, d: panel.synthetic_effect(by_nation(s, d), "unit", "time", "y", 3, 60, "sdid")),
+    "l6_synthetic": _effect(lambda s, d: synthetic.synthetic_effect(by_nation(s, d), "unit", "time", "y", 3, 60)),
+    "l6_augmented": _effect(lambda s, d: synthetic.synthetic_effect(by_nation(s, d), "unit", "time", "y", 3, 60, "ascm")),
+    "l7_synthetic_did": _effect(lambda s, d: synthetic.synthetic_effect(by_nation(s, d), "unit", "time", "y", 3, 60, "sdid")),
     "l8_history_set": l8,
     "m1_rif": _effect(lambda s, d: distribution.rif_quantile(mixed(s, d), "t", "y", ["x1"])),
     "m2_counterfactual": _effect(lambda s, d: distribution.counterfactual_quantiles(mixed(s, d), "t", "y", ["x1"])),

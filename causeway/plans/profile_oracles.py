@@ -43,30 +43,39 @@ def _arm_power(effect: float) -> str:
       ceil({(_ZA + _ZP) ** 2!r}::DOUBLE / ({effect * effect!r}::DOUBLE * (n1 / (n1 + n0)) * (1 - n1 / (n1 + n0))))::BIGINT AS n_required FROM (SELECT count(*) FILTER (t = 1) AS n1, count(*) FILTER (t = 0) AS n0, stddev_samp(y) AS sd FROM items)"""
 
 
-_CUSTOMER = {"c_custkey": "bigint", "c_name": "string", "c_nationkey": "int", "c_acctbal": "double", "c_mktsegment": "string"}
+_COLUMNS = {
+    "customer": {"c_custkey": "bigint", "c_name": "string", "c_nationkey": "int", "c_acctbal": "double", "c_mktsegment": "string"},
+    "orders": {"o_orderkey": "bigint", "o_custkey": "bigint", "o_orderstatus": "string", "o_totalprice": "double", "o_orderdate": "timestamp_ntz", "o_orderpriority": "string"},
+    "events": {"event_id": "bigint", "ts": "timestamp_ntz", "user_id": "bigint", "event_type": "string", "value": "double", "props": "string"},
+    "lineitem": {"l_orderkey": "bigint", "l_partkey": "bigint", "l_suppkey": "bigint", "l_linenumber": "int", "l_quantity": "double", "l_extendedprice": "double", "l_discount": "double", "l_tax": "double",
+                 "l_returnflag": "string", "l_linestatus": "string", "l_shipdate": "timestamp_ntz"},
+}
 
 
-def _profile() -> str:
+def _profile(table: str) -> str:
+    """Of tables whose numbers are no whole 0 and 1 alone and whose texts have no special format."""
     rows = []
-    for c, kind in _CUSTOMER.items():
-        number = kind != "string"
-        x = f"{c}::DOUBLE"
+    for c, kind in _COLUMNS[table].items():
+        text, whole, time = kind == "string", kind in ("bigint", "int"), kind.startswith("timestamp")
+        number = not text and not time
+        x = f"{c}::DOUBLE" if number else "NULL::DOUBLE"
         stats = {"mean": f"avg({x})", "sd": f"stddev_samp({x})", "min": f"min({x})", "max": f"max({x})", **{f"p{p}": f"quantile_cont({x}, {p / 100})" for p in (5, 25, 50, 75, 95)}, "skew": f"skewness({x})", "kurtosis": f"kurtosis({x})"}
-        whole = kind in ("bigint", "int")
-        logical = (
-            f"CASE WHEN d <= 10 THEN 'ordinal' WHEN min >= 0 AND d <= 50 THEN 'count' WHEN d > 0.95 * n THEN 'count' ELSE 'continuous' END" if whole else "'continuous'" if number else "CASE WHEN d <= 50 OR d < 0.5 * n THEN 'categorical' ELSE 'text' END"  # noqa: F541
-        )
-        rows.append(f"""SELECT '{c}' AS name, '{kind}' AS dtype, {logical} AS logical_dtype, n_total, n_total - n AS n_missing, n, d, {', '.join(stats)}, {number} AS number, {whole} AS whole,
-          (SELECT count(*) FROM customer WHERE {x if number else '0'} < 2.5 * p25 - 1.5 * p75 OR {x if number else '0'} > 2.5 * p75 - 1.5 * p25)::BIGINT AS outliers, length
-          FROM (SELECT count(*) AS n_total, count({c}) AS n, count(DISTINCT {c}) AS d, {', '.join(f'{v if number else "NULL::DOUBLE"} AS {k}' for k, v in stats.items())}, avg({'NULL' if number else f'length({c})'}) AS length FROM customer)""")
-    values = " UNION ALL ".join(f"SELECT '{c}' AS name, {c}::VARCHAR AS value, count(*) AS n FROM customer WHERE {c} IS NOT NULL GROUP BY ALL" for c in _CUSTOMER)
+        named = c.endswith("_id")
+        if whole:
+            logical = f"CASE WHEN d <= 10 THEN 'ordinal' WHEN min >= 0 AND d <= 50 THEN 'count' WHEN d > 0.95 * n THEN '{'identifier' if named else 'count'}' ELSE 'continuous' END"
+        else:
+            logical = "'datetime'" if time else "'continuous'" if number else "CASE WHEN d <= 50 OR d < 0.5 * n THEN 'categorical' ELSE 'text' END"
+        rows.append(f"""SELECT '{c}' AS name, '{kind}' AS dtype, {logical} AS logical_dtype, n_total, n_total - n AS n_missing, n, d, {', '.join(stats)}, {text} AS text, {named} AS named,
+          (SELECT count(*) FROM {table} WHERE {x} < 2.5 * p25 - 1.5 * p75 OR {x} > 2.5 * p75 - 1.5 * p25)::BIGINT AS outliers, length
+          FROM (SELECT count(*) AS n_total, count({c}) AS n, count(DISTINCT {c}) AS d, {', '.join(f'{v} AS {k}' for k, v in stats.items())}, avg({f'length({c})' if text else 'NULL'}) AS length FROM {table})""")
+    values = " UNION ALL ".join(f"SELECT '{c}' AS name, {c}::VARCHAR AS value, count(*) AS n FROM {table} WHERE {c} IS NOT NULL GROUP BY ALL" for c, kind in _COLUMNS[table].items() if kind in ("string", "bigint", "int"))
     measured, listed = "logical_dtype IN ('continuous', 'count', 'ordinal')", "logical_dtype IN ('categorical', 'binary', 'ordinal')"
     shown = ", ".join(f"CASE WHEN {measured} THEN round({k}, 4) END AS {k}" for k in ("mean", "sd", "min", "max", "p5", "p25", "p50", "p75", "p95", "skew", "kurtosis"))
     return f"""WITH v AS ({values}), tp AS (SELECT *, n / sum(n) OVER (PARTITION BY name) AS p FROM (SELECT *, row_number() OVER (PARTITION BY name ORDER BY n DESC, value) AS place FROM v) WHERE place <= 20),
-      en AS (SELECT name, min_by(value, place) AS mode, -sum(p * log2(p + 1e-12)) AS entropy FROM tp GROUP BY name), f AS ({' UNION ALL '.join(rows)})
-      SELECT name, dtype, logical_dtype, n_total, n_missing, round(n_missing / n_total, 4) AS missing_rate, d AS cardinality, {shown}, CASE WHEN {measured} THEN outliers END AS n_tukey_outliers,
-        CASE WHEN {listed} THEN mode END AS mode, CASE WHEN {listed} THEN round(entropy, 4) END AS entropy, false AS suspected_identifier, false AS suspected_event_indicator, false AS suspected_time_column, false AS is_binary_01, d <= 1 AS constant,
-        CASE WHEN number THEN NULL WHEN length > 30 THEN 'free_text' WHEN d > 0.95 * n THEN 'identifier_like' ELSE 'categorical_like' END AS string_format FROM f LEFT JOIN en USING (name)"""
+      en AS (SELECT name, min_by(value, place) AS mode, -sum(p * log2(p + 1e-12)) AS entropy, to_json(list(struct_pack(value := value, n := n) ORDER BY place))::VARCHAR AS top FROM tp GROUP BY name), f AS ({' UNION ALL '.join(rows)})
+      SELECT name, dtype, logical_dtype, n_total, n_missing, round(n_missing / n_total, 4) AS missing_rate, d AS cardinality, {shown}, CASE WHEN {measured} THEN outliers END AS n_tukey_outliers, CASE WHEN {listed} THEN top END AS top_values,
+        CASE WHEN {listed} THEN mode END AS mode, CASE WHEN {listed} THEN round(entropy, 4) END AS entropy, logical_dtype = 'identifier' OR named AS suspected_identifier, false AS suspected_event_indicator, false AS suspected_time_column, false AS is_binary_01, d <= 1 AS constant,
+        CASE WHEN NOT text THEN NULL WHEN length > 30 THEN 'free_text' WHEN d > 0.95 * n THEN 'identifier_like' ELSE 'categorical_like' END AS string_format FROM f LEFT JOIN en USING (name)"""
 
 
 def _formats() -> str:
@@ -134,7 +143,10 @@ def oracles() -> dict[str, str]:
         "c7_censoring_pairs": "SELECT 'follow_up_days' AS time_column, 'follow_up_event' AS event_column WHERE (SELECT count(DISTINCT (event_type = 'purchase')::INT) FROM events) <= 2",
         "c8_high_correlations": "WITH g AS (SELECT *, l_extendedprice * 1.1 + l_tax AS gross FROM lineitem), p AS (" + " UNION ALL ".join(f"SELECT '{a}' AS a, '{b}' AS b, corr({a}, {b}) AS r FROM g" for i, a in enumerate([*item, "gross"]) for b in [*item, "gross"][i + 1 :]) + ") SELECT a, b, round(r, 4) AS r FROM p WHERE abs(r) >= 0.9",
         "c11_string_formats": _formats(),
-        "c12_profile_customer": _profile(),
+        "c12_profile": _profile("lineitem"),
+        "c12_profile_customer": _profile("customer"),
+        "c12_profile_orders": _profile("orders"),
+        "c12_profile_events": _profile("events"),
         "d1_flags": _flags(),
         "e3_censoring_columns": f"WITH {PANEL} SELECT 'censored' AS name WHERE (SELECT count(DISTINCT d) FROM panel) <= 2",
         "e4_missing_report": _report(),

@@ -143,7 +143,7 @@ _IMPACT = f"""WITH {NATIONS}, d AS MATERIALIZED (SELECT unit, time, y, (time >=
   h AS (SELECT unit, least(greatest(coalesce(sum(r * r1) / sum(r1 * r1), 0), -0.95), 0.95) AS rho FROM l GROUP BY unit),
   q AS MATERIALIZED (SELECT unit, rho, y - rho * lag(y) OVER w AS y, post - rho * lag(post) OVER w AS x FROM d JOIN h USING (unit) WINDOW w AS (PARTITION BY unit ORDER BY time)),
   g AS (SELECT unit, any_value(rho) AS rho, regr_slope(y, x) AS b, sqrt((regr_syy(y, x) - regr_slope(y, x) * regr_sxy(y, x)) / (count(*) - 2) / regr_sxx(y, x)) AS se, count(*) AS n FROM q WHERE y IS NOT NULL GROUP BY unit)
-  SELECT unit::VARCHAR AS series, round(b, 1) AS effect, round(se, 1) AS se, round(b - 1.96::DOUBLE * se, 1) AS low, round(b + 1.96::DOUBLE * se, 1) AS high, round(rho, 1) AS rho, n FROM g"""
+  SELECT unit::VARCHAR AS series, round(b, 1) + 0.0 AS effect, round(se, 1) + 0.0 AS se, round(b - 1.96::DOUBLE * se, 1) + 0.0 AS low, round(b + 1.96::DOUBLE * se, 1) + 0.0 AS high, round(rho, 4) + 0.0 AS rho, n FROM g"""
 _TEXTS = r"""WITH a AS (SELECT 'q' || item_id AS id, text FROM benchmark UNION ALL SELECT 'c' || doc_id, text FROM documents),
   w AS MATERIALIZED (SELECT id, list_filter(regexp_split_to_array(lower(coalesce(text, '')), '\W+'), lambda x: x <> '') AS w FROM a),
   e AS (SELECT id, unnest(w) AS term FROM w UNION ALL SELECT id, w[i] || ' ' || w[i + 1] FROM (SELECT id, w, unnest(range(1, len(w))) AS i FROM w)),

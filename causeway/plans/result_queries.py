@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from causeway.functions.stats import P_SQL
 from causeway.functions.storage import shared_folder
-from causeway.operators import hypotheses, retrieval, sensitivity, tasks
+from causeway.operators import hypotheses, retrieval, sensitivity, synthetic, tasks
 from causeway.operators import panel as panels
 from causeway.plans import result_oracles
 from causeway.plans.result_oracles import RESULTS as _RESULTS
@@ -17,6 +17,12 @@ from causeway.plans.tables import ITEMS, PANEL, SALES, by_nation, items, panel,
 from causeway.streaming import sequential
 
 
+def t8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Steps of each nation's series, in its own units; the correlation of errors to four digits."""
+    got = tasks.series_impact(by_nation(spark, sf_dir), "unit", "time", "y", 40)
+    return got.withColumns({c: F.round(c, 1) for c in ("effect", "se", "low", "high")} | {"rho": F.round("rho", 4)})
+
+
 def results(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One result per nation: the effect of priority on order price in thousands, Welch errors, with what audits read."""
     s = sales(spark, sf_dir)
@@ -211,7 +217,7 @@ def t10(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = by_nation(spark, sf_dir)
     methods = None
     for m in ("scm", "ascm", "sdid"):
-        r = panels.synthetic_effect(d, "unit", "time", "y", 3, 60, m).select(F.lit(m).alias("method"), "point", "ci_low", "ci_high")
+        r = synthetic.synthetic_effect(d, "unit", "time", "y", 3, 60, m).select(F.lit(m).alias("method"), "point", "ci_low", "ci_high")
         methods = r if methods is None else methods.unionByName(r)
     return rounded(tasks.impact_report(methods), 1)
 
@@ -314,7 +320,7 @@ QUERIES = {
     "t5_root_cause": t5,
     "t6_root_cause_model": t6,
     "t7_root_cause_graph": t7,
-    "t8_series_impact": lambda s, d: rounded(tasks.series_impact(by_nation(s, d), "unit", "time", "y", 40), 1),
+    "t8_series_impact": t8,
     "t9_matrix_completion": t9,
     "t10_impact_report": t10,
     "t11_geo_lift": t11,

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from causeway.functions.moments import complete, moments, replicate_moments
 from causeway.functions.stats import chi2_sf
 from causeway.operators import (
-    diagnostics, discovery, distribution, effects, features, interference, matching, panel, profile, ranks, retrieval, sensitivity, tasks, weighting,
+    diagnostics, discovery, distribution, effects, features, interference, matching, panel, profile, ranks, retrieval, sensitivity, synthetic, tasks, weighting,
 )
 from causeway.plans import catalog
 from causeway.sources import readers
@@ -88,13 +88,13 @@ def test_panels(spark):
     _near(panel.switchers(w, "u", "t", "y", "d").where("segment = 'effect'"), 3, 0.2)
     one = d.where("g is null").withColumn("y", F.col("y") + F.when((F.col("u") == 3) & (F.col("t") >= 8), 5.0).otherwise(0.0))
     for m in ("scm", "sdid"):
-        assert abs(panel.synthetic_effect(one, "u", "t", "y", 3, 8, m).first()["point"] - 5) < 0.4
+        assert abs(synthetic.synthetic_effect(one, "u", "t", "y", 3, 8, m).first()["point"] - 5) < 0.4
 
 
 def test_simplex_is_a_simplex():
     rng = np.random.default_rng(0)
     x = rng.normal(size=(30, 6))
-    w = panel.simplex(x.T @ x, x.T @ (x @ [0.5, 0.5, 0, 0, 0, 0]))
+    w = synthetic.simplex(x.T @ x, x.T @ (x @ [0.5, 0.5, 0, 0, 0, 0]))
     assert abs(w.sum() - 1) < 1e-9 and (w >= 0).all() and np.abs(w - [0.5, 0.5, 0, 0, 0, 0]).max() < 1e-3
 
 
@@ -320,38 +320,13 @@ def test_sparse_model_is_a_lasso(spark):
         assert abs(g - np.sign(b) * 0.01) < 1e-6 if b else abs(g) <= 0.01 + 1e-9
 
 
-def test_synthetic_controls_by_rows():
-    """The shared sums give what the series themselves give."""
-    rng = np.random.default_rng(4)
-    x, pre = rng.normal(size=(7, 30)).cumsum(1) + 20, np.arange(30) < 20
-    series = panel.Series(x, pre)
-    pool = np.array([1, 2, 4, 5, 6])
-    for method in ("scm", "ascm", "sdid"):
-        att, before, after = series.control(3, pool, method)
-        y, z = x[3], x[pool].T
-        if method == "sdid":
-            yc, zc = y[pre] - y[pre].mean(), z[pre] - z[pre].mean(0)
-            a = z[pre].T @ z[pre]
-            w = panel.simplex(zc.T @ zc + 1e-6 * np.trace(a) / 5 * np.eye(5), zc.T @ yc)
-            t, post = z[pre].T - z[pre].T.mean(0), z[~pre].mean(0)
-            lam = panel.simplex(t.T @ t + 1e-6 * np.trace(t.T @ t) * np.eye(20), t.T @ (post - post.mean()))
-            gap = y - z @ w - lam @ (y - z @ w)[pre]
-        else:
-            a, b = z[pre].T @ z[pre], z[pre].T @ y[pre]
-            w = panel.simplex(a, b)
-            gap = y - z @ w
-            if method == "ascm":
-                gap = gap - z @ np.linalg.solve(a + 0.1 * np.trace(a) / 5 * np.eye(5), z[pre].T @ gap[pre])
-        assert np.allclose([att, before, after], [gap[~pre].mean(), np.sqrt(np.mean(gap[pre] ** 2)), np.sqrt(np.mean(gap[~pre] ** 2))], rtol=1e-5)
-
-
 def test_units_with_gaps_are_left_out(spark):
     rows = [(u, t, float(u + t + (5 if u == 0 and t >= 8 else 0))) for u in range(6) for t in range(12) if not (u == 4 and t == 3)]
     d = spark.createDataFrame(rows, "u int, t int, y double")
-    got = panel.synthetic_control(d, "u", "t", "y", 0, 8)
+    got = synthetic.synthetic_control(d, "u", "t", "y", 0, 8)
     assert {r["unit"] for r in got.collect()} == {"0", "1", "2", "3", "5"}
     with pytest.raises(ValueError):
-        panel.synthetic_control(d, "u", "t", "y", 4, 8)
+        synthetic.synthetic_control(d, "u", "t", "y", 4, 8)
 
 
 def test_low_rank_panels_are_completed(spark):
