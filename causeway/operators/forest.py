@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from causeway.functions.storage import checkpointed
 
-BAGS, PER_BAG, DEPTH, BINS = 60, 4, 6, 32
+BAGS, PER_BAG, DEPTH, BINS = 120, 4, 4, 32
 #: A child has so many growing rows at least, and so large a share of its parent's.
 LEAST_ROWS, LEAST_SHARE = 5, 0.05
 
@@ -82,30 +82,23 @@ def _level(d: DataFrame, forest: Forest, level: int) -> list:
                 cells = ((node * size)[:, None] + np.arange(p) * BINS + codes[rows]).ravel()
                 for k, w in enumerate((None, tt, ty)):
                     total[k, t] += np.bincount(cells, None if w is None else np.repeat(w[rows], p), width * size)
-        cells = total.reshape(3, trees, width, size)
-        at = np.argwhere(cells[0].any(axis=2))
-        for k in range(0, len(at), 2000):
-            some = at[k : k + 2000]
-            yield pd.DataFrame({"tree": some[:, 0], "node": some[:, 1] + width, "h": [cells[:, t, n].tobytes() for t, n in some]})
+        yield pd.DataFrame({"tree": np.arange(trees), "h": [total[:, t].tobytes() for t in range(trees)]})
 
     def choose(rows: pd.DataFrame) -> pd.DataFrame:
-        n, tt, ty = sum(np.frombuffer(x).reshape(3, p, BINS) for x in rows["h"])
-        every, total, effect = n[0].sum(), tt[0].sum(), ty[0].sum()
-        out = {"tree": rows["tree"].iloc[:1].to_numpy(), "node": rows["node"].iloc[:1].to_numpy(), "feature": -1, "cut": 0}
-        if total <= 0:
-            return pd.DataFrame(out)
+        n, tt, ty = sum(np.frombuffer(x) for x in rows["h"]).reshape(3, width, p, BINS)
+        every, total = n[:, :1].sum(axis=2, keepdims=True), tt[:, :1].sum(axis=2, keepdims=True)
+        effect = ty[:, :1].sum(axis=2, keepdims=True) / np.maximum(total, 1e-300)
         # how far the children's effects are from the node's, by the gradients of its equation
-        gap = np.cumsum(ty - effect / total * tt, axis=1)
-        left = np.cumsum(n, axis=1)
+        gap = np.cumsum(ty - effect * tt, axis=2)
+        left = np.cumsum(n, axis=2)
         right = every - left
-        least = max(LEAST_ROWS, LEAST_SHARE * every)
-        gain = np.where((left >= least) & (right >= least), gap**2 / np.maximum(left, 1) + gap**2 / np.maximum(right, 1), 0.0)
-        best = int(np.argmax(gain))
-        if gain.ravel()[best] > 0:
-            out |= {"feature": best // BINS, "cut": best % BINS}
-        return pd.DataFrame(out)
+        least = np.maximum(LEAST_ROWS, LEAST_SHARE * every)
+        gain = np.where((left >= least) & (right >= least), gap**2 / np.maximum(left, 1) + gap**2 / np.maximum(right, 1), 0.0).reshape(width, size)
+        best = gain.argmax(axis=1)
+        node = np.flatnonzero(gain[np.arange(width), best] > 0)
+        return pd.DataFrame({"tree": int(rows["tree"].iloc[0]), "node": node + width, "feature": best[node] // BINS, "cut": best[node] % BINS})
 
-    return d.mapInPandas(add, "tree int, node int, h binary").groupBy("tree", "node").applyInPandas(choose, "tree int, node int, feature int, cut int").where("feature >= 0").collect()
+    return d.mapInPandas(add, "tree int, h binary").groupBy("tree").applyInPandas(choose, "tree int, node int, feature int, cut int").collect()
 
 
 def grow(d: DataFrame, xs: list[str], bags: int = BAGS, per_bag: int = PER_BAG, depth: int = DEPTH) -> Forest:
@@ -168,9 +161,9 @@ def read(d: DataFrame, key: str, forest: Forest) -> DataFrame:
             psi = (top - cate * under) / base
             between = np.where(out, psi.mean(1) ** 2, 0.0).sum(0) / bags
             within = np.where(out, psi.var(1), 0.0).sum(0) / bags
-            # the trees of a bag are few: what their own chance adds to its mean is taken off, not all of it where little is left
-            noise = within / max(forest.per_bag - 1, 1)
-            yield pd.DataFrame({key: b[key], "cate": cate, "se": np.sqrt(np.maximum(between - noise, between / (2 * forest.bags) + noise / forest.bags))})
+            # what the chance of a bag's own few trees adds to its mean is taken off; what chance leaves in the mean of all bags is added
+            variance = np.maximum(between - within / max(forest.per_bag - 1, 1), 0.0) + between / bags
+            yield pd.DataFrame({key: b[key], "cate": cate, "se": np.sqrt(variance)})
 
     return d.mapInPandas(work, f"`{key}` {kind}, cate double, se double")
 

@@ -155,6 +155,7 @@ QUERIES = {
     "j1_by_segment": j1_by,
     "j2_dml": _effect(lambda s, d: effects.dml(mixed(s, d), "id", "t", "y", ["x1", "x2"], ["x1"], k=2)),
     "j3_sparse_dml": _effect(lambda s, d: effects.dml(mixed(s, d), "id", "t", "y", ["x1", "x2", "z"], kind="sparse", k=2)),
+    "j4_forest_effects": _effect(lambda s, d: effects.forest_effects(mixed(s, d), "id", "t", "y", ["x1", "x2"], "segment", 2)),
     "j4_forest": _effect(lambda s, d: effects.learner_ate(mixed(s, d), "id", "t", "y", ["x1", "x2"], "r", k=2)),
     "j5_t_learner": _effect(lambda s, d: effects.learner_ate(mixed(s, d), "id", "t", "y", ["x1", "x2"], "t", k=2)),
     "j5_s_learner": _effect(lambda s, d: effects.learner_ate(mixed(s, d), "id", "t", "y", ["x1", "x2"], "s", k=2)),
