@@ -31,7 +31,6 @@ import pandas as pd
 import xxhash
 import zstandard
 from pyspark import TaskContext
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -221,9 +220,23 @@ def write_tokens(docs: DataFrame, folder: str, vocabulary: str, text: str = "tex
 def index_tokens(spark: SparkSession, folder: str) -> DataFrame:
     """(doc_id, file, frame): the folder's index as a table in the folder itself, under a name that file readers pass over.
 
-    It is made when it is first asked for, from the files' ends, without decompressing anything.
+    It is made when it is first asked for, from the files' ends, without decompressing anything. An index
+    has a name of its own and counts only once it is whole, and only while the folder holds the files
+    that it was made of (names, sizes and times); else a new one is made.
     """
-    path = f"{folder}/_index"
+    files = spark.read.format("binaryFile").load(folder)
+    listed_ = files.agg(F.count("*"), F.bit_xor(F.xxhash64("path", "length", "modificationTime"))).first()
+    stamp = f"{listed_[0]}-{(listed_[1] or 0) & (1 << 64) - 1:016x}"
+    place = spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/_index-{stamp}")
+    fs = place.getFileSystem(spark._jsc.hadoopConfiguration())
+    schema = "doc_id long, file string, frame int"
+
+    def whole() -> list[str]:
+        """The attempts at this index that were written to their end."""
+        if not fs.exists(place):
+            return []
+        tries = [s.getPath() for s in fs.listStatus(place)]
+        return sorted(p.toString() for p in tries if fs.exists(spark._jvm.org.apache.hadoop.fs.Path(p, "_SUCCESS")))
 
     def listed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
@@ -231,12 +244,10 @@ def index_tokens(spark: SparkSession, folder: str) -> DataFrame:
                 ids = File(content).ids
                 yield pd.DataFrame({"doc_id": pd.array(ids, "Int64"), "file": name, "frame": np.arange(len(ids), dtype=np.int32)})
 
-    try:
-        return spark.read.schema("doc_id long, file string, frame int").parquet(path)
-    except AnalysisException:
-        files = spark.read.format("binaryFile").load(folder).select("path", "content")
-        files.mapInPandas(listed, "doc_id long, file string, frame int").sortWithinPartitions("doc_id").write.mode("overwrite").parquet(path)
-        return spark.read.parquet(path)
+    if not whole():
+        made = files.select("path", "content").mapInPandas(listed, schema).sortWithinPartitions("doc_id")
+        made.write.parquet(f"{place.toString()}/{uuid.uuid4().hex}")
+    return spark.read.schema(schema).parquet(whole()[0])
 
 
 def read_tokens(spark: SparkSession, folder: str, ids: list[int] | None = None) -> DataFrame:

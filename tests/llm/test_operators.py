@@ -188,6 +188,26 @@ def test_token_files(spark, docs, tmp_path):
             bad.document(len(bad.ids) - 1)
 
 
+def test_broken_and_stale_indexes(spark, docs, tmp_path):
+    """A write of the index that broke off, and one of another state of the folder, are not read."""
+    folder, path = tmp_path / "tokens", token_frames.vocabulary_path()
+    token_frames.write_tokens(docs, f"file://{folder}", path, partitions=2)
+    assert token_frames.read_tokens(spark, f"file://{folder}", [3, 4]).count() == 2
+    (index,) = folder.glob("_index-*")
+    for done in index.glob("*/_SUCCESS"):
+        done.unlink()
+    (index / "broken" / "_temporary").mkdir(parents=True)
+    (folder / "_index" / "_temporary").mkdir(parents=True)
+    assert token_frames.read_tokens(spark, f"file://{folder}", [3, 4]).count() == 2
+    more = tmp_path / "more"
+    token_frames.write_tokens(docs.where("doc_id = 5").selectExpr("doc_id + 1000 as doc_id", "text"), f"file://{more}", path, partitions=1)
+    for f in more.glob("part-*"):
+        f.rename(folder / f"{f.name}-more")
+    assert token_frames.read_tokens(spark, f"file://{folder}", [3, 1005]).count() == 2
+    next(iter(folder.glob("*-more"))).unlink()
+    assert token_frames.read_tokens(spark, f"file://{folder}", [3, 1005]).count() == 1
+
+
 def test_encoder_equals_tokenizer():
     e = token_frames.Encoder(token_frames.vocabulary_path())
     odd = ["", "a", " a", "a  b", "a   b", "foo\n bar", "foo \nbar", "foo\n \nbar", " x ", "a\xa0 \xa0b", "it's don't\tx\r\n y", "<|endoftext|> x", "漢字 test😀 é", "a\x1cb \x1c c", "word. next!!  (x)\n\nY\n", "don't. x1. 12, a-b"]
