@@ -257,40 +257,67 @@ def dealt(docs: DataFrame, text: str, lang: str, shards: int) -> list[DataFrame]
     return [made.where(F.col("shard") == s).drop("shard") for s in range(shards)]
 
 
-def named(shards: list[DataFrame], bits, max_words: int) -> DataFrame:
-    """(h, k, lang, phrase) of the phrases in the filter, and of each language as a whole (k 0); a row a task at most."""
+def named(shards: list[DataFrame], counted: DataFrame, bits, max_words: int) -> DataFrame:
+    """(lang, phrase, k, n) of counted (h, n), whose phrases are all in the filter; k is 0 for a language as a whole.
+
+    The first shard names what it holds, and the next ones what is left, so that few tasks send a phrase.
+    """
+    spark = counted.sparkSession
+    done, left = None, counted
+    for shard in shards:
+        wanted = spark.sparkContext.broadcast(grown(np.zeros_like(bits.value), packed_hashes(left)))
+        found = shard.mapInArrow(namer(bits, wanted, max_words), "h long, k int, lang string, phrase string")
+        one = found.groupBy("h").agg(F.min(F.struct("k", "lang", "phrase")).alias("p"))
+        now = stored(left.join(one, "h", "left"))
+        names = now.where("p is not null").select("p.lang", "p.phrase", "p.k", "n")
+        done = names if done is None else done.unionByName(names)
+        left = now.where("p is null").select("h", "n")
+        if left.isEmpty():
+            break
+    return done
+
+
+def packed_hashes(counted: DataFrame) -> DataFrame:
+    """counted's hashes in a row a batch, as grown reads them."""
+
+    def pack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            yield pd.DataFrame({"fresh": [b["h"].to_numpy(np.int64).tobytes()]})
+
+    return counted.select("h").mapInPandas(pack, "fresh binary")
+
+
+def namer(bits, wanted, max_words: int):
+    """A function of batches that names the phrases in the filter whose hashes are wanted, each once or a few times."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        f, seen = Filter(bits.value), set()
+        f, asked, seen = Filter(bits.value), Filter(wanted.value), set()
         for batch in batches:
-            names = batch.column("lang")
+            langs = batch.column("lang")
             for words, rows in chunks(iter([batch])):
                 out: list[tuple[int, int, str, str]] = []
+
+                def name(k: int, h: np.ndarray, at: np.ndarray, words=words, rows=rows, langs=langs, out=out) -> None:
+                    ask = asked.has(h)
+                    known, one = np.unique(h[ask], return_index=True)
+                    for x, p in zip(known.tolist(), at[ask][one].tolist(), strict=True):
+                        if x not in seen:
+                            seen.add(x)
+                            out.append((x, k, langs[int(rows[words.text[p]])].as_py(), words.phrase(p, k) if k else ""))
+
                 found: dict[int, np.ndarray] = {}
                 for k in range(1, max_words + 1):
                     at = frequent_runs(words, k, found, f)
                     h, found[k] = places_in(words, at, k, f)
-                    is_in = found[k][at]
-                    known, one = np.unique(h[is_in], return_index=True)
-                    for x, p in zip(known.tolist(), at[is_in][one].tolist(), strict=True):
-                        if x not in seen:
-                            seen.add(x)
-                            out.append((x, k, names[int(rows[words.text[p]])].as_py(), words.phrase(p, k)))
-                for x, i in zip(*(a.tolist() for a in np.unique(of_language(words.lang.view(np.int64)), return_index=True)), strict=True):
-                    if x not in seen:
-                        seen.add(x)
-                        out.append((x, 0, names[int(rows[words.text[i]])].as_py(), ""))
+                    name(k, h[found[k][at]], at[found[k][at]])
+                name(0, of_language(words.lang.view(np.int64)), np.arange(len(words.lang)))
                 if out:
                     h, k, lang, phrase = zip(*out, strict=True)
                     yield pa.RecordBatch.from_pydict({"h": pa.array(np.array(h, np.uint64).view(np.int64)), "k": pa.array(k, pa.int32()), "lang": pa.array(lang, pa.string()), "phrase": pa.array(phrase, pa.string())})
                 if len(seen) > HELD:
-                    seen = set()
+                    seen.clear()
 
-    rows = shards[0]
-    for s in shards[1:]:
-        rows = rows.unionByName(s)
-    found = rows.mapInArrow(work, "h long, k int, lang string, phrase string")
-    return found.groupBy("h", "k").agg(F.min(F.struct("lang", "phrase")).alias("p")).select("h", "k", "p.*")
+    return work
 
 
 def frequent_phrases(
@@ -325,9 +352,8 @@ def frequent_phrases(
             keep = (n >= min_count) | (k == 0)
             yield pd.DataFrame({"h": h[keep].view(np.int64), "n": n[keep]})
 
-    counted = state.mapInPandas(unpack, "h long, n long")
-    names = named(parts, spark.sparkContext.broadcast(bits), max_words)
-    return stored(names.join(counted, "h").select("lang", "phrase", "k", "n"))
+    counted = stored(state.mapInPandas(unpack, "h long, n long"))
+    return named(parts, counted, spark.sparkContext.broadcast(bits), max_words)
 
 
 def _part(w: Column, start: Column, n: Column) -> Column:
