@@ -17,6 +17,7 @@ what is sent and kept is packed by buckets of hashes, so no phrase, however freq
 from __future__ import annotations
 
 import uuid
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -110,6 +111,10 @@ class Filter:
     def __init__(self, bits: np.ndarray):
         self.bits, self._mask = bits, np.uint64(8 * len(bits) - 1)
 
+    @classmethod
+    def sent(cls, broadcast) -> Filter:
+        return cls(np.frombuffer(zlib.decompress(broadcast.value), np.uint8))
+
     def places(self, h: np.ndarray) -> np.ndarray:
         return np.concatenate([h & self._mask, (h >> np.uint64(32)) & self._mask])
 
@@ -161,7 +166,7 @@ def scan(shard: DataFrame, step: int, shards: int, max_words: int, now, before,
     """Packed counts of one shard: of the phrases that now admits and before, a cycle ago, did not; both are broadcast bits."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        admits, done = Filter(now.value), Filter(before.value) if before is not None else None
+        admits, done = Filter.sent(now), Filter.sent(before) if before is not None else None
         held: list[list[np.ndarray]] = []
         size = 0
         for words, _ in chunks(batches):
@@ -244,6 +249,10 @@ def grown(bits: np.ndarray, state: DataFrame) -> np.ndarray:
     return out
 
 
+def broadcast(spark: SparkSession, bits: np.ndarray):
+    return spark.sparkContext.broadcast(zlib.compress(bits.tobytes(), 1))
+
+
 def dealt(docs: DataFrame, text: str, lang: str, shards: int) -> list[DataFrame]:
     """The shards of docs: lang (null: und), lang_key and text in bytes."""
     spark = docs.sparkSession
@@ -257,23 +266,25 @@ def dealt(docs: DataFrame, text: str, lang: str, shards: int) -> list[DataFrame]
     return [made.where(F.col("shard") == s).drop("shard") for s in range(shards)]
 
 
-def named(shards: list[DataFrame], counted: DataFrame, bits, max_words: int) -> DataFrame:
+def named(shards: list[DataFrame], counted: DataFrame, bits: np.ndarray, max_words: int) -> DataFrame:
     """(lang, phrase, k, n) of counted (h, n), whose phrases are all in the filter; k is 0 for a language as a whole.
 
     The first shard names what it holds, and the next ones what is left, so that few tasks send a phrase.
     """
     spark = counted.sparkSession
-    done, left = None, counted
+    done, left, every = None, counted, broadcast(spark, bits)
     for shard in shards:
-        wanted = spark.sparkContext.broadcast(grown(np.zeros_like(bits.value), packed_hashes(left)))
-        found = shard.mapInArrow(namer(bits, wanted, max_words), "h long, k int, lang string, phrase string")
+        wanted = broadcast(spark, grown(np.zeros_like(bits), packed_hashes(left)))
+        found = shard.mapInArrow(namer(every, wanted, max_words), "h long, k int, lang string, phrase string")
         one = found.groupBy("h").agg(F.min(F.struct("k", "lang", "phrase")).alias("p"))
         now = stored(left.join(one, "h", "left"))
         names = now.where("p is not null").select("p.lang", "p.phrase", "p.k", "n")
         done = names if done is None else done.unionByName(names)
         left = now.where("p is null").select("h", "n")
+        wanted.destroy()
         if left.isEmpty():
             break
+    every.destroy()
     return done
 
 
@@ -291,7 +302,7 @@ def namer(bits, wanted, max_words: int):
     """A function of batches that names the phrases in the filter whose hashes are wanted, each once or a few times."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        f, asked, seen = Filter(bits.value), Filter(wanted.value), set()
+        f, asked, seen = Filter.sent(bits), Filter.sent(wanted), set()
         for batch in batches:
             langs = batch.column("lang")
             for words, rows in chunks(iter([batch])):
@@ -334,16 +345,17 @@ def frequent_phrases(
     spark = docs.sparkSession
     buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
     parts = dealt(docs, text, lang, shards)
-    bits, sent = np.zeros(filter_bits // 8, np.uint8), []  # sent: the filter of each step of the last cycle
+    bits, past, sent = np.zeros(filter_bits // 8, np.uint8), [], []  # the filters of the last cycle's steps
     state, step = None, 0
-    while step < shards or not np.array_equal(bits, sent[0].value):
+    while step < shards or not np.array_equal(bits, past[0]):
         before = sent.pop(0) if step >= shards else None
-        sent.append(spark.sparkContext.broadcast(bits))
+        past = [*past[-shards + 1 :], bits] if shards > 1 else [bits]
+        sent.append(broadcast(spark, bits))
         counts = scan(parts[step % shards], step, shards, max_words, sent[-1], before, buckets)
         state = stored(added_up(counts if state is None else state.drop("fresh").unionByName(counts), step, shards, min_count))
         bits = grown(bits, state)
         if before is not None:
-            before.unpersist()
+            before.destroy()  # state is stored, and reads it no more
         step += 1
 
     def unpack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -353,7 +365,9 @@ def frequent_phrases(
             yield pd.DataFrame({"h": h[keep].view(np.int64), "n": n[keep]})
 
     counted = stored(state.mapInPandas(unpack, "h long, n long"))
-    return named(parts, counted, spark.sparkContext.broadcast(bits), max_words)
+    for x in sent:
+        x.destroy()
+    return named(parts, counted, bits, max_words)
 
 
 def _part(w: Column, start: Column, n: Column) -> Column:
