@@ -22,4 +22,8 @@ def shared_folder(spark: SparkSession) -> str:
 def checkpointed(df: DataFrame) -> DataFrame:
     """df read back from the shared folder."""
     shared_folder(df.sparkSession)
-    return df.checkpoint()
+    held = df.persist()  # else the rows are made once to be counted, and again to be written
+    try:
+        return held.checkpoint()
+    finally:
+        held.unpersist()

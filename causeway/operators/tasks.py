@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from causeway.functions.moments import Moments, sums, unpack
+from causeway.operators.completion import matrix_completion  # noqa: F401  (one of the tasks)
 from causeway.operators.effects import nnls
 from causeway.operators.synthetic import placebo_summary, synthetic_control
 from causeway.operators.ranks import percentiles, running_sums
@@ -168,54 +169,6 @@ def series_impact(df: DataFrame, series: str, time: str, outcome: str, start: ob
     return out.select(F.col("_s").alias("series"), F.col("_b1").alias("effect"), F.col("_se").alias("se"), (F.col("_b1") - 1.96 * F.col("_se")).alias("low"), (F.col("_b1") + 1.96 * F.col("_se")).alias("high"), F.col("_rho").alias("rho"), F.col("_n").alias("n"))
 
 
-def soft_impute(y: np.ndarray, seen: np.ndarray, penalty: float, rounds: int = 200) -> np.ndarray:
-    """Low-rank completion of a matrix by soft-thresholded singular values."""
-    fill = np.where(seen, y, 0.0)
-    for _ in range(rounds):
-        u, s, vt = np.linalg.svd(np.where(seen, y, fill), full_matrices=False)
-        new = (u * np.maximum(s - penalty, 0)) @ vt
-        done = np.abs(new - fill).max() < 1e-6 * (1 + np.abs(new).max())
-        fill = new
-        if done:
-            break
-    return fill
-
-
-def matrix_completion(df: DataFrame, experiment: str, unit: str, time: str, outcome: str, treated: str) -> DataFrame:
-    """(experiment, att, placebo_sd, penalty, n): per experiment the treated cells against a completed matrix.
-
-    Each experiment's panel is one Arrow group. The penalty comes from a tenth of the untreated cells
-    held out; the error from pretending that treatment began earlier.
-    """
-
-    def solve(b: pd.DataFrame) -> pd.DataFrame:
-        y = b.pivot_table(index="u", columns="t", values="y").to_numpy()
-        d = b.pivot_table(index="u", columns="t", values="d").to_numpy()
-        seen = ~np.isnan(y) & (d == 0)
-        y = np.nan_to_num(y)
-        centre = y[seen].mean()
-        rng = np.random.default_rng(0)
-        held = seen & (rng.random(y.shape) < 0.1)
-        top = np.linalg.norm(np.where(seen, y - centre, 0), 2)
-        grid = [top * 10**-k for k in np.linspace(0.3, 3, 7)]
-        errors = [np.mean((soft_impute(y - centre, seen & ~held, g) - (y - centre))[held] ** 2) if held.any() else 0 for g in grid]
-        g = grid[int(np.argmin(errors))]
-        cells = d == 1
-        att = float((y - centre - soft_impute(y - centre, seen, g))[cells].mean()) if cells.any() else float("nan")
-        first = int(np.flatnonzero(cells.any(axis=0))[0]) if cells.any() else y.shape[1]
-        fake = []
-        for k in range(max(2, first // 2), first, max(1, first // 8)):
-            hidden = seen.copy()
-            hidden[cells.any(axis=1), k:first] = False
-            part = np.zeros_like(cells)
-            part[cells.any(axis=1), k:first] = True
-            fake.append(float((y - centre - soft_impute(y - centre, hidden, g))[part].mean()))
-        return pd.DataFrame([(str(b["e"].iloc[0]), att, float(np.std(fake)) if fake else None, float(g), int(seen.sum()))], columns=["experiment", "att", "placebo_sd", "penalty", "n"])
-
-    d = df.select(F.col(experiment).cast("string").alias("e"), F.col(unit).cast("string").alias("u"), F.col(time).cast("double").alias("t"), F.col(outcome).cast("double").alias("y"), F.col(treated).cast("double").alias("d"))
-    return d.groupBy("e").applyInPandas(solve, "experiment string, att double, placebo_sd double, penalty double, n long")
-
-
 def impact_report(estimates: DataFrame) -> DataFrame:
     """(consensus, n_methods, verdict) of rows (method, point, ci_low, ci_high): how many pairs' points lie in each other's intervals."""
     a, b = estimates.alias("a"), estimates.alias("b")

@@ -329,16 +329,6 @@ def test_units_with_gaps_are_left_out(spark):
         synthetic.synthetic_control(d, "u", "t", "y", 4, 8)
 
 
-def test_low_rank_panels_are_completed(spark):
-    rng = np.random.default_rng(6)
-    rows = []
-    for e in ("p", "q"):
-        base = np.outer(rng.normal(size=12) + 3, rng.normal(size=20) + 3)
-        rows += [(e, u, t, float(base[u, t] + 0.01 * rng.normal() + (2 if u < 3 and t >= 15 else 0)), int(u < 3 and t >= 15)) for u in range(12) for t in range(20)]
-    got = tasks.matrix_completion(spark.createDataFrame(rows, "e string, u int, t int, y double, d int"), "e", "u", "t", "y", "d").collect()
-    assert {r["experiment"] for r in got} == {"p", "q"} and all(abs(r["att"] - 2) < 0.7 for r in got)
-
-
 def test_nearest_vectors_and_cache(spark):
     rng = np.random.default_rng(7)
     x = rng.normal(size=(300, 8))
