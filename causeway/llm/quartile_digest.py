@@ -65,7 +65,10 @@ def likeness(a: tuple[int, np.ndarray], b: tuple[int, np.ndarray]) -> float:
 
 
 def fingerprints(docs: DataFrame, text: str = "text") -> DataFrame:
-    """docs with fingerprint; null counts as empty. A column of docs with this name is replaced."""
+    """docs with fingerprint; null counts as empty. A column of docs with this name is replaced.
+
+    Equal texts, so repeated rows too, have equal fingerprints; an empty table stays empty.
+    """
 
     @F.pandas_udf("string")
     def fingerprint(texts: pd.Series) -> pd.Series:

@@ -65,7 +65,9 @@ def place(
     A key with over 1/(parts_per_shard * shards) of all rows is hot. It is split by row_id into as
     many parts as keep each under that share. No part is larger, and parts fall on slots by a hash, so
     a shard's load strays from its share by about one part in the root of parts_per_shard: with 64
-    shards and 128 parts each the largest load stays below 1.4 times the mean, whatever the keys.
+    shards, 128 parts each and many rows a part (from about a million rows on) the largest load stays
+    below 1.4 times the mean, whatever the keys. On fewer rows chance adds to it (1.60 on 1,000 rows,
+    1.27 on 10,000), and below a row a part every key counts as hot and is dealt by row.
     There are fewer hot keys than parts_per_shard * shards, so their table is small by construction.
     A null key is a key like others; a null row_id goes to one part; equal rows go to one shard; an
     empty table stays empty. Columns of docs named part, slot or shard are replaced, others stay.
