@@ -13,7 +13,9 @@ from pyspark.sql import functions as F
 
 from causeway.functions.moments import Moments, bootstrapped, bucket_moments, complete, hash_key, hash_uniform, linear, moments, sandwich, sums, unpack
 from causeway.functions.storage import checkpointed
-from causeway.operators import forest
+from causeway.functions.stats import z
+from causeway.operators import discontinuity as rd
+from causeway.operators import forest, stacking
 from causeway.operators.logit import by_model, logit_fits
 from causeway.operators.ranks import percentiles, running_sums, weighted_quantiles
 from causeway.operators.results import frame, row
@@ -282,6 +284,24 @@ def stacked(df: DataFrame, key: str, outcome: str, xs: list[str], kinds: tuple[s
     return got.select(key, outcome, *names, sum((F.col(c) * F.lit(float(x)) for c, x in zip(names, w, strict=True)), F.lit(0.0)).alias("stacked"))
 
 
+def super_learned(df: DataFrame, key: str, label: str, xs: list[str], kinds: tuple[str, ...] = ("logit", "forest", "boosted"), k: int = 3) -> tuple[DataFrame, DataFrame]:
+    """(key, label, p_kind .., stacked) and (model, weight, loss): out-of-fold chances of a label in [0, 1] and their stack.
+
+    Weights are the folds' means; loss is the mean log loss of out-of-fold chances, the stack's weights being from other folds too.
+    """
+    d = folded(df.select(key, *[F.col(c).cast("double").alias(c) for c in (label, *xs)]).na.drop(), key, k)
+    names = [f"p_{x}" for x in kinds]
+    got = checkpointed(cross_fit(d, [(n, label, x, None) for n, x in zip(names, kinds, strict=True)], xs, k))
+    out, weights = stacking.stack(got, "stacked", label, names, k)
+    out = checkpointed(out.select(key, label, *names, "stacked"))
+    y = F.col(label)
+    clip = lambda c: F.least(F.greatest(F.col(c), F.lit(stacking.LEAST)), F.lit(1 - stacking.LEAST))
+    losses = out.agg(*[F.avg(-y * F.log(clip(c)) - (1 - y) * F.log(1 - clip(c))).alias(c) for c in (*names, "stacked")]).first()
+    mean = np.mean(weights, axis=0)
+    rows = [(x, float(w), float(losses[n])) for x, n, w in zip(kinds, names, mean, strict=True)]
+    return out, df.sparkSession.createDataFrame([*rows, ("stacked", 1.0, float(losses["stacked"]))], "model string, weight double, loss double")
+
+
 def nnls(m: Moments, y: str, xs: list[str]) -> np.ndarray:
     """Non-negative least squares without intercept, by coordinate descent on the moments."""
     a, b = m.block(xs, xs), m.block(xs, [y])[:, 0]
@@ -315,12 +335,25 @@ def multi_arm(df: DataFrame, key: str, arm: str, outcome: str, xs: list[str], ba
     return frame(df.sparkSession, rows)
 
 
-def targeted(df: DataFrame, key: str, treatment: str, outcome: str, xs: list[str], estimand: str = "ATE", k: int = 3) -> DataFrame:
-    """Targeted estimate of ATE, ATT or ATC: outcomes scaled to [0, 1], one fluctuation along the clever covariate, influence-curve errors."""
+def stacked_scores(df: DataFrame, key: str, treatment: str, outcome: str, xs: list[str], kinds: tuple[str, ...], k: int = 3) -> DataFrame:
+    """Rows with mu1, mu0 and e, each a super learner of an outcome in [0, 1] or of the treatment."""
+    d = prepared(df, key, treatment, outcome, xs, k)
+    arms = {"mu1": (outcome, f"`{treatment}` = 1"), "mu0": (outcome, f"`{treatment}` = 0"), "e": (treatment, None)}
+    got = checkpointed(cross_fit(d, [(f"{name}_{x}", label, x, only) for name, (label, only) in arms.items() for x in kinds], xs, k))
+    for name, (label, only) in arms.items():
+        got, _ = stacking.stack(got, name, label, [f"{name}_{x}" for x in kinds], k, only)
+    return got.withColumn("e", F.least(F.greatest("e", F.lit(CLIP)), F.lit(1 - CLIP)))
+
+
+def targeted(df: DataFrame, key: str, treatment: str, outcome: str, xs: list[str], estimand: str = "ATE", k: int = 3, learners: tuple[str, ...] | None = None) -> DataFrame:
+    """Targeted estimate of ATE, ATT or ATC: outcomes scaled to [0, 1], one fluctuation along the clever covariate, influence-curve errors.
+
+    With learners (kinds of cross_fit) outcome and treatment models are super learners of those.
+    """
     low, high = df.agg(F.min(F.col(outcome).cast("double")), F.max(F.col(outcome).cast("double"))).first()
     span = high - low or 1.0
     scaled = df.withColumn("_q", (F.col(outcome) - low) / span)
-    d = aipw_scores(scaled, key, treatment, "_q", xs, k)
+    d = stacked_scores(scaled, key, treatment, "_q", xs, learners, k) if learners else aipw_scores(scaled, key, treatment, "_q", xs, k)
     t, e = F.col(treatment), F.col("e")
     p = d.agg(F.avg(t)).first()[0]
     h1, h0 = {"ATE": (1 / e, -1 / (1 - e)), "ATT": (F.lit(1 / p), -e / (1 - e) / p), "ATC": ((1 - e) / e / (1 - p), F.lit(-1 / (1 - p)))}[estimand]
@@ -511,16 +544,17 @@ def adjusted_rmst(df: DataFrame, key: str, arm: str, time: str, event: str, xs:
 def discontinuity(df: DataFrame, running: str, outcome: str, cutoff: float, treatment: str | None = None, bandwidth: float | None = None, kernel: str = "triangular", order: int = 1) -> DataFrame:
     """Jump of the outcome (over that of the treatment, if fuzzy) at the cutoff by kernel-weighted local polynomials.
 
-    The default bandwidth is a rule of thumb from the spread; the bias-corrected point uses one order more.
+    The default bandwidth minimises the mean squared error of the jump. The bias-corrected point uses one order more,
+    and the interval is that of its error. Diagnostics hold the density's jump at the cutoff and its p: rows sort
+    themselves around the cutoff where it is small.
     """
     x = F.col(running).cast("double") - cutoff
-    d = df.select(x.alias("x"), F.col(outcome).cast("double").alias("y"), (F.col(treatment).cast("double") if treatment else (x >= 0).cast("double")).alias("t")).na.drop()
+    every = df.select(x.alias("x"), F.col(outcome).cast("double").alias("y"), (F.col(treatment).cast("double") if treatment else (x >= 0).cast("double")).alias("t")).na.drop()
+    dense = rd.manipulation(every)
     if bandwidth is None:
-        sd, n = d.agg(F.stddev_samp("x"), F.count("*")).first()
-        bandwidth = 1.84 * sd * n**-0.2
+        bandwidth = rd.mse_bandwidth(every, kernel)["bandwidth"]
     u = F.abs("x") / bandwidth
-    w = {"triangular": 1 - u, "epanechnikov": 0.75 * (1 - u * u), "uniform": F.lit(0.5)}[kernel]
-    d = d.where(u < 1).withColumn("w", w).withColumn("right", (F.col("x") >= 0).cast("double")).persist()
+    d = every.where(u < 1).withColumn("w", rd.KERNELS[kernel](u)).withColumn("right", (F.col("x") >= 0).cast("double")).persist()
 
     def jump(label: str, p: int) -> tuple[float, float, float]:
         terms = {f"x{i}": F.col("x") ** i for i in range(1, p + 1)} | {f"r{i}": F.col("right") * F.col("x") ** i for i in range(1, p + 1)}
@@ -532,11 +566,13 @@ def discontinuity(df: DataFrame, running: str, outcome: str, cutoff: float, trea
         return float(beta[1]), math.sqrt(v[1, 1]), m.n
 
     y, se, _ = jump("y", order)
-    corrected, _, _ = jump("y", order + 1)
-    n, below, above = d.agg(F.count("*"), F.count_if(F.col("x") < 0), F.count_if(F.col("x") >= 0)).first()
-    t = jump("t", order)[0] if treatment else 1.0
-    return frame(df.sparkSession, [row("discontinuity.local", treatment or running, outcome, y / t, se / abs(t), n, estimand="LATE", bandwidth=bandwidth,
-                                       bias_corrected=corrected / t, density_ratio=math.log((above + 1) / (below + 1)))])
+    corrected, robust, _ = jump("y", order + 1)
+    (n,) = d.agg(F.count("*")).first()
+    t, t_corrected = (jump("t", order)[0], jump("t", order + 1)[0]) if treatment else (1.0, 1.0)
+    d.unpersist()
+    point, error = corrected / t_corrected, robust / abs(t_corrected)
+    return frame(df.sparkSession, [row("discontinuity.local", treatment or running, outcome, y / t, se / abs(t), n, estimand="LATE", interval=(point - z(0.95) * error, point + z(0.95) * error),
+                                       bandwidth=bandwidth, bias_corrected=point, robust_se=error, density_jump=dense["jump"], density_p=dense["p"])])
 
 
 def target_trial(df: DataFrame, subject: str, period: str, eligible: str, treatment: str, outcome: str, xs: list[str], estimand: str = "ITT", follow_up: int | None = None) -> DataFrame:

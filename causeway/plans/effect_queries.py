@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from causeway.operators import discovery, distribution, effects, interference, matching, panel, synthetic, weighting
+from causeway.operators import discontinuity, discovery, distribution, effects, interference, matching, panel, synthetic, weighting
 from causeway.plans import effect_oracles
 from causeway.plans.tables import ITEMS, PANEL, SALES, by_nation, items, rounded, sales, table
 from causeway.plans.tables import panel as events_panel
@@ -82,6 +82,21 @@ def _effect(f):
     return lambda s, d: shown(f(s, d))
 
 
+def j20_bandwidth(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the bandwidth of orders' prices at 150,000 is made of; the outcome is the number of urgent orders in ten."""
+    d = table(spark, sf_dir, "orders").select((F.col("o_totalprice") / 1000 - 150).alias("x"), F.col("o_orderpriority").startswith("1").cast("double").alias("y")).na.drop()
+    found = discontinuity.mse_bandwidth(d)
+    return rounded(spark.createDataFrame([tuple(found.values())], ", ".join(f"{k} double" for k in found)), 6)
+
+
+def j20_chosen(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Jump, interval and density at that cutoff, without a given bandwidth."""
+    d = table(spark, sf_dir, "orders").select((F.col("o_totalprice") / 1000).alias("price"), F.col("o_orderpriority").startswith("1").cast("double").alias("urgent"))
+    r = effects.discontinuity(d, "price", "urgent", 150.0)
+    kept = [F.col("diagnostics")[k].alias(k) for k in ("bandwidth", "bias_corrected", "robust_se", "density_jump", "density_p")]
+    return rounded(r.select("point", "se", "ci_low", "ci_high", "n_used", *kept), 4)
+
+
 def l1_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(panel.group_time_effects(events_panel(spark, sf_dir), "unit", "time", "y", "onset"), 4)
 
@@ -161,11 +176,13 @@ QUERIES = {
     "j5_s_learner": _effect(lambda s, d: effects.learner_ate(mixed(s, d), "id", "t", "y", ["x1", "x2"], "s", k=2)),
     "j5_x_learner": _effect(lambda s, d: effects.learner_ate(mixed(s, d), "id", "t", "y", ["x1", "x2"], "x", k=2)),
     "j5_dr_learner": _effect(lambda s, d: effects.learner_ate(mixed(s, d), "id", "t", "y", ["x1", "x2"], "dr", k=2)),
+    "j6_super_learner": lambda s, d: rounded(effects.super_learned(mixed(s, d), "id", "t", ["x1", "x2"], k=2)[1], 4),
     "j6_stacked": lambda s, d: rounded(effects.stacked(mixed(s, d), "id", "y", ["x1", "x2"], ("linear", "forest"), 2).agg(F.avg("stacked").alias("mean"), F.count("*").alias("n")), 2),
     "j7_multi_arm": _effect(lambda s, d: effects.multi_arm(mixed(s, d), "id", "segment", "y", ["x1"], "BUILDING", 2)),
     "j8_two_stage": _effect(lambda s, d: effects.two_stage(mixed(s, d), "z", "t", "y", ["x1"])),
     "j9_partial_f": lambda s, d: rounded(effects.partial_f(mixed(s, d), ["z"], "t", ["x1"]), 4),
     "j10_slopes": _effect(lambda s, d: effects.average_slopes(mixed(s, d), "t", "y", ["x1", "x2"], "segment")),
+    "j11_targeted_stack": _effect(lambda s, d: effects.targeted(mixed(s, d), "id", "t", "y", ["x1", "x2"], k=2, learners=("logit", "boosted"))),
     "j11_targeted": _effect(lambda s, d: effects.targeted(mixed(s, d), "id", "t", "y", ["x1", "x2"], k=2)),
     "j12_mediation": _effect(lambda s, d: effects.mediation(mixed(s, d), "id", "t", "m", "y", ["x1"])),
     "j13_front_door": _effect(lambda s, d: effects.front_door(mixed(s, d), "id", "t", "m", "y", ["x1"])),
@@ -177,6 +194,8 @@ QUERIES = {
     "j18_rmst_adjusted": _effect(lambda s, d: effects.adjusted_rmst(survival(s, d), "unit", "arm", "time", "event", ["x"], 20.0)),
     "j19_trial": _effect(lambda s, d: effects.target_trial(trials(s, d), "unit", "time", "e", "t", "d", ["n"], "ITT")),
     "j19_trial_per_protocol": _effect(lambda s, d: effects.target_trial(trials(s, d), "unit", "time", "e", "t", "d", ["n"], "PP")),
+    "j20_bandwidth": j20_bandwidth,
+    "j20_chosen": j20_chosen,
     "j20_discontinuity": _effect(lambda s, d: effects.discontinuity(items(s, d), "w1", "y", 25.0, bandwidth=10.0)),
     "k1_weighting": _effect(lambda s, d: weighting.weighted_effect(mixed(s, d), "t", "y", ["x1", "x2"])),
     "k1_overlap_weights": _effect(lambda s, d: weighting.weighted_effect(mixed(s, d), "t", "y", ["x1", "x2"], "ATO", stabilize=True)),
