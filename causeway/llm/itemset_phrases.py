@@ -36,7 +36,7 @@ SCALE = 2_000_000
 SHARDS = 4
 FILTER_BITS = 1 << 26
 #: Bytes of text handled at once, phrases a task holds before it sends them, regions of the filter.
-CHUNK_BYTES, HELD, REGIONS = 2 << 20, 2 << 20, 64
+CHUNK_BYTES, HELD, REGIONS = 512 << 10, 1 << 20, 64
 #: Salts of the two rounds that pick a language's first phrases.
 SALTS = (256, 1)
 
