@@ -200,15 +200,15 @@ def _discontinuity() -> str:
 def _bandwidth() -> str:
     side = {"left": "x < 0", "right": "x >= 0"}
     parts = ["d AS MATERIALIZED (SELECT o_totalprice / 1000 - 150 AS x, (o_orderpriority[1] = '1')::INT::DOUBLE AS y, (o_totalprice / 1000 - 150 >= 0)::INT::DOUBLE AS r FROM orders)",
-             "g AS (SELECT stddev_samp(x) AS sd, count(*)::DOUBLE AS n, count(*) FILTER (x < 0) AS n_left, count(*) FILTER (x >= 0) AS n_right, 1.84::DOUBLE * stddev_samp(x) * count(*) ** -0.2::DOUBLE AS h1 FROM d)",
-             "v AS (SELECT any_value(h1) AS h1, count(*) / (2 * any_value(n) * any_value(h1)) AS f, var_samp(y) FILTER (x < 0) AS v_left, var_samp(y) FILTER (x >= 0) AS v_right FROM d, g WHERE abs(x) <= h1)",
+             "g AS (SELECT stddev_samp(x) AS sd, count(*)::DOUBLE AS n, count(*) FILTER (x < 0) AS n_left, count(*) FILTER (x >= 0) AS n_right, 1.84::DOUBLE * stddev_samp(x) * count(*) ** (-0.2::DOUBLE) AS h FROM d)",
+             "v AS (SELECT any_value(h) AS h1, count(*) / (2 * any_value(n) * any_value(h)) AS f, var_samp(y) FILTER (x < 0) AS v_left, var_samp(y) FILTER (x >= 0) AS v_right FROM d, g WHERE abs(x) <= h)",
              *sql.ols("cu", "d", "y", ["r", "x", "x * x", "x * x * x"]), "th AS (SELECT greatest((6 * b4) ** 2, 0.01::DOUBLE * (v_left + v_right) / (2 * sd ** 6)) AS t FROM cu, v, g)",
              "h2 AS MATERIALIZED (SELECT " + ", ".join(f"3.56::DOUBLE * (v_{s} / (f * t)) ** (1.0::DOUBLE / 7) * n_{s} ** (-1.0::DOUBLE / 7) AS h_{s}" for s in side) + " FROM v, th, g)"]
     for s, where in side.items():
         parts += [f"d_{s} AS MATERIALIZED (SELECT d.* FROM d, h2 WHERE {where} AND abs(x) <= h_{s})", *sql.ols(f"q_{s}", f"d_{s}", "y", ["x", "x * x"])]
     parts += ["c AS (SELECT " + ", ".join(f"2 * q_{s}.b2 AS c_{s}, 2160 * v_{s} / (q_{s}.n * h_{s} ** 4) AS r_{s}" for s in side) + " FROM q_left, q_right, v, h2)"]
     shown = "f AS density, h1 AS pilot, " + ", ".join(f"v_{s} AS variance_{s}, c_{s} AS curvature_{s}, h_{s} AS pilot_{s}, r_{s} AS chance_{s}" for s in side)
-    shown += ", 480 ** 0.2::DOUBLE * ((v_left + v_right) / (f * ((c_right - c_left) ** 2 + r_left + r_right))) ** 0.2::DOUBLE * n ** -0.2::DOUBLE AS bandwidth"
+    shown += ", 480 ** (0.2::DOUBLE) * ((v_left + v_right) / (f * ((c_right - c_left) ** 2 + r_left + r_right))) ** (0.2::DOUBLE) * n ** (-0.2::DOUBLE) AS bandwidth"
     return sql.query(parts, f"SELECT {', '.join(f'round({what}, 6) AS {name}' for what, name in (x.split(' AS ') for x in shown.split(', ')))} FROM v, g, h2, c")
 
 
