@@ -113,12 +113,13 @@ def adjusted_p(df: DataFrame, p: str = "p_value", family: str | None = None, met
     """df with adjusted_p within each family, or over all rows: bh, by, bonferroni or none. Rows without p keep null.
 
     Distinct p-values are counted first; their running counts and the least of the later steps come
-    from ranges of (family, p).
+    from ranges of (family, p). Rows find their step by p, so the rows are held first: sums that are made
+    again may differ in their last bits.
     """
     if method == "none":
         return df.withColumn("adjusted_p", F.col(p))
     name = F.coalesce(F.col(family).cast("string"), F.lit("")) if family else F.lit("")
-    keyed = df.withColumn("_f", name)
+    keyed = checkpointed(df.withColumn("_f", name))
     sizes = keyed.groupBy("_f").agg(F.count(p).alias("_m"))
     if method == "bonferroni":
         return keyed.join(sizes, "_f").withColumn("adjusted_p", F.least(F.col(p) * F.col("_m"), F.lit(1.0))).select(*df.columns, "adjusted_p")
