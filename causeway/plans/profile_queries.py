@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from causeway.functions.storage import checkpointed
 from causeway.operators import diagnostics, features, filters, flags, missing, profile, selection
 from causeway.plans import profile_oracles
 from causeway.plans.tables import GAPS, ITEMS, PANEL, SALES, gaps, items, panel, rounded, sales, table
@@ -105,7 +106,7 @@ def c4(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def d1_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = sales(spark, sf_dir).select("id", "t", "y", "x", "segment", "nation")
+    d = checkpointed(sales(spark, sf_dir).select("id", "t", "y", "x", "segment", "nation"))
     return flags.flags(d, profile.profile(d), "t", "y", ["segment"])
 
 
@@ -114,12 +115,12 @@ def e4_report(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def f_preprocess(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = sales(spark, sf_dir)
+    d = checkpointed(sales(spark, sf_dir))
     return rounded(features.preprocess(d, profile.profile(d), "t", "y")[0], 5)
 
 
 def f8_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = sales(spark, sf_dir)
+    d = checkpointed(sales(spark, sf_dir))
     return features.preprocess(d, profile.profile(d), "t", "y")[1].select("column", "kind")
 
 
