@@ -130,6 +130,21 @@ def regressor(kind: str, weight: str | None = None) -> Callable[[str], object]:
     return make
 
 
+def boosted(train: DataFrame, label: str, xs: list[str], rounds: int = 20) -> object:
+    """Boosted trees of squared error, fitted on the distinct rows of xs with their counts and mean labels.
+
+    Rows that agree in xs share all predictions, and what their labels differ by is the same in every split, so the
+    trees are those of all rows.
+    """
+    cells = train.groupBy(*[F.col(f"`{c}`") for c in xs]).agg(F.avg(F.col(f"`{label}`")).alias("_l"), F.count("*").cast("double").alias("_n"))
+    at = VectorAssembler(inputCols=xs, outputCol="_x")
+    cells = at.transform(cells.where(F.col("_l").isNotNull())).select("_x", "_l", "_n").persist()
+    try:
+        return GBTRegressor(featuresCol="_x", labelCol="_l", weightCol="_n", predictionCol="_hat", maxIter=rounds, maxDepth=4, seed=1).fit(cells)
+    finally:
+        cells.unpersist()
+
+
 def fold_moments(df: DataFrame, names: list[str], filters: list[str], k: int) -> list[list[Moments]]:
     """For each row filter and fold the moments of all other folds, in one aggregate."""
     use = F.array(*[F.when(F.expr(f), F.lit(i)) for i, f in enumerate(filters)])
@@ -179,7 +194,9 @@ def cross_fit(df: DataFrame, plan: list[tuple[str, str, str, str | None]], xs: l
     for f in range(k):
         train, test = at.transform(df.where(f"_fold != {f}")), at.transform(df.where(f"_fold = {f}"))
         for name, label, kind, only in grown:
-            test = regressor(kind)(label).fit(train.where(only) if only else train).transform(test).withColumnRenamed("_hat", name)
+            rows = train.where(only) if only else train
+            model = boosted(rows, label, xs) if kind == "boosted" else regressor(kind)(label).fit(rows)
+            test = model.transform(test).withColumnRenamed("_hat", name)
         out = test.drop("_x") if out is None else out.unionByName(test.drop("_x"))
     return out
 
@@ -289,7 +306,7 @@ def super_learned(df: DataFrame, key: str, label: str, xs: list[str], kinds: tup
 
     Weights are the folds' means; loss is the mean log loss of out-of-fold chances, the stack's weights being from other folds too.
     """
-    d = folded(df.select(key, *[F.col(c).cast("double").alias(c) for c in (label, *xs)]).na.drop(), key, k)
+    d = checkpointed(folded(df.select(key, *[F.col(c).cast("double").alias(c) for c in (label, *xs)]).na.drop(), key, k))
     names = [f"p_{x}" for x in kinds]
     got = checkpointed(cross_fit(d, [(n, label, x, None) for n, x in zip(names, kinds, strict=True)], xs, k))
     out, weights = stacking.stack(got, "stacked", label, names, k)
@@ -467,21 +484,23 @@ def policy_shift(df: DataFrame, key: str, exposure: str, outcome: str, xs: list[
     """
     d = prepared(df, key, exposure, outcome, xs, k)
     at = VectorAssembler(inputCols=["_to", *xs], outputCol="_x")
-    scores = d.withColumn("natural", F.col(outcome))
-    for j, policy in enumerate(policies.values()):
-        shifted = d.withColumn(exposure, policy)
-        both = d.withColumn("_s", F.lit(0.0)).unionByName(shifted.withColumn("_s", F.lit(1.0)))
-        others = F.filter(F.array(*map(F.lit, range(k))), lambda m: m != F.col("_fold"))
-        shift = by_model(logit_fits(both, "_s", [exposure, *xs], others, k), [exposure, *xs], F.col("_fold"))
-        ratio = F.exp(F.least(F.greatest(shift, F.lit(math.log(CLIP / (1 - CLIP)))), F.lit(math.log((1 - CLIP) / CLIP))))
-        parts = None
-        for f in range(k):
-            fit = GBTRegressor(featuresCol="_x", labelCol=outcome, predictionCol="_hat", maxIter=15, maxDepth=4, seed=1).fit(at.transform(d.where(f"_fold != {f}").withColumn("_to", F.col(exposure))))
-            one = fit.transform(at.transform(scores.where(f"_fold = {f}").withColumn("_to", F.col(exposure)))).withColumnRenamed("_hat", "_q0").drop("_x")
-            two = fit.transform(at.transform(one.withColumn("_to", policy))).withColumnRenamed("_hat", "_q1").drop("_x", "_to")
-            part = two.withColumn(f"_v{j}", F.col("_q1") + ratio * (F.col(outcome) - F.col("_q0"))).drop("_q0", "_q1")
-            parts = part if parts is None else parts.unionByName(part)
-        scores = parts
+    others = F.filter(F.array(*map(F.lit, range(k))), lambda m: m != F.col("_fold"))
+    ratios = []
+    for policy in policies.values():
+        # rows that agree in what the model reads count together
+        both = d.withColumn("_s", F.lit(0.0)).unionByName(d.withColumn(exposure, policy).withColumn("_s", F.lit(1.0)))
+        cells = both.groupBy(exposure, *xs, "_s", "_fold").agg(F.count("*").cast("double").alias("_n")).persist()
+        shift = by_model(logit_fits(cells, "_s", [exposure, *xs], others, k, weight=F.col("_n")), [exposure, *xs], F.col("_fold"))
+        cells.unpersist()
+        ratios.append(F.exp(F.least(F.greatest(shift, F.lit(math.log(CLIP / (1 - CLIP)))), F.lit(math.log((1 - CLIP) / CLIP)))))
+    scores = None
+    for f in range(k):
+        # one model a fold, of the natural exposure, is read at every policy
+        fit = boosted(d.where(f"_fold != {f}").withColumn("_to", F.col(exposure)), outcome, ["_to", *xs], 15)
+        part = fit.transform(at.transform(d.where(f"_fold = {f}").withColumns({"natural": F.col(outcome), "_to": F.col(exposure)}))).withColumnRenamed("_hat", "_q0").drop("_x", "_to")
+        for j, (policy, ratio) in enumerate(zip(policies.values(), ratios, strict=True)):
+            part = fit.transform(at.transform(part.withColumn("_to", policy))).withColumn(f"_v{j}", F.col("_hat") + ratio * (F.col(outcome) - F.col("_q0"))).drop("_x", "_to", "_hat")
+        scores = part if scores is None else scores.unionByName(part)
     scores = scores.persist()
     names, rows = list(policies), []
     for j, name in enumerate(names):

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -24,11 +26,15 @@ def logit_fits(df: DataFrame, y: str, xs: list[str], models: Column | None = Non
     """Coefficients (intercept first) of k models; models is the array of those that a row teaches, by default the only one.
 
     The penalty is that of the mean loss on standardized slopes. A step that would move the predictor
-    far is shortened.
+    far is shortened. A weight says how many rows a row stands for.
     """
     w = weight if weight is not None else F.lit(1.0)
     rows = df.select(F.col(f"`{y}`").cast("double").alias("_y"), *[F.col(f"`{c}`").cast("double").alias(c) for c in xs], w.alias("_w"), F.explode(models if models is not None else F.array(F.lit(0))).alias("_m"))
     spread = df.agg(*[F.coalesce(F.stddev_samp(F.col(f"`{c}`").cast("double")), F.lit(0.0)) for c in xs]).first() if xs else []
+    if xs and weight is not None:
+        total, *means = df.agg(F.sum(w), *[F.sum(w * F.col(f"`{c}`").cast("double")) / F.sum(w) for c in xs]).first()
+        squares = df.agg(*[F.sum(w * (F.col(f"`{c}`").cast("double") - F.lit(m)) ** 2) for c, m in zip(xs, means, strict=True)]).first()
+        spread = [math.sqrt(v / (total - 1)) if v and total > 1 else 0.0 for v in squares]
     ridge = np.array([0.0, *[penalty * s * s for s in spread]])
     scale = np.array([1.0, *[s or 1.0 for s in spread]])
     betas = [np.zeros(len(xs) + 1) for _ in range(k)]
