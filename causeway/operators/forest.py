@@ -21,6 +21,8 @@ from pyspark.sql import functions as F
 from causeway.functions.storage import checkpointed
 
 BAGS, PER_BAG, DEPTH, BINS = 120, 4, 4, 32
+#: Rows that all trees read at once.
+AT_ONCE = 1000
 #: A child has so many growing rows at least, and so large a share of its parent's.
 LEAST_ROWS, LEAST_SHARE = 5, 0.05
 
@@ -145,7 +147,8 @@ def read(d: DataFrame, key: str, forest: Forest) -> DataFrame:
     kind = d.schema[key].dataType.simpleString()
 
     def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
+        # every tree's figures of a row are held at once, so few rows are read together
+        for b in (b.iloc[at : at + AT_ONCE] for b in batches for at in range(0, len(b), AT_ONCE)):
             codes, h = forest.codes(b), b["h"].to_numpy()
             n = len(b)
             top, under = np.zeros((forest.bags, forest.per_bag, n)), np.zeros((forest.bags, forest.per_bag, n))
