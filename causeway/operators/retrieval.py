@@ -4,12 +4,17 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.ml.feature import NGram, RegexTokenizer
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from causeway.functions.storage import checkpointed
+
 #: Vectors in a packed block, and digits in which cosines that differ less are ties.
 BLOCK, TIE_DIGITS = 4096, 9
+#: Texts in a packed block, the kinds of what a block of texts holds, and queries of a block that are compared at once.
+TEXTS, KINDS, AT_ONCE = 512, (np.int64, np.float64, np.int64, np.int64, np.float64), 256
 
 
 def term_counts(df: DataFrame, row_id: str, text: str) -> DataFrame:
@@ -20,35 +25,76 @@ def term_counts(df: DataFrame, row_id: str, text: str) -> DataFrame:
 
     def count(batches):
         for b in batches:
-            rows, sizes = b["_h"].tolist(), np.array([len(h) for h in b["_h"]], np.int64)
-            if not sizes.sum():
+            lists = b.column("_h")
+            sizes, h = np.diff(lists.offsets.to_numpy()), lists.flatten().to_numpy(zero_copy_only=False)
+            if not len(h):
                 continue
-            owner, h = np.repeat(np.arange(len(rows)), sizes), np.concatenate([np.asarray(x, np.int64) for x in rows])
+            owner = np.repeat(np.arange(len(sizes)), sizes)
             by = np.lexsort((h, owner))
             owner, h = owner[by], h[by]
             new = np.flatnonzero(np.concatenate([[True], (owner[1:] != owner[:-1]) | (h[1:] != h[:-1])]))
-            yield pd.DataFrame({row_id: b[row_id].to_numpy()[owner[new]], "term": h[new], "n": np.diff(np.append(new, len(h))).astype(np.int32)})
+            yield pa.RecordBatch.from_arrays([b.column(row_id).take(pa.array(owner[new])), pa.array(h[new]), pa.array(np.diff(np.append(new, len(h))).astype(np.int32))], names=[row_id, "term", "n"])
+
+    return hashed.mapInArrow(count, f"`{row_id}` {dict(df.dtypes)[row_id]}, term long, n int")
+
+
+def _text_blocks(texts: DataFrame, names: tuple[str, str, str, str, str]) -> DataFrame:
+    """Texts (id, norm, terms, weights) in blocks of up to TEXTS rows of one task: ids, norms, numbers of terms, terms and weights as bytes."""
 
-    return hashed.mapInPandas(count, f"`{row_id}` {dict(df.dtypes)[row_id]}, term long, n int")
+    def pack(batches):
+        for b in batches:
+            for at in range(0, b.num_rows, TEXTS):
+                some = b.slice(at, TEXTS)
+                lists = [some.column("terms"), some.column("weights")]
+                parts = [some.column("id").to_numpy(), some.column("norm").to_numpy(), np.diff(lists[0].offsets.to_numpy()).astype(np.int64), *[x.flatten().to_numpy(zero_copy_only=False) for x in lists]]
+                yield pa.RecordBatch.from_arrays([pa.array([x.tobytes()], pa.binary()) for x in parts], names=list(names))
+
+    return texts.mapInArrow(pack, ", ".join(f"{n} binary" for n in names))
 
 
 def similar_texts(queries: DataFrame, corpus: DataFrame, text: str = "text", k: int = 5, query_id: str = "item_id", row_id: str = "doc_id") -> DataFrame:
     """(query_id, row_id, cosine, place): the k most alike texts of each query by TF-IDF over all terms of both, through shared terms.
 
-    idf is log((rows + 1) / (rows with the term + 1)). Ties in TIE_DIGITS digits go by row_id.
+    idf is log((rows + 1) / (rows with the term + 1)). Ties in TIE_DIGITS digits go by row_id. Weights of terms
+    that no query has go into a text's norm alone; blocks of texts with their other terms meet blocks of queries,
+    and of a pair of blocks only the k best texts of each query go on.
     """
     both = queries.select(F.concat(F.lit("q"), F.col(query_id)).alias("id"), text).union(corpus.select(F.concat(F.lit("c"), F.col(row_id)).alias("id"), text))
     counts = term_counts(both, "id", text)
-    idf = counts.groupBy("term").agg(F.log((both.count() + 1.0) / (F.count("*") + 1.0)).alias("i"))
-    w = counts.join(idf, "term").select("id", "term", (F.col("n") * F.col("i")).alias("w")).where("w != 0")
-    norms = w.groupBy("id").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
-    q = w.where(F.col("id").startswith("q")).select(F.col("id").alias("q"), "term", F.col("w").alias("wq"))
-    c = w.where(F.col("id").startswith("c")).select(F.col("id").alias("c"), "term", F.col("w").alias("wc"))
-    dot = q.join(c, "term").groupBy("q", "c").agg(F.sum(F.col("wq") * F.col("wc")).alias("dot"))
-    long = lambda x: F.substring(x, 2, 40).cast("long")
-    cos = dot.join(norms.toDF("q", "nq"), "q").join(norms.toDF("c", "nc"), "c").select(long("q").alias(query_id), long("c").alias(row_id), (F.col("dot") / F.col("nq") / F.col("nc")).alias("cosine"))
+    idf = counts.groupBy("term").agg(F.log((both.count() + 1.0) / (F.count("*") + 1.0)).alias("i"), F.max(F.col("id").startswith("q")).alias("asked"))
+    w = counts.join(idf, "term").select("id", "term", (F.col("n") * F.col("i")).alias("w"), "asked").where("w != 0")
+    held = w.groupBy("id").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"), F.collect_list(F.when(F.col("asked"), F.struct("term", "w"))).alias("_t"))
+    texts = checkpointed(held.select(F.substring("id", 1, 1).alias("kind"), F.substring("id", 2, 40).cast("long").alias("id"), "norm", F.col("_t.term").alias("terms"), F.col("_t.w").alias("weights")).where("size(terms) > 0"))
+    # queries are dealt so that their blocks are full
+    asked = texts.where("kind = 'q'").repartition(max(1, -(-queries.count() // TEXTS))).drop("kind")
+    pairs = _text_blocks(texts.where("kind = 'c'").drop("kind"), ("ci", "cn", "cs", "ct", "cw")).crossJoin(_text_blocks(asked, ("qi", "qn", "qs", "qt", "qw")))
+
+    def best(batches):
+        for b in batches:
+            for r in b.itertuples(index=False):
+                qi, qn, qs, qt, qw = (np.frombuffer(x, t) for x, t in zip((r.qi, r.qn, r.qs, r.qt, r.qw), KINDS, strict=True))
+                ci, cn, cs, ct, cw = (np.frombuffer(x, t) for x, t in zip((r.ci, r.cn, r.cs, r.ct, r.cw), KINDS, strict=True))
+                terms, place = np.unique(qt, return_inverse=True)
+                table = np.zeros((len(terms), len(qi)))
+                table[place, np.repeat(np.arange(len(qi)), qs)] = qw
+                at = np.minimum(np.searchsorted(terms, ct), len(terms) - 1)
+                use = np.flatnonzero(terms[at] == ct)
+                owner = np.repeat(np.arange(len(ci)), cs)[use]
+                if not len(use):
+                    continue
+                first = np.flatnonzero(np.concatenate([[True], owner[1:] != owner[:-1]]))
+                rows = owner[first]
+                dot = np.concatenate([np.add.reduce(cw[part, None] * table[at[part]], axis=0)[None] for part in np.split(use, first[1:])])
+                cos = np.where(dot > 0, dot / qn / cn[rows, None], -1.0).T
+                j = ci[rows]
+                order = np.lexsort((np.broadcast_to(j, cos.shape), -np.round(cos, TIE_DIGITS)), axis=1)[:, :k]
+                top = np.take_along_axis(cos, order, axis=1)
+                keep = top > 0
+                yield pd.DataFrame({query_id: np.repeat(qi, keep.sum(1)), row_id: j[order][keep], "cosine": top[keep]})
+
+    met = pairs.mapInPandas(best, f"`{query_id}` long, `{row_id}` long, cosine double")
     order = Window.partitionBy(query_id).orderBy(F.desc(F.round("cosine", TIE_DIGITS)), row_id)
-    return cos.withColumn("place", F.row_number().over(order)).where(f"place <= {k}")
+    return met.withColumn("place", F.row_number().over(order)).where(f"place <= {k}")
 
 
 def packed(df: DataFrame, row_id: str, vector: str, names: tuple[str, str], by: str | None = None) -> DataFrame:
@@ -81,13 +127,16 @@ def nearest(queries: DataFrame, corpus: DataFrame, vector: str, k: int, query_id
     def best(batches):
         for b in batches:
             for qi, qv, ri, rv in zip(b["qi"], b["qv"], b["ri"], b["rv"], strict=True):
-                i, j = np.frombuffer(qi, np.int64), np.frombuffer(ri, np.int64)
-                cos = np.frombuffer(qv).reshape(len(i), -1) @ np.frombuffer(rv).reshape(len(j), -1).T
-                tied = np.round(cos, TIE_DIGITS)
-                order = np.lexsort((np.broadcast_to(j, cos.shape), -tied), axis=1)[:, :k]
-                top = np.take_along_axis(cos, order, axis=1)
-                keep = top >= least
-                yield pd.DataFrame({query_id: np.repeat(i, keep.sum(1)), row_id: j[order][keep], "cosine": top[keep]})
+                every, j = np.frombuffer(qi, np.int64), np.frombuffer(ri, np.int64)
+                a, b_ = np.frombuffer(qv).reshape(len(every), -1), np.frombuffer(rv).reshape(len(j), -1)
+                for at in range(0, len(every), AT_ONCE):  # a whole block's cosines, and their order, would take half a GB and more
+                    i = every[at : at + AT_ONCE]
+                    cos = a[at : at + AT_ONCE] @ b_.T
+                    tied = np.round(cos, TIE_DIGITS)
+                    order = np.lexsort((np.broadcast_to(j, cos.shape), -tied), axis=1)[:, :k]
+                    top = np.take_along_axis(cos, order, axis=1)
+                    keep = top >= least
+                    yield pd.DataFrame({query_id: np.repeat(i, keep.sum(1)), row_id: j[order][keep], "cosine": top[keep]})
 
     met = pairs.mapInPandas(best, f"`{query_id}` long, `{row_id}` long, cosine double")
     order = Window.partitionBy(query_id).orderBy(F.desc(F.round("cosine", TIE_DIGITS)), row_id)
