@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -374,21 +376,59 @@ def transported(df: DataFrame, treatment: str, outcome: str, stratum: str, targe
     return j.agg((F.sum(seen * F.col("tau")) / F.sum(seen)).alias("point"), (F.sqrt(F.sum(seen**2 * F.col("v"))) / F.sum(seen)).alias("se"), (F.sum(F.col("n") * F.col("tau")) / F.sum("n")).alias("source_point"), (F.sum(seen) / F.sum("m")).alias("coverage"))
 
 
-def energy_distance(df: DataFrame, value: str, group: str) -> float:
-    """Twice the integral of the squared gap of two groups' distribution functions (1-D energy distance), by running sums."""
-    d = df.where(F.col(value).isNotNull()).groupBy(F.col(value).cast("double").alias("v")).agg(F.count_if(F.col(group) == 1).alias("a"), F.count_if(F.col(group) == 0).alias("b"))
-    a, b = d.agg(F.sum("a"), F.sum("b")).first()
-    upto = running_sums(d, [F.col("v")], {"fa": F.col("a"), "fb": F.col("b")}, part="part").persist()
-    nxt = upto.select(F.col("v"), "fa", "fb", F.lead("v").over(Window.partitionBy("part").orderBy("v")).alias("n"), "part")
-    # the gap from a range's last value to the next range's first; one row a range
-    edges = upto.groupBy("part").agg(F.min("v").alias("first"))
-    after = edges.select("part", F.lead("first").over(Window.orderBy("part")).alias("to"))
-    gap = nxt.join(F.broadcast(after), "part").select((F.coalesce("n", "to") - F.col("v")).alias("w"), (F.col("fa") / a - F.col("fb") / b).alias("g"))
-    out = float(gap.agg(F.coalesce(F.sum(F.col("w") * F.col("g") ** 2), F.lit(0.0))).first()[0]) * 2
-    upto.unpersist()
+def energies(rows: DataFrame, pairs: list[tuple[list[int], list[int]]], sizes: list[int]) -> list[float]:
+    """Energy distances (twice the integral of the squared gap of two distribution functions) of pairs of samples of rows (v, s).
+
+    A sample is the rows of some series s, which have so many rows by sizes; several pairs may share a series. All pairs
+    are read in one pass: values with their counts are dealt by ranges and ordered within. Where the gap is g as a range
+    begins and g + h later in it, the square's integral is made of the range's width and the integrals of h and h^2, so
+    that tasks send one row a pair.
+    """
+    total = [tuple(sum(sizes[s] for s in side) for side in pair) for pair in pairs]
+    if not all(n for pair in total for n in pair):
+        raise ValueError("an energy distance needs rows in both groups")
+    member = [tuple(np.isin(np.arange(len(sizes)), side) for side in pair) for pair in pairs]
+
+    def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        found: dict[int, list] = {}
+        for batch in batches:
+            v, s, n = (batch[c].to_numpy() for c in ("v", "s", "n"))
+            for k, (a, b) in enumerate(member):
+                on = a[s] | b[s]
+                if not on.any():
+                    continue
+                x, series, m = v[on], s[on], n[on]
+                first, last, na, nb, one, two = found.get(k, [x[0], x[0], 0, 0, 0.0, 0.0])
+                before = np.concatenate([[last], x[:-1]])
+                width = np.where(x == before, 0.0, x - before)
+                upto_a, upto_b = (np.concatenate([[c], c + np.cumsum(m * side[series])]) for c, side in ((na, a), (nb, b)))
+                h = upto_a[:-1] / total[k][0] - upto_b[:-1] / total[k][1]
+                found[k] = [first, x[-1], upto_a[-1], upto_b[-1], one + (width * h).sum(), two + (width * h * h).sum()]
+        yield pd.DataFrame([(k, *f) for k, f in found.items()], columns=["k", "first", "last", "a", "b", "h", "h2"])
+
+    counts = rows.groupBy("v", "s").agg(F.count("*").alias("n")).repartitionByRange("v").sortWithinPartitions("v")
+    ranges = counts.mapInPandas(work, "k int, first double, last double, a long, b long, h double, h2 double").collect()
+    out = []
+    for k, (all_a, all_b) in enumerate(total):
+        mine = sorted((r for r in ranges if r["k"] == k), key=lambda r: r["first"])
+        integral, na, nb, last = 0.0, 0, 0, mine[0]["first"]
+        for r in mine:
+            g = na / all_a - nb / all_b
+            integral += (r["last"] - last) * g * g + 2 * g * r["h"] + r["h2"]
+            na, nb, last = na + r["a"], nb + r["b"], r["last"]
+        infinite = any(math.isinf(x) for r in mine for x in (r["first"], r["last"]))
+        out.append(math.inf if infinite else 2 * integral)
     return out
 
 
+def energy_distance(df: DataFrame, value: str, group: str) -> float:
+    """Twice the integral of the squared gap of two groups' distribution functions (1-D energy distance); 0 without rows."""
+    g = F.col(group)
+    rows = df.select(F.col(value).cast("double").alias("v"), F.when(g == 1, 1).when(g == 0, 0).alias("s")).where("v is not null and s is not null")
+    sizes = list(rows.agg(F.count_if(F.col("s") == 0), F.count_if(F.col("s") == 1)).first())
+    return energies(rows, [([1], [0])], sizes)[0] if any(sizes) else 0.0
+
+
 def scored_estimators(df: DataFrame, treatment: str, outcome: str, covariates: list[str], cates: list[str], threshold: float = 0.0, trim: float = 0.05) -> DataFrame:
     """(estimator, energy, erupt, chosen) of columns of effects per row.
 
@@ -396,22 +436,24 @@ def scored_estimators(df: DataFrame, treatment: str, outcome: str, covariates: l
     adds, for both arms, the distance of an arm's outcomes moved by its effects to the other arm's
     outcomes, on rows with common support. The choice has the lowest energy among those in the top
     quarter by value, or among all if there are fewer than four.
+
+    One pass reads the values of all columns, another one all their energies.
     """
     keep = df.select(F.col(treatment).cast("double").alias("_t"), F.col(outcome).cast("double").alias("_y"), *[F.col(c).cast("double").alias(f"x{i}") for i, c in enumerate(covariates)], *[F.col(c).cast("double").alias(f"c{i}") for i, c in enumerate(cates)]).na.drop()
-    d = propensity(keep, "_t", [f"x{i}" for i in range(len(covariates))], "_e").withColumn("_e", F.least(F.greatest("_e", F.lit(trim)), F.lit(1 - trim))).persist()
-    own = F.when(F.col("_t") == 1, F.col("_e")).otherwise(1 - F.col("_e"))
-    values = d.agg(*[F.avg(F.when(F.col("_t") == (F.col(f"c{i}") > threshold).cast("double"), F.col("_y") / own).otherwise(0.0)) for i in range(len(cates))]).first()
-    rows = []
-    for i, name in enumerate(cates):
-        energy = 0.0
-        for arm in (0.0, 1.0):
-            moved = F.when(F.col("_t") == arm, F.col("_y") - (F.col(f"c{i}") if arm else -F.col(f"c{i}"))).otherwise(F.col("_y"))
-            energy += energy_distance(d.select(moved.alias("v"), (F.col("_t") == arm).cast("int").alias("g")), "v", "g")
-        rows.append((name, energy, float(values[i])))
-    d.unpersist()
-    least = float(np.quantile([r[2] for r in rows], 0.75)) if len(rows) >= 4 else -math.inf
-    best = min((r for r in rows if r[2] >= least), key=lambda r: r[1])[0]
-    return df.sparkSession.createDataFrame([(*r, r[0] == best) for r in rows], "estimator string, energy double, erupt double, chosen boolean")
+    d = propensity(keep, "_t", [f"x{i}" for i in range(len(covariates))], "_e").withColumn("_e", F.least(F.greatest("_e", F.lit(trim)), F.lit(1 - trim)))
+    t, y = F.col("_t"), F.col("_y")
+    own = F.when(t == 1, F.col("_e")).otherwise(1 - F.col("_e"))
+    arm = F.when(t == 0, 0).when(t == 1, 1).otherwise(2)
+    *values, n0, n1, n2 = d.agg(*[F.avg(F.when(t == (F.col(f"c{i}") > threshold).cast("double"), y / own).otherwise(0.0)) for i in range(len(cates))], *[F.count_if(arm == a) for a in range(3)]).first()
+    # series 0 to 2 are the arms' outcomes (2: neither arm), then for each column the arms' outcomes moved by it
+    moved = [(arm + 3 * (i + 1), F.when(t == 1, y - F.col(f"c{i}")).otherwise(y + F.col(f"c{i}"))) for i in range(len(cates))]
+    rows = keep.select(F.explode(F.array(*[F.struct(s.alias("s"), v.alias("v")) for s, v in [(arm, y), *moved]])).alias("r")).select("r.*")
+    pairs = [([3 * (i + 1) + a], [b for b in range(3) if b != a]) for i in range(len(cates)) for a in (0, 1)]
+    found = energies(rows, pairs, [n0, n1, n2] * (len(cates) + 1))
+    scores = [(name, found[2 * i] + found[2 * i + 1], float(values[i])) for i, name in enumerate(cates)]
+    least = float(np.quantile([r[2] for r in scores], 0.75)) if len(scores) >= 4 else -math.inf
+    best = min((r for r in scores if r[2] >= least), key=lambda r: r[1])[0]
+    return df.sparkSession.createDataFrame([(*r, r[0] == best) for r in scores], "estimator string, energy double, erupt double, chosen boolean")
 
 
 def contradictions(df: DataFrame) -> DataFrame:
